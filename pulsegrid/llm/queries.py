@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, urls
+from . import chat, exact_dedup, licenses, mixing, urls
 from .shared import table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -27,6 +27,10 @@ def op6_chat_format(spark, sf_dir):
     )
 
 
+def op7_exact_dedup(spark, sf_dir):
+    return exact_dedup.dedup_classes(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op8_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_url_filter(spark, sf_dir):
 QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_license_scan": op8_license_scan,
     "op10_url_filter": op10_url_filter,
 }
@@ -119,6 +124,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length({_escaped('role')}) + length({_escaped('text')}) + {len('<||>') + 1 + len(chat.END)})::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
+""",
+    "op7_exact_dedup": """
+WITH docs AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+classes AS (SELECT doc_id, sha256(norm) AS text_sha256, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+    row_number() OVER (PARTITION BY norm, doc_id) AS copy FROM docs)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, text_sha256 FROM classes
 """,
     "op8_license_scan": _license_sql(),
     "op10_url_filter": _url_sql(),
