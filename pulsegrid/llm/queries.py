@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, mixing, urls
+from . import chat, exact_dedup, licenses, mixing, simhash, urls
 from .shared import table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op4_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("epochs", "last_words", "source")
 
@@ -43,6 +47,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
