@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, mixing, simhash, urls
+from . import chat, exact_dedup, licenses, mixing, packing, simhash, urls
 from .shared import table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def byte_bpe() -> dict:
+    """The byte-level BPE vocabulary, by the paths of the installed vocabulary files."""
+    import public_tokenizers
+
+    return {"ranks_path": str(public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN, "special_id": 50256}
+
+
+def op2_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -47,6 +58,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
