@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, mixing, packing, simhash, urls
+from . import chat, exact_dedup, licenses, mixing, packing, simhash, topk, toxicity, urls
 from .shared import table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_topk(spark, sf_dir):
+    parts = F.transform("embedding", lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(x.cast("double") * 256)).cast("long"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), parts.alias("vec"))
+    found = topk.top_k(vectors, vectors.where("id % 50 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def byte_bpe() -> dict:
     """The byte-level BPE vocabulary, by the paths of the installed vocabulary files."""
     import public_tokenizers
@@ -21,6 +28,10 @@ def op2_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -58,7 +69,9 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
@@ -133,6 +146,14 @@ FROM judged
 
 
 ORACLES = {
+    "op1_topk": """
+WITH vectors AS (SELECT vec_id, min(vec) AS vec FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) GROUP BY 1),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.vec::DOUBLE[], c.vec::DOUBLE[]) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.vec) = len(q.vec)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op6_chat_format": f"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
     (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
