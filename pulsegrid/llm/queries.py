@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, mixing, packing, simhash, topk, toxicity, urls
+from . import chat, exact_dedup, extraction, licenses, mixing, packing, simhash, topk, toxicity, urls
 from .shared import table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -61,6 +61,10 @@ def op8_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark, sf_dir):
+    return extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_url_filter(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good")
@@ -77,6 +81,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_license_scan": op8_license_scan,
+    "op9_html_extraction": op9_html_extraction,
     "op10_url_filter": op10_url_filter,
 }
 
