@@ -1,8 +1,53 @@
-"""The corpus pipeline (placeholder until its stages exist)."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing and packing of the documents table.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return the
+columns of ``documents``; the last returns the pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pulsegrid.llm import exact_dedup, mixing, packing, simhash, toxicity
+from pulsegrid.llm.queries import byte_bpe
+from pulsegrid.llm.shared import cut_lineage, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.7; labels of training documents are the only ones learned from."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for A-Z/a-z, the document with the largest doc_id."""
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id."""
+    return simhash.one_per_group(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in target proportions: a row for each time a document is taken."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, byte_bpe())
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-dedup", drop_near_copies), ("mixing", mix), ("packing", pack)]
+
+#: The stages learn a classifier, hash and tokenise: no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut_lineage(docs)
+    return docs
