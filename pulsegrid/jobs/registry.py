@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import q_capacity, q_evaluation, q_hrv, q_recordings
+
+ALL: dict = {**q_recordings.Q, **q_hrv.Q, **q_capacity.Q, **q_evaluation.Q}
+
 
 def flagship(spark, sf_dir):
-    return queries()["flagship"](spark, sf_dir)
+    return q_recordings.flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: f for name, (f, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
