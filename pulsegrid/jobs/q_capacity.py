@@ -87,7 +87,7 @@ def a19(spark, d):
     return rounded(N.slope_through_origin(kpi(spark, d), ["cell"], "traffic", "code").withColumn("slope", F.col("slope") * 1000))
 
 
-DEMAND = """dm AS (SELECT site, sector, week_period, tech, sum(CASE tech WHEN '4G' THEN occupation / 5 WHEN '3G' THEN greatest(round_even((power - 85) / 85, 0), round_even((code - 85) / 85, 0)) END) AS demand FROM kpi GROUP BY 1, 2, 3, 4)"""
+DEMAND = """dm AS (SELECT site, sector, week_period, tech, sum(CASE tech WHEN '4G' THEN occupation / 5 WHEN '3G' THEN greatest(round_even((power - 85) / 85, 0), round_even((code - 85) / 85, 0)) END) AS demand FROM kpi GROUP BY ALL)"""
 
 
 def demand(spark, d):
@@ -187,8 +187,8 @@ def p12(spark, d):
     return N.weeks_after(w, w.where("site < 10 AND week_period < 200120"))
 
 
-@query("c6_upgrade_selection", f"""WITH {KPI}, {CAT}, {SITE_BANDS}, {FLAGS}, g AS (SELECT DISTINCT site, week_period, tech FROM kpi WHERE (tech = '3G' AND (code > 85 OR power > 85)) OR (tech = '4G' AND occupation > 75)),
-w AS (SELECT site, tech, min(week_period) AS week_period FROM g GROUP BY 1, 2), s AS (SELECT w.site, w.tech, w.week_period, bands, refarming_2g AS r2, refarming_3g AS r3 FROM w JOIN sb USING (site) JOIN f ON w.site = f.site AND w.week_period = f.week_period), {CHOICE}
+@query("c6_upgrade_selection", f"""WITH {KPI}, {CAT}, {SITE_BANDS}, {FLAGS}, con AS (SELECT DISTINCT site, week_period, tech FROM kpi WHERE (tech = '3G' AND (code > 85 OR power > 85)) OR (tech = '4G' AND occupation > 75)),
+w AS (SELECT site, tech, min(week_period) AS week_period FROM con GROUP BY 1, 2), s AS (SELECT w.site, w.tech, w.week_period, bands, refarming_2g AS r2, refarming_3g AS r3 FROM w JOIN sb USING (site) JOIN f ON w.site = f.site AND w.week_period = f.week_period), {CHOICE}
 SELECT site, week_period, tech, CASE tech WHEN '3G' THEN out3 ELSE out4 END AS choice FROM o""")
 def c6(spark, d):
     """Weekly load to the first congested week per site and technology, with the band to add."""

@@ -29,8 +29,8 @@ def auc(spark, d):
     return V.auc(V.roc_points(scored(spark, d), ["rep"]), ["rep"])
 
 
-@query("w19_mean_roc", f"""WITH {SCORED}, {ROC}, n AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY threshold DESC) - 1 AS k, tpr, fpr FROM r), g AS (SELECT DISTINCT rep, CAST(k AS INTEGER) AS k FROM r, unnest(range(0, 450)) t(k))
-SELECT k, round(avg(coalesce(tpr, 1)), 4) AS tpr, round(avg(coalesce(fpr, 1)), 4) AS fpr FROM g LEFT JOIN n USING (rep, k) GROUP BY 1""")
+@query("w19_mean_roc", f"""WITH {SCORED}, {ROC}, n AS (SELECT rep, row_number() OVER (PARTITION BY rep ORDER BY threshold DESC) - 1 AS k, tpr, fpr FROM r), grid AS (SELECT DISTINCT rep, CAST(k AS INTEGER) AS k FROM r, unnest(range(0, 450)) t(k))
+SELECT k, round(avg(coalesce(tpr, 1)), 4) AS tpr, round(avg(coalesce(fpr, 1)), 4) AS fpr FROM grid LEFT JOIN n USING (rep, k) GROUP BY 1""")
 def mean_roc(spark, d):
     return rounded(V.mean_roc(V.roc_points(scored(spark, d), ["rep"]), "rep", 450))
 

@@ -178,7 +178,9 @@ def rolling(df: DataFrame, keys: Sequence[str], value: str, aggregates: dict, n:
     at = F.row_number().over(w) - 1
     own = df.withColumns({"__at": at, "__count": count})
     if seconds is not None:
-        frame = Window.partitionBy(*keys).orderBy(clock).rangeBetween(-seconds, seconds)
+        ticks = F.round(F.col(clock) * 1_000_000).cast("long")  # range frames take whole numbers
+        reach = round(seconds * 1_000_000)
+        frame = Window.partitionBy(*keys).orderBy(ticks).rangeBetween(-reach, reach)
         out = own.withColumns({name: f(F.col(value)).over(frame) for name, f in aggregates.items()})
     else:
         whole, end = w.rowsBetween(-n, n), w.rowsBetween(-n, -1)
