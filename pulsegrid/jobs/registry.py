@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_capacity, q_evaluation, q_hrv, q_recordings
+from . import q_capacity, q_evaluation, q_hrv, q_recordings, q_signals
 
-ALL: dict = {**q_recordings.Q, **q_hrv.Q, **q_capacity.Q, **q_evaluation.Q}
+ALL: dict = {**q_recordings.Q, **q_hrv.Q, **q_capacity.Q, **q_evaluation.Q, **q_signals.Q}
 
 
 def flagship(spark, sf_dir):
