@@ -78,7 +78,7 @@ def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
         higher = paths.alias("p").join(
             rounds[k].alias("r"), F.col("p.tree").eqNullSafe(F.col("r.tree")) & (F.col("p.node") == F.col("r.node"))
         ).select("p.tree", "p.leaf", F.col("r.anc").alias("node"), (F.col("p.up") + 2**k).alias("up"))
-        paths = paths.unionByName(higher)
+        paths = cut_lineage(paths.unionByName(higher))
     if step.isEmpty():
         return paths
     # An ancestor farther away than the tree has nodes: its path runs into a cycle.
@@ -93,16 +93,14 @@ def format_branches(nodes: DataFrame, best: int | None = 1, loss_role: str = "as
     Returns tree, leaf, branch_rank, branch_score, formatted (text) and loss_spans (array of start, end).
     """
     paths = root_to_leaf_paths(nodes)
-    body = nodes.select(F.col("tree").alias("t"), F.col("node").alias("m"), escape(F.coalesce("role", F.lit(""))).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    scored = paths.join(body, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("m")))
+    key = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("m"))
+    scores = nodes.select(F.col("tree").alias("t"), F.col("node").alias("m"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    order = Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")
+    ranks = paths.join(scores, key).groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score")).withColumn("branch_rank", F.row_number().over(order))
     if best is not None:
-        ranks = (
-            scored.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"))
-            .withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")))
-            .where(F.col("branch_rank") <= best)
-        )
-    else:
-        ranks = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score")).withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")))
+        ranks = ranks.where(F.col("branch_rank") <= best)
+    body = nodes.select(F.col("tree").alias("t"), F.col("node").alias("m"), escape(F.coalesce("role", F.lit(""))).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    scored = paths.join(body, key)
     ranks = ranks.select(F.col("tree").alias("rt"), F.col("leaf").alias("rl"), "branch_score", "branch_rank")
     turn = F.struct((-F.col("up")).alias("at"), F.col("role"), F.concat(F.lit("<|"), "role", F.lit("|>\n")).alias("head"), escape(F.col("text")).alias("body"))
     chosen = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, extraction, licenses, mixing, packing, simhash, topk, toxicity, urls
-from .shared import table
+from .shared import cut_lineage, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -44,7 +44,7 @@ def op6_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
-    made = chat.format_branches(chat.linear_nodes(rows.unionByName(extra)), best=None)
+    made = chat.format_branches(cut_lineage(chat.linear_nodes(rows.unionByName(extra))), best=None)
     turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.withColumns({"turns": turns, "loss": loss}).select(
