@@ -101,6 +101,10 @@ def read_wearable(spark: SparkSession, paths: dict[str, str], rates: dict[str, i
     return cut.withColumn("tick", F.col("tick") - F.min("tick").over(first))
 
 
+def _holding(column: str, part: str) -> Column:
+    return F.transform(column, lambda h: h.contains(part))
+
+
 def read_mapped(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",", skip: int = 0, units_row: str | None = "ms") -> DataFrame:
     """Sensor exports: rec, tick and the columns of ``columns`` (new name -> substring of the header's name).
 
@@ -115,7 +119,7 @@ def read_mapped(spark: SparkSession, path: str, columns: dict[str, str], sep: st
         body = body.where(F.trim(F.col("__v")[0]) != units_row)
     picked = {}
     for name, part in columns.items():
-        place = F.array_position(F.transform("__header", lambda h, p=part: h.contains(p)), True)
+        place = F.array_position(_holding("__header", part), True)
         value = F.when(place > 0, F.try_element_at("__v", F.when(place > 0, place).otherwise(1).cast("int")).try_cast("double"))
         picked[name] = F.when(place == 0, 0.0).otherwise(value) if name == "temp" else value
     tick = F.row_number().over(Window.partitionBy("rec").orderBy("__n")) - 1
