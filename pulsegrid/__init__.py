@@ -1 +1,8 @@
 """pulsegrid: Spark jobs for biosignal recordings and network-load tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
