@@ -22,7 +22,6 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from functools import lru_cache
 from math import exp, log1p
 
 import numpy as np
@@ -36,6 +35,7 @@ BLOCKS = frozenset(
     " blockquote pre figure figcaption form fieldset legend address details summary center hgroup dialog menu search".split()
 )
 UNREAD = frozenset("script style noscript template iframe svg object canvas audio video title textarea select button".split())
+UNREAD_ENDS = {name: re.compile(f"</{name}[^>]*>", re.IGNORECASE) for name in UNREAD}
 CLOSES_ITS_LIKE = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 HOLDERS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table"}
 
@@ -86,7 +86,7 @@ class Page:
             name, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
             if name in UNREAD and not closing:
                 if not attrs.endswith("/"):
-                    end = _end_of(name).search(source, at)
+                    end = UNREAD_ENDS[name].search(source, at)
                     at = end.end() if end else size
             elif name == "br":
                 flush()
@@ -123,13 +123,9 @@ class Page:
             self.total[self.parent[i]] += self.total[i]
             self.total_link[self.parent[i]] += self.total_link[i]
 
-    def features(self) -> list[tuple[str, ...]]:
-        return [_features(t, a, _grade(n), _link_grade(k, n)) for t, a, n, k in zip(self.tag, self.attrs, self.total, self.total_link, strict=True)]
-
-
-@lru_cache
-def _end_of(name: str) -> re.Pattern:
-    return re.compile(f"</{name}[^>]*>", re.IGNORECASE)
+    def traits(self) -> list[tuple[str, str, int, int]]:
+        """Tag, attributes, grade of the amount of text and of its links: all that a node's features depend on."""
+        return [(t, a, _grade(n), _link_grade(k, n)) for t, a, n, k in zip(self.tag, self.attrs, self.total, self.total_link, strict=True)]
 
 
 def _grade(chars: int) -> int:
@@ -140,8 +136,7 @@ def _link_grade(linked: int, chars: int) -> int:
     return 0 if not linked else 1 + (linked > 0.3 * chars) + (linked > 0.7 * chars)
 
 
-@lru_cache(200_000)
-def _features(tag: str, attrs: str, grade: int, link_grade: int) -> tuple[str, ...]:
+def features(tag: str, attrs: str, grade: int, link_grade: int) -> tuple[str, ...]:
     out = ["bias", f"tag {tag}", f"chars {grade}", f"links {link_grade}"]
     for groups in NAMES.findall(attrs):
         for word in WORDS.findall(" ".join(groups)):
@@ -183,16 +178,17 @@ class Model:
     def __init__(self, weights: dict[str, float], edges: list[tuple[float, float, float, float]]):
         self.weights, self.edges, self.known = weights, edges, {}
 
-    def own(self, features: tuple[str, ...]) -> float:
-        got = self.known.get(features)
+    def own(self, traits: tuple[str, str, int, int]) -> float:
+        """Log-odds of a node by itself, remembered by its traits."""
+        got = self.known.get(traits)
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[features] = sum(self.weights.get(f, 0.0) for f in features)
+            got = self.known[traits] = sum(self.weights.get(f, 0.0) for f in features(*traits))
         return got
 
     def marginals(self, page: Page) -> list[float]:
-        full, _ = beliefs(page.parent, [self.own(f) for f in page.features()], [self.edges[edge_kind(t)] for t in page.tag])
+        full, _ = beliefs(page.parent, [self.own(t) for t in page.traits()], [self.edges[edge_kind(t)] for t in page.tag])
         return [1 / (1 + exp(-max(min(b, 30), -30))) for b in full]
 
     def extract(self, source: str) -> str:
@@ -201,7 +197,7 @@ class Model:
         return "\n".join(text for node, text in page.blocks if content[node] >= 0.5)
 
 
-def train(pages: list[str], rounds: int = 150, ridge: float = 0.02, rate: float = 0.15) -> Model:
+def train(pages: list[str], rounds: int = 100, ridge: float = 0.02, rate: float = 0.15) -> Model:
     """Maximum-likelihood weights for labelled pages, by adaptive gradient steps on observed minus expected counts."""
     parsed = []
     index: dict[str, int] = {}
@@ -210,7 +206,7 @@ def train(pages: list[str], rounds: int = 150, ridge: float = 0.02, rate: float
         for i, attrs in enumerate(page.attrs):
             m = LABEL.search(attrs)
             truth.append(int(m[1]) if m else truth[page.parent[i]] if i else 0)
-        rows = [[index.setdefault(f, len(index)) for f in fs] for fs in page.features()]
+        rows = [[index.setdefault(f, len(index)) for f in fs] for fs in (features(*t) for t in page.traits())]
         parsed.append((page.parent, rows, [edge_kind(t) for t in page.tag], truth))
     w, e = np.zeros(len(index)), np.zeros((2, 4))
     seen_w, seen_e = np.full(len(w), 1e-8), np.full((2, 4), 1e-8)
@@ -261,19 +257,25 @@ BODIES = [
 ]
 
 
-def labelled_pages(n: int = 80) -> list[str]:
-    """Labelled pages by rule: page k combines the k-th choices of layout, body and surrounding parts."""
+def labelled_pages(n: int = 90) -> list[str]:
+    """Labelled pages by rule: page k combines the k-th choices of layout, body and surrounding parts.
+
+    Of several names of a part each page uses one, and two parts stand inside the content of every page.
+    """
     short, long = "Lines of a title", "A sentence of some length, with commas and more than forty letters. " * 4
-    links = "<ul>" + "<li><a href=\"/a\">Some page</a></li>" * 5 + "</ul>"
+    links = "<ul>" + '<li><a href="/a">Some page</a></li>' * 5 + "</ul>"
     pages = []
     for k in range(n):
-        holding = HOLDING[k % len(HOLDING)].replace("{body}", BODIES[k % len(BODIES)])
-        parts = [OUTSIDE[(k * 7 + j * 11) % len(OUTSIDE)] for j in range(5)]
-        if k % 3 == 0:  # parts that are not content may stand inside the content
-            inner = OUTSIDE[(k // 3 * 5 + 9) % len(OUTSIDE)]
-            at = holding.rindex("</")if k % 2 else holding.index("</h1>") + 5 if "</h1>" in holding else holding.rindex("</")
-            holding = holding[:at] + inner + holding[at:]
-        page = f"<html><head></head><body data-content=\"0\">{parts[0]}{parts[1]}{parts[2]}{holding}{parts[3]}{parts[4]}</body></html>"
+
+        def part(i: int, k: int = k) -> str:
+            return re.sub(r'class="([^"]*)"', lambda m: f'class="{(names := m[1].split())[k % len(names)]}"', OUTSIDE[i % len(OUTSIDE)])
+
+        body = BODIES[k % len(BODIES)]
+        at = body.index("</h1>") + 5 if "</h1>" in body and k % 2 else len(body)
+        body = body[:at] + part(5 * k + 9) + part(7 * k + 4) + body[at:]
+        holding = HOLDING[k % len(HOLDING)].replace("{body}", body)
+        outside = [part(7 * k + 11 * j) for j in range(5)]
+        page = f'<html><head></head><body data-content="0">{outside[0]}{outside[1]}{outside[2]}{holding}{outside[3]}{outside[4]}</body></html>'
         pages.append(page.replace("{links}", links).replace("{short}", short).replace("{long}", long if k % 4 else long[:70]))
     return pages
 

@@ -26,7 +26,7 @@ def test_message_passing_is_exact():
 
 def test_held_out_layouts(model):
     wrong = blocks = 0
-    for source in X.labelled_pages(400)[80:]:
+    for source in X.labelled_pages(400)[90:]:
         page, truth = X.Page(source), []
         for i, attrs in enumerate(page.attrs):
             m = X.LABEL.search(attrs)
