@@ -157,14 +157,19 @@ class Measures:
 
 def features(m: np.ndarray, n_bins: int) -> np.ndarray:
     """Inputs of the linear classifier, one row per text."""
-    words, hits, distinct = (np.maximum(m[:, n_bins + i], 0) for i in range(3))
+    words, hits, distinct = m[:, n_bins], m[:, n_bins + 1], m[:, n_bins + 2]
     density = 100 * hits / np.maximum(words, 1)
     return np.column_stack([
-        np.log1p(m[:, :n_bins]), np.minimum(m[:, :n_bins], 1), np.log1p(hits), np.log1p(distinct), hits > 0, distinct > 1, np.log1p(density), np.minimum(density, 5),
-        np.log1p(words) / 10, m[:, n_bins + 3], m[:, n_bins + 4] * 10, np.log1p(m[:, n_bins + 5]), m[:, n_bins + 6], np.ones(len(m)),
+        np.log1p(np.minimum(m[:, :n_bins], 10)), np.minimum(m[:, :n_bins], 1), np.log1p(np.minimum(hits, 20)), np.log1p(np.minimum(distinct, 20)), hits > 0, distinct > 1,
+        np.log1p(np.minimum(density, 20)), np.minimum(density, 5),
+        np.minimum(np.log1p(words), 9) / 10, m[:, n_bins + 3], m[:, n_bins + 4] * 10, np.log1p(np.minimum(m[:, n_bins + 5], 20)), m[:, n_bins + 6], np.ones(len(m)),
     ])
 
 
+#: Inputs beyond the hits, at the end of a row of features: they may speak for or against.
+FREE_INPUTS = 6
+
+
 def votes(m: np.ndarray, n_bins: int) -> np.ndarray:
     """Voters by column: 1, 0, or -1 (abstains)."""
     words, hits, distinct = m[:, n_bins], m[:, n_bins + 1], m[:, n_bins + 2]
@@ -200,6 +205,7 @@ def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.ndarray
         spread = np.sqrt(np.maximum(np.diag(rest), 1e-9))
         related = np.clip(rest / spread[:, None] / spread[None, :], 0, 1)
         np.fill_diagonal(related, 0)
+        related[-1], related[:, -1] = 0, 0  # the labels are no copy of another voter
         weight = 1 / (1 + related.sum(axis=1))
         ratio = np.log(chance[:, 1] / chance[:, 0])  # voters, votes
         share = min(max(post.mean(), 1e-4), 1 - 1e-4)
@@ -211,18 +217,29 @@ def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.ndarray
     return post
 
 
-def linear_classifier(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Coefficients of a logistic regression on soft labels, by Newton steps."""
-    beta = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(len(beta))
-    penalty[-1, -1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (soft - p)) - penalty @ beta)
-        beta += np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
-            break
-    return beta
+def linear_classifier(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 25, free: int = FREE_INPUTS) -> np.ndarray:
+    """Coefficients of a logistic regression on soft labels, by Newton steps.
+
+    Inputs that count hits may not lower a score: those that would are left out and the rest is fitted again.
+    """
+    used = np.ones(x.shape[1], bool)
+    while True:
+        own, beta = x[:, used], np.zeros(int(used.sum()))
+        penalty = ridge * np.eye(len(beta))
+        penalty[-1, -1] = 1e-6
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(own @ beta, -30, 30)))
+            step = np.linalg.solve((own * (weight * p * (1 - p))[:, None]).T @ own + penalty, own.T @ (weight * (soft - p)) - penalty @ beta)
+            beta += np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-6:
+                break
+        out = np.zeros(x.shape[1])
+        out[used] = beta
+        against = out < 0
+        against[-free:] = False
+        if not against.any():
+            return out
+        used &= ~against
 
 
 def fit(documents: DataFrame, labels: DataFrame, **bounds) -> tuple[list[tuple[str, float]], np.ndarray] | None:

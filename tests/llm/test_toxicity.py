@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -34,8 +35,9 @@ def test_label_model_finds_good_and_bad_and_repeated_voters():
 
 
 def test_edge_cases(spark):
-    bad = ["you are a stupid moron", "stupid text of a moron here"]
-    rows = [(i, (bad[i % 2] if i % 4 == 0 else "a fine day with words") + f" number{i} token{i % 7}", 1, "x") for i in range(400)] + [(1000, None, 1, "x"), (1001, "", 1, "x"), (1002, "moron " * 50_000, 1, "x"), (None, "stupid moron", 1, "x"), (3, "again", 1, "x")]
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=20) + [["stupid"], ["moron"], ["moron", "stupid"]][i % 3] * (i % 4 == 0)), 1, "x") for i in range(400)] + [(1000, None, 1, "x"), (1001, "", 1, "x"), (1002, "moron " * 50_000, 1, "x"), (None, "stupid moron", 1, "x"), (3, "again", 1, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 5) for i in range(400)] + [(0, 0, 5), (None, 1, 5), (2000, None, 5)], "doc_id long, toxic int, held_out int")
     got = toxicity.score_toxicity(docs, labels).collect()
