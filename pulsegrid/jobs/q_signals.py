@@ -14,7 +14,7 @@ from ..operators import signals as G
 from ..operators import spectra as P
 from ..operators.series import fill_missing_chunks
 from .tables import NN, REC, beats, intervals, recordings, registrar, rounded, statistics_sql, table
-from .workloads import interval_features
+from . import workloads as W
 
 K = ["rec"]
 Q: dict = {}
@@ -162,7 +162,7 @@ def v16(spark, d):
 @query("v17_quantile_regression", None)
 def v17(spark, d):
     e = table(spark, d, "embeddings").where("label < 5").select("label", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
-    return M.quantile_regression_grid(e, [f"f{i}" for i in range(8)], "label", [0.01, 0.26, 0.51, 0.76], [0.02])
+    return M.quantile_regression_grid(e, [f"f{i}" for i in range(8)], "label", [0.01, 0.26, 0.51, 0.76], [0.002])
 
 
 @query("v18_quantile_forest", None)
@@ -173,15 +173,53 @@ def v18(spark, d):
 
 @query("c1_time_domain", None)
 def c1(spark, d):
-    nn = H.nn_intervals(beats(recordings(spark, d)), K)
-    hist = H.histogram(nn, K, 1e6)
-    return X.wide_concat([H.summary(nn, K), H.triangular_index(hist, K), H.tinn(hist, K, 1e6), H.poincare(nn, K)], K)
+    return W.time_domain(H.nn_intervals(beats(recordings(spark, d)), K), K, 1e6)
+
+
+@query("c2_frequency_domain", None)
+def c2(spark, d):
+    return W.frequency_domain(nn_seconds(spark, d), K, nfft=256, order=8)
+
+
+@query("c3_nonlinear", None)
+def c3(spark, d):
+    return W.nonlinear(nn_seconds(spark, d), K)
+
+
+@query("c4_hrv_report", None)
+def c4(spark, d):
+    nn = H.nn_intervals(beats(recordings(spark, d)), K).withColumn("nn", F.col("nn") / 1e4)
+    return W.hrv_report(nn, K, duration_s=60.0, binsize=100.0)
+
+
+@query("j10_hrv_rest_ratio", f"""WITH {REC}, {NN}, r AS (SELECT rec, us / 1000.0 - lag(us / 1000.0) OVER (PARTITION BY rec ORDER BY idx) AS nn FROM rec WHERE phase = 'view' QUALIFY nn IS NOT NULL),
+a AS (SELECT rec, avg(nn) AS m, stddev_samp(nn) AS s FROM nn GROUP BY 1), b AS (SELECT rec, avg(nn) AS m, stddev_samp(nn) AS s FROM r GROUP BY 1)
+SELECT rec, 'nn_mean' AS feature, round(a.m / nullif(b.m, 0), 4) AS value FROM a LEFT JOIN b USING (rec) UNION ALL SELECT rec, 'sdnn', round(a.s / nullif(b.s, 0), 4) FROM a LEFT JOIN b USING (rec)""")
+def j10(spark, d):
+    r = recordings(spark, d)
+    whole = X.to_long(H.summary(H.nn_intervals(beats(r), K), K).select("rec", "nn_mean", "sdnn"), K)
+    rest = X.to_long(H.summary(H.nn_intervals(beats(R.in_phases(r, ["view"], "phase")), K), K).select("rec", "nn_mean", "sdnn"), K)
+    return rounded(X.normalised(whole, rest, K))
+
+
+def _matrix(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
+
+
+@query("feature_selection", None)
+def selection(spark, d):
+    return W.feature_selection(_matrix(spark, d).where("label < 5"), [f"f{i}" for i in range(8)], "label", [0.26, 0.51, 0.76], [0.002, 0.01])
+
+
+@query("repeated_evaluation", None)
+def evaluation(spark, d):
+    return W.repeated_evaluation(_matrix(spark, d), "vec_id", [f"f{i}" for i in range(4)], "label", 4.5, repeats=2, trees=2, max_depth=5)
 
 
 @query("c5_interval_features", None)
 def c5(spark, d):
     r = recordings(spark, d)
-    return interval_features(r, intervals(r), K, "value", "view", bucket_s=86400.0)
+    return W.interval_features(r, intervals(r), K, "value", "view", bucket_s=86400.0)
 
 
 @query("interval_statistics", f"""WITH {REC}, ivl AS (SELECT rec, CAST(idx // 10 AS INTEGER) AS slalom, time AS start, lead(time, 5) OVER (PARTITION BY rec ORDER BY idx) AS fin, idx FROM rec),

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import capacity as N
+from ..operators import evaluation as V
 from ..operators import features as X
+from ..operators import hrv as H
+from ..operators import models as M
 from ..operators import recordings as R
 from ..operators import series as S
+from ..operators import signals as G
+from ..operators import spectra as P
 
 
 def upgrade_selection(kpi: DataFrame, catalogue: DataFrame, load_limit: float = 85.0) -> DataFrame:
@@ -34,3 +39,47 @@ def interval_features(samples: DataFrame, intervals: DataFrame, keys: Sequence[s
     long = S.repair_outliers(X.to_long(per, [*keys, "slalom"]), [*keys, "feature"], "slalom").drop("old", "repaired")
     rest = X.to_long(X.signal_statistics(R.in_phases(filled, [rest_phase], trigger), list(keys), value), list(keys))
     return X.normalised(long, rest, keys)
+
+
+def time_domain(nn: DataFrame, keys: Sequence[str], binsize: float = 7.8125) -> DataFrame:
+    """Summary, triangular index, TINN and Poincare plot of each series, side by side."""
+    hist = H.histogram(nn, keys, binsize)
+    return X.wide_concat([H.summary(nn, keys), H.triangular_index(hist, keys), H.tinn(hist, keys, binsize), H.poincare(nn, keys)], keys)
+
+
+def frequency_domain(nn: DataFrame, keys: Sequence[str], methods: Sequence[str] = ("welch", "lomb", "yule-walker"), **options) -> DataFrame:
+    """Band tables of each series by method; nn has time in seconds."""
+    parts = [P.band_powers(P.power_spectra(nn, keys, method=m, **options), keys).withColumn("method", F.lit(m)) for m in methods]
+    return R.stack(*parts)
+
+
+def nonlinear(nn: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return X.wide_concat([H.poincare(nn, keys), G.nonlinear_measures(nn, keys)], keys)
+
+
+def hrv_report(nn: DataFrame, keys: Sequence[str], duration_s: float = 300.0, binsize: float = 7.8125) -> DataFrame:
+    """Time-domain and nonlinear measures and Welch bands of each segment: keys, segment and the measures."""
+    parts = H.segments(nn, keys, duration_s)
+    by = [*keys, "segment"]
+    timed = H.beat_clock(parts, by)
+    measures = G.nonlinear_measures(parts, by)
+    bands = P.band_powers(P.power_spectra(timed, by), by)
+    return time_domain(parts, by, binsize).join(measures, by, "left").join(bands, by, "left")
+
+
+def feature_selection(sample: DataFrame, features: Sequence[str], target: str, taus: Sequence[float], lams: Sequence[float], top: int = 30) -> DataFrame:
+    """Features by the number of quantile levels at which the penalised regression keeps them: feature, votes."""
+    grid = M.quantile_regression_grid(sample, features, target, taus, lams)
+    return V.feature_votes(grid.where("feature <> ''"), top)
+
+
+def repeated_evaluation(df: DataFrame, key: str, features: Sequence[str], target: str, threshold: float, repeats: int = 15, trees: int = 100, seed: int = 0, **options) -> DataFrame:
+    """rep, auc of the forest's median against the binarised target, on repeated hash-random splits."""
+    splits = V.repeated_splits(df, key, repeats, seed=seed).cache()
+    curves = None
+    for rep in range(repeats):
+        own = splits.where(F.col("rep") == rep)
+        median = M.quantile_forest(own.where("train"), own.where("NOT train"), key, features, target, [50.0], trees=trees, seed=seed + rep, **options)
+        scored = median.join(own.select(key, V.binarise(F.col(target), threshold).alias("label")), key).select(F.lit(rep).alias("rep"), F.col("value").alias("score"), "label")
+        curves = scored if curves is None else curves.unionByName(scored)
+    return V.auc(V.roc_points(curves, ["rep"]), ["rep"])

@@ -147,7 +147,7 @@ def tinn(hist: DataFrame, keys: Sequence[str], binsize: float = 7.8125) -> DataF
             i, j = int(el.argmin()), int(er.argmin())  # the two sides are independent
             if el[i] + er[j] < best[0]:
                 best = (el[i] + er[j], edges[left[i]], edges[right[j]])
-        out = {k: pa.array([v.as_py()]) for k, v in zip(keys, key, strict=True)}
+        out = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}
         return pa.table(out | {"tinn_n": pa.array([float(best[1])]), "tinn_m": pa.array([float(best[2])]), "tinn": pa.array([float(best[2] - best[1])])})
 
     kinds = dict(hist.dtypes)
