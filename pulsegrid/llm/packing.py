@@ -1,12 +1,14 @@
 """Packing documents into token sequences by bounded-space online best-fit.
 
 Texts are tokenised in tasks, an end id is added, and documents longer than a sequence are cut into whole sequences, the
-first piece taking the remainder.  Each packing task reads its pieces in a hash-random order and keeps a fixed number of
-open bins.  A bitset has a bit for every amount of free space for which a bin is open: the lowest set bit at or above
-the length of a piece is the best fit.  Without a fit a new bin opens; if too many are open, the fullest closes first.
+first piece taking the remainder.  Pieces are dealt to packing tasks by a hash; a task reads its pieces, the longest first,
+and keeps a fixed number of open bins.  A bitset has a bit for every amount of free space for which a bin is open: the
+lowest set bit at or above the length of a piece is the best fit.  Without a fit a new bin opens; if too many are open, the
+fullest closes first.
 
-Bins that are still open at the end of a task are pieces of the next round, which has fewer tasks, and so on until one
-task is left; what reaches it is bounded by the open bins of the tasks before it.  Whole sequences need no packing.
+At the end of a task all but its emptiest bins close, again the fullest first.  The rest are pieces of the next round, which
+has fewer tasks, and so on until one task is left; a task of any round reads a bounded number of pieces.  Whole sequences
+need no packing.
 
 Cases: a null text counts as empty: one end id.  Repeated rows are packed each for itself.  A null doc_id is carried
 along.  Order, task and bin numbers follow from the rows and their files, so a task that runs again packs the same way.
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut_lineage
 
-#: Pieces per packing task, open bins per task, and how many tasks' open bins meet in one task of the next round.
-TASK_PIECES, OPEN_BINS, FAN_IN = 60_000, 2_048, 16
+#: Pieces per packing task (about), open bins per task, bins left open at its end, and how many tasks meet in one task of
+#: the next round.
+TASK_PIECES, OPEN_BINS, LEFT_OPEN, FAN_IN = 16_384, 16_384, 1_024, 16
 
 #: The text of the vocabulary's one special token; inside texts the tokenizer reads it as that token.
 SPECIAL = "<|endoftext|>"
@@ -138,12 +141,13 @@ class BestFit:
             self.n_open += 1
         return number, self.most - space
 
-    def still_open(self) -> list[tuple[int, int]]:
-        """(number, tokens in it) of the open bins."""
-        return [(number, self.most - space) for space, numbers in enumerate(self.free) for number in numbers]
+    def still_open(self, left: int) -> list[tuple[int, int]]:
+        """(number, tokens in it) of the ``left`` emptiest open bins; the fullest have closed."""
+        every = [(number, self.most - space) for space, numbers in enumerate(self.free) for number in numbers]
+        return every[max(len(every) - left, 0) :]
 
 
-def _packed(most: int, open_bins: int, level: int):
+def _packed(most: int, open_bins: int, left_open: int, level: int):
     """item, length -> item, bin, offset of each; then bin, fill of the bins that stay open (item null)."""
 
     def run(batches):
@@ -156,13 +160,13 @@ def _packed(most: int, open_bins: int, level: int):
 
         for batch in batches:
             yield batch_of(batch.column("item"), [bins.put(n) for n in batch.column("length").to_pylist()])
-        if rest := bins.still_open():
+        if rest := bins.still_open(left_open):
             yield batch_of(pa.nulls(len(rest), pa.int64()), rest)
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, most: int = 2048, task_pieces: int = TASK_PIECES, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, most: int = 2048, task_pieces: int = TASK_PIECES, open_bins: int = OPEN_BINS, left_open: int = LEFT_OPEN) -> DataFrame:
     """pieces: item (long, unique, not negative), length (1 to most).  Returns item, sequence_id, offset.
 
     A bin's number holds its round, its task and a count; whole sequences get negative numbers.
@@ -171,8 +175,8 @@ def pack_pieces(pieces: DataFrame, most: int = 2048, task_pieces: int = TASK_PIE
     items = pieces.where(F.col("length") < most).select("item", "length")
     tasks, level, placed = max(1, -(-items.count() // task_pieces)), 0, None
     while True:
-        ordered = items.repartition(tasks, "item").sortWithinPartitions(F.xxhash64(F.lit(level), "item"), "item")
-        packed = cut_lineage(ordered.mapInArrow(_packed(most, open_bins, level), "item long, bin long, offset long"))
+        ordered = items.repartition(tasks, "item").sortWithinPartitions(F.desc("length"), "item")
+        packed = cut_lineage(ordered.mapInArrow(_packed(most, open_bins, left_open, level), "item long, bin long, offset long"))
         here = packed.where("item IS NOT NULL")
         if placed is None:
             placed = here
