@@ -92,14 +92,27 @@ def classes(spark, d):
     return rounded(H.heart_rate_classes(series, people, table, K))
 
 
-@query("v6_segments", None)
+# Segment k ends before the first beat that takes its sum above the limit; the recursion goes from end to end.
+SEGMENTS = """c AS (SELECT rec, beat, nn, row_number() OVER w AS p, sum(nn) OVER w AS clock FROM nn WINDOW w AS (PARTITION BY rec ORDER BY beat)),
+t AS (SELECT rec, ceil(max(clock) / 3e8) AS most, max(p) AS n FROM c GROUP BY 1 HAVING max(clock) > 3e8),
+s AS (SELECT rec, 0 AS segment, 0::BIGINT AS lo, 0.0::DOUBLE AS at_clock FROM t UNION ALL
+  SELECT e.rec, e.segment + 1, e.hi, c.clock FROM (SELECT rec, segment, CASE WHEN pe IS NULL THEN n WHEN pc - at_clock > 3e8 THEN greatest(pe - 1, lo + 1) ELSE pe END AS hi FROM
+    (SELECT s.rec, s.segment, s.lo, s.at_clock, t.n, t.most, min(c.p) FILTER (c.clock >= s.at_clock + 3e8) AS pe, min(c.clock) FILTER (c.clock >= s.at_clock + 3e8) AS pc
+     FROM s JOIN t ON s.rec = t.rec JOIN c ON c.rec = s.rec AND c.p > s.lo GROUP BY ALL) WHERE segment < most) e JOIN c ON c.rec = e.rec AND c.p = e.hi),
+g AS (SELECT a.rec, a.segment, a.lo, b.lo AS hi FROM s a JOIN s b ON a.rec = b.rec AND b.segment = a.segment + 1),
+parts AS (SELECT c.rec, c.beat, c.nn, CAST(g.segment AS INTEGER) AS segment FROM c JOIN g ON c.rec = g.rec AND c.p > g.lo AND c.p <= g.hi)"""
+
+
+@query("v6_segments", f"WITH RECURSIVE {REC}, {NN}, {SEGMENTS} SELECT rec, beat, round(nn, 4) AS nn, segment FROM parts")
 def segments(spark, d):
-    return H.segments(nn(spark, d), K, duration_s=300_000.0)
+    return rounded(H.segments(nn(spark, d), K, duration_s=300_000.0))
 
 
-@query("a8_segment_deviations", None)
+@query("a8_segment_deviations", f"""WITH RECURSIVE {REC}, {NN}, {SEGMENTS}, q AS (SELECT rec, segment, stddev_samp(nn) AS s, avg(nn) AS m FROM parts GROUP BY 1, 2)
+SELECT rec, round(avg(s), 2) AS sdnn_index, round(stddev_samp(m), 2) AS sdann FROM q GROUP BY 1""")
 def deviations(spark, d):
-    return rounded(H.segment_deviations(H.segments(nn(spark, d), K, duration_s=300_000.0), K))
+    out = H.segment_deviations(H.segments(nn(spark, d), K, duration_s=300_000.0), K)
+    return out.select("rec", F.round("sdnn_index", 2).alias("sdnn_index"), F.round("sdann", 2).alias("sdann"))
 
 
 @query("v10_tinn", None)
