@@ -197,38 +197,65 @@ class Model:
         return "\n".join(text for node, text in page.blocks if content[node] >= 0.5)
 
 
-def train(pages: list[str], rounds: int = 100, ridge: float = 0.02, rate: float = 0.15) -> Model:
+class Forest:
+    """The nodes of all labelled pages as arrays, so that messages pass through one level of all trees at once."""
+
+    def __init__(self, parents: list[list[int]], kinds: list[list[int]]):
+        at, parent, depth = 0, [], []
+        for own in parents:
+            for i, p in enumerate(own):
+                parent.append(at + p if i else -1)
+                depth.append(depth[at + p] + 1 if i else 0)
+            at += len(own)
+        self.parent, self.kinds = np.array(parent), np.concatenate([np.array(k) for k in kinds])
+        self.levels = [np.flatnonzero(np.array(depth) == d) for d in range(max(depth) + 1)]
+
+    def beliefs(self, own: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of each node, those without the parent's message, and the messages to the parents."""
+        e, up, sent = edges[self.kinds], own.copy(), np.zeros(len(own))
+        for nodes in self.levels[:0:-1]:
+            a, b = e[nodes], up[nodes]
+            sent[nodes] = a[:, 2] + np.logaddexp(0, a[:, 3] - a[:, 2] + b) - a[:, 0] - np.logaddexp(0, a[:, 1] - a[:, 0] + b)
+            np.add.at(up, self.parent[nodes], sent[nodes])
+        full = up.copy()
+        for nodes in self.levels[1:]:
+            a, b = e[nodes], full[self.parent[nodes]] - sent[nodes]
+            full[nodes] = up[nodes] + a[:, 1] + np.logaddexp(0, a[:, 3] - a[:, 1] + b) - a[:, 0] - np.logaddexp(0, a[:, 2] - a[:, 0] + b)
+        return full, up, sent
+
+
+def train(pages: list[str], rounds: int = 100, ridge: float = 0.02, rate: float = 0.45) -> Model:
     """Maximum-likelihood weights for labelled pages, by adaptive gradient steps on observed minus expected counts."""
-    parsed = []
     index: dict[str, int] = {}
+    parents, kinds, truth, rows = [], [], [], []
     for source in pages:
-        page, truth = Page(source), []
+        page, labels = Page(source), []
         for i, attrs in enumerate(page.attrs):
             m = LABEL.search(attrs)
-            truth.append(int(m[1]) if m else truth[page.parent[i]] if i else 0)
-        rows = [[index.setdefault(f, len(index)) for f in fs] for fs in (features(*t) for t in page.traits())]
-        parsed.append((page.parent, rows, [edge_kind(t) for t in page.tag], truth))
+            labels.append(int(m[1]) if m else labels[page.parent[i]] if i else 0)
+        rows += [[index.setdefault(f, len(index)) for f in features(*t)] for t in page.traits()]
+        parents.append(page.parent)
+        kinds.append([edge_kind(t) for t in page.tag])
+        truth += labels
+    forest, y = Forest(parents, kinds), np.array(truth)
+    flat, of_node = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    child = np.flatnonzero(forest.parent >= 0)
+    above, kind = forest.parent[child], forest.kinds[child]
+    seen = np.zeros((len(child), 4))
+    seen[np.arange(len(child)), 2 * y[above] + y[child]] = 1
     w, e = np.zeros(len(index)), np.zeros((2, 4))
-    seen_w, seen_e = np.full(len(w), 1e-8), np.full((2, 4), 1e-8)
+    all_w, all_e = np.full(len(w), 1e-8), np.full((2, 4), 1e-8)
     for _ in range(rounds):
-        gw, ge = -ridge * w, -ridge * e
-        edges = [tuple(x) for x in e.tolist()]
-        for parent, rows, kinds, truth in parsed:
-            own = [float(w[r].sum()) for r in rows]
-            full, up = beliefs(parent, own, [edges[k] for k in kinds])
-            for i, row in enumerate(rows):
-                gw[row] += truth[i] - 1 / (1 + exp(-max(min(full[i], 30), -30)))
-                if i:
-                    x, p, b = edges[kinds[i]], parent[i], up[i]
-                    message = x[2] + _soft(x[3] - x[2] + b) - x[0] - _soft(x[1] - x[0] + b)
-                    a = full[p] - message
-                    joint = np.exp(np.clip([x[0], x[1] + b, x[2] + a, x[3] + a + b], -60, 60))
-                    ge[kinds[i]] -= joint / joint.sum()
-                    ge[kinds[i], 2 * truth[p] + truth[i]] += 1
-        seen_w += gw * gw
-        seen_e += ge * ge
-        w += rate * gw / np.sqrt(seen_w) * 3
-        e += rate * ge / np.sqrt(seen_e) * 3
+        full, up, sent = forest.beliefs(np.bincount(of_node, w[flat], len(rows)), e)
+        gw = np.bincount(flat, (y - 1 / (1 + np.exp(-np.clip(full, -30, 30))))[of_node], len(w)) - ridge * w
+        x, a, b = e[kind], full[above] - sent[child], up[child]
+        joint = np.exp(np.clip(x + np.column_stack([0 * b, b, a, a + b]), -60, 60))
+        ge = -ridge * e
+        np.add.at(ge, kind, seen - joint / joint.sum(axis=1, keepdims=True))
+        all_w += gw * gw
+        all_e += ge * ge
+        w += rate * gw / np.sqrt(all_w)
+        e += rate * ge / np.sqrt(all_e)
     return Model({f: float(w[i]) for f, i in index.items()}, [tuple(x) for x in e.tolist()])
 
 

@@ -3,6 +3,7 @@ import itertools
 import math
 import re
 
+import numpy as np
 import pytest
 from pulsegrid.llm import extraction as X
 
@@ -21,6 +22,11 @@ def test_message_passing_is_exact():
         total += weight
         one = [a + weight * v for a, v in zip(one, y, strict=True)]
     full, _ = X.beliefs(parent, own, edge)
+    for kinds in ([0, 1, 0, 1, 1, 0],):
+        edges = np.array([edge[2], edge[1]])
+        lists, _ = X.beliefs(parent, own, [tuple(edges[k]) for k in kinds])
+        arrays, _, _ = X.Forest([parent, parent], [kinds, kinds]).beliefs(np.array(own * 2), edges)
+        assert arrays.tolist() == pytest.approx(lists * 2)
     assert [1 / (1 + math.exp(-b)) for b in full] == pytest.approx([a / total for a in one])
 
 
