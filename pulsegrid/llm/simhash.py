@@ -17,11 +17,12 @@ become tasks of their own, so the size of a task is bounded and nothing is left
 
 Cases: a null text counts as empty; its fingerprint is zero, which links like any other.  A text with fewer words than a
 shingle is one shingle.  Copies share a fingerprint and enter the index once.  A null doc_id is ignored where the
-smallest doc_id is taken.  An empty table gives no rows.  Columns beyond those named are ignored by ``near_groups``.
+smallest doc_id is taken; a group without any doc_id still keeps one document.  An empty table gives no rows.  Columns beyond those named are ignored by ``near_groups``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -60,15 +61,18 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """documents: doc_id, text.  Returns doc_id, fp (long with the bits of the fingerprint)."""
+def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42, digest: bool = False) -> DataFrame:
+    """documents: doc_id, text.  Returns doc_id, fp (long with the bits of the fingerprint), with ``digest`` also sha (SHA-256 of the text)."""
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(x or b"", shingle, seed) for x in (v.as_py() for v in batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            columns = {"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
+            if digest:
+                columns["sha"] = pa.array([hashlib.sha256(v.as_py() or b"").digest() for v in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long" + ", sha binary" * digest)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -251,23 +255,35 @@ def near_links(distinct: DataFrame, differ: int = 4, blocks: int = BLOCKS, cap:
     return ordered.mapInArrow(_search(differ), "u long, v long")
 
 
+def _members(own: DataFrame, least: Column, differ: int) -> DataFrame:
+    """own: fp and the columns of ``least``.  Returns fp, least (aggregated by fingerprint), root: one row per fingerprint."""
+    distinct = cut_lineage(own.groupBy("fp").agg(least.alias("least")))
+    roots = connected_components(near_links(distinct.select("fp"), differ))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(documents: DataFrame, shingle: int = 4, differ: int = 4, seed: int = 42) -> DataFrame:
     """documents: doc_id, text.  Returns one row per document: doc_id, fingerprint (16 hex digits), component_id."""
     own = cut_lineage(fingerprints(documents, shingle, seed))
-    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(near_links(distinct.select("fp"), differ))
-    members = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    members = cut_lineage(members)
+    members = cut_lineage(_members(own, F.min("doc_id"), differ))
     groups = members.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = members.join(groups, "root").select(F.col("fp").alias("f"), "component_id")
     return own.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(documents: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each group, with all columns; of rows that share it, the first by all columns."""
+def one_per_group(documents: DataFrame, shingle: int = 4, differ: int = 4, seed: int = 42) -> DataFrame:
+    """The document with the smallest doc_id of each group, with all columns; one with a null doc_id only if no other is there.
+
+    Of the group's texts that share this doc_id the one with the smallest SHA-256 stays; of rows that share both, the
+    first by all columns.  Equal texts are in one group, so (doc_id, digest) belongs to one group only.
+    """
     names = documents.columns
-    kept = near_groups(documents, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id").alias("__key"), F.col("doc_id").alias("__id"))
-    own = documents.select(F.struct(*names).alias("__doc"), F.xxhash64(F.col("doc_id").cast("long")).alias("__key"), F.col("doc_id").cast("long").alias("__id"))
-    stay = own.alias("a").join(kept.alias("b"), (F.col("a.__key") == F.col("b.__key")) & F.col("a.__id").eqNullSafe(F.col("b.__id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key", "__id").orderBy("__doc"))
-    return stay.withColumn("__n", first).where("__n = 1").select("__doc.*")
+    own = cut_lineage(fingerprints(documents, shingle, seed, digest=True))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
+    kept = _members(own, first, differ).groupBy("root").agg(F.min("least").alias("least"))
+    kept = kept.select(F.xxhash64("least.doc_id").alias("__key"), F.col("least.doc_id").alias("__id"), F.col("least.sha").alias("__sha"))
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    rows = documents.select(F.struct(*names).alias("__doc"), F.xxhash64(F.col("doc_id").cast("long")).alias("__key"), F.col("doc_id").cast("long").alias("__id"), sha.alias("__sha"))
+    stay = rows.alias("a").join(kept.alias("b"), (F.col("a.__key") == F.col("b.__key")) & (F.col("a.__sha") == F.col("b.__sha")) & F.col("a.__id").eqNullSafe(F.col("b.__id")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("__key", "__sha", "__id").orderBy("__doc"))
+    return stay.withColumn("__n", number).where("__n = 1").select("__doc.*")

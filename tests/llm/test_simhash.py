@@ -53,6 +53,34 @@ def test_edge_cases(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_groups(rows)})
 
 
+def test_null_and_repeated_ids_keep_one_document_of_each_group(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(7)]
+    a, b, c, d, e, f, g = texts
+    near = lambda t: t + " x"
+    rows = [
+        (None, a), (None, near(a)), (None, b), (None, b), (None, c), (30, near(c)),  # groups without an id, and with one
+        (1, d), (5, near(d)), (1, e), (9, e), (2, f), (2, near(f)), (2, g), (2, g),  # one id in two groups, twice
+    ]
+    groups = {}
+    for (_, text), (_, _, own) in zip(rows, brute_groups_in_order(rows), strict=True):
+        groups.setdefault(own, set()).add(text)
+    assert sorted(map(len, groups.values())) == [1, 1, 1, 2, 2, 2, 2]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.one_per_group(docs).collect()), key=repr)
+    assert len(kept) == 7
+    assert all(sum(text in members for _, text in kept) == 1 for members in groups.values())
+    ids = {t: [i for i, text in kept if text in (t, near(t))] for t in texts}
+    assert ids == {a: [None], b: [None], c: [30], d: [1], e: [1], f: [2], g: [2]}
+
+
+def brute_groups_in_order(rows):
+    """doc_id, text, number of the group, by row."""
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    own = {i: c for i, _, c in brute_groups(numbered)}
+    return [(d, t, own[i]) for i, (d, t) in enumerate(rows)]
+
+
 def test_large_nodes_are_cut_without_losing_links(spark):
     rng = random.Random(3)
     centre = rng.getrandbits(64)
