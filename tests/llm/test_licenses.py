@@ -1,3 +1,8 @@
+import textwrap
+from pathlib import Path
+
+import pytest
+
 from pulsegrid.llm import licenses
 
 
@@ -18,3 +23,33 @@ def test_equivalent_forms_have_one_digest(spark):
 
 def test_one_line_notices_hold_the_stem():
     assert all("licen" in text.lower() for _, text in licenses.KNOWN if "\n" not in text)
+
+
+def identified(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["license_id"] for r in licenses.scan_licenses(docs).orderBy("doc_id").collect()]
+
+
+def test_wrapping_and_titles_do_not_matter(spark):
+    mit, isc, zero = (licenses.KNOWN[i][1] for i in range(3))
+    one = " ".join(mit.split())
+    wrapped = [textwrap.fill(mit, w) for w in range(20, 140, 3)]
+    assert any(line.startswith("COPYRIGHT HOLDERS") for t in wrapped for line in t.split("\n"))
+    heads = ["MIT License\n\n", "The MIT License (MIT)\r\n", "Copyright (c) 2020 A\nCopyright 2021 by B. All rights reserved.\nAll rights reserved.\n", "MIT License\n\nCopyright © <year> <name>\n(c) 2019 C\n"]
+    assert identified(spark, [one, *wrapped, *(h + one for h in heads)]) == ["MIT"] * (1 + len(wrapped) + len(heads))
+    assert identified(spark, ["ISC License\n\n" + textwrap.fill(isc, 60), textwrap.fill(zero, 50)]) == ["ISC", "0BSD"]
+    others = ["MIT License", "Copyright holders pay.\n" + one, one.replace("COPYRIGHT HOLDERS ", ""), one + "\n(c) You must pay.", "MIT License with changes\n" + one, "Copyright (c) 2020 A"]
+    assert identified(spark, others) == [None] * len(others)
+
+
+FOLDER = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not FOLDER.is_dir(), reason="no licence texts on this machine")
+def test_whole_texts_of_common_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0"}
+    assert identified(spark, [(FOLDER / n).read_text() for n in names]) == list(names.values())
+    bsd = (FOLDER / "BSD").read_text()
+    bullets = bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("University", "copyright holder").replace("REGENTS AND", "COPYRIGHT HOLDERS AND").replace("REGENTS", "COPYRIGHT HOLDER")
+    two = bullets[: bullets.index("* Neither")] + bullets[bullets.index("THIS SOFTWARE") :]
+    assert identified(spark, [bullets, two]) == ["BSD-3-Clause", "BSD-2-Clause"]
