@@ -7,6 +7,9 @@ registered domain, which is shrunk to that of its suffix, which is shrunk to the
 level shrinks follows from how much the rates of that level differ beyond binomial noise.  A page is allowed when the
 lower posterior bound of its host's rate reaches ``min_good``.
 
+The suffix is the last label, or the last two when they are in ``SUFFIXES``; the registered domain has one label more.
+User names, ports and a closing dot do not count for either.  An IP address is its own domain and suffix.
+
 Cases: a null URL, or one without ``://``, has an empty host and path and is judged as the host ''.  Hosts without
 labelled pages get the mean of their domain (then suffix, then all pages).  Without any labelled page every rate is the
 prior ``no_data``.  Repeated rows are judged alike and all returned.  A null page_id matches no label.  Columns beyond
@@ -24,6 +27,23 @@ from .shared import ascii_lower
 
 Rule = tuple[str, str, str]
 
+#: Public suffixes of two labels, by top-level domain, and those of large hosters.  Others count as one label.
+SUFFIXES = [
+    f"{second}.{top}"
+    for top, seconds in {
+        "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi kiwi maori net org school",
+        "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "cn": "ac com edu gov net org", "tw": "com edu gov idv net org", "hk": "com edu gov idv net org",
+        "in": "ac co edu firm gen gov ind net nic org res", "id": "ac co go or sch web", "th": "ac co go in net or", "my": "com edu gov net org", "sg": "com edu gov net org per",
+        "ph": "com edu gov net org", "vn": "com edu gov net org", "pk": "com edu gov net org", "bd": "com edu gov net org", "lk": "com edu gov net org", "il": "ac co gov k12 muni net org",
+        "tr": "av bel com edu gen gov k12 net org web", "sa": "com edu gov net org", "eg": "com edu gov net org", "za": "ac co gov net org web", "ke": "ac co go ne or", "ng": "com edu gov net org",
+        "gh": "com edu gov org", "br": "art blog com edu eco gov ind inf jus leg mil net org", "ar": "com edu gob gov int net org", "mx": "com edu gob net org", "co": "com edu gov net org",
+        "pe": "com edu gob net org", "ve": "co com edu gob net org", "uy": "com edu gub net org", "ec": "com edu gob net org", "pl": "com edu gov net org", "ua": "co com edu gov in net org",
+        "pt": "com edu gov org", "es": "com edu gob nom org", "gr": "com edu gov net org", "cy": "ac com gov net org", "ro": "com org", "hu": "co org", "at": "ac co gv or", "rs": "ac co edu gov in org",
+        "io": "github gitlab", "com": "blogspot herokuapp wordpress appspot", "app": "netlify vercel web", "dev": "pages workers",
+    }.items()
+    for second in seconds.split()
+]
+
 
 def host_of(url: Column) -> Column:
     return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
@@ -43,6 +63,15 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
+def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+    name = F.regexp_replace(host, r"(?s)^.*@|:[0-9]*$", "")
+    name = F.when(name.endswith("."), F.regexp_replace(name, r"\.$", "")).otherwise(name)
+    own = name.rlike(r"(?s)^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])$")
+    last = [F.regexp_extract(name, r"(?s)(?:[^.]*\.){0,%d}[^.]*$" % more, 0) for more in range(3)]  # the last one, two and three labels
+    two = last[1].isin(SUFFIXES)
+    return F.when(own, name).when(two, last[2]).otherwise(last[1]), F.when(own, name).when(two, last[1]).otherwise(last[0])
+
+
 def _shrinkage(groups: DataFrame, good: str, seen: str) -> float:
     """Prior strength of one level, by moments: what the rates differ by beyond binomial noise.  One row to the driver."""
     p = F.col(good) / F.col(seen)
@@ -67,8 +96,8 @@ def host_reputation(pages: DataFrame, z: float = 1.645, no_data: float = 0.5) ->
         pages.groupBy("host")
         .agg(F.sum("good").alias("k"), F.count("good").alias("n"))
         .select("host", F.coalesce("k", F.lit(0)).alias("k"), "n")
-        .withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0))
-        .withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0))
+        .withColumn("domain", domain_and_suffix(F.col("host"))[0])
+        .withColumn("suffix", domain_and_suffix(F.col("host"))[1])
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("dk"), F.sum("n").alias("dn"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dk").alias("sk"), F.sum("dn").alias("sn"))

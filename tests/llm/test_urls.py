@@ -42,3 +42,22 @@ def test_reputation_shrinks_and_blocks_bad_hosts(spark):
     assert got["bad.a.org"]["verdict"] == "block"
     assert got["bad.a.org"]["good_rate"] < got["one.a.org"]["good_rate"] < got["new.a.org"]["good_rate"] < got["good.a.org"]["good_rate"]
     assert all(r["good_bound"] < r["good_rate"] for r in got.values())
+
+
+def test_registered_domains_below_suffixes_of_two_labels_ports_and_addresses(spark):
+    expected = {
+        "a.bbc.co.uk": ("bbc.co.uk", "co.uk"), "bbc.co.uk": ("bbc.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.github.io": ("y.github.io", "github.io"), "notco.uk": ("notco.uk", "uk"),
+        "www.example.com:8080": ("example.com", "com"), "u:p@www.example.com.:": ("example.com", "com"), "10.0.0.10:80": ("10.0.0.10", "10.0.0.10"), "[::1]:80": ("[::1]", "[::1]"), "com": ("com", "com"), "": ("", ""),
+    }
+    hosts = spark.createDataFrame([(h,) for h in expected], "host string")
+    assert {r[0]: (r[1], r[2]) for r in hosts.select("host", *urls.domain_and_suffix(hosts["host"])).collect()} == expected
+
+
+def test_a_domain_lends_its_rate_below_a_suffix_of_two_labels_and_to_ports(spark):
+    counts = {"www.good.co.uk": (60, 58), "www.bad.co.uk": (60, 2), "new.good.co.uk": (0, 0), "new.bad.co.uk": (0, 0), "fine.org": (60, 55), "fine.org:8080": (0, 0), "poor.org": (60, 3), "poor.org:8080": (0, 0)}
+    pages = [(h, i) for h, (n, _) in counts.items() for i in range(max(n, 1))]
+    rows = [(page, f"http://{h}/") for page, (h, _) in enumerate(pages)]
+    labels = [(page, int(i < counts[h][1])) for page, (h, i) in enumerate(pages) if counts[h][0]]
+    judged = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"))
+    rate = {r["host"]: r["good_rate"] for r in judged.collect()}
+    assert rate["new.good.co.uk"] > rate["new.bad.co.uk"] + 0.1 and rate["fine.org:8080"] > rate["poor.org:8080"] + 0.1
