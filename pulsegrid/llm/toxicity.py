@@ -1,23 +1,26 @@
 """Toxicity by weak supervision.
 
-1. Labelled training rows are sampled up to a bound for each class, and near copies among them are reduced to one row, so
-   that a much copied text doesn't make its words look toxic.
+1. Training rows are sampled up to a bound for each kind (toxic, other, without a label), and near copies among them are
+   reduced to one row, so that a much copied text doesn't make its words look toxic.
 2. Words and word beginnings that are significantly more frequent in toxic rows are the lexicon; it is counted by Spark
    over the sample, and its entries are binned by kind and log-odds.
 3. Voters give 1 (toxic), 0 (not) or abstain: one per bin of the lexicon, thresholds on how many and how dense hits are,
-   patterns of the text (capitals, exclamation marks, masked letters, symbols), and the label as one more, fallible voter.
-4. A generative label model estimates, by expectation maximisation, each voter's accuracies in both classes and the
-   correlations between voters that remain inside the classes; a voter's evidence is divided by one plus its positive
-   correlations, so voters that repeat each other don't count twice.  It gives posterior labels.
+   patterns of the text (capitals, exclamation marks, masked letters, symbols), and the label as one more, fallible voter,
+   which abstains on rows without a label.
+4. A generative label model starts from what the voters say and estimates, by expectation maximisation, each voter's
+   accuracies in both classes, the label's included, and the correlations between voters that remain inside the classes;
+   a voter's evidence is divided by one plus its positive correlations, so voters that repeat each other don't count
+   twice.  It gives posterior labels to all sampled rows, labelled or not.
 5. A linear (logistic) classifier on counts by bin and pattern measures is trained on the posterior labels and scores
    every whole text.
 
-Training rows are those whose crc32(doc_id as text) mod 3 is not 1.  Labels, language, source and doc_id are no inputs of
-a score.
+Training rows are those whose crc32(doc_id as text) mod 3 is not 1; no count, weight or word comes from the labels of the
+others.  Labels, language, source and doc_id are no inputs of a score.
 
-Cases: a null text counts as empty and gets a score like others.  Of repeated labels of a doc_id the largest counts; null
-labels count as none.  A row without doc_id is held out.  Without toxic or without other training rows all scores are
-``NO_MODEL``.  Repeated rows get the same score.  Columns beyond those named are ignored.
+Cases: a null text counts as empty and gets a score like others.  Texts of any length are read whole.  Of repeated labels
+of a doc_id the largest counts; null labels count as none.  A row without doc_id is held out.  Without toxic or without
+other training rows all scores are ``NO_MODEL``.  Repeated rows get the same score.  Empty tables give no rows.  Columns
+beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +38,10 @@ from pyspark.sql import functions as F
 
 from .shared import cut_lineage
 
-#: Training rows sampled of each class (about), and lexicon entries kept (at most): bounds of what reaches the driver.
-TOXIC_ROWS, OTHER_ROWS, LEXICON = 8_000, 16_000, 2_048
+#: Training rows sampled of each kind (about): the bound of what the model is fitted on.
+TOXIC_ROWS, OTHER_ROWS, UNLABELLED_ROWS = 8_000, 16_000, 4_000
 NO_MODEL = 0.0
+UNLABELLED = -1
 BINS = 6
 PREFIXES = range(4, 10)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -61,31 +65,41 @@ def near_key(text: str) -> int:
     return min(xxhash.xxh64_intdigest(p) for p in pairs) - 2**63
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> DataFrame:
-    """doc_id, text, toxic of the sampled training rows, one of each group of near copies of a class."""
+def training_sample(
+    documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS, unlabelled_rows: int = UNLABELLED_ROWS
+) -> tuple[DataFrame, dict[int, float]]:
+    """doc_id, text, toxic (-1: no label) of the sampled training rows, one of each group of near copies of a kind; and
+    how many training rows a sampled row of each kind stands for."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut_lineage(known)
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    most = {1: toxic_rows, 0: other_rows}
+    training = documents.where(~held_out(F.col("doc_id")))
+    n[UNLABELLED] = training.select("doc_id").count()
+    most = {1: toxic_rows, 0: other_rows, UNLABELLED: unlabelled_rows}
+    share = {kind: math.ceil(1e6 * min(1.0, most[kind] / rows)) if rows else 0 for kind, rows in n.items()}
     million = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
     chosen = F.lit(False)
-    for label, rows in n.items():
-        chosen = chosen | ((F.col("toxic") == label) & (million < math.ceil(1e6 * min(1.0, most[label] / rows))))
-    side = known.where(chosen)  # about toxic_rows + other_rows rows at most
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(side), "doc_id")
+    for label in (0, 1):
+        chosen = chosen | ((F.col("toxic") == label) & (million < share.get(label, 0)))
+    side = known.where(chosen | (million < share[UNLABELLED]))  # about toxic_rows + other_rows + unlabelled_rows rows at most
+    side = side.select(F.col("doc_id").alias("of"), "toxic", chosen.alias("chosen"))
+    rows = training.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(side), F.col("doc_id") == F.col("of"), "left")
+    rows = rows.where(F.col("chosen") | (F.col("of").isNull() & (million < share[UNLABELLED])))
 
     def keyed(batches):
         for batch in batches:
             keys = [near_key(x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, "near"])
 
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(keyed, "doc_id long, text string, toxic int, near long")
-    first = F.row_number().over(Window.partitionBy("near", "toxic").orderBy("doc_id"))
-    return cut_lineage(rows.withColumn("first", first).where("first = 1").select("doc_id", "text", "toxic"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("toxic", F.lit(UNLABELLED)).alias("toxic"))
+    rows = rows.mapInArrow(keyed, "doc_id long, text string, toxic int, near long")
+    first = F.row_number().over(Window.partitionBy("near", "toxic").orderBy("doc_id", "text"))
+    sample = cut_lineage(rows.withColumn("first", first).where("first = 1").select("doc_id", "text", "toxic"))
+    return sample, {kind: 1e6 / part for kind, part in share.items() if part}
 
 
-def mined_lexicon(sample: DataFrame, n_toxic: int, n_other: int, most: int = LEXICON) -> list[tuple[str, float]]:
-    """(token, log-odds) of tokens more frequent in toxic rows than chance among all tokens allows."""
+def mined_lexicon(sample: DataFrame, n_toxic: int, n_other: int) -> list[tuple[str, float]]:
+    """(token, log-odds) of tokens of labelled rows more frequent in toxic ones than chance among all tokens allows."""
 
     def counted(batches):
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -105,7 +119,7 @@ def mined_lexicon(sample: DataFrame, n_toxic: int, n_other: int, most: int = LEX
         if counts:
             yield sent()
 
-    tokens = sample.mapInArrow(counted, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 2")
+    tokens = sample.where(F.col("toxic") != UNLABELLED).mapInArrow(counted, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 2")
     tokens = cut_lineage(tokens)
     tested = tokens.count()
     a, b = F.col("pos"), F.col("neg")
@@ -114,7 +128,7 @@ def mined_lexicon(sample: DataFrame, n_toxic: int, n_other: int, most: int = LEX
     gain = 2 * (a * F.log(a / ((a + b) * part)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - part)))).otherwise(0))
     odds = F.log((a + 0.5) / (n_toxic - a + 0.5)) - F.log((b + 0.5) / (n_other - b + 0.5))
     kept = tokens.withColumns({"gain": gain, "odds": odds}).where((F.col("odds") > math.log(3)) & (F.col("gain") > 2 * math.log(max(tested, 2)) + 2))
-    return [(r["token"], r["odds"]) for r in kept.orderBy(F.desc("gain"), "token").limit(most).collect()]
+    return [(r["token"], r["odds"]) for r in kept.orderBy(F.desc("gain"), "token").collect()]  # words of the sampled toxic rows
 
 
 class Measures:
@@ -160,9 +174,8 @@ def features(m: np.ndarray, n_bins: int) -> np.ndarray:
     words, hits, distinct = m[:, n_bins], m[:, n_bins + 1], m[:, n_bins + 2]
     density = 100 * hits / np.maximum(words, 1)
     return np.column_stack([
-        np.log1p(np.minimum(m[:, :n_bins], 10)), np.minimum(m[:, :n_bins], 1), np.log1p(np.minimum(hits, 20)), np.log1p(np.minimum(distinct, 20)), hits > 0, distinct > 1,
-        np.log1p(np.minimum(density, 20)), np.minimum(density, 5),
-        np.minimum(np.log1p(words), 9) / 10, m[:, n_bins + 3], m[:, n_bins + 4] * 10, np.log1p(np.minimum(m[:, n_bins + 5], 20)), m[:, n_bins + 6], np.ones(len(m)),
+        np.log1p(m[:, :n_bins]), m[:, :n_bins] > 0, np.log1p(hits), np.log1p(distinct), hits > 0, distinct > 1, np.log1p(density), np.sqrt(density),
+        np.log1p(words) / 10, m[:, n_bins + 3], m[:, n_bins + 4] * 10, np.log1p(m[:, n_bins + 5]), m[:, n_bins + 6], np.ones(len(m)),
     ])
 
 
@@ -181,18 +194,32 @@ def votes(m: np.ndarray, n_bins: int) -> np.ndarray:
     return out
 
 
-def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior probability of label 1 from votes and (fallible) labels.
+#: Where the label model starts: a voter's chance to vote 1 in class 0 and in class 1; the label's chance to be right.
+START, LABEL_RIGHT = (0.05, 0.5), 0.9
+
+
+def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Posterior probability of label 1 from votes and (fallible) labels; gold is -1 where there is none.
 
     Each voter has a probability for each vote in either class; what correlation is left between two voters inside the
-    classes divides their evidence.  The labels are a voter too, trusted at first at 95 in 100.
+    classes divides their evidence.  All start from the same rates, the label as a better voter than others; those count
+    as ten rows, so the accuracies, the label's too, follow from the data.
     """
     v = np.column_stack([v, gold.astype(np.int8)])
     n, k = v.shape
     kinds = np.stack([v == a for a in (0, 1, -1)], axis=2).astype(float)  # rows, voters, votes
-    post = np.where(gold == 1, 0.95, 0.05)
-    prior = np.ones((k, 2, 3))
-    prior[-1] = [[0.95 * n / 10, 0.05 * n / 10, 1], [0.05 * n / 10, 0.95 * n / 10, 1]]
+    prior = np.empty((k, 2, 3))
+    for c, one in enumerate(START):
+        prior[:, c] = [1 - one, one, 0.1]
+    prior[-1] = [[LABEL_RIGHT, 1 - LABEL_RIGHT, 0.1], [1 - LABEL_RIGHT, LABEL_RIGHT, 0.1]]
+    chance = prior / prior.sum(axis=2, keepdims=True)
+    ratio = np.log(chance[:, 1] / chance[:, 0])
+    some = gold >= 0
+    share = min(max(float((gold[some] == 1).mean()) if some.any() else 0.5, 1e-4), 1 - 1e-4)
+    # At first the voters beside the label speak with one voice: the mean of their evidence.
+    logit = math.log(share / (1 - share)) + np.einsum("nkv,kv->n", kinds[:, :-1], ratio[:-1]) / math.sqrt(k) + kinds[:, -1] @ ratio[-1]
+    post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    prior *= 10
     signal = np.where(v == 1, 1.0, np.where(v == 0, -1.0, 0.0))
     for _ in range(rounds):
         both = np.stack([1 - post, post])
@@ -244,7 +271,7 @@ def linear_classifier(x: np.ndarray, soft: np.ndarray, weight: np.ndarray, ridge
 
 def fit(documents: DataFrame, labels: DataFrame, **bounds) -> tuple[list[tuple[str, float]], np.ndarray] | None:
     """The lexicon and the coefficients, or None without rows of both classes."""
-    sample = training_sample(documents, labels, **bounds)
+    sample, stands_for = training_sample(documents, labels, **bounds)
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
@@ -257,13 +284,11 @@ def fit(documents: DataFrame, labels: DataFrame, **bounds) -> tuple[list[tuple[s
             rows = [measures(x).tolist() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "toxic", "m"])
 
-    rows = sample.mapInArrow(measured, "doc_id long, toxic int, m array<double>").orderBy("doc_id", "toxic").toPandas()  # bounded by the sample
+    rows = sample.mapInArrow(measured, "doc_id long, toxic int, m array<double>").orderBy("doc_id", "toxic", "m").toPandas()  # bounded by the sample
     m, gold = np.array(rows["m"].tolist()).reshape(-1, width), rows["toxic"].to_numpy()
     posterior = label_model(votes(m, 2 * BINS), gold)
-    total = labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()
-    total = {r["toxic"]: r["count"] for r in total}
-    ratio = (total.get(0, 1) / max(total.get(1, 1), 1)) / (n[0] / n[1])  # rows of the other class stand for more
-    weight = np.where(gold == 1, 1.0, max(ratio, 1e-6))
+    # A row weighs as many rows as it stands for.
+    weight = np.array([stands_for[kind] for kind in gold.tolist()]) / stands_for[1]
     return lexicon, linear_classifier(features(m, 2 * BINS), posterior, weight)
 
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from pulsegrid.llm import toxicity
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +50,22 @@ def test_edge_cases(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
     none = toxicity.score_toxicity(docs, labels.limit(0)).collect()
     assert {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
+
+
+def test_held_out_labels_do_not_move_scores(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    other = l.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert other.where("toxic = 1").count() != l.where("toxic = 1").count()
+    assert sorted(toxicity.score_toxicity(d, l).collect()) == sorted(toxicity.score_toxicity(d, other).collect())
+
+
+def test_label_model_does_without_most_labels_and_moves_off_wrong_ones():
+    rng = np.random.default_rng(6)
+    y = (rng.random(6000) < 0.2).astype(int)
+    flip = lambda p: np.where(rng.random(6000) < p, y, 1 - y)
+    votes = np.column_stack([flip(0.95), flip(0.93), flip(0.9), flip(0.85)]).astype(np.int8)
+    gold = np.where(rng.random(6000) < 0.2, np.where(rng.random(6000) < 0.85, y, 1 - y), -1)
+    post = toxicity.label_model(votes, gold)
+    assert ((post > 0.5) == y)[gold < 0].mean() > 0.96
+    wrong = (gold >= 0) & (gold != y)
+    assert ((post > 0.5) == y)[wrong].mean() > 0.6
