@@ -1,26 +1,25 @@
 """Packing documents into token sequences by bounded-space online best-fit.
 
 Texts are tokenised in tasks, an end id is added, and documents longer than a sequence are cut into whole sequences, the
-first piece taking the remainder.  Pieces are dealt to packing tasks by a hash; a task reads its pieces, the longest first,
-and keeps a fixed number of open bins.  A bitset has a bit for every amount of free space for which a bin is open: the
-lowest set bit at or above the length of a piece is the best fit.  Without a fit a new bin opens; if too many are open, the
-fullest closes first.
+first piece taking the remainder.  Pieces are dealt to packing tasks by a hash; a task takes its pieces online, in the
+order of the documents whatever their lengths, and keeps a fixed number of open bins, far fewer than it has pieces.  A
+bitset has a bit for every amount of free space for which a bin is open: the lowest set bit at or above the length of a
+piece is the best fit.  Without a fit a new bin opens; if too many are open, the fullest closes first.
 
-At the end of a task all but its emptiest bins close, again the fullest first.  The rest are pieces of the next round, which
-has fewer tasks, and so on until one task is left; a task of any round reads a bounded number of pieces.  Whole sequences
-need no packing.
+The bins still open at the end of a task are pieces of the next round, which has fewer tasks, and so on until one task is
+left; a task of any round reads a bounded number of pieces.  Whole sequences need no packing.
 
-Cases: a null text counts as empty: one end id.  Repeated rows are packed each for itself.  A null doc_id is carried
-along.  Order, task and bin numbers follow from the rows and their files, so a task that runs again packs the same way.
+Cases: a null text counts as empty: one end id.  Texts of any length are tokenised whole.  Repeated rows are packed each
+for itself.  A null doc_id is carried along.  Order, task and bin numbers follow from the rows and their files, so a task that runs again packs the same way.
 An empty table gives no rows.  Columns beyond those named are ignored.
 """
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,41 +27,36 @@ from pyspark.sql import functions as F
 
 from .shared import cut_lineage
 
-#: Pieces per packing task (about), open bins per task, bins left open at its end, and how many tasks meet in one task of
-#: the next round.
-TASK_PIECES, OPEN_BINS, LEFT_OPEN, FAN_IN = 16_384, 16_384, 1_024, 16
-
-#: The text of the vocabulary's one special token; inside texts the tokenizer reads it as that token.
-SPECIAL = "<|endoftext|>"
+#: Pieces per packing task (about), open bins per task, and how many tasks meet in one task of the next round.
+TASK_PIECES, OPEN_BINS, FAN_IN = 65_536, 1_024, 16
 
 #: White space with the run that follows: a boundary before white space is always a boundary of tokens.
 SEGMENT = re.compile(r"\s*\S+|\s+")
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes, the same as the JSON tokenizer gives.
+    """Token ids of a text as little-endian unsigned 32-bit bytes, by the tokenizer of a JSON file.
 
-    The vocabulary is read from the file of ranks that lies beside it.  Segments repeat, so their ids are remembered.
+    Segments repeat, so their ids are remembered; the tokenizer's own special tokens inside a text stay one token each.
     """
 
-    MOST, LONGEST = 300_000, 64
+    MOST, LONGEST = 600_000, 64
 
-    def __init__(self, ranks_path: str, pattern: str, special_id: int | None):
-        import tiktoken
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.special = None if special_id is None else special_id.to_bytes(4, "little")
+        self.tokenizer = Tokenizer.from_file(path)
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.known = _Known(self.ids)
 
     def ids(self, segment: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.encode(segment))
+        return np.array(self.tokenizer.encode(segment, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.special is not None and SPECIAL in text:
-            return self.special.join(map(self.plain, text.split(SPECIAL)))
-        return self.plain(text)
+        if self.special is None or not self.special.search(text):
+            return self.plain(text)
+        return b"".join(self.ids(x) if i % 2 else self.plain(x) for i, x in enumerate(self.special.split(text)))
 
     def plain(self, text: str) -> bytes:
         if len(self.known) > self.MOST:
@@ -88,11 +82,11 @@ def cut_lengths(n: int, most: int) -> list[int]:
     return ([first] if first else []) + [most] * (n // most)
 
 
-def tokenized_pieces(documents: DataFrame, tokenizer: dict, most: int = 2048, end_id: int = 0) -> DataFrame:
-    """documents: doc_id, text.  tokenizer: ranks_path, pattern, special_id.  Returns doc_id, piece, start, length, ids_crc32."""
+def tokenized_pieces(documents: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0) -> DataFrame:
+    """documents: doc_id, text.  tokenizer: path of a JSON vocabulary.  Returns doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
-        encoder, end = Encoder(**tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -141,13 +135,12 @@ class BestFit:
             self.n_open += 1
         return number, self.most - space
 
-    def still_open(self, left: int) -> list[tuple[int, int]]:
-        """(number, tokens in it) of the ``left`` emptiest open bins; the fullest have closed."""
-        every = [(number, self.most - space) for space, numbers in enumerate(self.free) for number in numbers]
-        return every[max(len(every) - left, 0) :]
+    def still_open(self) -> list[tuple[int, int]]:
+        """(number, tokens in it) of the open bins."""
+        return [(number, self.most - space) for space, numbers in enumerate(self.free) for number in numbers]
 
 
-def _packed(most: int, open_bins: int, left_open: int, level: int):
+def _packed(most: int, open_bins: int, level: int):
     """item, length -> item, bin, offset of each; then bin, fill of the bins that stay open (item null)."""
 
     def run(batches):
@@ -160,13 +153,13 @@ def _packed(most: int, open_bins: int, left_open: int, level: int):
 
         for batch in batches:
             yield batch_of(batch.column("item"), [bins.put(n) for n in batch.column("length").to_pylist()])
-        if rest := bins.still_open(left_open):
+        if rest := bins.still_open():
             yield batch_of(pa.nulls(len(rest), pa.int64()), rest)
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, most: int = 2048, task_pieces: int = TASK_PIECES, open_bins: int = OPEN_BINS, left_open: int = LEFT_OPEN) -> DataFrame:
+def pack_pieces(pieces: DataFrame, most: int = 2048, task_pieces: int = TASK_PIECES, open_bins: int = OPEN_BINS) -> DataFrame:
     """pieces: item (long, unique, not negative), length (1 to most).  Returns item, sequence_id, offset.
 
     A bin's number holds its round, its task and a count; whole sequences get negative numbers.
@@ -175,8 +168,8 @@ def pack_pieces(pieces: DataFrame, most: int = 2048, task_pieces: int = TASK_PIE
     items = pieces.where(F.col("length") < most).select("item", "length")
     tasks, level, placed = max(1, -(-items.count() // task_pieces)), 0, None
     while True:
-        ordered = items.repartition(tasks, "item").sortWithinPartitions(F.desc("length"), "item")
-        packed = cut_lineage(ordered.mapInArrow(_packed(most, open_bins, left_open, level), "item long, bin long, offset long"))
+        ordered = items.repartition(tasks, "item").sortWithinPartitions("item")
+        packed = cut_lineage(ordered.mapInArrow(_packed(most, open_bins, level), "item long, bin long, offset long"))
         here = packed.where("item IS NOT NULL")
         if placed is None:
             placed = here
@@ -191,7 +184,7 @@ def pack_pieces(pieces: DataFrame, most: int = 2048, task_pieces: int = TASK_PIE
         tasks, level = -(-tasks // FAN_IN), level + 1
 
 
-def pack_documents(documents: DataFrame, tokenizer: dict, most: int = 2048, end_id: int = 0, **options) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, **options) -> DataFrame:
     """Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
     pieces = cut_lineage(tokenized_pieces(documents, tokenizer, most, end_id).withColumn("item", F.monotonically_increasing_id()))
     placed = pack_pieces(pieces.select("item", "length"), most, **options).withColumnRenamed("item", "i")

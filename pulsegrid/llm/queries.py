@@ -17,11 +17,11 @@ def op1_topk(spark, sf_dir):
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-def byte_bpe() -> dict:
-    """The byte-level BPE vocabulary, by the paths of the installed vocabulary files."""
+def byte_bpe() -> str:
+    """Path of the byte-level BPE vocabulary."""
     import public_tokenizers
 
-    return {"ranks_path": str(public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN, "special_id": 50256}
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_packing(spark, sf_dir):

@@ -11,7 +11,7 @@ from pulsegrid.llm.queries import byte_bpe
 from tokenizers import Tokenizer
 
 JSON = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-ENCODER = packing.Encoder(**byte_bpe())
+ENCODER = packing.Encoder(byte_bpe())
 
 
 def ids_of(text):
@@ -54,10 +54,10 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = packing.pack_documents(docs, byte_bpe()).collect()
     n = check(rows, [(r["doc_id"], r["text"]) for r in docs.collect()], 2048)
-    assert n <= 1.005 * sum(r["length"] for r in rows) / 2048 + 1
+    assert n <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1  # online: the order of arrival is taken as it is
 
 
-@pytest.mark.parametrize("options", [{}, {"task_pieces": 20, "open_bins": 3, "left_open": 2}])
+@pytest.mark.parametrize("options", [{}, {"task_pieces": 20, "open_bins": 3}])
 def test_edge_cases_and_rounds(spark, options):
     rows = [(1, None, 1), (2, "", 1), (3, "a " * 70, 1), (3, "a " * 70, 1), (None, "x", 2)] + [(10 + i, "word " * (i % 37), i) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item int")
@@ -66,10 +66,14 @@ def test_edge_cases_and_rounds(spark, options):
     assert packing.pack_documents(docs.limit(0), byte_bpe()).count() == 0
 
 
+def test_a_very_long_text(spark):
+    docs = [(1, "lorem ipsum. " * 100_000), (2, "x")]
+    check(packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), byte_bpe()).collect(), docs, 2048)
+
+
 def test_best_fit_and_the_fullest_closes_first():
     bins = packing.BestFit(10, 2)
     assert [bins.put(n) for n in (7, 6, 3, 4, 9, 8, 1, 2)] == [(0, 0), (1, 0), (0, 7), (1, 6), (2, 0), (3, 0), (2, 9), (3, 8)]
     bins = packing.BestFit(10, 2)
     assert [bins.put(n) for n in (7, 6, 5, 4)] == [(0, 0), (1, 0), (2, 0), (1, 6)]  # bin 0, the fullest, was closed
-    assert bins.still_open(5) == [(2, 5)]
-    assert bins.still_open(0) == []
+    assert bins.still_open() == [(2, 5)]
