@@ -11,7 +11,7 @@ What is kept of a source is its number of whole epochs and its cut key.  Documen
 shuffled and one source with most of the rows is spread over many range partitions.
 
 Cases: a null text has size 0, and a document of size 0 is taken in whole epochs only.  A null source is a source of its
-own, after all others.  Repeated rows (same doc_id, size and source) share one key: if the cut falls among them, each
+own, after all others.  Texts of any length are counted whole.  Repeated rows (same doc_id, size and source) share one key: if the cut falls among them, each
 gives the same number of words, rounded down.  A null doc_id is a key like others.  An empty table gives no rows.
 Columns beyond those named are ignored by ``mix_sources`` and kept by ``mixed_documents``.
 """
@@ -134,15 +134,26 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3),
     there, is that of the text in the row.
     """
     names = documents.columns
-    own = documents.withColumns({"__doc": F.struct(*names)})
-    sized = with_sizes(own.select("doc_id", "text", "source", "__doc"), seed)
     narrow, cuts, n = _plan(with_sizes(documents.select("doc_id", "text", "source"), seed), weights, most_epochs)
-    taken = _taken(_joined(sized, cuts, n))
-    times = F.col("epochs") + F.when((F.col("last_words") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
-    rows = taken.withColumn("times", times).withColumn("cut", (F.col("last_words") > 0) & (F.col("last_words") < F.col("size")))
-    whole = rows.where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("__doc.*")
+    # The names of the documents' own columns stay inside the struct.
+    doc = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"))
+    keyed = doc.select("doc", F.col("doc.source").alias("source"), F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), F.xxhash64(F.lit(seed), F.col("doc.doc_id")).alias("key"))
+    joined = _joined(keyed, cuts, n)
+    place = F.struct(F.col("key").alias("a"), F.col("doc_id").isNotNull().alias("b"), F.coalesce("doc_id", F.lit(-(2**63))).alias("c"))
+    cut = F.struct(F.col("cut_key").alias("a"), F.col("cut_doc").isNotNull().alias("b"), F.coalesce("cut_doc", F.lit(-(2**63))).alias("c"))
+    at_cut = F.col("cut_key").isNotNull() & (place == cut)
+    # Words are counted again only where the cut falls on this doc_id.
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    words = F.when(F.col("cut_key").isNull(), 0).when(place < cut, -1).when(at_cut & (size < F.col("cut_size")), -1).when(at_cut & (size == F.col("cut_size")), F.col("cut_words")).otherwise(0)
+    rows = joined.withColumn("words", words).withColumn("full", ((F.col("words") < 0) | (at_cut & (F.col("words") == F.col("cut_size")))) & F.coalesce("text", F.lit("")).rlike(WORD))
     lead = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.array_join(F.slice(lead, F.lit(1), F.col("last_words").cast("int")), "")
-    cut = rows.where("cut").select("__doc.*", text.alias("__cut"))
-    cut = cut.select(*(F.col("__cut").alias(c) if c == "text" else F.length("__cut").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names))
-    return whole.unionByName(cut)
+    first_words = F.array_join(F.slice(lead, F.lit(1), F.col("words").cast("int")), "")
+    part = F.when((F.col("words") > 0) & ~F.col("full"), F.array(first_words)).otherwise(F.array().cast("array<string>"))
+    times = (F.col("epochs") + F.col("full").cast("int")).cast("int")
+    taken = rows.select("doc", F.explode(F.concat(F.array_repeat(F.lit(None).cast("string"), times), part)).alias("part"))
+    own = lambda c: F.col(f"doc.`{c}`")
+    return taken.select(*(
+        (F.when(F.col("part").isNull(), own(c)).otherwise(F.col("part")) if c == "text"
+         else F.when(F.col("part").isNull(), own(c)).otherwise(F.length("part").cast(documents.schema[c].dataType)) if c == "n_chars" else own(c)).alias(c)
+        for c in names
+    ))

@@ -15,9 +15,15 @@ A node passes on one link per fingerprint (its union-find tree), not its pairs.
 fingerprints is cut along the Gray order into chunks, and the pairs of chunks whose patterns differ in at most d bits
 become tasks of their own, so the size of a task is bounded and nothing is left out.
 
+``near_groups`` links fingerprints of word shingles.  Those are far apart (ten bits and more) for texts with a few changed
+words, so ``one_per_group``, which is to find such texts, takes fingerprints of the distinct words, weighted by their
+inverse document frequency over the whole corpus, and the same index.
+
 Cases: a null text counts as empty; its fingerprint is zero, which links like any other.  A text with fewer words than a
-shingle is one shingle.  Copies share a fingerprint and enter the index once.  A null doc_id is ignored where the
-smallest doc_id is taken; a group without any doc_id still keeps one document.  An empty table gives no rows.  Columns beyond those named are ignored by ``near_groups``.
+shingle is one shingle.  Texts of any length are read whole.  Copies share a fingerprint and enter the index once.  A
+null doc_id, or one that is no number, is ignored where the smallest doc_id is taken; a group without any doc_id still
+keeps one document.  An empty table gives no rows.  Columns beyond those named are ignored by ``near_groups``, and kept by
+``one_per_group``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut_lineage
+from .shared import cut_lineage, spread_join
 
 NODE_CAP = 65_536
 LEAF = 64
@@ -61,18 +67,68 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42, digest: bool = False) -> DataFrame:
-    """documents: doc_id, text.  Returns doc_id, fp (long with the bits of the fingerprint), with ``digest`` also sha (SHA-256 of the text)."""
+def _word_hashes(text: bytes, seed: int, known: dict[bytes, int]) -> np.ndarray:
+    """XXH64 of the distinct words of a UTF-8 text, in no order."""
+    words = set(text.lower().split())
+    if len(known) > 1_000_000:
+        known.clear()
+    for w in words.difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, seed)
+    return np.fromiter((known[w] for w in words), np.uint64, len(words))
+
+
+def word_weights(documents: DataFrame, seed: int = 42, bits: int = 18) -> np.ndarray:
+    """Logarithmic inverse document frequency of words by the leading bits of their hash, counted over all documents.
+
+    The table has 2**bits entries, whatever the corpus; words that share an entry share their weight.
+    """
+
+    def counted(batches):
+        rows, known = np.zeros(2**bits + 1, np.int64), {}
+        for batch in batches:
+            rows[-1] += batch.num_rows
+            for text in batch.column("text"):
+                rows[np.unique(_word_hashes(text.as_py() or b"", seed, known) >> np.uint64(64 - bits)).astype(np.int64)] += 1
+        at = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows[at])], ["entry", "docs"])
+
+    total = documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(counted, "entry long, docs long").groupBy("entry").agg(F.sum("docs").alias("docs"))
+    found = np.ones(2**bits + 1)
+    for entry, docs in total.toPandas().itertuples(index=False):  # 2**bits + 1 rows at most
+        found[entry] = docs
+    return np.log1p(found[-1] / found[:-1]).astype(np.float32)
+
+
+def word_fingerprint(text: bytes, weights: np.ndarray, seed: int = 42, known: dict[bytes, int] | None = None) -> int:
+    """Unsigned SimHash of the distinct words of a UTF-8 text: bits that are set in more than half of the words' weight."""
+    hashes = _word_hashes(text, seed, {} if known is None else known)
+    if not len(hashes):
+        return 0
+    hashes.sort()  # sums of floats depend on the order
+    weight = weights[(hashes >> np.uint64(64 - len(weights).bit_length() + 1)).astype(np.int64)]
+    counts = np.zeros(64)
+    for at in range(0, len(hashes), 50_000):
+        counts += weight[at : at + 50_000] @ np.unpackbits(hashes[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+    return int(np.packbits(2 * counts > weight.sum(dtype=np.float64), bitorder="little").view("<u8")[0])
+
+
+def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42, digest: bool = False, weights: np.ndarray | None = None) -> DataFrame:
+    """documents: doc_id, text.  Returns doc_id, fp (long with the bits of the fingerprint), with ``digest`` also sha (SHA-256 of the text).
+
+    Fingerprints are those of word shingles, or with ``weights`` of weighted words.
+    """
 
     def run(batches):
+        known: dict[bytes, int] = {}
         for batch in batches:
-            fps = np.fromiter((fingerprint(x or b"", shingle, seed) for x in (v.as_py() for v in batch.column("text"))), np.uint64, batch.num_rows)
-            columns = {"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))}
+            texts = (v.as_py() or b"" for v in batch.column("text"))
+            fps = [fingerprint(x, shingle, seed) if weights is None else word_fingerprint(x, weights, seed, known) for x in texts]
+            columns = {"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
             if digest:
                 columns["sha"] = pa.array([hashlib.sha256(v.as_py() or b"").digest() for v in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long" + ", sha binary" * digest)
+    return documents.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long" + ", sha binary" * digest)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -255,35 +311,42 @@ def near_links(distinct: DataFrame, differ: int = 4, blocks: int = BLOCKS, cap:
     return ordered.mapInArrow(_search(differ), "u long, v long")
 
 
-def _members(own: DataFrame, least: Column, differ: int) -> DataFrame:
-    """own: fp and the columns of ``least``.  Returns fp, least (aggregated by fingerprint), root: one row per fingerprint."""
-    distinct = cut_lineage(own.groupBy("fp").agg(least.alias("least")))
-    roots = connected_components(near_links(distinct.select("fp"), differ))
-    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _members(own: DataFrame, least: Column, differ: int, blocks: int = BLOCKS) -> DataFrame:
+    """own: fp and the columns of ``least``.  Returns fp, n (rows), least (aggregated by fingerprint), root: one row per fingerprint.
+
+    root is null for a fingerprint without links.
+    """
+    distinct = cut_lineage(own.groupBy("fp").agg(F.count("*").alias("n"), least.alias("least")))
+    roots = connected_components(near_links(distinct.select("fp"), differ, blocks))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", "root")
 
 
 def near_groups(documents: DataFrame, shingle: int = 4, differ: int = 4, seed: int = 42) -> DataFrame:
     """documents: doc_id, text.  Returns one row per document: doc_id, fingerprint (16 hex digits), component_id."""
     own = cut_lineage(fingerprints(documents, shingle, seed))
     members = cut_lineage(_members(own, F.min("doc_id"), differ))
-    groups = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = members.join(groups, "root").select(F.col("fp").alias("f"), "component_id")
-    return own.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = members.where("root IS NOT NULL")
+    groups = linked.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
+    of_fp = spread_join(linked.withColumnRenamed("n", "rows"), groups, ["root"]).select("fp", F.col("rows").alias("n"), "component_id")
+    of_fp = cut_lineage(of_fp.unionByName(members.where("root IS NULL").select("fp", "n", F.col("least").alias("component_id"))))
+    return spread_join(own, of_fp, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(documents: DataFrame, shingle: int = 4, differ: int = 4, seed: int = 42) -> DataFrame:
+def one_per_group(documents: DataFrame, differ: int = 6, seed: int = 42, blocks: int = 9) -> DataFrame:
     """The document with the smallest doc_id of each group, with all columns; one with a null doc_id only if no other is there.
 
-    Of the group's texts that share this doc_id the one with the smallest SHA-256 stays; of rows that share both, the
-    first by all columns.  Equal texts are in one group, so (doc_id, digest) belongs to one group only.
+    Fingerprints are those of the weighted words (``word_weights``), which a change of few words moves by few bits.  Of
+    the group's texts that share the doc_id the one with the smallest SHA-256 stays; of rows that share both, the first by
+    all columns.  Equal texts are in one group, so (doc_id, digest) belongs to one group only.
     """
-    names = documents.columns
-    own = cut_lineage(fingerprints(documents, shingle, seed, digest=True))
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    own = cut_lineage(fingerprints(documents, seed=seed, digest=True, weights=word_weights(documents, seed)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
-    kept = _members(own, first, differ).groupBy("root").agg(F.min("least").alias("least"))
-    kept = kept.select(F.xxhash64("least.doc_id").alias("__key"), F.col("least.doc_id").alias("__id"), F.col("least.sha").alias("__sha"))
+    kept = _members(own, first, differ, blocks).groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    key = lambda doc, sha: F.sha2(F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("-")), F.hex(sha)), 256).alias("__key")
     sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    rows = documents.select(F.struct(*names).alias("__doc"), F.xxhash64(F.col("doc_id").cast("long")).alias("__key"), F.col("doc_id").cast("long").alias("__id"), sha.alias("__sha"))
-    stay = rows.alias("a").join(kept.alias("b"), (F.col("a.__key") == F.col("b.__key")) & (F.col("a.__sha") == F.col("b.__sha")) & F.col("a.__id").eqNullSafe(F.col("b.__id")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("__key", "__sha", "__id").orderBy("__doc"))
+    rows = documents.select(F.struct(*names).alias("__doc"), key(F.col("doc_id").try_cast("long"), sha))
+    # One shuffle of the texts: the join's key puts the window's rows together, too.
+    stay = rows.join(kept.select(key(F.col("least.doc_id"), F.col("least.sha"))), "__key", "left_semi")
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("__doc"))
     return stay.withColumn("__n", number).where("__n = 1").select("__doc.*")

@@ -1,6 +1,7 @@
 import hashlib
 
-from pulsegrid.llm import exact_dedup
+from pulsegrid.llm import exact_dedup, shared
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, key int, kept string"
@@ -34,18 +35,43 @@ def test_edge_cases(spark):
     assert exact_dedup.dedup_classes(docs.limit(0)).count() == 0
     kept = exact_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    want = [r for r in brute(ROWS) if ", True, " in r]
-    assert kept.count() == len(want)
+    assert sorted(map(repr, kept.collect())) == sorted(repr(Row(doc_id=d, text=t, key=k, kept=x)) for d, t, k, x in [ROWS[1], ROWS[3], ROWS[6], ROWS[7], ROWS[8], ROWS[10], ROWS[11]])
+    assert exact_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_is_what_the_classes_say(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", 20_000)
+    want = {r["doc_id"] for r in exact_dedup.dedup_classes(docs).where("kept").collect()}
+    kept = exact_dedup.keep_one(docs.repartition(7), capacity=10).collect()
+    assert {r["doc_id"] for r in kept} == want and len(kept) == len(want)
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    assert all(texts[r["doc_id"]] == r for r in kept)
+
+
+def test_the_index_is_kept_in_files(spark, tmp_path):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    exact_dedup.write_index(docs, str(tmp_path / "index"), capacity=2)
+    index = exact_dedup.read_index(spark, str(tmp_path / "index"))
+    assert index.agg(F.sum("group_size")).first()[0] == len(ROWS)
+    assert spark.read.parquet(str(tmp_path / "index" / "directory")).agg(F.sum("keys")).first()[0] == len(ROWS)
+
+
+def test_hot_groups_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    rows = [(i % 3 if i % 2 else None, "hot text") for i in range(200)] + [(None, "no id")] * 50 + [(i, f"t {i}") for i in range(30)]
+    assert result(exact_dedup.dedup_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
 def test_buckets_split_and_cover_all_slots(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key")).unionByName(spark.range(500).select(F.lit(7).cast("long").alias("key")))
     buckets = exact_dedup.directory(keys, capacity=100, max_depth=8)
-    assert sum(2 ** (8 - d) for _, d in buckets) == 256
-    slots = sorted(s for p, d in buckets for s in range(p << 8 - d, (p + 1) << 8 - d))
+    assert sum(2 ** (8 - d) for _, d, _ in buckets) == 256
+    slots = sorted(s for p, d, _ in buckets for s in range(p << 8 - d, (p + 1) << 8 - d))
     assert slots == list(range(256))
-    assert max(d for _, d in buckets) == 8  # the hot key's bucket cannot split further
-    assert exact_dedup.directory(keys.limit(0)) == [(0, 0)]
+    assert max(d for _, d, _ in buckets) == 8  # the hot key's bucket cannot split further
+    assert exact_dedup.directory(keys.limit(0)) == [(0, 0, 0)]
+    assert sum(n for *_, n in buckets) == 3500
 
 
 def test_many_buckets_and_flushes_give_the_same(spark, monkeypatch):
