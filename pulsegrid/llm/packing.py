@@ -48,15 +48,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.known = _Known(self.ids)
-
-    def ids(self, segment: str) -> bytes:
-        return np.array(self.tokenizer.encode(segment, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known = _Known(self.tokenizer)
 
     def __call__(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
             return self.plain(text)
-        return b"".join(self.ids(x) if i % 2 else self.plain(x) for i, x in enumerate(self.special.split(text)))
+        return b"".join(ids_of(self.tokenizer, x) if i % 2 else self.plain(x) for i, x in enumerate(self.special.split(text)))
 
     def plain(self, text: str) -> bytes:
         if len(self.known) > self.MOST:
@@ -64,13 +61,19 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, SEGMENT.findall(text)))
 
 
+def ids_of(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class _Known(dict):
-    def __init__(self, ids):
+    """Ids by segment.  It doesn't point back to the encoder, so a task's vocabulary is freed at the task's end."""
+
+    def __init__(self, tokenizer):
         super().__init__()
-        self.ids = ids
+        self.tokenizer = tokenizer
 
     def __missing__(self, segment: str) -> bytes:
-        found = self.ids(segment)
+        found = ids_of(self.tokenizer, segment)
         if len(segment) <= Encoder.LONGEST:
             self[segment] = found
         return found
