@@ -10,10 +10,10 @@ Labelled pages are HTML whose elements may carry ``data-content="1"`` or ``"0"``
 ``labelled_pages`` builds a set of them by combining usual layouts; pass others to train on your own.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by newlines.
-Line breaks end a block.  Contents of scripts, styles, templates and form controls are not text.
+Line breaks and rules end a block.  Contents of scripts, styles, templates and form controls are not text.
 
 Cases: null html counts as empty and gives ''.  Malformed pages (unclosed or stray tags, cut ends) are parsed with
-implied end tags.  Whole pages are read, whatever their length.  Repeated rows are all returned.  Columns beyond those
+implied end tags, in time proportional to their length.  Whole pages are read, whatever their length.  Repeated rows are all returned.  Columns beyond those
 named are ignored.
 """
 
@@ -34,13 +34,17 @@ BLOCKS = frozenset(
     "html head body main article section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th"
     " blockquote pre figure figcaption form fieldset legend address details summary center hgroup dialog menu search".split()
 )
-UNREAD = frozenset("script style noscript template iframe svg object canvas audio video title textarea select button".split())
-UNREAD_ENDS = {name: re.compile(f"</{name}[^>]*>", re.IGNORECASE) for name in UNREAD}
-CLOSES_ITS_LIKE = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
-HOLDERS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table", "th": "table"}
-
+#: Read to their end tag and left out.  Without an end tag the raw ones run to the end of the page, the others are passed over.
+RAW = frozenset("script style noscript iframe title textarea xmp noframes".split())
+UNREAD = RAW | frozenset("template svg math object canvas audio video select button".split())
+UNREAD_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for name in UNREAD}
+CLOSES_ITS_LIKE = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"]}
+HOLDERS = {"li": ["ul", "ol", "menu"], "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["table"], "th": ["table"]}
+
+#: No alternative can fail after running on to the end of the page: a tag that is not closed ends there, and of unpaired
+#: quotes only the last of each kind is searched for in vain.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", re.DOTALL
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.DOTALL
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -55,8 +59,15 @@ class Page:
         self.chars, self.link_chars = [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack, parts, linked, in_link, at = [0], [], 0, False, 0
+        open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
+        unended: set[str] = set()
         size = len(source)
 
+        def close_from(place: int):
+            for node in stack[place:]:
+                open_at[self.tag[node]].pop()
+            del stack[place:]
+
         def flush():
             nonlocal parts, linked
             if parts:
@@ -80,15 +91,21 @@ class Page:
             if not m:
                 break
             at = m.end()
-            name = m[2] or m[5]
+            name = m[2]
             if not name:
                 continue
-            name, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-            if name in UNREAD and not closing:
-                if not attrs.endswith("/"):
-                    end = UNREAD_ENDS[name].search(source, at)
-                    at = end.end() if end else size
-            elif name == "br":
+            name, closing, attrs = name.lower(), m[1], m[3] or ""
+            if name in UNREAD:
+                if closing or attrs.endswith("/") or name in unended:
+                    continue
+                end = UNREAD_ENDS[name].search(source, at)
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = size
+                else:
+                    unended.add(name)
+            elif name in ("br", "hr"):
                 flush()
             elif name == "a":
                 in_link = not closing
@@ -96,26 +113,22 @@ class Page:
                 flush()
                 in_link = False
                 if closing:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] == name:
-                            del stack[i:]
-                            break
+                    if open_at[name]:
+                        close_from(open_at[name][-1])
                     continue
                 if self.tag[stack[-1]] == "p":
-                    stack.pop()
+                    close_from(len(stack) - 1)
                 if name in CLOSES_ITS_LIKE:
-                    like, holders = CLOSES_ITS_LIKE[name].split(), HOLDERS[name].split()
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] in holders:
-                            break
-                        if self.tag[stack[i]] in like:
-                            del stack[i:]
-                            break
+                    holder = max((open_at[x][-1] for x in HOLDERS[name] if open_at[x]), default=-1)
+                    like = [open_at[x][-1] for x in CLOSES_ITS_LIKE[name] if open_at[x] and open_at[x][-1] > holder]
+                    if like:
+                        close_from(min(like))
                 self.parent.append(stack[-1])
                 self.tag.append(name)
                 self.attrs.append(attrs)
                 self.chars.append(0)
                 self.link_chars.append(0)
+                open_at[name].append(len(stack))
                 stack.append(len(self.tag) - 1)
         flush()
         self.total, self.total_link = self.chars[:], self.link_chars[:]
@@ -139,9 +152,9 @@ def _link_grade(linked: int, chars: int) -> int:
 def features(tag: str, attrs: str, grade: int, link_grade: int) -> tuple[str, ...]:
     out = ["bias", f"tag {tag}", f"chars {grade}", f"links {link_grade}"]
     for groups in NAMES.findall(attrs):
-        for word in WORDS.findall(" ".join(groups)):
-            word = word.lower()
-            out += [f"name {word}", f"name {word[:5]}*"] if len(word) > 1 else []
+        for token in " ".join(groups).split():
+            words = [w.lower() for w in WORDS.findall(token) if len(w) > 1]
+            out += [f"name {words[0]}"] if len(words) == 1 else [f"part {w}" for w in words]
     return tuple(dict.fromkeys(out))
 
 
@@ -281,10 +294,13 @@ BODIES = [
     "<h1>{short}</h1><p>{long}</p><p>{long}</p>", "<h1>{short}</h1><p><b>{long}<br><p>{long}</p>", "<h1>{short}</h1><p>{short}</p>", "<h1>{short}</h1><div><p>{long}</p></div><h2>{short}</h2><ul><li>{long}</li><li>{short}</li></ul>",
     "<h1>{short}</h1><section><h2>{short}</h2><p>{long} <a href=\"/x\">{short}</a> {long}</p></section><blockquote><p>{long}</p></blockquote>", "<h1>{short}</h1><figure><figcaption>{short}</figcaption></figure><p>{long}</p><pre>{long}</pre>",
     "<h1>{short}</h1><table><tr><th>{short}</th><td>{short}</td></tr></table><p>{long}</p>", "<p>{long}</p>", "<h1>{short}</h1><div>{long}</div><div>{long}</div>",
+    '<h1>{short}</h1><div class="header-row"><p>{long}</p></div><div class="shared-memory"><p>{long}</p></div>', '<h1>{short}</h1><section class="related-work"><h2>{short}</h2><p>{long}</p></section><div class="ad-hoc row"><p>{long}</p></div>',
+    '<h1>{short}</h1><div class="comment-syntax box">{long}</div><div id="menu-planning" class="col"><p>{long}</p><p>{short}</p></div>', '<div class="top-banner-history"><p>{long}</p></div><div class="legal-system side-effects"><p>{long}</p></div><p>{long}</p>',
+    '<h1>{short}</h1><ol class="steps"><li>{long}</li><li>{long}</li></ol><dl class="terms"><dt>{short}</dt><dd>{long}</dd></dl>', '<h1 class="title">{short}</h1><p class="lead">{long}</p><div class="promo-video-notes"><p>{long}</p></div>',
 ]
 
 
-def labelled_pages(n: int = 90) -> list[str]:
+def labelled_pages(n: int = 180) -> list[str]:
     """Labelled pages by rule: page k combines the k-th choices of layout, body and surrounding parts.
 
     Of several names of a part each page uses one, and two parts stand inside the content of every page.

@@ -2,6 +2,7 @@ import html
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -32,7 +33,7 @@ def test_message_passing_is_exact():
 
 def test_held_out_layouts(model):
     wrong = blocks = 0
-    for source in X.labelled_pages(400)[90:]:
+    for source in X.labelled_pages(400)[180:]:
         page, truth = X.Page(source), []
         for i, attrs in enumerate(page.attrs):
             m = X.LABEL.search(attrs)
@@ -67,3 +68,30 @@ def test_edge_cases(spark, model):
     assert X.extract_main_text(pages.limit(0)).count() == 0
     page = '<body><nav><ul><li><a href="/">Home</a></li></ul></nav><main><article><h1>Title</h1><p>First, with <a href="#">a link</a> inside.<p>Second.<div class="advert">Buy now, it is cheap and it is good for everybody here.</div><section class="comments"><p>I am a reader and I comment, at length, on this.</p></section></article></main><footer>End</footer>'
     assert model.extract(page) == "Title\nFirst, with a link inside.\nSecond."
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a =\"", "<div>", "</x>", "<!", "<a ", "<svg>", "<li><div>", "<button>", "&#", "<tr></tr>", "class = ", "<!--"])
+def test_hostile_pages_take_time_in_proportion(part):
+    seconds = []
+    for n in (5_000, 40_000):
+        source = "<ul><li><ul>" + "<div>" * (n // 10) + part * n + "</ul></p>" * n + "</div>" * n
+        began = time.process_time()
+        X.Page(source)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 25 * seconds[0] + 0.2 and seconds[1] < 5
+
+
+def test_rules_unclosed_elements_and_names_that_mislead(model):
+    assert model.extract("<article><p>One sentence here.<hr>Two</p></article>") == "One sentence here.\nTwo"
+    for name in ("button", "svg", "select", "object"):
+        assert model.extract(f"<article><p>Before it.</p><{name}><p>The rest of the text is still read.</p></article>") == "Before it.\nThe rest of the text is still read."
+    long = "This is a sentence of the article, with commas, and it goes on for some time so that it counts. " * 3
+    for names in ("shared-memory", "header-row", "sharedMemory", "navigational", "footnotes", "address-space"):
+        assert model.extract(f'<body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>Title</h1><div class="{names}"><p>{long}</p></div></article></body>') == f"Title\n{long.strip()}"
+    for names in ("advert", "cookie-banner", "comments", "share-links sharing", "newsletter"):
+        assert model.extract(f'<body><article><h1>Title</h1><p>{long}</p><div class="{names}"><p>Something to read and to accept here.</p></div></article></body>') == f"Title\n{long.strip()}"
+
+
+def test_rows_of_tables_close_each_other():
+    page = X.Page("<table><tr><td>a<td>b<tr><td>c</table>")
+    assert [page.tag[i] for i in page.parent[2:]] == ["table", "tr", "tr", "table", "tr"]
