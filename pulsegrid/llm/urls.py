@@ -5,14 +5,15 @@ rule's path; of the rules that fit, the one with the longest host and path wins.
 verdict of a beta-binomial model: labelled outcomes are counted by host, and each host's rate is shrunk to that of its
 registered domain, which is shrunk to that of its suffix, which is shrunk to the rate of all pages.  How hard each
 level shrinks follows from how much the rates of that level differ beyond binomial noise.  A page is allowed when the
-lower posterior bound of its host's rate reaches ``min_good``.
+lower posterior bound of its host's rate reaches ``min_good``; the bound is the beta posterior's mean less z of its
+standard deviations.
 
 The suffix is the last label, or the last two when they are in ``SUFFIXES``; the registered domain has one label more.
 User names, ports and a closing dot do not count for either.  An IP address is its own domain and suffix.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and is judged as the host ''.  Hosts without
 labelled pages get the mean of their domain (then suffix, then all pages).  Without any labelled page every rate is the
-prior ``no_data``.  Repeated rows are judged alike and all returned.  A null page_id matches no label.  Columns beyond
+prior ``no_data``.  URLs of any length are read whole.  Repeated rows are judged alike and all returned.  A null page_id matches no label.  Columns beyond
 those named are ignored.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, cut_lineage, spread_join
 
 Rule = tuple[str, str, str]
 
@@ -72,48 +73,48 @@ def domain_and_suffix(host: Column) -> tuple[Column, Column]:
     return F.when(own, name).when(two, last[2]).otherwise(last[1]), F.when(own, name).when(two, last[1]).otherwise(last[0])
 
 
-def _shrinkage(groups: DataFrame, good: str, seen: str) -> float:
-    """Prior strength of one level, by moments: what the rates differ by beyond binomial noise.  One row to the driver."""
-    p = F.col(good) / F.col(seen)
-    r = groups.where(F.col(seen) > 0).agg(
-        F.sum(good).alias("k"), F.sum(seen).alias("n"), F.count("*").alias("g"),
-        F.sum(F.col(seen) * p * p).alias("q"),
-    ).first()
-    if not r["n"] or r["n"] <= r["g"]:
+def _strength(good: Column, seen: Column) -> tuple[Column, ...]:
+    """Aggregates of one level of groups, for its prior strength: sums of good and seen, groups, and squares."""
+    p = F.when(seen > 0, good / seen)
+    return F.sum(F.when(seen > 0, good)), F.sum(F.when(seen > 0, seen)), F.count(F.when(seen > 0, 1)), F.sum(seen * p * p)
+
+
+def _shrinkage(k, n, g, q) -> float:
+    """Prior strength of one level, by moments: what the rates differ by beyond binomial noise."""
+    if not n or n <= g:
         return 10.0
-    m = r["k"] / r["n"]
+    m = k / n
     if m in (0.0, 1.0):
         return 1000.0
-    spread = (r["q"] / r["n"] - m * m) / (m * (1 - m))
-    noise = r["g"] / r["n"]
+    spread = (q / n - m * m) / (m * (1 - m))
+    noise = g / n
     rho = min(max((spread - noise) / (1 - noise), 0.001), 0.5)
     return 1 / rho - 1
 
 
 def host_reputation(pages: DataFrame, z: float = 1.645, no_data: float = 0.5) -> DataFrame:
-    """pages: host, good (1, 0 or null when not labelled).  Returns host, mean, lower: one row per host."""
-    hosts = (
-        pages.groupBy("host")
-        .agg(F.sum("good").alias("k"), F.count("good").alias("n"))
-        .select("host", F.coalesce("k", F.lit(0)).alias("k"), "n")
-        .withColumn("domain", domain_and_suffix(F.col("host"))[0])
-        .withColumn("suffix", domain_and_suffix(F.col("host"))[1])
-    )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("dk"), F.sum("n").alias("dn"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dk").alias("sk"), F.sum("dn").alias("sn"))
-    total = suffixes.agg(F.sum("sk").alias("k"), F.sum("sn").alias("n")).first()
-    mean = total["k"] / total["n"] if total["n"] else no_data
-    by_host, by_domain, by_suffix = _shrinkage(hosts, "k", "n"), _shrinkage(domains, "dk", "dn"), _shrinkage(suffixes, "sk", "sn")
+    """pages: host, good (1, 0 or null when not labelled).  Returns host, pages, mean, lower: one row per host.
+
+    The pages are read once; what follows works on their counts by host.
+    """
+    hosts = cut_lineage(pages.groupBy("host").agg(F.sum("good").alias("k"), F.count("good").alias("n"), F.count("*").alias("pages")))
+    domain, suffix = domain_and_suffix(F.col("host"))
+    hosts = hosts.select("host", "pages", F.coalesce("k", F.lit(0)).alias("k"), "n", domain.alias("domain"), suffix.alias("suffix"))
+    domains = cut_lineage(hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("dk"), F.sum("n").alias("dn")))
+    suffixes = cut_lineage(domains.groupBy("suffix").agg(F.sum("dk").alias("sk"), F.sum("dn").alias("sn")))
+    levels = [(hosts, "k", "n"), (domains, "dk", "dn"), (suffixes, "sk", "sn")]
+    sums = [tuple(level.agg(*_strength(F.col(k), F.col(n))).first()) for level, k, n in levels]
+    by_host, by_domain, by_suffix = (_shrinkage(*s) for s in sums)
+    k, n = sums[2][:2]
+    mean = k / n if n else no_data
     suffixes = suffixes.select("suffix", ((F.col("sk") + by_suffix * mean) / (F.col("sn") + by_suffix)).alias("s_mean"))
-    domains = domains.join(suffixes, "suffix").select(
-        "domain", ((F.col("dk") + by_domain * F.col("s_mean")) / (F.col("dn") + by_domain)).alias("d_mean")
-    )
+    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("dk") + by_domain * F.col("s_mean")) / (F.col("dn") + by_domain)).alias("d_mean"))
     a, size = F.col("k") + by_host * F.col("d_mean"), F.col("n") + by_host
     return (
         hosts.join(domains, "domain")
         .withColumn("mean", a / size)
         .withColumn("lower", F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1)))
-        .select("host", "mean", "lower")
+        .select("host", "pages", "mean", "lower")
     )
 
 
@@ -127,8 +128,9 @@ def judge_urls(
     known = outcomes.where("page_id IS NOT NULL AND good IS NOT NULL").groupBy("page_id").agg(F.min("good").alias("good"))
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = parsed.select("page_id", "host").join(known, "page_id", "left")
+    hosts = cut_lineage(host_reputation(labelled, z).withColumnRenamed("pages", "n"))
     return (
-        parsed.join(host_reputation(labelled, z), "host", "left")
+        spread_join(parsed, hosts, ["host"])  # the pages of a large host stay where they are
         .withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
         .select(
             "page_id", "host", "path", F.col("fit.rule").alias("rule"),
