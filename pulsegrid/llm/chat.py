@@ -9,7 +9,7 @@ Template: a turn is ``<|role|>`` newline, text, ``</s>`` newline.  Inside roles
 are written as ``\\ \l \g \b \e``, so no control string can stand inside a text, and the escaping can be undone.
 The loss mask is a list of (start, end) code point positions in the formatted text: the texts of assistant turns.
 
-Cases: a null text or role counts as empty.  Null keys form one conversation of their own.  A node whose parent is
+Cases: a null text or role counts as empty.  Texts of any length are kept whole.  Null keys form one conversation of their own.  A node whose parent is
 missing is a root.  Nodes that lie on, or below, a cycle have no root and are in no path.  Branches of equal score rank
 by leaf.  Two messages may not have the same node; ``linear_nodes`` numbers rows with equal turns apart, by role and
 text.  Columns beyond those named are ignored.
@@ -99,12 +99,12 @@ def format_branches(nodes: DataFrame, best: int | None = 1, loss_role: str = "as
     ranks = paths.join(scores, key).groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score")).withColumn("branch_rank", F.row_number().over(order))
     if best is not None:
         ranks = ranks.where(F.col("branch_rank") <= best)
-    body = nodes.select(F.col("tree").alias("t"), F.col("node").alias("m"), escape(F.coalesce("role", F.lit(""))).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = paths.join(body, key)
     ranks = ranks.select(F.col("tree").alias("rt"), F.col("leaf").alias("rl"), "branch_score", "branch_rank")
+    body = nodes.select(F.col("tree").alias("t"), F.col("node").alias("m"), escape(F.coalesce("role", F.lit(""))).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turn = F.struct((-F.col("up")).alias("at"), F.col("role"), F.concat(F.lit("<|"), "role", F.lit("|>\n")).alias("head"), escape(F.col("text")).alias("body"))
     chosen = (
-        scored.join(ranks, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("leaf") == F.col("rl")))
+        paths.join(ranks, F.col("tree").eqNullSafe(F.col("rt")) & (F.col("leaf") == F.col("rl")))
+        .join(body, key)  # only the texts of branches that stay
         .groupBy("tree", "leaf", "branch_rank", "branch_score")
         .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     )

@@ -11,7 +11,7 @@ taken for a notice.  A text without a match is therefore looked up a second time
 lines go that are a notice (a sign, year, name field or "by" follows) or a licence's title.  A notice that shares its line
 with the licence takes the licence along.
 
-Cases: a null text counts as empty; empty canonical forms match nothing.  Repeated rows are all returned.  Columns
+Cases: a null text counts as empty; empty canonical forms match nothing.  Texts of any length are read whole.  Repeated rows are all returned.  Columns
 beyond those named are ignored.
 """
 
@@ -164,6 +164,12 @@ def unwrapped_digest(text: Column) -> Column:
     return F.sha2(canonical(text, (NOTICE_LINE, TITLE_LINE)), 256)
 
 
+def may_be_whole(text: Column) -> Column:
+    """False for texts that are surely none of the known licences: each of those has one of these words."""
+    low = F.lower(text)
+    return low.contains("licen") | low.contains("permission") | low.contains("redistribution")
+
+
 def known_digests(spark, known=KNOWN) -> DataFrame:
     """digest, license_id: as many rows as ``known`` has entries, which bounds what is broadcast."""
     rows = spark.createDataFrame([(str(name), text) for name, text in known], "license_id string, text string")
@@ -191,7 +197,7 @@ def scan_licenses(documents: DataFrame, known: list[tuple[str, str]] = KNOWN) ->
     found = F.filter(F.transform(lines, either), lambda x: x.isNotNull())
     return (
         documents.select(
-            "doc_id", digest(F.col("text")).alias("digest"), F.try_element_at(of_whole, unwrapped_digest(F.col("text"))).alias("whole"),
+            "doc_id", digest(F.col("text")).alias("digest"), F.when(may_be_whole(F.col("text")), F.try_element_at(of_whole, unwrapped_digest(F.col("text")))).alias("whole"),
             F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("notices"),
         )
         .join(F.broadcast(lookup), "digest", "left")
