@@ -88,8 +88,12 @@ def cut_lengths(n: int, most: int) -> list[int]:
 def tokenized_pieces(documents: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0) -> DataFrame:
     """documents: doc_id, text.  tokenizer: path of a JSON vocabulary.  Returns doc_id, piece, start, length, ids_crc32."""
 
+    # A worker keeps its copy of a broadcast value: its tasks share one encoder and the ids that it remembers.
+    shared = documents.sparkSession.sparkContext.broadcast({})
+
     def run(batches):
-        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        held, end = shared.value, end_id.to_bytes(4, "little")
+        encoder = held["encoder"] = held.get("encoder") or Encoder(tokenizer)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
