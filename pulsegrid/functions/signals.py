@@ -105,25 +105,39 @@ def find_peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
 def scr_peaks(x: np.ndarray, offset: float = 1.0, start_wt: float = 4.0, end_wt: float = 4.0, thres: float = 0.02, fs: int = 8) -> list[dict]:
     """Skin responses of one recording at fs Hz: one dict per peak.
 
-    Apex: last of at least offset * fs - 1 rising samples, followed by as many falling ones.  Onset: back from the apex to
-    where the slope is below 1 % of the steepest one of the last second.  End: half recovery, or the next onset.
+    Apex: the sample before the last rising step, if offset * fs - 1 steps before it rise and as many after it fall.
+    Onset: back from the apex to the first step below 1 % of the steepest one of the last second, at most start_wt
+    seconds.  End: the first sample below half the amplitude (half recovery) within end_wt seconds, or the next onset if
+    that comes first, else the lowest sample of that time.  Width and decay are those of half recovery, width from the
+    last sample before the apex below half the amplitude; 0 without half recovery.
     """
-    run, d, n = max(int(offset * fs) - 1, 1), np.diff(x), len(x)
-    rising, falling = d > 0, d < 0
-    apexes = [i for i in range(run, n - run) if rising[i - run : i].all() and falling[i : i + run].all()]
+    run, d, n = max(int(offset * fs), 1), np.diff(x), len(x)
+    back, ahead = int(start_wt * fs), int(end_wt * fs)
+    sign = np.sign(d)
+    found = []
+    for i in range(run, len(d) - run):
+        if sign[i] == 1 and sign[i + 1] < 1 and (sign[i - run + 1 : i] == 1).all() and (sign[i + 1 : i + run] == -1).all():
+            steepest = d[max(i - fs, 0) : i].max()
+            slow = np.flatnonzero(d[max(i - back + 1, 0) : i + 1] < 0.01 * steepest)
+            found.append((i, max(i - back + 1, 0) + int(slow[-1]) if len(slow) else max(i - back, 0), float(steepest * fs)))
+    onsets = {start for _, start, _ in found}
     out = []
-    for j, i in enumerate(apexes):
-        steepest = d[max(i - fs, 0) : i].max()
-        start = i
-        while start > 0 and i - start < start_wt * fs and d[start - 1] >= 0.01 * steepest:
-            start -= 1
+    for i, start, slope in found:
         amplitude = x[i] - x[start]
-        if amplitude < thres:
+        if thres > 0 and amplitude < thres:
             continue
-        limit = min(n - 1, i + int(end_wt * fs), apexes[j + 1] if j + 1 < len(apexes) else n - 1)
-        end = next((k for k in range(i, limit + 1) if x[k] <= x[i] - amplitude / 2), None)
-        width = None if end is None else (end - start) / fs
-        out.append({"apex": i, "start": start, "end": end, "amplitude": float(amplitude), "rise": (i - start) / fs, "decay": None if end is None else (end - i) / fs, "width": width, "auc": None if width is None else float(amplitude * width), "max_slope": float(steepest * fs)})
+        half, stop = x[start] + amplitude / 2, min(i + ahead, n - 1)
+        low = i + int(np.argmax(x[i:stop] < half)) if (x[i:stop] < half).any() else n
+        onset = next((k for k in range(i, min(low, stop)) if k in onsets), None)
+        decay = width = 0.0
+        if onset is not None:
+            end = onset
+        elif low < n:
+            rise = np.flatnonzero(x[: i + 1] < half)
+            end, decay, width = low, (low - i) / fs, (low - (int(rise[-1]) if len(rise) else 0)) / fs
+        else:
+            end = i + int(np.argmin(x[i : i + ahead]))
+        out.append({"apex": i, "start": start, "end": end, "amplitude": float(amplitude), "rise": (i - start) / fs, "decay": decay, "width": width, "auc": float(amplitude * width), "max_slope": slope})
     return out
 
 

@@ -129,9 +129,9 @@ def j14(spark, d):
     return k.join(flags(spark, d), ["site", "week_period"]).select("site", "week_period", "tech", "refarming_3g", "refarming_2g", "n")
 
 
-@query("j15_cells_seen", f"WITH {KPI}, {CAT} SELECT cell, band FROM cat WHERE cell IN (SELECT cell FROM kpi WHERE code > 98)")
+@query("j15_cells_seen", f"WITH {KPI}, {CAT} SELECT cell, band FROM cat WHERE cell IN (SELECT cell FROM kpi)")
 def j15(spark, d):
-    return catalogue(spark, d).dropna(subset=["band"]).join(kpi(spark, d).where("code > 98"), "cell", "left_semi").select("cell", "band")
+    return catalogue(spark, d).dropna(subset=["band"]).join(kpi(spark, d), "cell", "left_semi").select("cell", "band")
 
 
 @query("w16_traffic_growth", f"""WITH {KPI}, w AS (SELECT cell, week_period, avg(traffic) AS traffic, max(code) AS busy_hour FROM kpi GROUP BY 1, 2), h AS (SELECT * FROM w WHERE week_period < 200100), l AS (SELECT cell, arg_max(traffic, week_period) AS t, arg_max(busy_hour, week_period) AS b FROM h GROUP BY 1)
@@ -175,10 +175,16 @@ def p9(spark, d):
     return s.select("k", "tech", N.choose_band().alias("choice"))
 
 
-@query("p11_densification", f"WITH {KPI} SELECT site, round(least(ceil(greatest(sum(occupation) / 100, 0) / 5), 2 + site % 3, 20) * 5, 4) AS added_mhz, ceil(greatest(sum(occupation) / 100, 0) / 5) > least(ceil(greatest(sum(occupation) / 100, 0) / 5), 2 + site % 3, 20) AS new_site FROM kpi GROUP BY site")
+@query("p11_densification", f"""WITH {KPI}, {CAT}, {SITE_BANDS}, {FLAGS}, s AS (SELECT site, week_period, bands, r2, r3, tech, demand, r3 = 1 OR r2 = 1 AS any_ FROM (SELECT k.site, k.week_period, tech, sum(occupation) / 50 AS demand FROM kpi k GROUP BY ALL) JOIN sb USING (site)
+  JOIN (SELECT site, week_period, refarming_2g AS r2, refarming_3g AS r3 FROM f) USING (site, week_period)), {CHOICE},
+p AS (SELECT *, CASE WHEN l18 AND l21 AND NOT l9 THEN CASE WHEN any_ THEN '5M_LTE2100' END WHEN l18 AND NOT l21 AND NOT l9 AND a THEN CASE WHEN any_ THEN '5M_LTE2100' END WHEN l18 AND l21 AND l9 THEN CASE WHEN r3 = 1 THEN '5M_LTE2100' END ELSE '' END AS step,
+  CASE WHEN tech = '4G' AND demand >= 5 THEN CAST(floor(demand / 5) AS INTEGER) ELSE 0 END AS steps FROM o)
+SELECT site, week_period, tech, CASE WHEN tech = '3G' THEN coalesce(replace(out3, 'New_Site', 'new_site'), '') WHEN steps = 0 THEN '' WHEN step IS NULL THEN '_2600TDD/newsite' WHEN step = '' THEN 'NO_ACTION' ELSE repeat(step, steps) END AS upgrade,
+  round(CASE WHEN tech = '4G' THEN demand - CASE WHEN step <> '' THEN 5.0 * steps ELSE 0 END END, 4) AS "left", (tech = '4G' AND steps > 0 AND step IS NULL) OR (tech = '3G' AND coalesce(out3 = 'New_Site', false)) AS new_site FROM p""")
 def p11(spark, d):
-    s = kpi(spark, d).groupBy("site").agg((F.sum("occupation") / 100).alias("demand")).withColumns({"LTE900": F.lit(7.0), "LTE1800": F.lit(5.0), "LTE2100": (F.col("site") % 3) * F.lit(5.0)})
-    return rounded(N.densify(s).select("site", F.col("added_mhz").cast("double").alias("added_mhz"), "new_site"))
+    k = weekly_kpi(spark, d).groupBy("site", "week_period", "tech").agg((F.sum("occupation") / 50).alias("demand"))
+    s = k.join(site_bands(spark, d), "site").join(flags(spark, d), ["site", "week_period"]).withColumns({"bw_bands": F.col("bands"), "band_bw": F.col("bands")})
+    return rounded(N.densify(s).select("site", "week_period", "tech", "upgrade", "left", "new_site"))
 
 
 @query("p12_later_weeks", f"WITH {KPI}, w AS (SELECT DISTINCT site, week_period FROM kpi) SELECT site, week_period FROM w WHERE week_period > (SELECT max(week_period) FROM w WHERE site < 10 AND week_period < 200120)")
@@ -196,3 +202,30 @@ def c6(spark, d):
 
     k = weekly_kpi(spark, d).withColumnRenamed("occupation", "load")
     return upgrade_selection(k, catalogue(spark, d), load_limit=75.0)
+
+
+PREDICTED = """w AS (SELECT cell, site, sector, tech, week_period, avg(traffic) AS traffic, max(traffic) AS busy_hour, max(code) AS code, max(power) AS power, max(occupation) AS prb FROM kpi GROUP BY ALL),
+hist AS (SELECT * FROM w WHERE week_period < 200020), fut AS (SELECT * FROM w WHERE week_period >= 200020),
+last AS (SELECT cell, arg_max(traffic, (week_period, site, tech)) AS t, arg_max(busy_hour, (week_period, site, tech)) AS b FROM hist GROUP BY 1),
+slope AS (SELECT cell, sum(busy_hour * code) / sum(busy_hour * busy_hour) AS sc, sum(busy_hour * power) / sum(busy_hour * busy_hour) AS sp, sum(busy_hour * prb) / sum(busy_hour * busy_hour) AS sq FROM hist GROUP BY 1),
+pred AS (SELECT fut.cell, site, sector, tech, week_period, traffic / t * b * sc AS code, traffic / t * b * sp AS power, traffic / t * b * sq AS prb FROM fut JOIN last USING (cell) JOIN slope USING (cell)),
+con AS (SELECT pred.*, CASE WHEN tech = '3G' THEN code > 85 OR power > 85 WHEN tech = '4G' THEN prb / (CAST(regexp_extract(band_width, '^\\d+') AS DOUBLE) * 5) > 0.85 ELSE false END AS hot FROM pred LEFT JOIN cat USING (cell)),
+dem AS (SELECT site, sector, week_period, tech, round(sum(CASE tech WHEN '4G' THEN prb / 5 ELSE greatest(round_even((power - 85) / 85, 0), round_even((code - 85) / 85, 0)) END), 6) AS demand FROM con WHERE hot GROUP BY ALL),
+top AS (SELECT * FROM dem QUALIFY row_number() OVER (PARTITION BY site, week_period, tech ORDER BY demand DESC NULLS LAST, sector) = 1),
+fst AS (SELECT * FROM top WHERE week_period < 200130 QUALIFY row_number() OVER (PARTITION BY site, tech ORDER BY week_period) = 1),
+pb AS (SELECT site, upper(string_agg(DISTINCT band, '_' ORDER BY band)) AS bands, upper(string_agg(DISTINCT band_width, '_' ORDER BY band_width)) AS widths, upper(string_agg(DISTINCT band || band_width, '_' ORDER BY band || band_width)) AS band_bw FROM (SELECT DISTINCT cell, site FROM pred) JOIN cat USING (cell) GROUP BY 1),
+f AS (SELECT site, week_period, CASE WHEN coalesce(max(code) FILTER (tech = '3G') < 90, false) AND coalesce(max(power) FILTER (tech = '3G') < 90, false) THEN 1 ELSE 0 END AS r3, CASE WHEN coalesce(max(prb) FILTER (tech = '2G') < 2, false) THEN 1 ELSE 0 END AS r2 FROM pred GROUP BY 1, 2),
+s AS (SELECT fst.*, bands, widths, band_bw, r2, r3 FROM fst JOIN pb USING (site) JOIN f USING (site, week_period))"""
+CHOICE_BY_LIST = CHOICE.replace("contains(bands, x)", "contains(widths, x)").replace("contains(bands, 'LTE21005M')", "contains(band_bw, 'LTE21005M')").replace("contains(bands, 'LTE210010M')", "contains(band_bw, 'LTE210010M')").replace("contains(bands, 'LTE9005M')", "contains(band_bw, 'LTE9005M')")
+
+
+@query("c6_predicted_upgrades", f"""WITH {KPI}, {CAT}, {PREDICTED}, {CHOICE_BY_LIST}
+SELECT site, sector, week_period, tech, round(demand, 4) AS demand, CASE tech WHEN '3G' THEN out3 ELSE out4 END AS choice FROM o WHERE week_period > (SELECT max(week_period) FROM hist)""")
+def c6b(spark, d):
+    """Weeks before 200020 are the observed ones, later ones play the forecast, upgrades are planned for week 200130."""
+    from .workloads import predicted_upgrades
+
+    k = weekly_kpi(spark, d).groupBy("cell", "site", "sector", "tech", "week_period").agg(F.avg("traffic").alias("traffic"), F.max("traffic").alias("busy_hour"), F.max("code").alias("code"), F.max("power").alias("power"), F.max("occupation").alias("prb"))
+    seen, ahead = k.where("week_period < 200020"), k.where("week_period >= 200020")
+    # Cells of several sites or technologies a week: the largest (site, tech) of the last week counts as the last row.
+    return rounded(predicted_upgrades(seen, ahead.select("cell", "site", "sector", "tech", "week_period", "traffic"), catalogue(spark, d), before=200130))

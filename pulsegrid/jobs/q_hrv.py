@@ -115,6 +115,12 @@ def deviations(spark, d):
     return out.select("rec", F.round("sdnn_index", 2).alias("sdnn_index"), F.round("sdann", 2).alias("sdann"))
 
 
-@query("v10_tinn", None)
+@query("v10_tinn", f"""WITH {REC}, {NN}, t AS (SELECT rec, greatest(CAST(ceil((max(nn) + 1e8) / 1e8) AS INTEGER) - 2, 0) AS last FROM nn GROUP BY 1),
+h AS (SELECT rec, least(CAST(floor(nn / 1e8) AS INTEGER), last) AS bin, count(*) AS n FROM nn JOIN t USING (rec) GROUP BY 1, 2), m AS (SELECT rec, max(bin) + 1 AS most, arg_max(bin, (n, -bin)) AS top, max(n) AS peak FROM h GROUP BY 1),
+d AS (SELECT m.rec, i, top, peak, most, coalesce(n, 0) AS n FROM m, unnest(range(0, most + 1)) u(i) LEFT JOIN h ON h.rec = m.rec AND h.bin = i),
+l AS (SELECT d.rec, a, sum(pow(CASE WHEN i >= a THEN peak * (i - a) / (top - a)::DOUBLE ELSE 0 END - n, 2)) AS e FROM d, unnest(range(0, top)) u(a) WHERE i < top GROUP BY 1, 2),
+r AS (SELECT d.rec, b, sum(pow(CASE WHEN i <= b THEN peak * (b - i) / (b - top)::DOUBLE ELSE 0 END - n, 2)) AS e FROM d, unnest(range(top + 1, most + 1)) u(b) WHERE i > top GROUP BY 1, 2),
+f AS (SELECT m.rec, lb.a, lb.e AS le, rb.b, rb.e AS re FROM m LEFT JOIN (SELECT rec, min_by(a, (round(e, 6), a)) AS a, min(e) AS e FROM l GROUP BY 1) lb ON lb.rec = m.rec LEFT JOIN (SELECT rec, min_by(b, (round(e, 6), -b)) AS b, min(e) AS e FROM r GROUP BY 1) rb ON rb.rec = m.rec)
+SELECT rec, CASE WHEN le + re < 16384 THEN a * 1e8 ELSE 0.0 END AS tinn_n, CASE WHEN le + re < 16384 THEN b * 1e8 ELSE 0.0 END AS tinn_m, CASE WHEN le + re < 16384 THEN (b - a) * 1e8 ELSE 0.0 END AS tinn FROM f""")
 def tinn(spark, d):
-    return H.tinn(H.histogram(nn(spark, d), K, 1e6), K, 1e6)
+    return H.tinn(H.histogram(nn(spark, d), K, 1e8), K, 1e8)

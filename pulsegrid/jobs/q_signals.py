@@ -17,6 +17,8 @@ from .tables import NN, REC, beats, intervals, recordings, registrar, rounded, s
 from . import workloads as W
 
 K = ["rec"]
+#: The components of an embedding, as features.
+ALL = [f"f{i}" for i in range(64)]
 Q: dict = {}
 query = registrar(Q)
 
@@ -64,6 +66,11 @@ def v7(spark, d):
     return G.peaks(recordings(spark, d), K, "value", 30.0, 3)
 
 
+@query("v7_local_maxima", f"WITH {REC}, p AS (SELECT rec, idx, value, lag(value) OVER w AS b, lead(value) OVER w AS a FROM rec WINDOW w AS (PARTITION BY rec ORDER BY idx)) SELECT rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY idx) - 1 AS INTEGER) AS n, idx AS at, round(value, 4) AS amplitude FROM p WHERE value > b AND value >= a AND value >= 30")
+def v7b(spark, d):
+    return rounded(G.peaks(recordings(spark, d), K, "value", 30.0, 1))
+
+
 @query("v8_skin_responses", None)
 def v8(spark, d):
     return G.skin_responses(recordings(spark, d), K, "value", "idx", offset=0.25)
@@ -96,6 +103,14 @@ def v11(spark, d):
     return G.nonlinear_measures(nn_seconds(spark, d), K)
 
 
+@query("v11_sample_entropy", f"""WITH {REC}, {NN}, x AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY beat) AS i, nn / 1e4 AS a, lead(nn / 1e4) OVER w AS b, lead(nn / 1e4, 2) OVER w AS c FROM nn WINDOW w AS (PARTITION BY rec ORDER BY beat)),
+r AS (SELECT rec, 0.2 * sqrt(var_pop(a) * count(*) / (count(*) + 1)) AS tol FROM x GROUP BY 1), t AS (SELECT * FROM x WHERE c IS NOT NULL),
+m AS (SELECT p.rec, count(*) FILTER (greatest(abs(p.a - q.a), abs(p.b - q.b)) < tol) AS two, count(*) FILTER (greatest(abs(p.a - q.a), abs(p.b - q.b), abs(p.c - q.c)) < tol) AS three FROM t p JOIN t q ON p.rec = q.rec AND p.i < q.i JOIN r ON p.rec = r.rec GROUP BY 1)
+SELECT rec, round(CASE WHEN two > 0 AND three > 0 THEN -ln(three / two) END, 4) AS sampen FROM m""")
+def v11b(spark, d):
+    return rounded(G.nonlinear_measures(nn_seconds(spark, d), K).select("rec", "sampen"))
+
+
 @query("v12_welch_bands", None)
 def v12(spark, d):
     return P.band_powers(P.power_spectra(nn_seconds(spark, d), K, nfft=256), K)
@@ -135,10 +150,10 @@ def v14b(spark, d):
     return P.power_spectra(f, ["rec", "frame"], "value", "clock", "periodogram", resample=False, nfft=16)
 
 
-@query("a11_band_powers", f"""WITH {REC}, s AS (SELECT rec, idx / 100.0 AS freq, value AS power FROM rec WHERE idx <= 45), b AS (SELECT rec, 0.01 * sum(power) FILTER (freq <= 0.04) AS vlf, 0.01 * sum(power) FILTER (freq BETWEEN 0.04 AND 0.15) AS lf, 0.01 * sum(power) FILTER (freq BETWEEN 0.15 AND 0.4) AS hf FROM s GROUP BY 1)
+@query("a11_band_powers", f"""WITH {REC}, s AS (SELECT rec, idx / 100.0 AS freq, value AS power FROM rec), b AS (SELECT rec, 0.01 * sum(power) FILTER (freq <= 0.04) AS vlf, 0.01 * sum(power) FILTER (freq BETWEEN 0.04 AND 0.15) AS lf, 0.01 * sum(power) FILTER (freq BETWEEN 0.15 AND 0.4) AS hf FROM s GROUP BY 1)
 SELECT rec, round(vlf, 4) AS vlf, round(lf, 4) AS lf, round(hf, 4) AS hf, round(vlf + lf + hf, 4) AS total, round(lf / hf, 4) AS lf_hf, round(lf * 100 / (lf + hf), 4) AS lf_norm, round(ln(hf), 4) AS hf_log, round(vlf * 100 / (vlf + lf + hf), 4) AS vlf_percent FROM b""")
 def a11(spark, d):
-    s = recordings(spark, d).where("idx <= 45").select("rec", (F.col("idx") / 100.0).alias("freq"), F.col("value").alias("power"))
+    s = recordings(spark, d).select("rec", (F.col("idx") / 100.0).alias("freq"), F.col("value").alias("power"))
     return rounded(P.band_powers(s, K).select("rec", "vlf", "lf", "hf", "total", "lf_hf", "lf_norm", "hf_log", "vlf_percent"))
 
 
@@ -159,16 +174,32 @@ def v16(spark, d):
     return G.spliced_chunks(r.join(marks, ["rec", "chunk"]), K, "value").select("rec", "idx", "value")
 
 
+@query("v16_repaired_joins", f"""WITH {REC}, c AS (SELECT rec, idx // 5 AS chunk, max(value) > 60 AS abnormal FROM rec GROUP BY 1, 2),
+n AS (SELECT *, last_value(CASE WHEN NOT abnormal THEN chunk END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo,
+  first_value(CASE WHEN NOT abnormal THEN chunk END IGNORE NULLS) OVER (PARTITION BY rec ORDER BY chunk ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM c),
+o AS (SELECT rec, chunk, CASE WHEN NOT abnormal THEN NULL WHEN lo IS NULL THEN hi WHEN hi IS NULL THEN lo WHEN hi - chunk < chunk - lo THEN hi ELSE lo END AS donor FROM n),
+s AS (SELECT r.rec, r.idx, o.chunk, donor IS NOT NULL AS spliced, coalesce(x.value, r.value) AS value FROM rec r JOIN o ON r.rec = o.rec AND r.idx // 5 = o.chunk LEFT JOIN rec x ON x.rec = r.rec AND x.idx = o.donor * 5 + r.idx % 5),
+p AS (SELECT *, lag(value) OVER u AS b, lead(value) OVER u AS a FROM s WINDOW u AS (PARTITION BY rec, chunk ORDER BY idx)),
+k AS (SELECT rec, chunk, min(idx) AS first, count(*) AS size, bool_or(spliced) AS spliced, min(idx) FILTER (value > b AND value >= a AND value >= 20) AS head, max(idx) FILTER (value > b AND value >= a AND value >= 20) AS tail FROM p GROUP BY 1, 2),
+g AS (SELECT *, coalesce(head - lag(tail) OVER w, 4 ) AS gap, coalesce(lag(spliced) OVER w, false) AS after FROM k WINDOW w AS (PARTITION BY rec ORDER BY chunk)),
+h AS (SELECT *, coalesce(lead(gap) OVER w, 4 ) AS "right", coalesce(lead(spliced) OVER w, false) AS before FROM g WINDOW w AS (PARTITION BY rec ORDER BY chunk))
+SELECT s.rec, s.idx, CASE WHEN (after OR h.spliced) AND gap < 3 AND s.idx >= head - 1 AND s.idx < head + 1 THEN 0.0 WHEN before AND "right" > 5 AND s.idx - first = size - 2 THEN 7.5 WHEN after AND gap > 5 AND s.idx - first = 1 THEN 7.5 ELSE value END AS value FROM s JOIN h USING (rec, chunk)""")
+def v16b(spark, d):
+    r = R.chunks(recordings(spark, d), 5)
+    marks = R.nearest_clean(r.groupBy("rec", "chunk").agg((F.max("value") > 60).alias("abnormal")), K)
+    spliced = G.spliced_chunks(r.join(marks, ["rec", "chunk"]), K, "value").withColumn("spliced", F.col("donor").isNotNull())
+    return G.repaired_joins(spliced, K, "value", [7.5], height=20.0, distance=1, long=5, short=3, usual=4, ahead=1, back=2, around=1).select("rec", "idx", "value")
+
+
 @query("v17_quantile_regression", None)
 def v17(spark, d):
-    e = table(spark, d, "embeddings").where("label < 5").select("label", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
-    return M.quantile_regression_grid(e, [f"f{i}" for i in range(8)], "label", [0.01, 0.26, 0.51, 0.76], [0.002])
+    return M.quantile_regression_grid(_matrix(spark, d), ALL, "label", [0.01, 0.26, 0.51, 0.76], [0.002])
 
 
 @query("v18_quantile_forest", None)
 def v18(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
-    return M.quantile_forest(e.where("vec_id % 4 <> 0"), e.where("vec_id % 4 = 0"), "vec_id", [f"f{i}" for i in range(8)], "label", [10.0, 50.0, 90.0], trees=5, max_depth=6)
+    e = _matrix(spark, d)
+    return M.quantile_forest(e, e, "vec_id", ALL, "label", [10.0, 50.0, 90.0], trees=10, max_depth=6)
 
 
 @query("c1_time_domain", None)
@@ -203,17 +234,17 @@ def j10(spark, d):
 
 
 def _matrix(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)))
 
 
 @query("feature_selection", None)
 def selection(spark, d):
-    return W.feature_selection(_matrix(spark, d).where("label < 5"), [f"f{i}" for i in range(8)], "label", [0.26, 0.51, 0.76], [0.002, 0.01])
+    return W.feature_selection(_matrix(spark, d), ALL, "label", [0.26, 0.51, 0.76], [0.002, 0.01])
 
 
 @query("repeated_evaluation", None)
 def evaluation(spark, d):
-    return W.repeated_evaluation(_matrix(spark, d), "vec_id", [f"f{i}" for i in range(4)], "label", 4.5, repeats=2, trees=2, max_depth=5)
+    return W.repeated_evaluation(_matrix(spark, d), "vec_id", ALL, "label", 4.5, repeats=3, trees=5, max_depth=5)
 
 
 @query("c5_interval_features", None)
@@ -222,6 +253,32 @@ def c5(spark, d):
     return W.interval_features(r, intervals(r), K, "value", "view", bucket_s=86400.0)
 
 
+def _halves(r):
+    """Two intervals of each recording: its first and its second half."""
+    w = Window.partitionBy("rec")
+    half = r.withColumns({"half": (F.col("idx") * 2 >= F.count("*").over(w)).cast("int")})
+    return half.groupBy("rec", F.col("half").alias("slalom")).agg(F.min("time").alias("start"), F.max("time").alias("end"))
+
+
+@query("c5_feature_matrix", None)
+def c5b(spark, d):
+    r = recordings(spark, d).withColumns({"eda": F.col("value"), "rsp": F.col("value") * 2, "ecg": F.col("value") / 50})
+    return W.feature_matrix(r, _halves(r), K, "view", "eda", "rsp", "ecg", bucket_s=864_000.0, wavelet="haar", levels=2, offset=0.25, beat_gap=2, breath_gap=2)
+
+
+@query("c7_clean_skin_signal", None)
+def c7(spark, d):
+    r = recordings(spark, d).withColumns({"eda": F.col("value"), "time": F.col("idx") / 8})
+    ends = r.groupBy("rec", F.floor(F.col("idx") / 40).cast("int").alias("epoch")).agg(F.min("time").alias("first"), F.max("time").alias("last"), F.when(F.max("value") > 90, -1).otherwise(1).alias("label"))
+    return W.clean_skin_signal(r, K, ends, {"still": "view", "moving": "click"}, ["purchase", "signup"], rate=8, n_max=3, edge=1, reach=3, floor=1.0)
+
+
+@query("c8_clean_heart_signal", None)
+def c8(spark, d):
+    r = recordings(spark, d).withColumn("ecg", F.col("value"))
+    return W.clean_heart_signal(r, K, [7.5], chunk=10, trees=50, height=20.0, distance=2, long=8, short=2, usual=5, ahead=1, back=2, around=1)
+
+
 @query("interval_statistics", f"""WITH {REC}, ivl AS (SELECT rec, CAST(idx // 10 AS INTEGER) AS slalom, time AS start, lead(time, 5) OVER (PARTITION BY rec ORDER BY idx) AS fin, idx FROM rec),
 s AS (SELECT r.rec, slalom, value FROM rec r JOIN ivl i ON r.rec = i.rec AND i.idx % 10 = 0 AND fin IS NOT NULL AND time BETWEEN start AND fin) SELECT rec, slalom, {statistics_sql('value')} FROM s GROUP BY 1, 2""")
 def interval_statistics(spark, d):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_capacity, q_evaluation, q_hrv, q_recordings, q_signals
+from . import q_capacity, q_evaluation, q_hrv, q_recordings, q_signals, q_sources
 
-ALL: dict = {**q_recordings.Q, **q_hrv.Q, **q_capacity.Q, **q_evaluation.Q, **q_signals.Q}
+ALL: dict = {**q_recordings.Q, **q_hrv.Q, **q_capacity.Q, **q_evaluation.Q, **q_signals.Q, **q_sources.Q}
 
 
 def flagship(spark, sf_dir):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import capacity as N
+from ..operators import epochs as E
 from ..operators import evaluation as V
 from ..operators import features as X
 from ..operators import hrv as H
@@ -32,6 +33,120 @@ def upgrade_selection(kpi: DataFrame, catalogue: DataFrame, load_limit: float =
     return rows.withColumns({"bw_bands": F.col("bands"), "band_bw": F.col("bands")}).select("site", "week_period", "tech", N.choose_band().alias("choice"))
 
 
+def predicted_upgrades(history: DataFrame, predicted: DataFrame, catalogue: DataFrame, before: int, share: float = 0.85) -> DataFrame:
+    """Upgrades of sites that a traffic forecast congests: site, sector, week_period, tech, demand, choice.
+
+    history: cell, site, tech, week_period, traffic, busy_hour (traffic), code, power, prb, observed by week.  predicted:
+    cell, site, sector, tech, week_period, traffic.  catalogue: cell, band, band_width.
+
+    The last observed busy hour grows as the forecast does; code, power and block use follow it along the cell's slope
+    through the origin.  Congested cells add up their demand by sector; each site's sector of largest demand in its first
+    congested week before ``before`` counts, if that week is later than all observed ones.
+    """
+    newest = F.struct("week_period", "site", "tech")
+    last = history.groupBy("cell").agg(F.max_by("traffic", newest).alias("__traffic"), F.max_by("busy_hour", newest).alias("__busy"))
+    slopes = [N.slope_through_origin(history, ["cell"], "busy_hour", v).withColumnRenamed("slope", f"__{v}") for v in ("code", "power", "prb")]
+    ahead = predicted.join(last, "cell")
+    for slope in slopes:
+        ahead = ahead.join(slope, "cell")
+    busy = F.try_divide("traffic", "__traffic") * F.col("__busy")
+    ahead = ahead.withColumns({v: busy * F.col(f"__{v}") for v in ("code", "power", "prb")}).select("cell", "site", "sector", "tech", "week_period", "code", "power", "prb")
+    seen = catalogue.dropna(subset=["band"]).join(predicted, "cell", "left_semi")
+    wide = N.cell_congestion(ahead.join(seen.select("cell", "band_width"), "cell", "left"), used="prb", share=share)
+    hot = F.when(F.col("tech") == "3G", (F.col("code") > 85) | (F.col("power") > 85)).when(F.col("tech") == "4G", F.col("congested"))
+    demand = N.sector_demand(wide.where(F.coalesce(hot, F.lit(False)))).withColumn("demand", F.round("demand", 6))
+    weeks = N.top_sector(demand).where(F.col("week_period") < before)
+    first = weeks.groupBy("site", "tech").agg(F.min_by(F.struct("week_period", "sector", "demand"), "week_period").alias("w")).select("site", "tech", "w.*")
+    cells = ahead.select("cell", "site").distinct().join(seen, "cell")
+    lists = [N.bands_per_site(cells.withColumn("both", F.concat("band", "band_width")), band=b, name=n) for b, n in (("band", "bands"), ("band_width", "bw_bands"), ("both", "band_bw"))]
+    flags = N.refarming_flags(N.site_features(ahead.withColumnRenamed("prb", "load")))
+    rows = first.join(flags, ["site", "week_period"])
+    for part in lists:
+        rows = rows.join(part, "site")
+    return N.weeks_after(rows.select("site", "sector", "week_period", "tech", "demand", N.choose_band().alias("choice")), history)
+
+
+def clean_skin_signal(samples: DataFrame, keys: Sequence[str], labels: DataFrame, rests: dict[str, str], driving: Sequence[str], value: str = "eda", rate: int = 1000, trigger: str = "trigger", **defects) -> DataFrame:
+    """Skin conductance of a recording from the raw samples to baseline-corrected ones.
+
+    Triggers are filled, defects repaired by trigger run, the signal low-passed (6th order, 1 Hz) and each sample labelled by
+    its epoch (labels: keys, epoch, first, last, label; -1 is an artefact).  Artefacts take the mean of the clean samples
+    of the driving phases around them.  Tonic and phasic parts come from the 8 Hz series, and each sample is corrected by
+    every rest phase (rests: name -> trigger).  Returns keys, tick, time, tonic, phasic and corrected_<name>.
+    """
+    filled = R.trigger_runs(R.fill_triggers(samples, keys, trigger), keys, trigger)
+    repaired = G.repaired_runs(filled, [*keys, "run"], value, **defects)
+    smooth = G.filtered(repaired, keys, f"{value}_repaired", float(rate), "low", 1.0).withColumn("filtered", F.col(f"{value}_repaired_filtered"))
+    marked = E.spread_labels(smooth, labels, keys)
+    clean = S.replace_artefacts(marked, keys, "filtered", F.col("label") == -1, F.col(trigger).isin(*driving))
+    ticks = S.to_8hz(clean, keys, "filtered_clean", rate)
+    step = max(rate // 8, 1)
+    at = clean.where(F.col("idx") % step == 0).select(*keys, (F.col("idx") / step).cast("long").alias("tick"), "time", trigger)
+    parts = G.tonic_phasic(ticks.join(at, [*keys, "tick"]).withColumn("eda", F.col("filtered_clean")), keys, "filtered_clean")
+    out = S.range_baseline(parts, keys, {n: F.col(trigger) == t for n, t in rests.items()}, order="tick")
+    return out.select(*keys, "tick", "time", "tonic", "phasic", *(f"corrected_{n}" for n in rests))
+
+
+def clean_heart_signal(samples: DataFrame, keys: Sequence[str], template: Sequence[float], value: str = "ecg", chunk: int = 60_000, threshold: float = -0.07, trees: int = 100, **joins) -> DataFrame:
+    """Heart signal with abnormal chunks replaced: keys, idx, value and score (that of the sample's chunk).
+
+    Chunks are described by their statistics and beats, gaps in these filled forward, scored by an isolation forest over
+    all recordings, and abnormal ones take the nearest clean chunk's samples; the joins are repaired.  A recording without
+    a clean chunk passes unchanged with score 0.
+    """
+    cut = R.chunks(samples.select(*keys, "idx", value), chunk)
+    by = [*keys, "chunk"]
+    tops = G.peaks(cut, by, value, joins.get("height", 0.5), joins.get("distance", 150))
+    beats = H.summary(H.nn_intervals(tops, by, "at", "n"), by, "n").select(*by, "nn_mean", "sdnn", "rmssd")
+    told = X.signal_statistics(cut, by, value).select(*by, "mean", "std", "max", "min", "rms").join(beats, by, "left")
+    told = S.fill_missing_chunks(told, keys, ["nn_mean", "sdnn", "rmssd"])
+    scored = M.isolation_scores(told, by, ["mean", "std", "max", "min", "rms", "nn_mean", "sdnn", "rmssd"], trees=trees, threshold=threshold)
+    marks = R.nearest_clean(scored.select(*by, "score", "abnormal"), keys)
+    spliced = G.spliced_chunks(cut.join(marks, by), keys, value).withColumn("spliced", F.col("abnormal") & F.col("donor").isNotNull())
+    kept = G.repaired_joins(spliced, keys, value, template, **joins)
+    hopeless = F.min(F.col("abnormal").cast("int")).over(Window.partitionBy(*keys)) == 1
+    return kept.withColumn("score", F.when(hopeless, 0.0).otherwise(F.col("score"))).select(*keys, "idx", value, "score")
+
+
+def feature_matrix(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], rest_phase: str, eda: str, rsp: str, ecg: str, rate: int = 8, bucket_s: float = 60.0, trigger: str = "trigger", **options) -> DataFrame:
+    """All features of each slalom in long form, outliers repaired over a recording's slaloms, in ratio to the rest phase:
+    keys, slalom, feature, value.
+
+    Blocks: statistics of each signal; wavelet statistics of each; skin responses; breaths; heart-rate variability
+    (time domain, nonlinear, bands).  The rest phase goes through the same blocks.
+    """
+    filled = R.fill_triggers(samples, keys, trigger)
+    inside = R.split_by_intervals(filled, intervals, keys, bucket_s=bucket_s)
+    place = Window.partitionBy(*keys, "slalom").orderBy("idx")
+    parts = feature_blocks(inside.withColumn("place", (F.row_number().over(place) - 1).cast("long")), [*keys, "slalom"], eda, rsp, ecg, rate, **options)
+    long = S.repair_outliers(parts, [*keys, "feature"], "slalom").drop("old", "repaired")
+    calm = R.in_phases(filled, [rest_phase], trigger)
+    rest = feature_blocks(calm.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1).cast("long")), list(keys), eda, rsp, ecg, rate, **options)
+    return X.normalised(long, rest, keys)
+
+
+def feature_blocks(df: DataFrame, by: Sequence[str], eda: str, rsp: str, ecg: str, rate: int = 8, wavelet: str = "db4", levels: int = 3, offset: float = 1.0, height: float = 0.5, beat_gap: int = 150, breath_gap: int = 8) -> DataFrame:
+    """by, feature, value; df has place (from 0, without gaps) inside ``by``."""
+    out = []
+    for name in dict.fromkeys((eda, rsp, ecg)):
+        stats = X.signal_statistics(df, by, name, "place")
+        out.append(X.to_long(stats.select(*by, *(F.col(c).alias(f"{name}_{c}") for c in stats.columns if c not in by)), by))
+        waves = X.level_statistics(G.wavelet_details(df, by, name, wavelet, levels, "place"), by, name, range(1, levels + 1))
+        out.append(X.to_long(waves, by))
+    skin = X.event_statistics(G.skin_responses(df, by, eda, "place", fs=rate, offset=offset), by, ["amplitude", "rise", "decay", "width", "auc"], "apex")
+    out.append(X.to_long(skin.select(*by, *(F.col(c).alias(f"scr_{c}") for c in skin.columns if c not in by)), by))
+    high = G.peaks(df, by, rsp, float("-inf"), breath_gap, "place")
+    low = G.peaks(df.withColumn(rsp, -F.col(rsp)), by, rsp, float("-inf"), breath_gap, "place").withColumn("amplitude", -F.col("amplitude"))
+    breath = X.event_statistics(X.breath_measures(high, low, by), by, ["out_breath", "in_breath"], "n")
+    breath = breath.join(high.groupBy(*by).agg(F.count("*").alias("peaks")), list(by)).join(low.groupBy(*by).agg(F.count("*").alias("troughs")), list(by))
+    out.append(X.to_long(breath.select(*by, *(F.col(c).alias(f"rsp_{c}") for c in breath.columns if c not in by)), by))
+    beats = G.peaks(df, by, ecg, height, beat_gap, "place").withColumn("beat_ms", F.col("at") * (1000.0 / rate))
+    nn = H.nn_intervals(beats, by, order="n").withColumnRenamed("n", "beat")
+    heart = H.summary(nn, by).join(H.poincare(nn, by), list(by), "left").join(G.nonlinear_measures(nn, by), list(by), "left").join(P.band_powers(P.power_spectra(H.beat_clock(nn, by), by), by), list(by), "left")
+    out.append(X.to_long(heart.select(*by, *(F.col(c).alias(f"hrv_{c}") for c in heart.columns if c not in by)), by))
+    return R.stack(*out)
+
+
 def interval_features(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], value: str, rest_phase: str, bucket_s: float = 60.0, trigger: str = "trigger") -> DataFrame:
     """Statistics per slalom, outliers repaired over a recording's slaloms, in ratio to the rest phase: keys, slalom, feature, value."""
     filled = R.fill_triggers(samples, keys, trigger)
@@ -41,10 +156,14 @@ def interval_features(samples: DataFrame, intervals: DataFrame, keys: Sequence[s
     return X.normalised(long, rest, keys)
 
 
-def time_domain(nn: DataFrame, keys: Sequence[str], binsize: float = 7.8125) -> DataFrame:
-    """Summary, triangular index, TINN and Poincare plot of each series, side by side."""
+def time_domain(nn: DataFrame, keys: Sequence[str], binsize: float = 7.8125, duration_s: float = 300.0) -> DataFrame:
+    """Summary, triangular index, TINN and Poincare plot of each series, and its segments' deviations, side by side.
+
+    Series not longer than a segment have null deviations of segments.
+    """
     hist = H.histogram(nn, keys, binsize)
-    return X.wide_concat([H.summary(nn, keys), H.triangular_index(hist, keys), H.tinn(hist, keys, binsize), H.poincare(nn, keys)], keys)
+    whole = X.wide_concat([H.summary(nn, keys), H.triangular_index(hist, keys), H.tinn(hist, keys, binsize), H.poincare(nn, keys)], keys)
+    return whole.join(H.segment_deviations(H.segments(nn, keys, duration_s), keys), list(keys), "left")
 
 
 def frequency_domain(nn: DataFrame, keys: Sequence[str], methods: Sequence[str] = ("welch", "lomb", "yule-walker"), **options) -> DataFrame:
@@ -57,14 +176,21 @@ def nonlinear(nn: DataFrame, keys: Sequence[str]) -> DataFrame:
     return X.wide_concat([H.poincare(nn, keys), G.nonlinear_measures(nn, keys)], keys)
 
 
-def hrv_report(nn: DataFrame, keys: Sequence[str], duration_s: float = 300.0, binsize: float = 7.8125) -> DataFrame:
-    """Time-domain and nonlinear measures and Welch bands of each segment: keys, segment and the measures."""
+def hrv_report(nn: DataFrame, keys: Sequence[str], duration_s: float = 300.0, binsize: float = 7.8125, order: int = 16, nfft: int = 4096) -> DataFrame:
+    """Time-domain and nonlinear measures and bands by all three methods of each segment: keys, segment and the measures.
+
+    The deviations of segments are those of the whole series, the same in all its rows.
+    """
     parts = H.segments(nn, keys, duration_s)
     by = [*keys, "segment"]
     timed = H.beat_clock(parts, by)
-    measures = G.nonlinear_measures(parts, by)
-    bands = P.band_powers(P.power_spectra(timed, by), by)
-    return time_domain(parts, by, binsize).join(measures, by, "left").join(bands, by, "left")
+    hist = H.histogram(parts, by, binsize)
+    out = X.wide_concat([H.summary(parts, by), H.triangular_index(hist, by), H.tinn(hist, by, binsize), H.poincare(parts, by)], by)
+    out = out.join(G.nonlinear_measures(parts, by), by, "left")
+    for method, options in (("welch", {"nfft": nfft}), ("lomb", {}), ("yule-walker", {"order": order, "nfft": nfft})):
+        bands = P.band_powers(P.power_spectra(timed, by, method=method, **options), by)
+        out = out.join(bands.select(*by, *(F.col(c).alias(f"{method.replace('-', '_')}_{c}") for c in bands.columns if c not in by)), by, "left")
+    return out.join(H.segment_deviations(parts, keys), list(keys), "left")
 
 
 def feature_selection(sample: DataFrame, features: Sequence[str], target: str, taus: Sequence[float], lams: Sequence[float], top: int = 30) -> DataFrame:
@@ -75,7 +201,7 @@ def feature_selection(sample: DataFrame, features: Sequence[str], target: str, t
 
 def repeated_evaluation(df: DataFrame, key: str, features: Sequence[str], target: str, threshold: float, repeats: int = 15, trees: int = 100, seed: int = 0, **options) -> DataFrame:
     """rep, auc of the forest's median against the binarised target, on repeated hash-random splits."""
-    splits = V.repeated_splits(df, key, repeats, seed=seed).cache()
+    splits = V.repeated_splits(df, key, repeats, seed=seed)
     curves = None
     for rep in range(repeats):
         own = splits.where(F.col("rep") == rep)

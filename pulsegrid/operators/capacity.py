@@ -149,15 +149,38 @@ def without_idle(df: DataFrame, state: str = "state", band: str = "band") -> Dat
     return df.where((F.col(state) != "NO_CONGESTION") & F.col(band).isNotNull())
 
 
-def densify(df: DataFrame, demand: str = "demand", free: Sequence[str] = ("LTE900", "LTE1800", "LTE2100"), step: float = 5.0, cap: int = 20) -> DataFrame:
-    """4G widening in 5 MHz steps until the demand is met: adds added_mhz and new_site.
+def densify(df: DataFrame, demand: str = "demand", bands: str = "bands", band_bw: str = "band_bw", bw: str = "bw_bands", tech: str = "tech", r2: str = "refarming_2g", r3: str = "refarming_3g") -> DataFrame:
+    """Adds upgrade, left (MHz of 4G demand still open) and new_site.
 
-    free: columns with the width still free in each band, used in order.  The steps have a closed form, so no loop runs.
+    3G: the carrier that the decision table of ``choose_band`` names.  4G: 5 MHz steps as long as at least 5 MHz are open.
+    A step refarms 3G or 2G spectrum into 2100 (or 900) MHz and adds that band to the site's; without spectrum to refarm
+    the site needs a new one.  What a step gives depends only on the bands and flags of the site, and a step adds a band
+    that is there already or moves the site to the next row of the table, so that the steps have a closed form.
     """
-    need = F.ceil(F.greatest(F.col(demand), F.lit(0.0)) / step)
-    room = sum((F.floor(F.coalesce(F.col(c), F.lit(0.0)) / step) for c in free), F.lit(0))
-    steps = F.least(need, room, F.lit(cap))
-    return df.withColumns({"added_mhz": steps * step, "new_site": need > steps})
+    BA, BB = F.col(bands), F.col(band_bw)
+    l18, l21, l9 = BA.contains("LTE1800"), BA.contains("LTE2100"), BA.contains("LTE900")
+    two, three = F.col(r2) == 1, F.col(r3) == 1
+    steps = F.when(F.col(demand) >= 5, F.floor(F.col(demand) / 5)).otherwise(0).cast("int")
+    narrow = BB.contains("LTE21005M")
+
+    def refarmed(can: Column, band: str) -> Column:
+        return F.when(can, F.lit(band))
+
+    # The 4G table, by the bands of the site; null where the site needs a new one, '' where nothing applies.
+    step = F.when(l18 & l21 & ~l9, refarmed(three | two, "5M_LTE2100")).when(l18 & ~l21 & ~l9 & narrow, refarmed(three | two, "5M_LTE2100")).when(l18 & l21 & l9, refarmed(three, "5M_LTE2100")).otherwise(F.lit(""))
+    four = (F.col(tech) == "4G") & (steps > 0)
+    own = df.withColumns({"__step": step, "__steps": F.when(four, steps).otherwise(0)})
+    acts = (F.col("__step") != "") & (F.col("__steps") > 0)
+    new_site = four & F.col("__step").isNull()
+    widened = F.when(new_site, "_2600TDD/newsite").when(acts, F.expr("repeat(__step, __steps)")).when(four, "NO_ACTION").otherwise("")
+    carrier = F.regexp_replace(choose_band(bw, band_bw, bands, tech, r2, r3), "New_Site", "new_site")
+    left = F.when(F.col(tech) == "4G", F.col(demand) - F.when(acts, 5.0 * F.col("__steps")).otherwise(0.0))
+    return own.withColumns({"upgrade": F.when(F.col(tech) == "3G", F.coalesce(carrier, F.lit(""))).otherwise(widened), "left": left, "new_site": new_site | ((F.col(tech) == "3G") & F.coalesce(carrier == "new_site", F.lit(False)))}).drop("__step", "__steps")
+
+
+def sorted_series(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of a key together in one partition, in order: windows and grouped functions by these keys shuffle no more."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
 def any_band(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:

@@ -60,17 +60,21 @@ def coefficient_features(df: DataFrame, keys: Sequence[str], columns: Sequence[s
 def svm_scores(rows: DataFrame, model: DataFrame, keys: Sequence[str], features: str, gamma: float, intercept: float, most: int = 10_000) -> DataFrame:
     """RBF-SVM decision: keys, decision, label (sign, 0 if exactly 0).
 
-    rows: keys and an array of features.  model: sv_id, coef, sv; an argument table of at most ``most`` support vectors
-    (checked), which is folded into one row and joined to all rows as a broadcast.
+    rows: keys and an array of features.  model: sv_id, coef, sv.  Up to ``most`` support vectors (counted) are broadcast
+    as one array; more are dealt to parts of that size, each row meets every part, and the sums of equal keys, which must be unique then, are added up.
     """
-    if model.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} support vectors")
-    whole = model.agg(F.sort_array(F.collect_list(F.struct("sv_id", "coef", "sv"))).alias("__model"))
+    parts = max(1, -(-model.count() // most))
+    folded = model.groupBy(F.pmod(F.xxhash64("sv_id"), F.lit(parts)).alias("__part")).agg(F.sort_array(F.collect_list(F.struct("sv_id", "coef", "sv"))).alias("__model"))
     total = F.aggregate(
         "__model", F.lit(0.0),
         lambda acc, m: acc + m["coef"] * F.exp(-gamma * F.aggregate(F.zip_with(m["sv"], F.col(features), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)),
     )
-    return rows.join(F.broadcast(whole)).select(*keys, (total + intercept).alias("decision")).withColumn("label", F.signum("decision").cast("int"))
+    own = rows.withColumn("__part", F.lit(0).cast("long") if parts == 1 else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    if parts == 1:
+        scored = own.join(F.broadcast(folded), "__part", "left").select(*keys, (F.coalesce(total, F.lit(0.0)) + intercept).alias("decision"))
+    else:
+        scored = own.join(folded, "__part").select(*keys, total.alias("__s")).groupBy(*keys).agg((F.sum("__s") + intercept).alias("decision"))
+    return scored.withColumn("label", F.signum("decision").cast("int"))
 
 
 def one_vs_one(score_01: Column, score_02: Column, score_12: Column, labels: tuple[int, int, int] = (-1, 0, 1)) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from ..functions.lineage import cut_lineage
 
 
 def binarise(score: Column, threshold: float = 2.6) -> Column:
@@ -15,22 +16,35 @@ def binarise(score: Column, threshold: float = 2.6) -> Column:
     return F.when(~F.isnan(score) & (score <= threshold), 0).otherwise(1)
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds __at, the place (from 1) of a row in its group by ``order``, and __n, the group's rows.
+
+    Rows are range-partitioned by keys and order; a row's place is its place in its partition plus the counts of its
+    group's partitions before.  So a group may be as large as the table, and none is sorted in one task.
+    """
+    by = [*keys, *order]
+    ranged = cut_lineage(df.repartitionByRange(*by).withColumn("__pid", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "__pid").agg(F.count("*").alias("__here"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    counts = counts.withColumns({"__n": F.sum("__here").over(w), "__before": F.coalesce(F.sum("__here").over(w.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    place = F.row_number().over(Window.partitionBy("__pid", *keys).orderBy(*order))
+    return ranged.join(F.broadcast(counts.drop("__here")), [*keys, "__pid"]).withColumn("__at", F.col("__before") + place).drop("__pid", "__before")
+
+
 def repeated_splits(df: DataFrame, key: str, repeats: int, train_share: float = 0.75, seed: int = 0, total: int | None = None) -> DataFrame:
     """Adds rep and train for each repeat: a hash-random share of exactly int(train_share * n) rows trains.
 
     Rows are ranked by the hash of (seed, repeat, key) inside each repeat.
     """
-    n = df.count() if total is None else total
     reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    at = F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat_ws("/", F.lit(seed), "rep", key)), key))
-    return reps.withColumn("train", at <= int(train_share * n))
+    hashed = reps.withColumn("__hash", F.md5(F.concat_ws("/", F.lit(seed), "rep", key)))
+    n = F.col("__n") if total is None else F.lit(total)
+    return ranked(hashed, ["rep"], ["__hash", key]).withColumn("train", F.col("__at") <= F.floor(train_share * n)).drop("__hash", "__at", "__n")
 
 
 def first_share(df: DataFrame, order: str, share: float = 0.33, keys: Sequence[str] = ()) -> DataFrame:
     """The first int(share * n) rows by an explicit order key, per group."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    own = df.withColumns({"__n": F.count("*").over(w), "__at": F.row_number().over(w.orderBy(order))})
-    return own.where(F.col("__at") <= F.floor(F.col("__n") * share)).drop("__n", "__at")
+    return ranked(df, keys, [order]).where(F.col("__at") <= F.floor(F.col("__n") * share)).drop("__n", "__at")
 
 
 def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -93,13 +107,30 @@ def scaled_by_feature(df: DataFrame, value: str = "coef") -> DataFrame:
     return df.withColumn("scaled", F.try_divide(F.col(value) - F.min(value).over(w), F.max(value).over(w) - F.min(value).over(w)))
 
 
-def kendall_tau(df: DataFrame, keys: Sequence[str], x: str, y: str, order: str) -> DataFrame:
-    """Kendall tau-b by counting pairs in a self-join inside each group; for groups of up to about 10,000 rows."""
-    a = df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(order).alias("__o"))
-    b = a.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__x").alias("__x2"), F.col("__y").alias("__y2"), F.col("__o").alias("__o2"))
-    on = F.col("__o") < F.col("__o2")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    dx, dy = F.signum(F.col("__x") - F.col("__x2")), F.signum(F.col("__y") - F.col("__y2"))
-    sums = a.join(b, on).groupBy(*keys).agg(F.sum(dx * dy).alias("__s"), F.sum(dx * dx).alias("__nx"), F.sum(dy * dy).alias("__ny"))
-    return sums.select(*keys, F.try_divide(F.col("__s"), F.sqrt(F.col("__nx") * F.col("__ny"))).alias("tau"))
+def kendall_tau(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """keys, tau: Kendall tau-b of each group; rows with a null on either side are left out, no two pairs give null.
+
+    Pairs are counted, not listed.  Rows are ordered by x, then y.  Two rows are in the wrong order when the ranks of
+    their y agree above some bit and that bit is 1 in the earlier row, 0 in the later: for each bit, and each value of the
+    bits above it, a running count of ones is added up over the zeros.  That makes n log n rows instead of n * n pairs.
+    """
+    w = Window.partitionBy(*keys)
+    own = df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
+    own = own.withColumns({"__yr": F.dense_rank().over(w.orderBy("__y")) - 1, "__xr": F.row_number().over(w.orderBy("__x", "__y"))})
+    bits = F.length(F.bin(F.max("__yr").over(w).cast("long")))
+    levels = own.withColumn("__b", F.explode(F.sequence(F.lit(0), bits - 1)))
+    levels = levels.withColumns({"__one": F.expr("shiftright(cast(__yr as bigint), __b) % 2"), "__above": F.expr("shiftright(cast(__yr as bigint), __b + 1)")})
+    before = F.sum("__one").over(Window.partitionBy(*keys, "__b", "__above").orderBy("__xr").rowsBetween(Window.unboundedPreceding, 0))
+    wrong = levels.withColumn("__wrong", F.when(F.col("__one") == 0, before).otherwise(0)).groupBy(*keys).agg(F.sum("__wrong").alias("__d"))
+
+    def pairs(n):
+        return (n * (n - 1) / 2).cast("double")
+
+    ties = {}
+    for name, by in (("__all", []), ("__tx", ["__x"]), ("__ty", ["__y"]), ("__txy", ["__x", "__y"])):
+        ties[name] = own.groupBy(*keys, *by).agg(F.count("*").alias("__c")).groupBy(*keys).agg(F.sum(pairs(F.col("__c"))).alias(name))
+    sums = wrong
+    for part in ties.values():
+        sums = sums.join(part, list(keys))
+    good = F.col("__all") - F.col("__tx") - F.col("__ty") + F.col("__txy") - 2 * F.col("__d")
+    return sums.select(*keys, F.try_divide(good, F.sqrt((F.col("__all") - F.col("__tx")) * (F.col("__all") - F.col("__ty")))).alias("tau"))

@@ -132,6 +132,18 @@ def tinn(hist: DataFrame, keys: Sequence[str], binsize: float = 7.8125) -> DataF
     import numpy as np
     import pyarrow as pa
 
+    def side(d: np.ndarray, top: float) -> tuple[int, float]:
+        """Where a line to ``top``, one bin behind the last, has to start at 0, and its squared error, by running sums."""
+        m = len(d)
+        at = np.arange(m)
+        # Sums over the bins from a on: of d * d, d, and d * place.
+        ones, places = (np.cumsum(v[::-1])[::-1] for v in (d, d * at))
+        run = m - at  # bins from a on; the line rises by top / run a bin
+        squares = (run - 1) * run * (2 * run - 1) / 6  # of 0 .. run - 1
+        error = (d * d).sum() - 2 * top / run * (places - at * ones) + (top / run) ** 2 * squares
+        best = int(error.round(6).argmin())  # ties to the widest
+        return best, float(error[best])
+
     def fit(key: tuple, table: pa.Table) -> pa.Table:
         bins, n = table.column("bin").to_numpy(), table.column("n").to_numpy()
         d = np.zeros(int(bins.max()) + 2)
@@ -141,12 +153,10 @@ def tinn(hist: DataFrame, keys: Sequence[str], binsize: float = 7.8125) -> DataF
         best = (2.0**14, 0.0, 0.0)
         left, right = np.arange(top), np.arange(top + 1, len(d))
         if len(left) and len(right):
-            rise = np.array([[(d[top] * (i - a) / (top - a) if i >= a else 0) for i in range(top)] for a in left]) if top else np.zeros((1, 0))
-            fall = np.array([[(d[top] * (b - i) / (b - top) if i <= b else 0) for i in range(top + 1, len(d))] for b in right])
-            el, er = ((rise - d[:top]) ** 2).sum(axis=1), ((fall - d[top + 1 :]) ** 2).sum(axis=1)
-            i, j = int(el.argmin()), int(er.argmin())  # the two sides are independent
-            if el[i] + er[j] < best[0]:
-                best = (el[i] + er[j], edges[left[i]], edges[right[j]])
+            i, el = side(d[:top], d[top])
+            j, er = side(d[:top:-1], d[top])  # the two sides are independent
+            if el + er < best[0]:
+                best = (el + er, edges[i], edges[len(d) - 1 - j])
         out = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}
         return pa.table(out | {"tinn_n": pa.array([float(best[1])]), "tinn_m": pa.array([float(best[2])]), "tinn": pa.array([float(best[2] - best[1])])})
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
 from .evaluation import weighted_percentiles
 
 
@@ -35,7 +36,9 @@ def isolation_scores(df: DataFrame, keys: Sequence[str], features: Sequence[str]
     n = data.count()
     share = min(1.0, 1.5 * rows / max(n, 1))
     million = 1_000_000
-    picked = data.select("__x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.struct(*keys).alias("__key")).where(F.pmod(F.xxhash64(F.lit(seed), "tree", "__key"), F.lit(million)) < math.ceil(share * million))
+    # The trees that take a row are chosen inside the row: only sampled rows are multiplied.
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("__key")), F.lit(million)) < math.ceil(share * million))
+    picked = data.select("__x", F.struct(*keys).alias("__key")).select("__x", F.explode(chosen).alias("tree"), "__key")
 
     def grow(key: tuple, table: pa.Table) -> pa.Table:
         tree = key[0].as_py()
@@ -121,20 +124,23 @@ def _fit_quantile(x: np.ndarray, y: np.ndarray, tau: float, lam: float, rounds:
 
 
 def quantile_regression_grid(sample: DataFrame, features: Sequence[str], target: str, taus: Sequence[float], lams: Sequence[float], most: int = 20_000) -> DataFrame:
-    """tau, lam, feature, coef for each grid cell; one task per cell on the selection sample, features standardised.
+    """tau, lam, feature, coef for each grid cell, features standardised.  The intercept has the name ''.
 
-    The sample (at most ``most`` rows, checked) is collected once and shipped to the tasks.  The intercept has the name ''.
-    Rows with nulls are left out.
+    A sample of at most ``most`` rows (counted) is broadcast, one task fits one cell.  A larger one stays where it is: see
+    ``_fit_in_place``.  Rows with nulls are left out.
     """
     spark = sample.sparkSession
-    rows = sample.select(*features, target).dropna().limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"the selection sample has more than {most} rows")
+    rows = sample.select(*(F.col(c).cast("double").alias(c) for c in (*features, target))).dropna()
+    grid = [(float(t), float(v)) for t in taus for v in lams]
+    names = ["", *features]
+    if rows.count() > most:
+        fitted = _fit_in_place(rows, features, target, grid)
+        return spark.createDataFrame([(t, v, n, float(b)) for (t, v), beta in zip(grid, fitted, strict=True) for n, b in zip(names, beta, strict=True)], "tau double, lam double, feature string, coef double")
+    rows = rows.toPandas()
     x, y = rows[list(features)].to_numpy(float), rows[target].to_numpy(float)
     spread = x.std(axis=0)
     x = np.where(spread > 0, (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1), 0.0)
     shared = spark.sparkContext.broadcast((x, y))
-    names = ["", *features]
 
     def fit(batches):
         for batch in batches:
@@ -146,10 +152,67 @@ def quantile_regression_grid(sample: DataFrame, features: Sequence[str], target:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], ["tau", "lam", "feature", "coef"])
 
-    cells = spark.createDataFrame([(float(t), float(v)) for t in taus for v in lams], "tau double, lam double").repartition(len(taus) * len(lams))
+    cells = spark.createDataFrame(grid, "tau double, lam double").repartition(len(grid))
     return cells.mapInArrow(fit, "tau double, lam double, feature string, coef double")
 
 
+def _penalised(gram: np.ndarray, right: np.ndarray, lam: float, beta: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Minimum of b'Gb / 2 - r'b + lam |b| (not of the intercept), by coordinate descent."""
+    beta = beta.copy()
+    for _ in range(rounds):
+        before = beta.copy()
+        for j in range(len(beta)):
+            rest = right[j] - gram[j] @ beta + gram[j, j] * beta[j]
+            beta[j] = 0.0 if gram[j, j] <= 0 else (rest if j == 0 else np.sign(rest) * max(abs(rest) - lam, 0.0)) / gram[j, j]
+        if np.abs(beta - before).max() < 1e-10:
+            break
+    return beta
+
+
+def _fit_in_place(rows: DataFrame, features: Sequence[str], target: str, grid: list[tuple[float, float]], rounds: int = 60) -> list[np.ndarray]:
+    """The same minima over any number of rows, by majorising the pinball loss with quadratics.
+
+    A round is one pass for all grid cells: tasks add up weighted products of the features (p * p numbers a cell) for the
+    coefficients of the round before, Spark sums them up, and the driver solves p equations a cell.
+    """
+    spark = rows.sparkSession
+    stats = rows.agg(F.count("*"), *(f(c) for c in (*features, target) for f in (F.avg, F.stddev_pop))).first()
+    n, mean, spread = stats[0], np.array(stats[1::2], float), np.array(stats[2::2], float)
+    scale = np.where(spread[:-1] > 0, spread[:-1], np.inf)
+    unit, p, cells = float(spread[-1]) or 1.0, len(features) + 1, len(grid)
+    kept = cut_lineage(rows.select(F.array(*features).alias("x"), F.col(target).alias("y")))
+    betas = np.zeros((cells, p))
+    betas[:, 0] = mean[-1] / unit
+    blur = 1e-2
+    for step in range(rounds):
+        shared = spark.sparkContext.broadcast((betas, mean[:-1], scale, unit, blur, np.array([t for t, _ in grid])))
+
+        def sums(batches, shared=shared):
+            beta, centre, scale, unit, blur, taus = shared.value
+            grams, rights = np.zeros((len(beta), len(centre) + 1, len(centre) + 1)), np.zeros((len(beta), len(centre) + 1))
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                a, y = np.column_stack([np.ones(len(x)), (x - centre) / scale]), batch.column("y").to_numpy() / unit
+                for c in range(len(beta)):
+                    w = 0.5 / (blur + np.abs(y - a @ beta[c]))
+                    grams[c] += (a * w[:, None]).T @ a
+                    rights[c] += a.T @ (w * y + taus[c] - 0.5)
+            flat = [np.concatenate([g.ravel(), r]).tolist() for g, r in zip(grams, rights, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(beta)), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], ["cell", "sums"])
+
+        parts = kept.mapInArrow(sums, "cell int, sums array<double>").select("cell", F.posexplode("sums").alias("at", "v")).groupBy("cell", "at").agg(F.sum("v").alias("v"))
+        table = parts.toPandas()  # cells * p * (p + 1) numbers
+        total = np.zeros((cells, p * p + p))
+        total[table["cell"].to_numpy(), table["at"].to_numpy()] = table["v"].to_numpy()
+        before = betas
+        betas = np.array([_penalised(total[c, : p * p].reshape(p, p) / n, total[c, p * p :] / n, grid[c][1], betas[c]) for c in range(cells)])
+        shared.unpersist()
+        blur = max(blur / 1.5, 1e-6)
+        if step > 30 and np.abs(betas - before).max() < 1e-7:
+            break
+    return list(unit * betas)
+
+
 # ------------------------------------------------------------------------------------------------ quantile forest
 
 
@@ -164,7 +227,7 @@ def quantile_forest(train: DataFrame, test: DataFrame, key: str, features: Seque
     from pyspark.ml.regression import DecisionTreeRegressor
 
     assemble = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip")
-    known, asked = assemble.transform(train.where(F.col(target).isNotNull())).cache(), assemble.transform(test)
+    known, asked = cut_lineage(assemble.transform(train.where(F.col(target).isNotNull()))), cut_lineage(assemble.transform(test).select(key, "__features"))
     leaves, reached = None, None
     limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
     for t in range(trees):

@@ -83,23 +83,30 @@ def rest_baseline(df: DataFrame, keys: Sequence[str], value: str, rest: Column,
     return df.withColumn(value, F.try_divide(F.col(value), mean) if how == "divide" else F.col(value) - mean)
 
 
-def range_baseline(df: DataFrame, keys: Sequence[str], rest: Column, tonic: str = "tonic", phasic: str = "phasic", changing: str = "eda", order: str = "idx", fallback_rows: int = 300) -> DataFrame:
-    """(tonic - lowest rest tonic) / (highest tonic - lowest rest tonic) + phasic / highest phasic.  Adds corrected.
+def range_baseline(df: DataFrame, keys: Sequence[str], rests: dict[str, Column], tonic: str = "tonic", phasic: str = "phasic", changing: str = "eda", order: str = "idx", time: str = "time", fallback_s: float = 300.0) -> DataFrame:
+    """(tonic - lowest rest tonic) / (highest tonic - lowest rest tonic) + phasic / highest phasic, for each rest phase.
 
-    Rest rows count after the first change of ``changing``; without any, the ``fallback_rows`` rows after that change.
+    rests: name -> which rows are of that phase.  Adds corrected_<name>.  Rows of the first phase count after the first
+    change of ``changing`` only.  Without rows of any phase, the phases are the ``fallback_s`` seconds from that change on,
+    one after the other.
     """
     p = Window.partitionBy(*keys)
     w = p.orderBy(order)
-    df = df.withColumn("__moves", F.when(F.col(changing) != F.lead(changing).over(w), F.col(order)))
-    df = df.withColumn("__first", F.min("__moves").over(p))
-    after = F.col(order) > F.col("__first")
-    stats = df.groupBy(*keys).agg(
-        F.min(F.when(rest & after, F.col(tonic))).alias("__rest"), F.min(F.when(after & (F.col(order) <= F.col("__first") + fallback_rows), F.col(tonic))).alias("__fall"),
-        F.max(tonic).alias("__top"), F.max(phasic).alias("__high"),
-    )
-    low = F.coalesce("__rest", "__fall")
-    corrected = F.try_divide(F.col(tonic) - low, F.col("__top") - low) + F.try_divide(F.col(phasic), F.col("__high"))
-    return df.join(stats, list(keys)).withColumn("corrected", corrected).drop("__moves", "__first", "__rest", "__fall", "__top", "__high")
+    moved = F.col(changing) != F.lead(changing).over(w)
+    df = df.withColumns({"__moves": F.when(moved, F.col(order)), "__at": F.when(moved, F.col(time))})
+    df = df.withColumns({"__first": F.min("__moves").over(p), "__clock": F.min("__at").over(p)})
+    aggs = [F.max(tonic).alias("__top"), F.max(phasic).alias("__high")]
+    for i, rest in enumerate(rests.values()):
+        own = rest & (F.col(order) > F.col("__first")) if i == 0 else rest
+        since = F.col(time) - F.col("__clock")
+        aggs += [F.min(F.when(own, F.col(tonic))).alias(f"__rest{i}"), F.min(F.when((since >= i * fallback_s) & (since < (i + 1) * fallback_s), F.col(tonic))).alias(f"__fall{i}")]
+    stats = df.groupBy(*keys).agg(*aggs)
+    none = F.coalesce(*(F.col(f"__rest{i}") for i in range(len(rests)))).isNull()
+    out = df.join(stats, list(keys))
+    for i, name in enumerate(rests):
+        low = F.when(none, F.col(f"__fall{i}")).otherwise(F.col(f"__rest{i}"))
+        out = out.withColumn(f"corrected_{name}", F.try_divide(F.col(tonic) - low, F.col("__top") - low) + F.try_divide(F.col(phasic), F.col("__high")))
+    return out.drop("__moves", "__at", "__first", "__clock", "__top", "__high", *(f"__{k}{i}" for k in ("rest", "fall") for i in range(len(rests))))
 
 
 def replace_artefacts(df: DataFrame, keys: Sequence[str], value: str, artefact: Column, phases: Column, half_s: float = 60.0, grid_s: float = 5.0, time: str = "time", order: str = "idx") -> DataFrame:
@@ -154,8 +161,10 @@ def stillness(df: DataFrame, keys: Sequence[str], value: str, order: str = "tick
 def autocorrelation(df: DataFrame, keys: Sequence[str], value: str, lags: int, norm: str = "biased", order: str = "idx", other: str | None = None) -> DataFrame:
     """keys, lag, r: sum of x[i + lag] y[i] over i; biased: / N, unbiased: / (N - lag), coeff: / sqrt(r_xx r_yy), raw.
 
-    Lags are frames of one sorted window each; for few lags (up to about 50).
+    Up to 50 lags are frames of one sorted window; more are sums over chunks of their spectral products.
     """
+    if lags > 50:
+        return _many_lags(df, keys, value, lags, norm, order, other)
     y = F.col(other or value)
     x = F.coalesce(F.col(value), F.lit(0.0))
     w = Window.partitionBy(*keys).orderBy(order)
@@ -167,6 +176,38 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], value: str, lags: int, n
     return long.select(*keys, "lag", F.try_divide(F.col("r"), by.cast("double")).alias("r"))
 
 
+def _many_lags(df: DataFrame, keys: Sequence[str], value: str, lags: int, norm: str, order: str, other: str | None, n: int = 65_536) -> DataFrame:
+    """Each chunk of n rows multiplies its y with its x and the ``lags`` rows that follow, by Fourier transform."""
+    import numpy as np
+    import pyarrow as pa
+
+    x, y = F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.coalesce(F.col(other or value).cast("double"), F.lit(0.0))
+    place = (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long")
+    rows = df.select(*keys, place.alias("__at"), x.alias("__x"), y.alias("__y"))
+    n = max(n, lags + 1)
+    own = F.floor(F.col("__at") / n)
+    to = F.array_compact(F.array(own, F.when((F.col("__at") % n < lags) & (own > 0), own - 1)))
+    spread = rows.withColumn("__chunk", F.explode(to)).withColumn("__own", F.col("__chunk") == own)
+
+    def products(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("__at")
+        x, own = table.column("__x").to_numpy(), table.column("__own").to_numpy(zero_copy_only=False).astype(bool)
+        y = np.where(own, table.column("__y").to_numpy(), 0.0)
+        size = 1 << (len(x) + lags).bit_length()
+        r = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)[: lags + 1]
+        mine = x[own]
+        out = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=False)}
+        return pa.table(out | {"__r": pa.array([r.tolist()], pa.list_(pa.float64())), "__n": pa.array([int(own.sum())]), "__xx": pa.array([float(mine @ mine)]), "__yy": pa.array([float(y @ y)])})
+
+    kinds = dict(df.dtypes)
+    parts = spread.groupBy(*keys, "__chunk").applyInArrow(products, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", __r array<double>, __n long, __xx double, __yy double")
+    whole = parts.groupBy(*keys).agg(F.sum("__n").alias("__n"), F.sum("__xx").alias("__xx"), F.sum("__yy").alias("__yy"))
+    sums = parts.select(*keys, F.posexplode("__r").alias("lag", "__p")).groupBy(*keys, "lag").agg(F.sum("__p").alias("r")).join(whole, list(keys))
+    n_, lag = F.col("__n"), F.col("lag")
+    by = {"biased": n_, "unbiased": F.when(n_ > lag, n_ - lag), "coeff": F.sqrt(F.col("__xx") * F.col("__yy")), "raw": F.lit(1.0)}[norm]
+    return sums.select(*keys, "lag", F.try_divide(F.col("r"), by.cast("double")).alias("r"))
+
+
 def rolling(df: DataFrame, keys: Sequence[str], value: str, aggregates: dict, n: int | None = None, seconds: float | None = None, order: str = "beat", clock: str = "time") -> DataFrame:
     """Aggregates over the n beats, or the seconds, around each beat.
 

@@ -1,7 +1,7 @@
 """Signal processing of recordings with numpy helpers inside Spark groups.
 
 A group is one segment, run, or chunk with a halo, so its size is bounded by the parameters; whole recordings are taken
-only for what is recursive, after decimation to 8 Hz.  Groups are sorted by ``order`` before a helper sees them.  Nulls
+only for what is recursive or global in them (zero-phase filters, wavelets, entropy).  Groups are sorted by ``order`` before a helper sees them.  Nulls
 in a signal are interpolated linearly for the helpers; groups without values give nulls or no rows.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals as H
@@ -91,27 +91,52 @@ def _rows(df: DataFrame, keys: Sequence[str], order: str, f: Callable, fields: d
 
 
 def peaks(df: DataFrame, keys: Sequence[str], value: str, height: float, distance: int, order: str = "idx") -> DataFrame:
-    """keys, n, at (position in the order column), amplitude."""
+    """keys, n, at (position in the order column), amplitude: local maxima from the highest down, at least ``distance`` apart.
 
-    def f(t):
-        x, at = _filled(t.column(value)), t.column(order).to_numpy()
-        found = H.find_peaks(x, height, distance)
-        return {"n": list(range(len(found))), "at": at[found], "amplitude": x[found]}
-
-    return _rows(df, keys, order, f, {"n": pa.int32(), "at": pa.int64(), "amplitude": pa.float64()}, "n int, at long, amplitude double")
-
-
-def skin_responses(df: DataFrame, keys: Sequence[str], value: str, order: str = "tick", **options) -> DataFrame:
-    """keys and one row per skin response: apex, start, end (ticks), amplitude, rise, decay, width (s), auc, max_slope."""
+    Maxima come from neighbouring rows.  Runs of maxima less than ``distance`` apart don't touch each other, so only the
+    maxima of one run meet in a group.  Of a plateau the first sample counts; gaps in the signal are left out.
+    """
+    own = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(order).cast("long").alias("at"), F.col(value).cast("double").alias("amplitude"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    before, after = F.lag("amplitude").over(w), F.lead("amplitude").over(w)
+    place = F.row_number().over(w)
+    top = own.withColumns({"__before": before, "__after": after, "__place": place}).where((F.col("amplitude") > F.col("__before")) & (F.col("amplitude") >= F.col("__after")) & (F.col("amplitude") >= height))
+    far = F.col("__place") - F.lag("__place").over(w) >= distance
+    run = F.sum(F.when(far, 1).otherwise(0)).over(w)
+    runs = top.withColumn("__run", run).select(*keys, "at", "amplitude", "__place", "__run")
+
+    def taken(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__place")
+        place, x = table.column("__place").to_numpy(), table.column("amplitude").to_numpy()
+        keep = np.zeros(len(x), bool)
+        blocked = np.zeros(len(x), bool)
+        for i in np.argsort(-x, kind="stable"):
+            if not blocked[i]:
+                keep[i] = True
+                blocked[np.searchsorted(place, place[i] - distance + 1) : np.searchsorted(place, place[i] + distance)] = True
+        return table.filter(pa.array(keep))
+
+    kept = runs.groupBy(*keys, "__run").applyInArrow(taken, runs.schema)
+    return kept.select(*keys, (F.row_number().over(w) - 1).cast("int").alias("n"), "at", "amplitude")
+
+
+def skin_responses(df: DataFrame, keys: Sequence[str], value: str, order: str = "tick", n: int = 65_536, **options) -> DataFrame:
+    """keys and one row per skin response: apex, start, end (ticks), amplitude, rise, decay, width (s), auc, max_slope.
+
+    A response reaches some seconds only, so chunks of n ticks with a halo give the same as the whole recording.
+    """
     names = ["amplitude", "rise", "decay", "width", "auc", "max_slope"]
+    fs = options.get("fs", 8)
+    halo = 2 * int((options.get("start_wt", 4.0) + options.get("end_wt", 4.0) + options.get("offset", 1.0) + 1) * fs) + 2
 
     def f(t):
-        x, at = _filled(t.column(value)), t.column(order).to_pylist()
-        found = H.scr_peaks(x, **options)
-        return {k: [None if p[k] is None else at[p[k]] for p in found] for k in ("apex", "start", "end")} | {k: [p[k] for p in found] for k in names}
+        x, at, own = _filled(t.column(value)), t.column(order).to_pylist(), t.column("__own").to_pylist()
+        found = [p for p in H.scr_peaks(x, **options) if own[p["apex"]]]
+        return {k: [at[p[k]] for p in found] for k in ("apex", "start", "end")} | {k: [p[k] for p in found] for k in names}
 
     fields = {k: pa.int64() for k in ("apex", "start", "end")} | {k: pa.float64() for k in names}
-    return _rows(df, keys, order, f, fields, "apex long, start long, end long, " + ", ".join(f"{n} double" for n in names))
+    spread = with_halo(df, keys, max(n, halo + 1), halo, order)
+    return _rows(spread, [*keys, "__chunk"], order, f, fields, "apex long, start long, end long, " + ", ".join(f"{n} double" for n in names)).drop("__chunk")
 
 
 def steps(df: DataFrame, keys: Sequence[str], value: str, order: str = "tick", fs: float = 8.0, cutoff: float = 2.0, taps: int = 256, rise: float = 0.3, n: int = 65_536) -> DataFrame:
@@ -166,3 +191,37 @@ def spliced_chunks(df: DataFrame, keys: Sequence[str], value: str, order: str =
     donors = placed.select(*keys, F.col("chunk").alias("donor"), "__place", F.col(value).alias("__new"))
     out = placed.join(donors, [*keys, "donor", "__place"], "left")
     return out.withColumn(value, F.when(F.col("donor").isNotNull(), F.coalesce("__new", value)).otherwise(F.col(value))).drop("__start", "__place", "__new").select(*df.columns)
+
+
+def repaired_joins(df: DataFrame, keys: Sequence[str], value: str, template: Sequence[float], height: float = 0.5, distance: int = 150, long: int = 1100, short: int = 400, usual: int = 600, ahead: int = 100, back: int = 200, around: int = 50, order: str = "idx") -> DataFrame:
+    """Repairs the joins of spliced chunks: rows (keys, chunk, idx, spliced, value).
+
+    The gap between the last peak of a chunk and the first of the next says whether a beat is missing or double where one
+    of the two was spliced in.  A gap above ``long`` puts the template into the neighbour: ``ahead`` samples on in the
+    chunk after, ``back`` from its end in the chunk before.  A gap below ``short`` zeroes ``around`` samples on both sides of
+    the first peak of the chunk after the join.  A chunk without peaks counts as the usual gap.
+    """
+    m = len(template)
+    first, size = F.min(order).alias("__first"), F.count("*").alias("__size")
+    chunks = df.groupBy(*keys, "chunk").agg(first, size, F.max("spliced").alias("__spliced"))
+    tops = peaks(df, [*keys, "chunk"], value, height, distance, order).groupBy(*keys, "chunk").agg(F.min("at").alias("__head"), F.max("at").alias("__tail"))
+    w = Window.partitionBy(*keys).orderBy("chunk")
+    own = chunks.join(tops, [*keys, "chunk"], "left")
+    gap = F.coalesce(F.col("__head") - F.lag("__tail").over(w), F.lit(usual))
+    after = F.lag("__spliced").over(w)  # the chunk before is spliced: this one is its right neighbour
+    own = own.withColumns({"__gap": gap, "__after": F.coalesce(after, F.lit(False))})
+    right = F.coalesce(F.lead("__gap").over(w), F.lit(usual))
+    before = F.coalesce(F.lead("__spliced").over(w), F.lit(False))  # the chunk after is spliced: this one is its left neighbour
+    own = own.withColumns({"__right": right, "__before": before}).select(
+        *keys, "chunk", "__first", "__size",
+        F.when(F.col("__after") & (F.col("__gap") > long), ahead).alias("__from_start"),
+        F.when(F.col("__before") & (F.col("__right") > long), F.col("__size") - back).alias("__from_end"),
+        F.when((F.col("__after") | F.col("__spliced")) & (F.col("__gap") < short), F.col("__head")).alias("__zero"),
+    )
+    place = F.col(order) - F.col("__first")
+    new = F.col(value)
+    for start in ("__from_start", "__from_end"):
+        offset = place - F.col(start)
+        new = F.when((offset >= 0) & (offset < m), F.element_at(F.array(*(F.lit(float(v)) for v in template)), (offset + 1).cast("int"))).otherwise(new)
+    new = F.when((F.col(order) >= F.col("__zero") - around) & (F.col(order) < F.col("__zero") + around), 0.0).otherwise(new)
+    return df.join(own, [*keys, "chunk"]).withColumn(value, new).select(*df.columns)

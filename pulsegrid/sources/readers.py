@@ -106,15 +106,15 @@ def _holding(column: str, part: str) -> Column:
 
 
 def read_mapped(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",", skip: int = 0, units_row: str | None = "ms") -> DataFrame:
-    """Sensor exports: rec, tick and the columns of ``columns`` (new name -> substring of the header's name).
+    """Sensor exports: rec (the file's name), tick and the columns of ``columns`` (new name -> substring of the header's name).
 
     skip: lines before the header.  A row whose first cell is ``units_row`` goes.  Cells that are no numbers become null;
     a column without match is null, but ``temp`` is 0.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("rec"), F.monotonically_increasing_id().alias("__at"), F.split("value", sep).alias("__v"))
-    numbered = lines.withColumn("__n", F.row_number().over(Window.partitionBy("rec").orderBy("__at")) - 1)
-    header = numbered.where(F.col("__n") == skip).select("rec", F.col("__v").alias("__header"))
-    body = numbered.where(F.col("__n") > skip).join(header, "rec")
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"), F.split("value", sep).alias("__v"))
+    numbered = lines.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1)
+    header = numbered.where(F.col("__n") == skip).select("__file", F.col("__v").alias("__header"))
+    body = numbered.where(F.col("__n") > skip).join(header, "__file")
     if units_row is not None:
         body = body.where(F.trim(F.col("__v")[0]) != units_row)
     picked = {}
@@ -122,8 +122,8 @@ def read_mapped(spark: SparkSession, path: str, columns: dict[str, str], sep: st
         place = F.array_position(_holding("__header", part), True)
         value = F.when(place > 0, F.try_element_at("__v", F.when(place > 0, place).otherwise(1).cast("int")).try_cast("double"))
         picked[name] = F.when(place == 0, 0.0).otherwise(value) if name == "temp" else value
-    tick = F.row_number().over(Window.partitionBy("rec").orderBy("__n")) - 1
-    return body.withColumn("tick", tick.cast("long")).select("rec", "tick", *(c.alias(n) for n, c in picked.items()))
+    tick = F.row_number().over(Window.partitionBy("__file").orderBy("__n")) - 1
+    return body.withColumns({"tick": tick.cast("long"), "rec": F.regexp_extract("__file", r"([^/]+)$", 1)}).select("rec", "tick", *(c.alias(n) for n, c in picked.items()))
 
 
 def read_kpi(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
