@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
 from ..operators import capacity as N
 from ..operators import epochs as E
 from ..operators import evaluation as V
@@ -207,5 +208,6 @@ def repeated_evaluation(df: DataFrame, key: str, features: Sequence[str], target
         own = splits.where(F.col("rep") == rep)
         median = M.quantile_forest(own.where("train"), own.where("NOT train"), key, features, target, [50.0], trees=trees, seed=seed + rep, **options)
         scored = median.join(own.select(key, V.binarise(F.col(target), threshold).alias("label")), key).select(F.lit(rep).alias("rep"), F.col("value").alias("score"), "label")
+        scored = cut_lineage(scored)
         curves = scored if curves is None else curves.unionByName(scored)
     return V.auc(V.roc_points(curves, ["rep"]), ["rep"])

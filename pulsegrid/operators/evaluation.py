@@ -117,8 +117,8 @@ def kendall_tau(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     w = Window.partitionBy(*keys)
     own = df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
     own = own.withColumns({"__yr": F.dense_rank().over(w.orderBy("__y")) - 1, "__xr": F.row_number().over(w.orderBy("__x", "__y"))})
-    bits = F.length(F.bin(F.max("__yr").over(w).cast("long")))
-    levels = own.withColumn("__b", F.explode(F.sequence(F.lit(0), bits - 1)))
+    own = own.withColumn("__bits", F.length(F.bin(F.max("__yr").over(w).cast("long"))))
+    levels = own.withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__bits") - 1)))
     levels = levels.withColumns({"__one": F.expr("shiftright(cast(__yr as bigint), __b) % 2"), "__above": F.expr("shiftright(cast(__yr as bigint), __b + 1)")})
     before = F.sum("__one").over(Window.partitionBy(*keys, "__b", "__above").orderBy("__xr").rowsBetween(Window.unboundedPreceding, 0))
     wrong = levels.withColumn("__wrong", F.when(F.col("__one") == 0, before).otherwise(0)).groupBy(*keys).agg(F.sum("__wrong").alias("__d"))

@@ -219,25 +219,21 @@ def _fit_in_place(rows: DataFrame, features: Sequence[str], target: str, grid: l
 def quantile_forest(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str, percents: Sequence[float], trees: int = 100, min_leaf: int = 5, max_depth: int = 10, seed: int = 0) -> DataFrame:
     """key, percent, value for each test row: weighted percentiles of the training targets that share its leaves.
 
-    Trees are grown one by one by Spark's learner on hashed Poisson(1) bag counts, so that a training row's weight is
-    sum over trees of 1[same leaf] * count / leaf total.  Targets are added up by (tree, leaf, target) before the join,
-    which bounds what a test row meets to the different targets of its leaves.
+    Spark's forest grows all trees together, on its own bootstrap samples.  A training row's weight is the mean over the
+    trees of 1[same leaf] / rows of the leaf, all training rows counted.  Targets are added up by (tree, leaf, target)
+    before the join, which bounds what a test row meets to the different targets of its leaves.
     """
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import RandomForestRegressor
 
     assemble = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip")
-    known, asked = cut_lineage(assemble.transform(train.where(F.col(target).isNotNull()))), cut_lineage(assemble.transform(test).select(key, "__features"))
-    leaves, reached = None, None
-    limits = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-    for t in range(trees):
-        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(t), F.col(key)), F.lit(1_000_000)) / 1e6
-        count = sum(((u >= float(c)).cast("int") for c in limits), F.lit(0))
-        bag = known.withColumn("__count", count.cast("double")).where("__count > 0")
-        model = DecisionTreeRegressor(featuresCol="__features", labelCol=target, weightCol="__count", maxDepth=max_depth, minInstancesPerNode=min_leaf, leafCol="__leaf", seed=seed + t).fit(bag)
-        own = model.transform(bag).groupBy("__leaf", F.col(target).alias("__y")).agg(F.sum("__count").alias("__w")).withColumn("__tree", F.lit(t))
-        hit = model.transform(asked).select(key, "__leaf").withColumn("__tree", F.lit(t))
-        leaves, reached = (own, hit) if leaves is None else (leaves.unionByName(own), reached.unionByName(hit))
+    known = cut_lineage(assemble.transform(train.where(F.col(target).isNotNull())).select(F.col(target).cast("double").alias("__y"), "__features"))
+    asked = assemble.transform(test).select(key, "__features")
+    forest = RandomForestRegressor(featuresCol="__features", labelCol="__y", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", leafCol="__leaf", seed=seed).fit(known)
+    places = F.posexplode(vector_to_array("__leaf")).alias("__tree", "__leaf")
+    leaves = forest.transform(known).select("__y", places).groupBy("__tree", "__leaf", "__y").agg(F.count("*").alias("__w"))
     total = leaves.groupBy("__tree", "__leaf").agg(F.sum("__w").alias("__all"))
-    weights = reached.join(leaves.join(total, ["__tree", "__leaf"]), ["__tree", "__leaf"]).groupBy(key, "__y").agg(F.sum(F.col("__w") / F.col("__all")).alias("__weight"))
+    shares = cut_lineage(leaves.join(total, ["__tree", "__leaf"]).select("__tree", "__leaf", "__y", (F.col("__w") / F.col("__all")).alias("__share")))
+    weights = forest.transform(asked).select(key, places).join(shares, ["__tree", "__leaf"]).groupBy(key, "__y").agg(F.sum("__share").alias("__weight"))
     return weighted_percentiles(weights, [key], "__y", "__weight", percents)
