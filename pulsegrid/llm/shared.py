@@ -14,7 +14,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: ``spread_join`` sends a key to all tasks if it has more than one row in so many, or more than so many rows.
-HOT_PART, HOT_ROWS = 10_000, 50_000
+HOT_PART, HOT_ROWS = 10_000, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
