@@ -34,6 +34,11 @@ def notch(frequency: float, fs: float, quality: float = 30.0) -> tuple[np.ndarra
 
 def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
     """Causal filtering, transposed direct form."""
+    return lfilter_on(b, a, x, state)[0]
+
+
+def lfilter_on(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered values, and the state from which the filter goes on."""
     n = max(len(a), len(b))
     b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
     z = np.zeros(n) if state is None else np.append(state, 0.0)
@@ -43,7 +48,16 @@ def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | Non
         for i in range(1, n):
             zs[i - 1] = b[i] * v - a[i] * y + zs[i]
         out.append(y)
-    return np.array(out)
+    return np.array(out), np.array(zs[:-1])
+
+
+def fading(b: np.ndarray, a: np.ndarray, steps: int) -> np.ndarray:
+    """Matrix that takes a filter's state over ``steps`` samples of silence."""
+    n = max(len(a), len(b))
+    a = np.pad(a, (0, n - len(a))) / a[0]
+    once = np.eye(n - 1, k=1)
+    once[:, 0] -= a[1:]
+    return np.linalg.matrix_power(once, steps)
 
 
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -57,14 +57,60 @@ def sliding_median_large(df: DataFrame, keys: Sequence[str], value: str, k: int,
     return mapped(spread, [*keys, "__chunk"], value, order, lambda x: H.median_filter(x, k), f"{value}_median").where("__own").drop("__chunk", "__own")
 
 
-def filtered(df: DataFrame, keys: Sequence[str], value: str, fs: float, kind: str = "low", cutoff: float = 1.0, filter_order: int = 6, zero_phase: bool = False, order: str = "idx") -> DataFrame:
-    """Adds <value>_filtered by recording: low, high (Butterworth), notch, or mean (moving average of cutoff seconds)."""
+def filtered(df: DataFrame, keys: Sequence[str], value: str, fs: float, kind: str = "low", cutoff: float = 1.0, filter_order: int = 6, zero_phase: bool = False, order: str = "idx", n: int = 65_536) -> DataFrame:
+    """Adds <value>_filtered by recording: low, high (Butterworth), notch, or mean (moving average of cutoff seconds).
+
+    Causal filters work on chunks of n rows with carried state; a zero-phase one takes the whole recording.
+    """
     if kind == "mean":
         b, a = np.full(max(int(cutoff * fs), 1), 1 / max(int(cutoff * fs), 1)), np.array([1.0])
     else:
         b, a = H.notch(cutoff, fs) if kind == "notch" else H.butterworth(filter_order, cutoff, fs, kind)
-    run = H.filtfilt if zero_phase else H.lfilter
-    return mapped(df, keys, value, order, lambda x: run(b, a, x), f"{value}_filtered")
+    if zero_phase:
+        return mapped(df, keys, value, order, lambda x: H.filtfilt(b, a, x), f"{value}_filtered")
+    return _causal(df, keys, value, b, a, order, n, f"{value}_filtered")
+
+
+def _causal(df: DataFrame, keys: Sequence[str], value: str, b: np.ndarray, a: np.ndarray, order: str, n: int, name: str) -> DataFrame:
+    """A filter is linear: the state at a chunk's end is that of the chunk alone plus what is left of the state at its start.
+
+    So chunks that have a successor are filtered from silence for their end state, the few numbers of each chunk are chained
+    along the recording, and every chunk is filtered from the state it starts with.
+    """
+    by = [*keys, "__chunk"]
+    kinds = _kinds(df, keys)
+    cut = df.withColumn("__chunk", F.floor(F.col(order) / n).cast("long"))
+    last = F.max("__chunk").over(Window.partitionBy(*keys))
+    followed = cut.select(*by, order, value).withColumn("__last", last).where(F.col("__chunk") < F.col("__last")).drop("__last")
+
+    def own_keys(key, names, times=1):
+        return {k: pa.array([v.as_py()] * times, v.type) for k, v in zip(names, key, strict=True)}
+
+    def ended(key: tuple, table: pa.Table) -> pa.Table:
+        x = _filled(table.sort_by(order).column(value))
+        _, z = H.lfilter_on(b, a, np.nan_to_num(x))
+        return pa.table(own_keys(key, by) | {"__m": pa.array([len(x)]), "__z": pa.array([z.tolist()], pa.list_(pa.float64()))})
+
+    def chained(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("__chunk")
+        z, out = None, []
+        for m, alone in zip(table.column("__m").to_pylist(), table.column("__z").to_pylist(), strict=True):
+            z = np.array(alone) + (0.0 if z is None else H.fading(b, a, m) @ z)
+            out.append(z.tolist())
+        numbers = pa.array([c + 1 for c in table.column("__chunk").to_pylist()], pa.int64())  # the state the next chunk starts with
+        return pa.table(own_keys(key, keys, len(out)) | {"__chunk": numbers, "__z": pa.array(out, pa.list_(pa.float64()))})
+
+    ends = followed.groupBy(*by).applyInArrow(ended, f"{kinds}, __chunk long, __m long, __z array<double>")
+    starts = ends.groupBy(*keys).applyInArrow(chained, f"{kinds}, __chunk long, __z array<double>")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = left.sort_by(order)
+        x = _filled(table.column(value))
+        z = np.array(right.column("__z")[0].as_py()) if right.num_rows else None
+        y = H.lfilter(b, a, x, z) if np.isfinite(x).all() and len(x) else np.full(len(x), np.nan)
+        return table.drop_columns(["__chunk"]).append_column(name, pa.array(y, pa.float64(), mask=~np.isfinite(y)))
+
+    return cut.groupBy(*by).cogroup(starts.groupBy(*by)).applyInArrow(run, f"{_kinds(df, df.columns)}, `{name}` double")
 
 
 def tonic_phasic(df: DataFrame, keys: Sequence[str], value: str, fs: float = 8.0, cutoff: float = 0.05, order: str = "tick") -> DataFrame:

@@ -197,3 +197,17 @@ def test_densification_follows_the_loop(spark):
     got = {r["k"]: (r["upgrade"], r["left"], r["new_site"]) for r in capacity.densify(df).collect()}
     for k, tech, dem, b, r2, r3 in rows:
         assert got[k] == loop(tech, dem, b, bool(r2), bool(r3))
+
+
+@pytest.mark.parametrize("kind,cutoff", [("low", 1.0), ("high", 0.5), ("notch", 2.0), ("mean", 1.0)])
+def test_filters_carry_their_state_over_chunks(spark, kind, cutoff):
+    rng = np.random.default_rng(5)
+    rows = [(g, i, float(v), g) for g, n in (("a", 1000), ("b", 130), ("c", 1)) for i, v in enumerate(np.cumsum(rng.normal(size=n)))]
+    df = spark.createDataFrame(rows, "rec string, idx long, v double, other string")
+    whole = {(r["rec"], r["idx"]): r["v_filtered"] for r in signals.filtered(df, K, "v", 8.0, kind, cutoff).collect()}
+    parts = {(r["rec"], r["idx"]): r["v_filtered"] for r in signals.filtered(df, K, "v", 8.0, kind, cutoff, n=64).collect()}
+    assert whole.keys() == parts.keys() and len(whole) == len(rows)
+    assert all(parts[k] == pytest.approx(v, abs=1e-6) for k, v in whole.items())
+    if kind == "mean":
+        x = [r[2] for r in rows if r[0] == "a"]
+        assert all(whole["a", i] == pytest.approx(sum(x[max(i - 7, 0) : i + 1]) / 8) for i in range(1000))
