@@ -346,6 +346,12 @@ def w21(spark, d):
     return rounded(S.autocorrelation(recordings(spark, d), K, "value", 5))
 
 
+@query("w21_many_lags", f"""WITH {REC}, n AS (SELECT rec, count(*) AS n FROM rec GROUP BY 1), p AS (SELECT a.rec, CAST(k AS INTEGER) AS lag, coalesce(sum(a.value * b.value), 0) AS s FROM rec a, unnest(range(0, 61)) t(k) LEFT JOIN rec b ON a.rec = b.rec AND b.idx = a.idx + k GROUP BY 1, 2)
+SELECT rec, lag, round(s / n, 4) AS r FROM p JOIN n USING (rec)""")
+def w21b(spark, d):
+    return rounded(S.autocorrelation(recordings(spark, d), K, "value", 60))
+
+
 @query("w22_defect_thresholds", f"""WITH {REC}, c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(trigger) OVER w = trigger THEN 0 ELSE 1 END AS ch FROM rec WINDOW w AS (PARTITION BY rec ORDER BY idx)),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY rec ORDER BY idx) AS run FROM c), s AS (SELECT rec, run, abs(lead(value) OVER v - 2 * value + lag(value) OVER v) AS d2 FROM r WINDOW v AS (PARTITION BY rec, run ORDER BY idx))
 SELECT rec, CAST(run AS INTEGER) AS run, round(20 * quantile_cont(d2, 0.8), 4) AS threshold FROM s WHERE d2 IS NOT NULL GROUP BY 1, 2""")

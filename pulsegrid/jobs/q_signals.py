@@ -14,6 +14,7 @@ from ..operators import signals as G
 from ..operators import spectra as P
 from ..operators.series import fill_missing_chunks
 from .tables import NN, REC, beats, intervals, recordings, registrar, rounded, statistics_sql, table
+from . import q_hrv as hrv
 from . import workloads as W
 
 K = ["rec"]
@@ -56,7 +57,11 @@ def v4b(spark, d):
     return rounded(G.filtered(recordings(spark, d).select("rec", "idx", "value"), K, "value", 8.0, "mean", 0.5).select("rec", "idx", "value_filtered"))
 
 
-@query("v5_steps", None)
+@query("v5_steps", f"""WITH {REC}, h AS (SELECT j, CASE WHEN j = 7.5 THEN 1 ELSE sin(pi() * 0.5 * (j - 7.5)) / (pi() * 0.5 * (j - 7.5)) END * (0.54 - 0.46 * cos(2 * pi() * j / 15)) AS h FROM unnest(range(0, 16)) u(j)),
+y AS (SELECT a.rec, a.idx, coalesce(sum(h * b.value), 0) / (SELECT sum(h) FROM h) AS y FROM rec a CROSS JOIN h LEFT JOIN rec b ON b.rec = a.rec AND b.idx = a.idx + 7 - j GROUP BY 1, 2),
+d AS (SELECT *, lag(y) OVER w AS before, lead(y) OVER w AS after, abs(lead(y) OVER w - y) AS d, count(*) OVER (PARTITION BY rec) AS n FROM y WINDOW w AS (PARTITION BY rec ORDER BY idx)),
+m AS (SELECT *, max(d) OVER (PARTITION BY rec ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS most FROM d)
+SELECT rec, idx AS tick FROM m WHERE y < before AND y < after AND idx > 4 AND idx < n - 5 AND most > 0.3""")
 def v5(spark, d):
     return G.steps(recordings(spark, d), K, "value", "idx", taps=16, n=64)
 
@@ -98,17 +103,18 @@ def nn_seconds(spark, d):
     return nn.withColumn("time", (F.row_number().over(Window.partitionBy("rec").orderBy("beat")) - 1) * 0.25).withColumn("nn", F.col("nn") / 1e4)
 
 
-@query("v11_nonlinear", None)
-def v11(spark, d):
-    return G.nonlinear_measures(nn_seconds(spark, d), K)
+SAMPEN = """x AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY beat) AS i, nn / 1e4 AS a, lead(nn / 1e4) OVER w AS b, lead(nn / 1e4, 2) OVER w AS c FROM nn WINDOW w AS (PARTITION BY rec ORDER BY beat)),
+tol AS (SELECT rec, 0.2 * sqrt(var_pop(a) * count(*) / (count(*) + 1)) AS tol FROM x GROUP BY 1), t AS (SELECT * FROM x WHERE c IS NOT NULL),
+m AS (SELECT p.rec, count(*) FILTER (greatest(abs(p.a - q.a), abs(p.b - q.b)) < tol) AS two, count(*) FILTER (greatest(abs(p.a - q.a), abs(p.b - q.b), abs(p.c - q.c)) < tol) AS three FROM t p JOIN t q ON p.rec = q.rec AND p.i < q.i JOIN tol ON p.rec = tol.rec GROUP BY 1)"""
+DFA = """y AS (SELECT rec, i - 1 AS i, sum(a - mean) OVER (PARTITION BY rec ORDER BY i) AS y, n FROM (SELECT *, avg(a) OVER (PARTITION BY rec) AS mean, count(*) OVER (PARTITION BY rec) AS n FROM x)),
+g AS (SELECT rec, s, i // s AS seg, any_value(n) AS n, count(*) AS c, greatest(regr_syy(y, i) - pow(regr_sxy(y, i), 2) / regr_sxx(y, i), 0) AS e FROM y, unnest(range(4, 65)) u(s) WHERE i < n // s * s AND n >= 2 * s GROUP BY 1, 2, 3),
+l AS (SELECT rec, s, any_value(n) AS n, ln(s) AS ls, ln(sqrt(sum(e) / sum(c))) AS lf FROM g GROUP BY 1, 2 HAVING sum(e) > 0),
+v AS (SELECT rec, CASE WHEN count(*) FILTER (s <= 16) > 1 THEN regr_slope(lf, ls) FILTER (s <= 16) END AS dfa_short, CASE WHEN max(n) >= 64 AND count(*) FILTER (s > 16) > 1 THEN regr_slope(lf, ls) FILTER (s > 16) END AS dfa_long FROM l GROUP BY 1)"""
 
 
-@query("v11_sample_entropy", f"""WITH {REC}, {NN}, x AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY beat) AS i, nn / 1e4 AS a, lead(nn / 1e4) OVER w AS b, lead(nn / 1e4, 2) OVER w AS c FROM nn WINDOW w AS (PARTITION BY rec ORDER BY beat)),
-r AS (SELECT rec, 0.2 * sqrt(var_pop(a) * count(*) / (count(*) + 1)) AS tol FROM x GROUP BY 1), t AS (SELECT * FROM x WHERE c IS NOT NULL),
-m AS (SELECT p.rec, count(*) FILTER (greatest(abs(p.a - q.a), abs(p.b - q.b)) < tol) AS two, count(*) FILTER (greatest(abs(p.a - q.a), abs(p.b - q.b), abs(p.c - q.c)) < tol) AS three FROM t p JOIN t q ON p.rec = q.rec AND p.i < q.i JOIN r ON p.rec = r.rec GROUP BY 1)
-SELECT rec, round(CASE WHEN two > 0 AND three > 0 THEN -ln(three / two) END, 4) AS sampen FROM m""")
-def v11b(spark, d):
-    return rounded(G.nonlinear_measures(nn_seconds(spark, d), K).select("rec", "sampen"))
+@query("v11_nonlinear", f"""WITH {REC}, {NN}, {SAMPEN}, {DFA} SELECT rec, round(CASE WHEN two > 0 AND three > 0 THEN -ln(three / two) END, 4) AS sampen, round(dfa_short, 4) AS dfa_short, round(dfa_long, 4) AS dfa_long FROM (SELECT DISTINCT rec FROM nn) LEFT JOIN m USING (rec) LEFT JOIN v USING (rec)""")
+def v11(spark, d):
+    return rounded(G.nonlinear_measures(nn_seconds(spark, d), K))
 
 
 @query("v12_welch_bands", None)
@@ -116,9 +122,14 @@ def v12(spark, d):
     return P.band_powers(P.power_spectra(nn_seconds(spark, d), K, nfft=256), K)
 
 
-@query("v12_lomb_bands", None)
+@query("v12_lomb_bands", f"""WITH {REC}, {NN}, s AS (SELECT rec, (row_number() OVER (PARTITION BY rec ORDER BY beat) - 1) * 0.25 AS t, nn / 1e4 - avg(nn / 1e4) OVER (PARTITION BY rec) AS x, count(*) OVER (PARTITION BY rec) AS n FROM nn),
+w AS (SELECT k * 0.41 / 255 AS freq, 2 * pi() * k * 0.41 / 255 AS w FROM unnest(range(1, 256)) u(k)), tau AS (SELECT rec, freq, w, atan2(sum(sin(2 * w * t)), sum(cos(2 * w * t))) / 2 AS tau FROM s, w WHERE n >= 4 GROUP BY 1, 2, 3),
+p AS (SELECT s.rec, freq, 0.5 * (pow(sum(x * cos(w * t - tau)), 2) / sum(pow(cos(w * t - tau), 2)) + pow(sum(x * sin(w * t - tau)), 2) / sum(pow(sin(w * t - tau), 2))) AS power FROM s JOIN tau ON s.rec = tau.rec GROUP BY 1, 2),
+b AS (SELECT rec, coalesce(sum(power) FILTER (freq <= 0.04), 0) AS vlf, coalesce(sum(power) FILTER (freq BETWEEN 0.04 AND 0.15), 0) AS lf, coalesce(sum(power) FILTER (freq BETWEEN 0.15 AND 0.4), 0) AS hf FROM p GROUP BY 1)
+SELECT rec, round(100 * vlf / (vlf + lf + hf), 4) AS vlf_percent, round(100 * lf / (vlf + lf + hf), 4) AS lf_percent, round(100 * hf / (vlf + lf + hf), 4) AS hf_percent, round(lf / hf, 4) AS lf_hf, round(ln(vlf * 0.41 / 255), 4) AS vlf_log, round(ln(lf * 0.41 / 255), 4) AS lf_log, round(ln(hf * 0.41 / 255), 4) AS hf_log FROM b""")
 def v12b(spark, d):
-    return P.band_powers(P.power_spectra(nn_seconds(spark, d), K, method="lomb"), K)
+    bands = P.band_powers(P.power_spectra(nn_seconds(spark, d), K, method="lomb"), K)
+    return rounded(bands.select("rec", "vlf_percent", "lf_percent", "hf_percent", "lf_hf", "vlf_log", "lf_log", "hf_log"))
 
 
 @query("v12_yule_walker", None)
@@ -131,6 +142,13 @@ def v13(spark, d):
     return P.best_order(P.ar_order_table(recordings(spark, d), K, "value", most=10), K)
 
 
+@query("v13_periodogram", f"""WITH {REC}, s AS (SELECT rec, idx, value - avg(value) OVER (PARTITION BY rec) AS x, count(*) OVER (PARTITION BY rec) AS n FROM rec)
+SELECT rec, round(k / 32.0, 4) AS freq, round(CASE WHEN k IN (0, 64) THEN 1 ELSE 2 END * (pow(sum(x * cos(2 * pi() * k * idx / 128)), 2) + pow(sum(x * sin(2 * pi() * k * idx / 128)), 2)) / (4 * max(n)), 4) AS power FROM s, unnest(range(0, 65)) u(k) GROUP BY 1, k""")
+def v13c(spark, d):
+    r = recordings(spark, d).withColumn("clock", F.col("idx") / 4)
+    return rounded(P.power_spectra(r, K, "value", "clock", "periodogram", resample=False, nfft=128))
+
+
 @query("v13_spectra", None)
 def v13b(spark, d):
     s = nn_seconds(spark, d)
@@ -144,10 +162,12 @@ def v14(spark, d):
     return rounded(P.frames(recordings(spark, d), K, 16, 8).groupBy("rec", "frame").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 
-@query("v14_spectrogram", None)
+@query("v14_spectrogram", f"""WITH {REC}, n AS (SELECT rec, max(idx) + 1 AS n FROM rec GROUP BY 1), f AS (SELECT rec, unnest(range(0, (n - 16) // 8 + 1)) AS frame FROM n),
+s AS (SELECT f.rec, frame, idx - frame * 8 AS i, value - avg(value) OVER (PARTITION BY f.rec, frame) AS x FROM f JOIN rec r ON f.rec = r.rec AND idx BETWEEN frame * 8 AND frame * 8 + 15)
+SELECT rec, frame, k / 4.0 AS freq, round(CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END * (pow(sum(x * cos(2 * pi() * k * i / 16)), 2) + pow(sum(x * sin(2 * pi() * k * i / 16)), 2)) / 64, 4) AS power FROM s, unnest(range(0, 9)) u(k) GROUP BY 1, 2, k""")
 def v14b(spark, d):
     f = P.frames(recordings(spark, d).withColumn("clock", F.col("idx") / 4), K, 16, 8)
-    return P.power_spectra(f, ["rec", "frame"], "value", "clock", "periodogram", resample=False, nfft=16)
+    return rounded(P.power_spectra(f, ["rec", "frame"], "value", "clock", "periodogram", resample=False, nfft=16))
 
 
 @query("a11_band_powers", f"""WITH {REC}, s AS (SELECT rec, idx / 100.0 AS freq, value AS power FROM rec), b AS (SELECT rec, 0.01 * sum(power) FILTER (freq <= 0.04) AS vlf, 0.01 * sum(power) FILTER (freq BETWEEN 0.04 AND 0.15) AS lf, 0.01 * sum(power) FILTER (freq BETWEEN 0.15 AND 0.4) AS hf FROM s GROUP BY 1)
@@ -202,9 +222,18 @@ def v18(spark, d):
     return M.quantile_forest(e, e, "vec_id", ALL, "label", [10.0, 50.0, 90.0], trees=10, max_depth=6)
 
 
-@query("c1_time_domain", None)
 def c1(spark, d):
-    return W.time_domain(H.nn_intervals(beats(recordings(spark, d)), K), K, 1e6)
+    out = W.time_domain(H.nn_intervals(beats(recordings(spark, d)), K), K, 1e8, 300_000.0)
+    two = ["sd1", "sd2", "sdnn_index", "sdann"]
+    large = out.withColumns({c: F.round(c, 2).cast("decimal(38,2)") for c in two} | {"ellipse_area": F.round(F.col("ellipse_area") / 1e9, 2).cast("decimal(38,2)")})
+    return rounded(large).withColumns({c: F.col(c).cast("double") for c in (*two, "ellipse_area")})
+
+
+# The parts are queries of their own, with SQL; the triangular index has bins as wide as those of the triangle.
+_tri = f"WITH {REC}, {NN}, {hrv.HIST.replace('1000000.0', '100000000.0')} SELECT rec, round(sum(n) / max(n)::DOUBLE + 1.23e-8, 4) AS tri_index FROM h GROUP BY 1"
+_parts = [hrv.Q["a4_a7_hrv_summary"][1], _tri, hrv.Q["v10_tinn"][1], hrv.Q["a10_poincare"][1]]
+_joined = f"SELECT * FROM ({_parts[0]}) p0" + "".join(f" JOIN ({p}) p{i} USING (rec)" for i, p in enumerate(_parts[1:], 1)) + f" LEFT JOIN ({hrv.Q['a8_segment_deviations'][1]}) p9 USING (rec)"
+Q["c1_time_domain"] = (c1, _joined)
 
 
 @query("c2_frequency_domain", None)
@@ -212,9 +241,10 @@ def c2(spark, d):
     return W.frequency_domain(nn_seconds(spark, d), K, nfft=256, order=8)
 
 
-@query("c3_nonlinear", None)
+@query("c3_nonlinear", f"""WITH {REC}, {NN}, {SAMPEN}, {DFA}, q AS (SELECT rec, stddev_pop((a - b) / sqrt(2)) AS sd1, stddev_pop((a + b) / sqrt(2)) AS sd2 FROM x WHERE b IS NOT NULL GROUP BY 1)
+SELECT rec, round(sd1, 4) AS sd1, round(sd2, 4) AS sd2, round(sd2 / nullif(sd1, 0), 4) AS sd_ratio, round(pi() * sd1 * sd2 / 1e9, 4) AS ellipse_area, round(CASE WHEN two > 0 AND three > 0 THEN -ln(three / two) END, 4) AS sampen, round(dfa_short, 4) AS dfa_short, round(dfa_long, 4) AS dfa_long FROM q LEFT JOIN m USING (rec) LEFT JOIN v USING (rec)""")
 def c3(spark, d):
-    return W.nonlinear(nn_seconds(spark, d), K)
+    return rounded(W.nonlinear(nn_seconds(spark, d), K).withColumn("ellipse_area", F.col("ellipse_area") / 1e9))
 
 
 @query("c4_hrv_report", None)

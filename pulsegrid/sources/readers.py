@@ -23,6 +23,11 @@ def _keys(path: Column, pattern: str = PATH) -> dict[str, Column]:
     return {"subject": F.regexp_extract(path, pattern, 1), "condition": F.regexp_extract(path, pattern, 2)}
 
 
+def _place() -> Column:
+    """Place of a row in its file, also where Spark cuts the file: the cut's start, then the order of reading."""
+    return F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_recordings(spark: SparkSession, path: str, campaign: int = 1, sep: str = " ", extra: Sequence[str] = (), drop_first: bool = False) -> DataFrame:
     """subject, condition (from .../subject/condition/file), idx and the campaign's columns.
 
@@ -33,7 +38,7 @@ def read_recordings(spark: SparkSession, path: str, campaign: int = 1, sep: str
     names = CAMPAIGNS[campaign]
     schema = ", ".join(f"`{n}` {'string' if n == 'trigger' else 'double'}" for n in [*names, *extra])
     raw = spark.read.csv(path, sep=sep, header=True, schema=schema, recursiveFileLookup=True, enforceSchema=True)
-    raw = raw.select(*names, F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    raw = raw.select(*names, F.col("_metadata.file_path").alias("__file"), _place().alias("__at"))
     w = Window.partitionBy("__file").orderBy(F.col("time").asc_nulls_first(), "__at")
     rows = raw.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
     if drop_first:
@@ -82,7 +87,7 @@ def read_wearable(spark: SparkSession, paths: dict[str, str], rates: dict[str, i
     """
     streams, last = None, None
     for kind, path in paths.items():
-        lines = spark.read.text(path, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("rec"), F.monotonically_increasing_id().alias("__at"), F.split("value", ",").alias("__v"))
+        lines = spark.read.text(path, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("rec"), _place().alias("__at"), F.split("value", ",").alias("__v"))
         at = F.row_number().over(Window.partitionBy("rec").orderBy("__at")) - 1
         numbered = lines.withColumn("__n", at)
         head = numbered.where("__n < 2").groupBy("rec").agg(F.max(F.when(F.col("__n") == 0, F.col("__v")[0].try_cast("double"))).alias("__start"), F.max(F.when(F.col("__n") == 1, F.col("__v")[0].try_cast("double"))).alias("__rate"))
@@ -111,7 +116,7 @@ def read_mapped(spark: SparkSession, path: str, columns: dict[str, str], sep: st
     skip: lines before the header.  A row whose first cell is ``units_row`` goes.  Cells that are no numbers become null;
     a column without match is null, but ``temp`` is 0.
     """
-    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"), F.split("value", sep).alias("__v"))
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("__file"), _place().alias("__at"), F.split("value", sep).alias("__v"))
     numbered = lines.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1)
     header = numbered.where(F.col("__n") == skip).select("__file", F.col("__v").alias("__header"))
     body = numbered.where(F.col("__n") > skip).join(header, "__file")
