@@ -16,8 +16,8 @@ fingerprints is cut along the Gray order into chunks, and the pairs of chunks wh
 become tasks of their own, so the size of a task is bounded and nothing is left out.
 
 ``near_groups`` links fingerprints of word shingles.  Those are far apart (ten bits and more) for texts with a few changed
-words, so ``one_per_group``, which is to find such texts, takes fingerprints of the distinct words, weighted by their
-inverse document frequency over the whole corpus, and the same index.
+words, so ``one_per_group``, which is to find such texts, takes two fingerprints of the distinct words, weighted by their
+inverse document frequency over the whole corpus, and the same index for each.
 
 Cases: a null text counts as empty; its fingerprint is zero, which links like any other.  A text with fewer words than a
 shingle is one shingle.  Texts of any length are read whole.  Copies share a fingerprint and enter the index once.  A
@@ -99,36 +99,58 @@ def word_weights(documents: DataFrame, seed: int = 42, bits: int = 18) -> np.nda
     return np.log1p(found[-1] / found[:-1]).astype(np.float32)
 
 
-def word_fingerprint(text: bytes, weights: np.ndarray, seed: int = 42, known: dict[bytes, int] | None = None) -> int:
-    """Unsigned SimHash of the distinct words of a UTF-8 text: bits that are set in more than half of the words' weight."""
+def word_fingerprints(text: bytes, weights: np.ndarray, seed: int = 42, known: dict[bytes, int] | None = None) -> tuple[int, int]:
+    """Two unsigned SimHashes of the distinct words of a UTF-8 text: bits that are set in more than half of the words' weight.
+
+    The second takes the words' hashes through another mixing; what moves one by too many bits seldom moves both.
+    """
     hashes = _word_hashes(text, seed, {} if known is None else known)
     if not len(hashes):
-        return 0
+        return 0, 0
     hashes.sort()  # sums of floats depend on the order
     weight = weights[(hashes >> np.uint64(64 - len(weights).bit_length() + 1)).astype(np.int64)]
-    counts = np.zeros(64)
-    for at in range(0, len(hashes), 50_000):
-        counts += weight[at : at + 50_000] @ np.unpackbits(hashes[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-    return int(np.packbits(2 * counts > weight.sum(dtype=np.float64), bitorder="little").view("<u8")[0])
+    half, out = weight.sum(dtype=np.float64) / 2, []
+    for own in (hashes, _mixed(hashes)):
+        counts = np.zeros(64)
+        for at in range(0, len(own), 50_000):
+            counts += weight[at : at + 50_000] @ np.unpackbits(own[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+        out.append(int(np.packbits(counts > half, bitorder="little").view("<u8")[0]))
+    return out[0], out[1]
 
 
-def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42, digest: bool = False, weights: np.ndarray | None = None) -> DataFrame:
-    """documents: doc_id, text.  Returns doc_id, fp (long with the bits of the fingerprint), with ``digest`` also sha (SHA-256 of the text).
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(odd)
+    return h ^ (h >> np.uint64(31))
 
-    Fingerprints are those of word shingles, or with ``weights`` of weighted words.
-    """
+
+def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """documents: doc_id, text.  Returns doc_id, fp (long with the bits of the fingerprint)."""
+
+    def run(batches):
+        for batch in batches:
+            fps = [fingerprint(v.as_py() or b"", shingle, seed) for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+
+    return _bytes(documents).mapInArrow(run, "doc_id long, fp long")
+
+
+def weighted_fingerprints(documents: DataFrame, weights: np.ndarray, seed: int = 42) -> DataFrame:
+    """documents: doc_id, text.  Returns doc_id, sha (SHA-256 of the text), fp and fp2 of its weighted words."""
 
     def run(batches):
         known: dict[bytes, int] = {}
         for batch in batches:
-            texts = (v.as_py() or b"" for v in batch.column("text"))
-            fps = [fingerprint(x, shingle, seed) if weights is None else word_fingerprint(x, weights, seed, known) for x in texts]
-            columns = {"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
-            if digest:
-                columns["sha"] = pa.array([hashlib.sha256(v.as_py() or b"").digest() for v in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            texts = [v.as_py() or b"" for v in batch.column("text")]
+            pairs = np.array([word_fingerprints(x, weights, seed, known) for x in texts], np.uint64).reshape(-1, 2)
+            shas = pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), shas, *(pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1))], ["doc_id", "sha", "fp", "fp2"])
+
+    return _bytes(documents).mapInArrow(run, "doc_id long, sha binary, fp long, fp2 long")
+
 
-    return documents.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long" + ", sha binary" * digest)
+def _bytes(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -314,10 +336,20 @@ def near_links(distinct: DataFrame, differ: int = 4, blocks: int = BLOCKS, cap:
 def _members(own: DataFrame, least: Column, differ: int, blocks: int = BLOCKS) -> DataFrame:
     """own: fp and the columns of ``least``.  Returns fp, n (rows), least (aggregated by fingerprint), root: one row per fingerprint.
 
-    root is null for a fingerprint without links.
+    root is null for a fingerprint without links.  With a column fp2, what links by that is linked, too.
     """
     distinct = cut_lineage(own.groupBy("fp").agg(F.count("*").alias("n"), least.alias("least")))
-    roots = connected_components(near_links(distinct.select("fp"), differ, blocks))
+    links = near_links(distinct.select("fp"), differ, blocks)
+    if "fp2" in own.columns:
+        # The second fingerprints stand for the smallest first one that they occur with.
+        both = cut_lineage(own.groupBy("fp2", "fp").agg(F.count("*").alias("n")))
+        first = cut_lineage(both.groupBy("fp2").agg(F.min("fp").alias("first")))
+        same = both.join(first, "fp2").where(F.col("fp") != F.col("first")).select(F.col("fp").alias("u"), F.col("first").alias("v"))
+        second = near_links(first.select(F.col("fp2").alias("fp")), differ, blocks)
+        for end in ("u", "v"):
+            second = second.join(first.select(F.col("fp2").alias(end), F.col("first").alias(f"{end}_")), end).drop(end)
+        links = links.unionByName(same).unionByName(second.select(F.col("u_").alias("u"), F.col("v_").alias("v")))
+    roots = connected_components(links)
     return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", "root")
 
 
@@ -335,12 +367,13 @@ def near_groups(documents: DataFrame, shingle: int = 4, differ: int = 4, seed: i
 def one_per_group(documents: DataFrame, differ: int = 6, seed: int = 42, blocks: int = 9) -> DataFrame:
     """The document with the smallest doc_id of each group, with all columns; one with a null doc_id only if no other is there.
 
-    Fingerprints are those of the weighted words (``word_weights``), which a change of few words moves by few bits.  Of
+    Fingerprints are two of the weighted words (``word_weights``), which a change of few words moves by few bits; documents
+    link if either is near.  Of
     the group's texts that share the doc_id the one with the smallest SHA-256 stays; of rows that share both, the first by
     all columns.  Equal texts are in one group, so (doc_id, digest) belongs to one group only.
     """
     names = [F.col(f"`{c}`") for c in documents.columns]
-    own = cut_lineage(fingerprints(documents, seed=seed, digest=True, weights=word_weights(documents, seed)))
+    own = cut_lineage(weighted_fingerprints(documents, word_weights(documents, seed), seed))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
     kept = _members(own, first, differ, blocks).groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     key = lambda doc, sha: F.sha2(F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("-")), F.hex(sha)), 256).alias("__key")

@@ -6,13 +6,13 @@ from pulsegrid.llm.queries import byte_bpe
 
 
 def smallest_of_groups(docs):
-    """By brute force: of all documents linked within six bits of their weighted words, the smallest doc_id."""
+    """By brute force: of all documents linked within six bits of either fingerprint of their weighted words, the smallest doc_id."""
     weights = simhash.word_weights(docs)
-    rows = sorted((r["doc_id"], simhash.word_fingerprint((r["text"] or "").encode(), weights)) for r in docs.select("doc_id", "text").collect())
-    ids, fps = [d for d, _ in rows], np.array([f for _, f in rows], np.uint64)
+    rows = sorted((r["doc_id"], *simhash.word_fingerprints((r["text"] or "").encode(), weights)) for r in docs.select("doc_id", "text").collect())
+    ids, one, two = [r[0] for r in rows], *(np.array([r[i] for r in rows], np.uint64) for i in (1, 2))
     least = np.arange(len(ids))
     while True:
-        now = np.array([least[np.bitwise_count(fps ^ f) <= 6].min() for f in fps])
+        now = np.array([least[(np.bitwise_count(one ^ a) <= 6) | (np.bitwise_count(two ^ b) <= 6)].min() for a, b in zip(one, two, strict=True)])
         if (now == least).all():
             return {ids[i] for i in least}
         least = now
