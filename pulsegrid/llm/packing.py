@@ -30,8 +30,9 @@ from .shared import cut_lineage
 #: Pieces per packing task (about), open bins per task, and how many tasks meet in one task of the next round.
 TASK_PIECES, OPEN_BINS, FAN_IN = 65_536, 1_024, 16
 
-#: White space with the run that follows: a boundary before white space is always a boundary of tokens.
-SEGMENT = re.compile(r"\s*\S+|\s+")
+#: White space with the run that follows: a boundary before white space is always one of tokens, and so is one between a
+#: letter or digit and these marks.
+SEGMENT = re.compile(r"\s*[A-Za-z0-9À-ÖØ-öø-ɏ]+(?=[.,;:!?\s]|\Z)|\s*\S+|\s+")
 
 
 class Encoder:
@@ -40,7 +41,7 @@ class Encoder:
     Segments repeat, so their ids are remembered; the tokenizer's own special tokens inside a text stay one token each.
     """
 
-    MOST, LONGEST = 600_000, 64
+    MOST, LONGEST = 1_200_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
