@@ -66,9 +66,17 @@ def v5(spark, d):
     return G.steps(recordings(spark, d), K, "value", "idx", taps=16, n=64)
 
 
-@query("v7_peaks", None)
+def peaks_sql(name: str, value: str, height: float, distance: int) -> str:
+    """Tables {name}_c and {name}: local maxima of a recording, taken from the highest down if none taken is nearer than the distance."""
+    return f"""{name}_p AS (SELECT rec, idx, {value} AS v, lag({value}) OVER w AS b, lead({value}) OVER w AS a FROM rec WINDOW w AS (PARTITION BY rec ORDER BY idx)),
+{name}_c AS (SELECT rec, list([idx] ORDER BY v DESC, idx) AS l FROM {name}_p WHERE v > b AND v >= a AND v >= {height} GROUP BY 1),
+{name}_t AS (SELECT rec, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y - x[1]) < {distance})) = 0 THEN list_concat(acc, x) ELSE acc END)) AS at FROM {name}_c),
+{name} AS (SELECT t.rec, CAST(row_number() OVER (PARTITION BY t.rec ORDER BY at) - 1 AS INTEGER) AS n, at, v AS amplitude FROM {name}_t t JOIN {name}_p p ON p.rec = t.rec AND p.idx = t.at)"""
+
+
+@query("v7_peaks", f"WITH {REC}, {peaks_sql('k', 'value', 30, 3)} SELECT rec, n, at, round(amplitude, 4) AS amplitude FROM k")
 def v7(spark, d):
-    return G.peaks(recordings(spark, d), K, "value", 30.0, 3)
+    return rounded(G.peaks(recordings(spark, d), K, "value", 30.0, 3))
 
 
 @query("v7_local_maxima", f"WITH {REC}, p AS (SELECT rec, idx, value, lag(value) OVER w AS b, lead(value) OVER w AS a FROM rec WINDOW w AS (PARTITION BY rec ORDER BY idx)) SELECT rec, CAST(row_number() OVER (PARTITION BY rec ORDER BY idx) - 1 AS INTEGER) AS n, idx AS at, round(value, 4) AS amplitude FROM p WHERE value > b AND value >= a AND value >= 30")
@@ -86,7 +94,8 @@ def a12(spark, d):
     return X.event_statistics(G.skin_responses(recordings(spark, d), K, "value", "idx", offset=0.25), K, ["amplitude", "rise"], "apex")
 
 
-@query("a13_breath_measures", None)
+@query("a13_breath_measures", f"""WITH {REC}, {peaks_sql('hi', 'value', 0, 3)}, {peaks_sql('lo', '-value', -1000, 3)}
+SELECT h.rec, h.n, CAST(trunc(h.amplitude + lo.amplitude) AS INTEGER) AS out_breath, CAST(trunc(h.next + lo.amplitude) AS INTEGER) AS in_breath FROM (SELECT *, lead(amplitude) OVER (PARTITION BY rec ORDER BY n) AS next FROM hi) h JOIN lo ON lo.rec = h.rec AND lo.n = h.n""")
 def a13(spark, d):
     r = recordings(spark, d)
     low = G.peaks(r.withColumn("value", -F.col("value")), K, "value", -1000.0, 3).withColumn("amplitude", -F.col("amplitude"))
