@@ -13,7 +13,8 @@ from ..operators import recordings as R
 from ..operators import signals as G
 from ..operators import spectra as P
 from ..operators.series import fill_missing_chunks
-from .tables import NN, REC, beats, intervals, recordings, registrar, rounded, statistics_sql, table
+from .q_recordings import FILLED
+from .tables import IVL, NN, REC, beats, intervals, recordings, registrar, rounded, statistics_sql, table
 from . import q_hrv as hrv
 from . import workloads as W
 
@@ -67,14 +68,14 @@ def v5(spark, d):
 
 
 def peaks_sql(name: str, value: str, height: float, distance: int) -> str:
-    """Tables {name}_c and {name}: local maxima of a recording, taken from the highest down if none taken is nearer than the distance."""
+    """Table {name} (rec, n, place, amplitude): local maxima of a recording, taken from the highest down if none taken is nearer than the distance."""
     return f"""{name}_p AS (SELECT rec, idx, {value} AS v, lag({value}) OVER w AS b, lead({value}) OVER w AS a FROM rec WINDOW w AS (PARTITION BY rec ORDER BY idx)),
 {name}_c AS (SELECT rec, list([idx] ORDER BY v DESC, idx) AS l FROM {name}_p WHERE v > b AND v >= a AND v >= {height} GROUP BY 1),
-{name}_t AS (SELECT rec, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y - x[1]) < {distance})) = 0 THEN list_concat(acc, x) ELSE acc END)) AS at FROM {name}_c),
-{name} AS (SELECT t.rec, CAST(row_number() OVER (PARTITION BY t.rec ORDER BY at) - 1 AS INTEGER) AS n, at, v AS amplitude FROM {name}_t t JOIN {name}_p p ON p.rec = t.rec AND p.idx = t.at)"""
+{name}_t AS (SELECT rec, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y - x[1]) < {distance})) = 0 THEN list_concat(acc, x) ELSE acc END)) AS place FROM {name}_c),
+{name} AS (SELECT t.rec, CAST(row_number() OVER (PARTITION BY t.rec ORDER BY place) - 1 AS INTEGER) AS n, place, v AS amplitude FROM {name}_t t JOIN {name}_p p ON p.rec = t.rec AND p.idx = t.place)"""
 
 
-@query("v7_peaks", f"WITH {REC}, {peaks_sql('k', 'value', 30, 3)} SELECT rec, n, at, round(amplitude, 4) AS amplitude FROM k")
+@query("v7_peaks", f"WITH {REC}, {peaks_sql('k', 'value', 30, 3)} SELECT rec, n, place AS at, round(amplitude, 4) AS amplitude FROM k")
 def v7(spark, d):
     return rounded(G.peaks(recordings(spark, d), K, "value", 30.0, 3))
 
@@ -286,10 +287,20 @@ def evaluation(spark, d):
     return W.repeated_evaluation(_matrix(spark, d), "vec_id", ALL, "label", 4.5, repeats=3, trees=5, max_depth=5)
 
 
-@query("c5_interval_features", None)
+_raw = ", ".join(f"quantile_cont(v, {q}) AS {n}" for q, n in ((0.05, "n5"), (0.25, "n25"), (0.5, "n50"), (0.75, "n75"), (0.95, "n95"), (0.5, "median")))
+_raw += ", max(v) AS max, avg(v) AS mean, min(v) AS min, stddev_pop(v) AS std, sqrt(avg(v * v)) AS rms, avg(abs(v)) AS mean_abs, (count(*) FILTER (v * b < 0))::DOUBLE AS zero_crossings"
+
+
+@query("c5_interval_features", f"""WITH {REC}, {FILLED}, {IVL}, s AS (SELECT f.rec, slalom, value AS v, lag(value) OVER (PARTITION BY f.rec, slalom ORDER BY idx) AS b FROM filled f JOIN ivl ON f.rec = ivl.rec AND time BETWEEN start AND "end"),
+r AS (SELECT rec, value AS v, lag(value) OVER (PARTITION BY rec ORDER BY idx) AS b FROM filled WHERE trigger = 'view'),
+l AS (SELECT * FROM (UNPIVOT (SELECT rec, slalom, {_raw} FROM s GROUP BY 1, 2) ON COLUMNS(* EXCLUDE (rec, slalom)) INTO NAME feature VALUE v)), base AS (SELECT * FROM (UNPIVOT (SELECT rec, {_raw} FROM r GROUP BY 1) ON COLUMNS(* EXCLUDE (rec)) INTO NAME feature VALUE base)),
+m AS (SELECT rec, feature, median(v) AS m, stddev_samp(v) AS s FROM l GROUP BY 1, 2), g AS (SELECT l.*, row_number() OVER (PARTITION BY rec, feature ORDER BY slalom) AS pos, CASE WHEN s IS NULL OR v BETWEEN m - 3 * s AND m + 3 * s THEN v END AS good FROM l JOIN m USING (rec, feature)),
+f AS (SELECT *, last_value(good IGNORE NULLS) OVER u AS a, last_value(CASE WHEN good IS NOT NULL THEN pos END IGNORE NULLS) OVER u AS pa, first_value(good IGNORE NULLS) OVER w AS c, first_value(CASE WHEN good IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS pc FROM g
+  WINDOW u AS (PARTITION BY rec, feature ORDER BY slalom ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w AS (PARTITION BY rec, feature ORDER BY slalom ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT rec, slalom, feature, round(CASE WHEN a IS NULL THEN c WHEN c IS NULL OR pa = pc THEN a ELSE a + (c - a) * (pos - pa) / (pc - pa) END / nullif(base, 0), 4) AS value FROM f LEFT JOIN base USING (rec, feature)""")
 def c5(spark, d):
     r = recordings(spark, d)
-    return W.interval_features(r, intervals(r), K, "value", "view", bucket_s=86400.0)
+    return rounded(W.interval_features(r, intervals(r), K, "value", "view", bucket_s=86400.0))
 
 
 def _halves(r):

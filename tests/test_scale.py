@@ -211,3 +211,34 @@ def test_filters_carry_their_state_over_chunks(spark, kind, cutoff):
     if kind == "mean":
         x = [r[2] for r in rows if r[0] == "a"]
         assert all(whole["a", i] == pytest.approx(sum(x[max(i - 7, 0) : i + 1]) / 8) for i in range(1000))
+
+
+def test_the_feature_matrix_has_all_blocks_in_ratio_to_rest(spark):
+    """Three intervals of a recording at 8 Hz: skin responses, breaths of two seconds, beats of one second."""
+    n = 960
+    t = np.arange(n)
+    eda = 5 + np.maximum(0, 1 - np.abs((t % 160) - 20) / 20) * np.where((t % 160) < 20, 1, 1)
+    rsp, ecg = 100 * np.sin(2 * np.pi * t / 16), np.where(t % 8 == 3, 1.0, 0.0)
+    rows = [("a", i, i / 8, "rest" if i < 320 else "drive", float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(eda, rsp, ecg, strict=True))]
+    df = spark.createDataFrame(rows, "rec string, idx long, time double, trigger string, eda double, rsp double, ecg double")
+    ivl = spark.createDataFrame([("a", 0, 40.0, 79.875), ("a", 1, 80.0, 119.875)], "rec string, slalom int, start double, end double")
+    got = {(r["slalom"], r["feature"]): r["value"] for r in W.feature_matrix(df, ivl, K, "rest", "eda", "rsp", "ecg", beat_gap=4, levels=2).collect()}
+    names = {f for _, f in got}
+    assert {"eda_mean", "rsp_std", "ecg_zero_crossings", "eda_wavelet_l2_std", "scr_n_events", "scr_amplitude_mean", "rsp_peaks", "rsp_out_breath_mean", "hrv_nn_mean", "hrv_sampen", "hrv_sd1"} <= names
+    # Each interval repeats the rest phase, so what is there comes out as one.
+    for feature in ("eda_mean", "rsp_std", "scr_n_events", "scr_amplitude_mean", "rsp_peaks", "rsp_out_breath_mean", "hrv_nn_mean", "hrv_hr_max", "eda_wavelet_l1_max"):
+        assert got[0, feature] == pytest.approx(1, abs=1e-6) and got[1, feature] == pytest.approx(1, abs=1e-6), feature
+
+
+def test_a_skin_signal_is_cleaned_in_one_job(spark):
+    n = 1600
+    rng = np.random.default_rng(2)
+    x = 4 + np.cumsum(rng.normal(size=n)) * 0.01
+    x[800:816] += 60  # an artefact
+    phase = ["still" if i < 300 else "moving" if i < 600 else "_" if i % 2 else "drive" for i in range(n)]
+    df = spark.createDataFrame([("a", i, i / 8, p, float(v)) for i, (p, v) in enumerate(zip(phase, x, strict=True))], "rec string, idx long, time double, trigger string, eda double")
+    labels = spark.createDataFrame([("a", e, 5.0 * e, 5.0 * e + 4.875, -1 if 19 <= e <= 21 else 1) for e in range(40)], "rec string, epoch int, first double, last double, label int")
+    out = W.clean_skin_signal(df, K, labels, {"still": "still", "moving": "moving"}, ["drive"], rate=8, floor=1e9).orderBy("tick").collect()
+    assert [r["tick"] for r in out] == list(range(n))
+    assert all(r["corrected_still"] is not None and r["corrected_moving"] is not None for r in out)
+    assert max(r["tonic"] for r in out) < 10 < max(x)
