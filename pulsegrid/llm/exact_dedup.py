@@ -189,11 +189,12 @@ def dedup_classes(documents: DataFrame, **options) -> DataFrame:
     # Colliding keys are told apart by the digest of the text.
     joined = spread_join(digests, read_index(spark, path).withColumn("n", F.col("group_size")), ["key", "sha"])
     joined = cut_lineage(joined.withColumn("best", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
-    # Of rows with one text and the doc_id that stays, the first is kept.
-    repeats = joined.where("best").groupBy("key", "sha").agg(F.min("row").alias("first"), F.count("*").alias("of"), F.max("group_size").alias("n")).where("of > 1")
-    kept = F.col("best") & F.coalesce(F.col("row") == F.col("first"), F.lit(True))
-    rows = spread_join(joined.drop("n"), repeats.drop("of"), ["key", "sha"], "left")
-    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "key")
+    # Of rows with one text and the doc_id that stays, the first is kept; only these meet.
+    best = joined.drop("n").where("best")
+    repeats = best.groupBy("key", "sha").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+    kept = spread_join(best, repeats, ["key", "sha"], "left").withColumn("kept", F.coalesce(F.col("row") == F.col("first"), F.lit(True)))
+    rows = kept.drop("first", "n").unionByName(joined.drop("n").where("NOT best").withColumn("kept", F.lit(False)))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "key")
 
 
 def _later(one: tuple, other: tuple) -> bool:
