@@ -119,10 +119,12 @@ def feature_matrix(samples: DataFrame, intervals: DataFrame, keys: Sequence[str]
     filled = R.fill_triggers(samples, keys, trigger)
     inside = R.split_by_intervals(filled, intervals, keys, bucket_s=bucket_s)
     place = Window.partitionBy(*keys, "slalom").orderBy("idx")
-    parts = feature_blocks(inside.withColumn("place", (F.row_number().over(place) - 1).cast("long")), [*keys, "slalom"], eda, rsp, ecg, rate, **options)
+    inside = cut_lineage(inside.withColumn("place", (F.row_number().over(place) - 1).cast("long")))  # read by every block
+    parts = cut_lineage(feature_blocks(inside, [*keys, "slalom"], eda, rsp, ecg, rate, **options))
     long = S.repair_outliers(parts, [*keys, "feature"], "slalom").drop("old", "repaired")
     calm = R.in_phases(filled, [rest_phase], trigger)
-    rest = feature_blocks(calm.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1).cast("long")), list(keys), eda, rsp, ecg, rate, **options)
+    calm = cut_lineage(calm.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1).cast("long")))
+    rest = cut_lineage(feature_blocks(calm, list(keys), eda, rsp, ecg, rate, **options))
     return X.normalised(long, rest, keys)
 
 
