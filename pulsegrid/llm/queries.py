@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, extraction, licenses, mixing, packing, simhash, topk, toxicity, urls
-from .shared import cut_lineage, table
+from . import chat, codes, exact_dedup, extraction, infill, licenses, mixing, packing, simhash, tokenfiles, topk, toxicity, urls
+from .shared import cut_lineage, new_shared_path, spread_join, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def scaled(embedding: str):
+    """Components as floor(256 x); those that are not finite become null."""
+    return F.transform(embedding, lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(x.cast("double") * 256)).cast("long"))
+
+
 def op1_topk(spark, sf_dir):
-    parts = F.transform("embedding", lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(x.cast("double") * 256)).cast("long"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), parts.alias("vec"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), scaled("embedding").alias("vec"))
     found = topk.top_k(vectors, F.col("id") % 50 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
@@ -72,6 +76,33 @@ def op10_url_filter(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_infill(spark, sf_dir):
+    made = infill.restored(infill.infill_documents(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def word_bpe() -> str:
+    """Path of the word-level BPE vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_tokens(spark, sf_dir):
+    path = new_shared_path(spark, "tokens")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, word_bpe())
+    return tokenfiles.read_tokens(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_codes(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), scaled("embedding").alias("vec"), F.struct("label").alias("label"))
+    coded, books = codes.compress(vectors)
+    coded = cut_lineage(coded.drop("vec"))
+    totals = coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
+    joined = spread_join(coded, totals, ["label"])
+    return joined.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books and books.sha256()).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_packing": op2_packing,
@@ -83,6 +114,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_filter": op10_url_filter,
+    "op11_infill": op11_infill,
+    "op12_tokens": op12_tokens,
+    "op13_codes": op13_codes,
 }
 
 
@@ -150,6 +184,45 @@ FROM judged
 """
 
 
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds are written out: b0 the first codebooks, a1, a2, ... the assignments, b1, b2, ... the codebooks after them."""
+
+    def assigned(books: str) -> str:
+        return f"""(SELECT r, p, arg_min(struct_pack(e := e, d := d), d * {entries} + e) AS best FROM
+            (SELECT v.r, v.p, b.e, list_sum(list_transform(list_zip(v.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts v JOIN {books} b USING (p)) GROUP BY r, p)"""
+
+    steps = ""
+    for i in range(1, rounds + 1):
+        steps += f"""
+a{i} AS MATERIALIZED {assigned(f"b{i - 1}")},
+m{i} AS MATERIALIZED (SELECT p, e, list(m ORDER BY j) AS c FROM (SELECT a.p, a.best.e AS e, j, floor(sum(v.x[j])::DOUBLE / count(*))::BIGINT AS m
+    FROM a{i} a JOIN parts v USING (r, p), (SELECT unnest(generate_series(1, 4)) AS j) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{i} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{i - 1} b LEFT JOIN m{i} m USING (p, e)),"""
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, vec) AS r, * FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+parts AS MATERIALIZED (SELECT r, p, vec[p * 4 + 1 : p * 4 + 4] AS x FROM kept, (SELECT unnest(generate_series(0, {parts - 1})) AS p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= {entries}),{steps}
+last AS MATERIALIZED {assigned(f"b{rounds}")},
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM last GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest
+"""
+
+
+def _infill_sql(seed: int = 7, rate: int = 100, spm_rate: int = 50) -> str:
+    h1, h2, h3, h4 = (f"('0x' || substr(d, {i}, 8))::BIGINT" for i in (1, 9, 17, 25))
+    return f"""
+WITH units AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+ends AS (SELECT *, len(u) AS n, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {h3} % 100 >= {rate} AS plain,
+    least({h1} % (len(u) + 1), {h2} % (len(u) + 1)) AS a, greatest({h1} % (len(u) + 1), {h2} % (len(u) + 1)) AS b, {h4} % 100 < {spm_rate} AS spm FROM units),
+pieces AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM ends)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+    sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+
 ORACLES = {
     "op1_topk": """
 WITH vectors AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
@@ -176,4 +249,6 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND copy
 """,
     "op8_license_scan": _license_sql(),
     "op10_url_filter": _url_sql(),
+    "op11_infill": _infill_sql(),
+    "op13_codes": _codes_sql(),
 }
