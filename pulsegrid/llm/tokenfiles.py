@@ -1,7 +1,7 @@
 """Token ids in binary files: fixed-width bit packing in blocks with offsets.
 
-Texts are tokenised in tasks, sorted by doc_id with a range partitioning, and each range is written as one file.  An id
-takes as many bits as the largest id of the vocabulary needs; ids of all documents run on without gaps.  A file is
+A range partitioning sorts the texts by doc_id; the task of each range tokenises them and writes one file.  An id takes
+as many bits as the largest id of the vocabulary needs; ids of all documents run on without gaps.  A file is
 
     header  magic, version, bits, ids per block (little-endian, 64 bytes with padding)
     blocks  each packs its ids from the lowest bit on and starts at a byte
@@ -35,10 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import Encoder, ids_of
-from .shared import new_shared_path
 
-#: Ids of a block; ids and documents of a file (about, at most); ids that a reading task unpacks at once.
-BLOCK, FILE_IDS, FILE_DOCS, SPAN_IDS = 8_192, 1 << 27, 1 << 20, 1 << 20
+#: Ids of a block; documents of a file (about, at most); ids that a reading task unpacks at once.
+BLOCK, FILE_DOCS, SPAN_IDS = 8_192, 1 << 18, 1 << 20
 
 MAGIC, VERSION = b"PGTOKENS", 1
 HEADER, TAIL = "<8sIII44x", "<QQQQQ8s"
@@ -140,36 +139,61 @@ class Reader:
 
 
 class WordEncoder(Encoder):
-    """Token ids by a vocabulary that drops white space and never joins what white space parts, word by word.
+    """Token ids by a vocabulary that lower-cases, drops white space and cuts texts as ``PIECE`` does.
 
-    A word's last mark is apart from plain letters and digits before it.  Of what Python takes for white space U+001C to
-    U+001F belong to words.
+    Texts of Latin-1 characters, which no normalisation changes, are cut here; pieces repeat, so that few of them reach the
+    tokenizer's model.  Other texts go to the tokenizer word by word.  For vocabularies of another kind pass
+    ``packing.Encoder``.
     """
 
-    MOST = 600_000
-    SPLIT, ODD = re.compile(r"[^\S\x1c-\x1f]+"), re.compile(r"[\x1c-\x1f]")
+    MOST = 500_000
+    #: Contractions, runs of letters, single digits, runs of anything else but white space.  Of what Python
+    #: takes for white space U+001C to U+001F are none.
+    PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+    WIDE, SPACE = re.compile(r"[^\x00-\xff]"), re.compile(r"[^\S\x1c-\x1f]+")
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.known = _Words(self.tokenizer)
+        self.pieces, self.words = _Pieces(self.tokenizer.model), _Words(self.tokenizer)
 
     def plain(self, text: str) -> bytes:
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        words = filter(None, self.SPLIT.split(text)) if self.ODD.search(text) else text.split()
-        return b"".join(map(self.known.__getitem__, words))
+        if len(self.pieces) + len(self.words) > self.MOST:
+            self.pieces.clear()
+            self.words.clear()
+        if self.WIDE.search(text):
+            return b"".join(map(self.words.__getitem__, filter(None, self.SPACE.split(text))))
+        return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(text.lower())))
 
 
-class _Words(dict):
-    MARKED = re.compile(r"([A-Za-z0-9À-ÖØ-öø-ÿ]+)([.,;:!?])")
+def byte_characters() -> dict[int, str]:
+    """What byte-level vocabularies write for a byte: visible Latin-1 characters stand for themselves, the others follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Pieces(dict):
+    """Ids of a piece of Latin-1 characters, by the merges of its bytes."""
+
+    def __init__(self, model):
+        super().__init__()
+        written = byte_characters()
+        self.model, self.table = model, {c: "".join(written[b] for b in chr(c).encode()) for c in range(256)}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = np.array([t.id for t in self.model.tokenize(piece.translate(self.table))], "<u4").tobytes()
+        if len(piece) <= Encoder.LONGEST:
+            self[piece] = found
+        return found
+
 
+class _Words(dict):
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        parts = self.MARKED.fullmatch(word)
-        found = self[parts[1]] + self[parts[2]] if parts else ids_of(self.tokenizer, word)
+        found = ids_of(self.tokenizer, word)
         if len(word) <= Encoder.LONGEST:
             self[word] = found
         return found
@@ -189,54 +213,34 @@ def largest_id(tokenizer: str) -> int:
     return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
 
 
-def tokenized(documents: DataFrame, tokenizer: str, end_id: int = 1, encoder: Callable = WordEncoder, kind: str = "<u4") -> DataFrame:
-    """documents: doc_id, text.  Returns doc_id, n, ids (binary, numbers of ``kind``); each document ends with the end id."""
-
-    def run(batches):
-        encode = held_by_worker(f"{encoder.__name__} {tokenizer}", lambda: encoder(tokenizer))
-        end = end_id.to_bytes(4, "little")
-        for batch in batches:
-            found = [np.frombuffer(encode(text or "") + end, "<u4") for text in batch.column("text").to_pylist()]
-            ids = pa.array([x.astype(kind).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, found), pa.int64()), ids], ["doc_id", "n", "ids"])
-
-    return documents.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
-
-
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, encoder: Callable = WordEncoder, block: int = BLOCK, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> None:
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, encoder: Callable = WordEncoder, block: int = BLOCK, file_docs: int = FILE_DOCS) -> None:
     """Writes the token files of documents (doc_id, text) and their manifest below ``path``, in the order of doc_id.
 
-    There are as many files as the session has shuffle partitions, and more beyond ``file_ids`` ids or ``file_docs`` documents
-    for each; a range partitioning evens out the documents.
+    There are as many files as the session has shuffle partitions, and more beyond ``file_docs`` documents for each.
     """
     spark = documents.sparkSession
     bits = bits_for(max(largest_id(tokenizer), end_id))
-    kind = "<u2" if bits <= 16 else "<u4"
-    between = new_shared_path(spark, "token-ids")
-    tokenized(documents, tokenizer, end_id, encoder, kind).withColumn("row", F.monotonically_increasing_id()).write.parquet(between)
-    rows = spark.read.parquet(between)
-    total = rows.agg(F.sum("n").alias("ids"), F.count("*").alias("docs")).first()
-    n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["ids"] or 0) // file_ids), -(-total["docs"] // file_docs))
+    n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // file_docs))
     folder = f"{path}/files"
     system, place = fs.FileSystem.from_uri(folder)
     system.create_dir(place, recursive=True)
 
     def run(batches):
         task = TaskContext.get()
+        encode, end = held_by_worker(f"{encoder.__name__} {tokenizer}", lambda: encoder(tokenizer)), end_id.to_bytes(4, "little")
         name = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         system, place = fs.FileSystem.from_uri(folder)
         writer = Writer(system.open_output_stream(f"{place}/{name}"), bits, block)
         for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                writer.put(doc, np.frombuffer(ids.as_buffer(), kind))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                writer.put(doc, np.frombuffer(encode(text.as_py() or "") + end, "<u4"))
         counts = [[x] for x in (task.partitionId(), name, *writer.close())]
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(counts, kinds, strict=True)], ["part", "name", "ids", "docs", "blocks"])
 
-    ordered = rows.repartitionByRange(n_files, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
+    rows = documents.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(n_files, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     ordered.mapInArrow(run, "part int, name string, ids long, docs long, blocks long").write.mode("overwrite").parquet(f"{path}/manifest")
-    system, place = fs.FileSystem.from_uri(between)
-    system.delete_dir(place)
 
 
 def token_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
