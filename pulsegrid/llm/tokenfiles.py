@@ -22,8 +22,6 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
-import types
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -146,7 +144,7 @@ class WordEncoder(Encoder):
     ``packing.Encoder``.
     """
 
-    MOST = 500_000
+    MOST = 300_000
     #: Contractions, runs of letters, single digits, runs of anything else but white space.  Of what Python
     #: takes for white space U+001C to U+001F are none.
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
@@ -199,14 +197,6 @@ class _Words(dict):
         return found
 
 
-def held_by_worker(key: str, make: Callable):
-    """What a Python worker keeps between its tasks: made once, under a module name of its own."""
-    kept = sys.modules.setdefault("_pulsegrid_worker", types.ModuleType("_pulsegrid_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
-
-
 def largest_id(tokenizer: str) -> int:
     from tokenizers import Tokenizer
 
@@ -227,7 +217,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def run(batches):
         task = TaskContext.get()
-        encode, end = held_by_worker(f"{encoder.__name__} {tokenizer}", lambda: encoder(tokenizer)), end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         name = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         system, place = fs.FileSystem.from_uri(folder)
         writer = Writer(system.open_output_stream(f"{place}/{name}"), bits, block)
