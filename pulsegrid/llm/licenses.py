@@ -164,10 +164,16 @@ def unwrapped_digest(text: Column) -> Column:
     return F.sha2(canonical(text, (NOTICE_LINE, TITLE_LINE)), 256)
 
 
-def may_be_whole(text: Column) -> Column:
-    """False for texts that are surely none of the known licences: each of those has one of these words."""
+#: Each built-in licence and notice has one of these.
+STEMS = ("licen", "permission", "redistribution")
+
+
+def may_be_known(text: Column, known: list[tuple[str, str]] = KNOWN) -> Column:
+    """False only for texts that are surely none of the known ones; with a known text that has none of the stems always true."""
+    if not all(any(stem in entry.lower() for stem in STEMS) for _, entry in known):
+        return F.lit(True)
     low = F.lower(text)
-    return low.contains("licen") | low.contains("permission") | low.contains("redistribution")
+    return reduce(lambda a, b: a | b, (low.contains(stem) for stem in STEMS))
 
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
@@ -192,12 +198,12 @@ def scan_licenses(documents: DataFrame, known: list[tuple[str, str]] = KNOWN) ->
     lookup = known_digests(spark, known)
     of_line = F.create_map(*(F.lit(x) for row in lookup.collect() for x in (row["digest"], row["license_id"])))
     of_whole = F.create_map(*(F.lit(x) for pair in unwrapped_digests(spark, known).items() for x in pair))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(x).contains("licen"))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: may_be_known(x, known))
     either = lambda x: F.coalesce(F.try_element_at(of_line, digest(x)), F.try_element_at(of_whole, unwrapped_digest(x)))
     found = F.filter(F.transform(lines, either), lambda x: x.isNotNull())
     return (
         documents.select(
-            "doc_id", digest(F.col("text")).alias("digest"), F.when(may_be_whole(F.col("text")), F.try_element_at(of_whole, unwrapped_digest(F.col("text")))).alias("whole"),
+            "doc_id", digest(F.col("text")).alias("digest"), F.when(may_be_known(F.col("text"), known), F.try_element_at(of_whole, unwrapped_digest(F.col("text")))).alias("whole"),
             F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("notices"),
         )
         .join(F.broadcast(lookup), "digest", "left")

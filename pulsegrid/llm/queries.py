@@ -139,17 +139,34 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _unwrapped(col: str) -> str:
+    """As ``_canonical``, but without whole lines that are a notice or a title."""
+    lines = (p.removeprefix("(^|\\n)").replace("(?=\\n|$)", "") for p in (licenses.NOTICE_LINE, licenses.TITLE_LINE))
+    alone = " OR ".join(f"regexp_full_match(x, '{line}')" for line in lines)
+    low = f"translate(coalesce({col}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"array_to_string(list_transform(string_split({low}, chr(10)), lambda x: CASE WHEN {alone} THEN '' ELSE x END), chr(10))"
+    out = f"regexp_replace({out}, '{licenses.PUNCTUATION}', ' ', 'g')"
+    for x, y in licenses.EQUIVALENT:
+        out = f"replace({out}, '{x}', '{y}')"
+    return f"trim({out}, ' ')"
+
+
 def _license_sql() -> str:
-    known = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.KNOWN)
+    known, both = (", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in rows) for rows in (licenses.KNOWN, [*licenses.KNOWN, *licenses.MORE]))
+    whole = ", ".join(f"('{digest}', '{name}')" for digest, name in licenses.WHOLE.items())
+    stem = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{x}')" for x in licenses.STEMS) + ")"
     return f"""
 WITH known AS (SELECT sha256({_canonical('text')}) AS digest, min(name) AS license_id FROM (VALUES {known}) AS k(name, text) GROUP BY 1),
+wrapped AS (SELECT sha256({_unwrapped('text')}) AS digest, min(name) AS license_id FROM (VALUES {both}) AS k(name, text) WHERE {_unwrapped('text')} <> '' GROUP BY 1),
+more AS (SELECT * FROM wrapped UNION ALL SELECT * FROM (VALUES {whole}) AS w(digest, license_id) WHERE digest NOT IN (SELECT digest FROM wrapped)),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
-found AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-          FROM (SELECT r, sha256({_canonical('line')}) AS digest FROM lines WHERE contains(lower(line), 'licen')) JOIN known USING (digest) GROUP BY r),
-texts AS (SELECT r, doc_id, sha256({_canonical('text')}) AS digest FROM docs)
-SELECT doc_id, texts.digest AS digest, license_id, coalesce(notices, '') AS notices
-FROM texts LEFT JOIN known USING (digest) LEFT JOIN found USING (r)
+likely AS (SELECT r, sha256({_canonical('line')}) AS digest, sha256({_unwrapped('line')}) AS other FROM lines WHERE {stem('line')}),
+found AS (SELECT r, string_agg(DISTINCT coalesce(k.license_id, m.license_id), ',' ORDER BY coalesce(k.license_id, m.license_id)) AS notices
+          FROM likely l LEFT JOIN known k ON l.digest = k.digest LEFT JOIN more m ON l.other = m.digest GROUP BY r),
+texts AS (SELECT r, doc_id, sha256({_canonical('text')}) AS digest, CASE WHEN {stem('text')} THEN sha256({_unwrapped('text')}) END AS other FROM docs)
+SELECT doc_id, t.digest AS digest, coalesce(k.license_id, m.license_id) AS license_id, coalesce(notices, '') AS notices
+FROM texts t LEFT JOIN known k ON t.digest = k.digest LEFT JOIN more m ON t.other = m.digest LEFT JOIN found USING (r)
 """
 
 

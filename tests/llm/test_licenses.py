@@ -53,3 +53,28 @@ def test_whole_texts_of_common_licenses(spark):
     bullets = bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ").replace("University", "copyright holder").replace("REGENTS AND", "COPYRIGHT HOLDERS AND").replace("REGENTS", "COPYRIGHT HOLDER")
     two = bullets[: bullets.index("* Neither")] + bullets[bullets.index("THIS SOFTWARE") :]
     assert identified(spark, [bullets, two]) == ["BSD-3-Clause", "BSD-2-Clause"]
+
+
+def test_own_lists_are_searched_for_whole(spark):
+    own = [("Y-1", "We, the copyright holders waive all claims fully and forever")]
+    docs = spark.createDataFrame([(1, own[0][1].replace("the ", "the\n")), (2, "A line\n" + own[0][1]), (3, own[0][1] + " more")], "doc_id long, text string")
+    got = licenses.scan_licenses(docs, own).orderBy("doc_id").collect()
+    assert [(r["license_id"], r["notices"]) for r in got] == [("Y-1", ""), (None, "Y-1"), (None, "")]
+
+
+def test_sql_has_both_lookups(spark):
+    import duckdb
+    from pulsegrid.llm.queries import ORACLES
+
+    mit, isc = licenses.KNOWN[0][1], licenses.KNOWN[1][1]
+    texts = [mit, "MIT License\n\nCopyright (c) 2020 A\n\n" + textwrap.fill(mit, 50), "Some lines\n" + " ".join(isc.split()) + "\nmore", None, "", "Licensed under CC BY 4.0.", "(c) You must pay.\n" + mit, "Copyright (c) 2020 A\r\nAll rights reserved.\r\n" + textwrap.fill(isc, 33)]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cursor = con.execute(ORACLES["op8_license_scan"])
+    names = [c[0] for c in cursor.description]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cursor.fetchall()))
+    assert [r["license_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["MIT", "MIT", None, None, None, "CC-BY-4.0", "MIT", "ISC"]
+    assert sorted(got, key=lambda r: r["doc_id"])[2]["notices"] == "ISC"
