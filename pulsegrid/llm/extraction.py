@@ -10,7 +10,8 @@ Labelled pages are HTML whose elements may carry ``data-content="1"`` or ``"0"``
 ``labelled_pages`` builds a set of them by combining usual layouts; pass others to train on your own.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are joined by newlines.
-Line breaks and rules end a block.  Contents of scripts, styles, templates and form controls are not text.
+Line breaks and rules end a block.  Contents of scripts, styles, templates, form controls and SVG drawings are not text;
+formulas, and what stands in objects, canvases, audio and video for browsers that can't show them, are.
 
 Cases: null html counts as empty and gives ''.  Malformed pages (unclosed or stray tags, cut ends) are parsed with
 implied end tags, in time proportional to their length.  Whole pages are read, whatever their length.  Repeated rows are all returned.  Columns beyond those
@@ -36,7 +37,7 @@ BLOCKS = frozenset(
 )
 #: Read to their end tag and left out.  Without an end tag the raw ones run to the end of the page, the others are passed over.
 RAW = frozenset("script style noscript iframe title textarea xmp noframes".split())
-UNREAD = RAW | frozenset("template svg math object canvas audio video select button".split())
+UNREAD = RAW | frozenset("template svg select button".split())
 UNREAD_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.IGNORECASE) for name in UNREAD}
 CLOSES_ITS_LIKE = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"]}
 HOLDERS = {"li": ["ul", "ol", "menu"], "dt": ["dl"], "dd": ["dl"], "tr": ["table"], "td": ["table"], "th": ["table"]}

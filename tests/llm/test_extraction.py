@@ -83,7 +83,7 @@ def test_hostile_pages_take_time_in_proportion(part):
 
 def test_rules_unclosed_elements_and_names_that_mislead(model):
     assert model.extract("<article><p>One sentence here.<hr>Two</p></article>") == "One sentence here.\nTwo"
-    for name in ("button", "svg", "select", "object"):
+    for name in ("button", "svg", "select", "template"):
         assert model.extract(f"<article><p>Before it.</p><{name}><p>The rest of the text is still read.</p></article>") == "Before it.\nThe rest of the text is still read."
     long = "This is a sentence of the article, with commas, and it goes on for some time so that it counts. " * 3
     for names in ("shared-memory", "header-row", "sharedMemory", "navigational", "footnotes", "address-space"):
@@ -95,3 +95,9 @@ def test_rules_unclosed_elements_and_names_that_mislead(model):
 def test_rows_of_tables_close_each_other():
     page = X.Page("<table><tr><td>a<td>b<tr><td>c</table>")
     assert [page.tag[i] for i in page.parent[2:]] == ["table", "tr", "tr", "table", "tr"]
+
+
+def test_formulas_and_fallback_texts_are_read(model):
+    long = "This is a sentence of the article, with commas, and it goes on for some time so that it counts. " * 2
+    page = f'<article><h1>Title</h1><p>{long}The value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>See <object data="a.pdf">the report</object> and <video src="v">its film</video>. <svg><text>axis</text></svg></p></article>'
+    assert model.extract(page) == f"Title\n{long}The value x=2 holds.\nSee the report and its film."
