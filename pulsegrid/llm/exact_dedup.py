@@ -225,17 +225,23 @@ def _firsts(text_at: int):
 
     def run(batches):
         held: dict[bytes, tuple] = {}
-        size = 0
+        size = 0  # of the texts and rows held, those that were replaced since included
         for batch in batches:
+            new: set[bytes] = set()
             docs, ids = batch.column("doc"), batch.column("doc_id")
             both = pa.StructArray.from_arrays([docs, ids], ["doc", "doc_id"])
             for i, (doc, text) in enumerate(zip(ids.to_pylist(), docs.field(text_at).cast(pa.binary()).to_pylist(), strict=True)):
                 text = (text or b"").lower()
                 if text not in held:
-                    held[text] = (doc, both, i)
                     size += len(text) + 100
-                elif _later((doc, both, i), held[text]):
-                    held[text] = (doc, both, i)
+                elif not _later((doc, both, i), held[text]):
+                    continue
+                held[text] = (doc, both, i)
+                new.add(text)
+            if new:  # rows that stay are copied out of their batch, which is freed
+                own = both.take(pa.array([held[text][2] for text in new], pa.int64()))
+                held.update({text: (held[text][0], own, i) for i, text in enumerate(new)})
+                size += own.nbytes
             if size > HELD_BYTES:
                 yield from sent(held)
                 held, size = {}, 0

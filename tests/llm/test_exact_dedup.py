@@ -88,3 +88,26 @@ def test_colliding_keys_are_told_apart_by_bytes():
     rows = [tuple(r.values()) for b in exact_dedup._owned([batch]) for r in b.to_pylist()]
     sha = lambda t: hashlib.sha256(t).digest()
     assert rows == [(1, sha(b"a"), 5, 4), (1, sha(b"b"), None, 2), (2, sha(b"a"), 9, 4)]
+
+
+def test_a_hot_text_does_not_keep_its_batches():
+    import gc
+
+    import pyarrow as pa
+
+    hot, kinds = "copy " * 1_000, [("doc_id", pa.int64()), ("text", pa.string())]
+    most = 0
+
+    def batches():
+        nonlocal most
+        for n in range(60):
+            texts = [hot] * 1_999 + [f"single {n}"]
+            docs = pa.StructArray.from_arrays([pa.array(range(n * 2_000, (n + 1) * 2_000)), pa.array(texts)], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([docs.field(0), docs], ["doc_id", "doc"])
+            gc.collect()
+            most = max(most, pa.total_allocated_bytes())
+
+    before = pa.total_allocated_bytes()
+    rows = [r for b in exact_dedup._firsts(1)(batches()) for r in b.to_pylist()]
+    assert len(rows) == 61 and max(r["doc_id"] for r in rows if r["doc"]["text"] == hot) == 60 * 2_000 - 2
+    assert most - before < 60_000_000  # a batch has 10 MB
