@@ -51,6 +51,41 @@ def lfilter_on(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray |
     return np.array(out), np.array(zs[:-1])
 
 
+def lfilter_blocks(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """As ``lfilter_on``, with the samples of a block at once: what they do to its outputs and to the state are matrix products."""
+    n = max(len(a), len(b))
+    z = np.zeros(n - 1) if state is None else np.asarray(state, float)
+    whole = len(x) // block
+    if n > 1 and whole:
+        bb, once = np.pad(b, (0, n - len(b))) / a[0], fading(b, a, 1)
+        enters = bb[1:] + once[:, 0] * bb[0]  # what one sample adds to the state
+        powers = [np.eye(n - 1)]
+        for _ in range(block):
+            powers.append(once @ powers[-1])
+        seen = np.array([p[0] for p in powers[:block]])  # the state at the start of a block in its outputs
+        answer = np.concatenate([[bb[0]], seen[:-1] @ enters])
+        forced = np.array([[answer[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
+        taken = np.array([powers[block - 1 - i] @ enters for i in range(block)])
+        rows = x[: whole * block].reshape(whole, block)
+        added, starts = rows @ taken, np.empty((whole, n - 1))
+        for k in range(whole):
+            starts[k] = z
+            z = powers[block] @ z + added[k]
+        head = (rows @ forced.T + starts @ seen.T).ravel()
+    else:
+        whole, head = 0, np.zeros(0)
+    tail, z = lfilter_on(b, a, x[whole * block :], z)
+    return np.concatenate([head, tail]), z
+
+
+def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state of a filter that has seen ones for ever."""
+    n = max(len(a), len(b))
+    bb = np.pad(b, (0, n - len(b))) / a[0]
+    once = fading(b, a, 1)
+    return np.linalg.solve(np.eye(n - 1) - once, bb[1:] + once[:, 0] * bb[0])
+
+
 def fading(b: np.ndarray, a: np.ndarray, steps: int) -> np.ndarray:
     """Matrix that takes a filter's state over ``steps`` samples of silence."""
     n = max(len(a), len(b))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import next_power_of_two
+from ..functions import signals as helpers
 from ..operators import features as X
 from ..operators import hrv as H
 from ..operators import models as M
@@ -48,9 +49,26 @@ def a14(spark, d):
     return X.level_statistics(G.wavelet_details(recordings(spark, d), K, "value", "db4", 3), K, "eda", [1, 2, 3])
 
 
-@query("v4_filtered", None)
+def filter_sql(name: str, source: str, b, a, entered=None) -> str:
+    """Recursive CTE: rec, p, y of a filter over source (rec, p from 0, x), one sample a step; entered: state for an input of ones."""
+    b, a = [float(v) for v in b], [float(v) for v in a]
+    z = [f"z{i}" for i in range(1, len(a))]
+    start = [f"{float(v)!r} * s.x" for v in (entered if entered is not None else [0.0] * len(z))]
+
+    def step(state):
+        y = f"({b[0]!r} * s.x + {state[0]})"
+        return [y, *(f"{b[i]!r} * s.x - ({a[i]!r}) * {y}" + (f" + {state[i]}" if i < len(z) else "") for i in range(1, len(a)))]
+
+    first, then = (", ".join(f"({c})::DOUBLE AS {n}" for c, n in zip(step(state), ["y", *z], strict=True)) for state in (start, [f"f.{c}" for c in z]))
+    return f"{name} AS (SELECT s.rec, s.p, {first} FROM {source} s WHERE s.p = 0 UNION ALL SELECT s.rec, s.p, {then} FROM {name} f JOIN {source} s ON s.rec = f.rec AND s.p = f.p + 1)"
+
+
+LOW6, LOW2 = helpers.butterworth(6, 1.0, 8.0), helpers.butterworth(2, 0.05, 8.0)
+
+
+@query("v4_filtered", f"WITH RECURSIVE {REC}, src AS (SELECT rec, idx AS p, value AS x FROM rec), {filter_sql('fil', 'src', *LOW6)} SELECT rec, idx, round(value, 4) AS value, round(y, 4) AS value_filtered FROM fil JOIN rec USING (rec) WHERE p = idx")
 def v4(spark, d):
-    return G.filtered(recordings(spark, d).select("rec", "idx", "value"), K, "value", 8.0, "low", 1.0, 6)
+    return rounded(G.filtered(recordings(spark, d).select("rec", "idx", "value"), K, "value", 8.0, "low", 1.0, 6))
 
 
 @query("v4_moving_average", f"WITH {REC} SELECT rec, idx, round(sum(value) OVER (PARTITION BY rec ORDER BY idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) / 4, 4) AS value_filtered FROM rec")
@@ -103,9 +121,14 @@ def a13(spark, d):
     return X.breath_measures(G.peaks(r, K, "value", 0.0, 3), low, K)
 
 
-@query("v9_tonic_phasic", None)
+@query("v9_tonic_phasic", f"""WITH RECURSIVE {REC}, n AS (SELECT rec, max(idx) + 1 AS n, arg_min(value, idx) AS head, arg_max(value, idx) AS tail, least(9, max(idx)) AS pad FROM rec GROUP BY 1),
+wide AS (SELECT rec, idx + pad AS p, value AS x FROM rec JOIN n USING (rec) UNION ALL SELECT rec, pad - idx, 2 * head - value FROM rec JOIN n USING (rec) WHERE idx BETWEEN 1 AND pad
+    UNION ALL SELECT rec, pad + 2 * (n - 1) - idx, 2 * tail - value FROM rec JOIN n USING (rec) WHERE idx BETWEEN n - 1 - pad AND n - 2),
+{filter_sql("once", "wide", *LOW2, helpers.steady_state(*LOW2))}, turned AS (SELECT rec, n + 2 * pad - 1 - p AS p, y AS x FROM once JOIN n USING (rec)), {filter_sql("back", "turned", *LOW2, helpers.steady_state(*LOW2))},
+out AS (SELECT rec, n + pad - 1 - p AS idx, y AS tonic FROM back JOIN n USING (rec))
+SELECT rec, idx AS tick, round(value, 4) AS value, round(CASE WHEN n = 1 THEN value ELSE tonic END, 4) AS tonic, round(value - CASE WHEN n = 1 THEN value ELSE tonic END, 4) AS phasic FROM rec JOIN n USING (rec) LEFT JOIN out USING (rec, idx)""")
 def v9(spark, d):
-    return G.tonic_phasic(recordings(spark, d).select("rec", F.col("idx").alias("tick"), "value"), K, "value")
+    return rounded(G.tonic_phasic(recordings(spark, d).select("rec", F.col("idx").alias("tick"), "value"), K, "value"))
 
 
 def nn_seconds(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..functions.lineage import cut_lineage
+from .ranges import places, ranged, running
 
 
 def binarise(score: Column, threshold: float = 2.6) -> Column:
@@ -17,18 +18,8 @@ def binarise(score: Column, threshold: float = 2.6) -> Column:
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds __at, the place (from 1) of a row in its group by ``order``, and __n, the group's rows.
-
-    Rows are range-partitioned by keys and order; a row's place is its place in its partition plus the counts of its
-    group's partitions before.  So a group may be as large as the table, and none is sorted in one task.
-    """
-    by = [*keys, *order]
-    ranged = cut_lineage(df.repartitionByRange(*by).withColumn("__pid", F.spark_partition_id()))
-    counts = ranged.groupBy(*keys, "__pid").agg(F.count("*").alias("__here"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    counts = counts.withColumns({"__n": F.sum("__here").over(w), "__before": F.coalesce(F.sum("__here").over(w.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    place = F.row_number().over(Window.partitionBy("__pid", *keys).orderBy(*order))
-    return ranged.join(F.broadcast(counts.drop("__here")), [*keys, "__pid"]).withColumn("__at", F.col("__before") + place).drop("__pid", "__before")
+    """Adds __at, the place (from 1) of a row in its group by ``order``, and __n, the group's rows; no group meets in one task."""
+    return places(df, keys, order).withColumn("__at", F.col("__at") + 1).drop("__pid")
 
 
 def repeated_splits(df: DataFrame, key: str, repeats: int, train_share: float = 0.75, seed: int = 0, total: int | None = None) -> DataFrame:
@@ -47,28 +38,40 @@ def first_share(df: DataFrame, order: str, share: float = 0.33, keys: Sequence[s
     return ranked(df, keys, [order]).where(F.col("__at") <= F.floor(F.col("__n") * share)).drop("__n", "__at")
 
 
+def _descending(rows: DataFrame, column: str) -> DataFrame:
+    """Adds __null and __down, whose ascending order is the descending order of a column, nulls last."""
+    x = F.col(column).cast("double")
+    return rows.withColumns({"__null": x.isNull(), "__down": F.when(F.isnan(x), float("-inf")).otherwise(-x)})
+
+
+DOWN = ["__null", "__down"]
+
+
 def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
-    """keys, threshold, tpr, fpr: one point per distinct score, descending.  Scores are grouped before they are summed up."""
+    """keys, threshold, tpr, fpr: one point per distinct score, descending.
+
+    Scores are grouped, range-partitioned and summed up from partition to partition.
+    """
     per = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("__p"), F.count(label).alias("__n"))
-    w = Window.partitionBy(*keys)
-    up = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    tp, n = F.sum("__p").over(up), F.sum("__n").over(up)
-    p_all, n_all = F.sum("__p").over(w), F.sum("__n").over(w)
-    return per.select(*keys, F.col(score).alias("threshold"), F.try_divide(tp, p_all).alias("tpr"), F.try_divide(n - tp, n_all - p_all).alias("fpr"))
+    rows = ranged(_descending(per, score), keys, DOWN)
+    p, n = F.col("__p"), F.col("__n")
+    rows = running(rows, keys, DOWN, sums={"__tp": p, "__seen": n}, totals={"__p_all": p, "__n_all": n})
+    tp, fp = F.col("__tp"), F.col("__seen") - F.col("__tp")
+    return rows.select(*keys, F.col(score).alias("threshold"), F.try_divide(tp, F.col("__p_all")).alias("tpr"), F.try_divide(fp, F.col("__n_all") - F.col("__p_all")).alias("fpr"))
 
 
 def auc(points: DataFrame, keys: Sequence[str], digits: int = 2) -> DataFrame:
     """Trapezoid area under the ROC curve from (0, 0), rounded."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    x0, y0 = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    own = points.withColumn("__area", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2)
+    rows = running(ranged(_descending(points, "threshold"), keys, DOWN), keys, DOWN, before={"__x0": F.col("fpr"), "__y0": F.col("tpr")})
+    x0, y0 = F.coalesce("__x0", F.lit(0.0)), F.coalesce("__y0", F.lit(0.0))
+    own = rows.withColumn("__area", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2)
     return own.groupBy(*keys).agg(F.round(F.sum("__area"), digits).alias("auc"))
 
 
 def mean_roc(points: DataFrame, rep: str, length: int) -> DataFrame:
     """k, tpr, fpr: means over repeats of their k-th points; shorter curves are padded with 1, longer ones cut."""
-    w = Window.partitionBy(rep).orderBy(F.desc("threshold"))
-    numbered = points.withColumn("k", F.row_number().over(w) - 1).where(F.col("k") < length).select(rep, "k", "tpr", "fpr")
+    placed = places(_descending(points, "threshold"), [rep], DOWN)
+    numbered = placed.withColumn("k", F.col("__at").cast("int")).where(F.col("k") < length).select(rep, "k", "tpr", "fpr")
     grid = points.select(rep).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     padded = grid.join(numbered, [rep, "k"], "left")
     return padded.groupBy("k").agg(F.avg(F.coalesce("tpr", F.lit(1.0))).alias("tpr"), F.avg(F.coalesce("fpr", F.lit(1.0))).alias("fpr"))
@@ -80,19 +83,24 @@ def evaluation_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
 
 
 def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, percents: Sequence[float]) -> DataFrame:
-    """keys, percent, value: points at p = 100 / W (cumulated w - w / 2), linear between, clamped; zero weights ignored."""
-    own = df.where(F.col(weight) > 0)
-    w = Window.partitionBy(*keys)
-    up = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    p = 100 / F.sum(weight).over(w) * (F.sum(weight).over(up) - F.col(weight) / 2)
-    placed = own.select(*keys, F.col(value).alias("__x"), p.alias("__p"))
-    following = w.orderBy("__p", "__x")
-    placed = placed.withColumns({"__x2": F.lead("__x").over(following), "__p2": F.lead("__p").over(following), "__first": F.row_number().over(following) == 1})
-    asked = placed.withColumn("percent", F.explode(F.array(*(F.lit(float(q)) for q in percents))))
-    inside = (F.col("percent") >= F.col("__p")) & ((F.col("percent") < F.col("__p2")) | F.col("__p2").isNull())
-    below = F.col("__first") & (F.col("percent") < F.col("__p"))
-    line = F.col("__x") + (F.col("__x2") - F.col("__x")) * (F.col("percent") - F.col("__p")) / (F.col("__p2") - F.col("__p"))
-    return asked.where(inside | below).select(*keys, "percent", F.when(below | F.col("__p2").isNull(), F.col("__x")).otherwise(line).alias("value"))
+    """keys, percent, value: points at p = 100 / W (cumulated w - w / 2), linear between, clamped; zero weights ignored.
+
+    Cumulated weights and each point's successor come from range partitions, so a group may be as large as the table.
+    """
+    own = df.where(F.col(weight) > 0).select(*keys, F.col(value).alias("__x"), F.col(weight).cast("double").alias("__w"))
+    rows = ranged(own.groupBy(*keys, "__x", "__w").agg(F.count("*").alias("__times")), keys, ["__x", "__w"])
+    rows = running(rows, keys, ["__x", "__w"], sums={"__sum": F.col("__w") * F.col("__times")}, totals={"__all": F.col("__w") * F.col("__times")})
+    # Equal rows lie side by side: the first and the last of them bound a level stretch.
+    first, end = F.col("__sum") - F.col("__w") * (F.col("__times") - 0.5), F.col("__sum") - F.col("__w") / 2
+    rows = rows.withColumns({"__p": 100 / F.col("__all") * first, "__end": 100 / F.col("__all") * end})
+    rows = running(rows, keys, ["__x", "__w"], before={"__p0": F.col("__p")}, after={"__x2": F.col("__x"), "__p2": F.col("__p")})
+    asked = rows.withColumn("percent", F.explode(F.array(*(F.lit(float(q)) for q in percents))))
+    q = F.col("percent")
+    below = F.col("__p0").isNull() & (q < F.col("__p"))
+    inside = (q >= F.col("__p")) & ((q < F.col("__p2")) | F.col("__p2").isNull())
+    line = F.col("__x") + (F.col("__x2") - F.col("__x")) * (q - F.col("__end")) / (F.col("__p2") - F.col("__end"))
+    level = below | F.col("__p2").isNull() | (q <= F.col("__end"))
+    return asked.where(inside | below).select(*keys, "percent", F.when(level, F.col("__x")).otherwise(line).alias("value"))
 
 
 def feature_votes(steps: DataFrame, top: int = 30) -> DataFrame:
@@ -113,24 +121,27 @@ def kendall_tau(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     Pairs are counted, not listed.  Rows are ordered by x, then y.  Two rows are in the wrong order when the ranks of
     their y agree above some bit and that bit is 1 in the earlier row, 0 in the later: for each bit, and each value of the
     bits above it, a running count of ones is added up over the zeros.  That makes n log n rows instead of n * n pairs.
+    Ranks, places and running counts come from range partitions: no group, nor its half above a bit, meets in one task.
     """
-    w = Window.partitionBy(*keys)
     own = df.select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
-    own = own.withColumns({"__yr": F.dense_rank().over(w.orderBy("__y")) - 1, "__xr": F.row_number().over(w.orderBy("__x", "__y"))})
-    own = own.withColumn("__bits", F.length(F.bin(F.max("__yr").over(w).cast("long"))))
-    levels = own.withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__bits") - 1)))
-    levels = levels.withColumns({"__one": F.expr("shiftright(cast(__yr as bigint), __b) % 2"), "__above": F.expr("shiftright(cast(__yr as bigint), __b + 1)")})
-    before = F.sum("__one").over(Window.partitionBy(*keys, "__b", "__above").orderBy("__xr").rowsBetween(Window.unboundedPreceding, 0))
-    wrong = levels.withColumn("__wrong", F.when(F.col("__one") == 0, before).otherwise(0)).groupBy(*keys).agg(F.sum("__wrong").alias("__d"))
+    one, up = F.lit(1).cast("long"), ["__y", "__u"]
+    rows = ranged(own.withColumn("__u", F.monotonically_increasing_id()), keys, up)
+    rows = running(rows, keys, up, sums={"__at": one}, totals={"__n": one}, before={"__y0": F.col("__y")})
+    new = F.col("__y0").isNull() | (F.col("__y0") != F.col("__y"))
+    rows = running(rows, keys, up, last={"__yr": F.when(new, F.col("__at") - 1)}).select(*keys, "__x", "__y", "__yr", "__n")
+    own = cut_lineage(running(ranged(rows, keys, ["__x", "__y"]), keys, ["__x", "__y"], sums={"__xr": one}).drop("__pid"))
+    levels = own.withColumn("__b", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("__n") - 1)) - 1)))
+    levels = levels.select(*keys, "__b", F.expr("shiftright(__yr, __b) % 2").alias("__one"), F.expr("shiftright(__yr, __b + 1)").alias("__above"), "__xr")
+    by = [*keys, "__b", "__above"]
+    before = running(ranged(levels, by, ["__xr"]), by, ["__xr"], sums={"__ones": F.col("__one")})
+    sums = before.groupBy(*keys).agg(F.sum(F.when(F.col("__one") == 0, F.col("__ones")).otherwise(0)).cast("double").alias("__n")).withColumn("__of", F.lit("wrong"))
 
     def pairs(n):
         return (n * (n - 1) / 2).cast("double")
 
-    ties = {}
-    for name, by in (("__all", []), ("__tx", ["__x"]), ("__ty", ["__y"]), ("__txy", ["__x", "__y"])):
-        ties[name] = own.groupBy(*keys, *by).agg(F.count("*").alias("__c")).groupBy(*keys).agg(F.sum(pairs(F.col("__c"))).alias(name))
-    sums = wrong
-    for part in ties.values():
-        sums = sums.join(part, list(keys))
-    good = F.col("__all") - F.col("__tx") - F.col("__ty") + F.col("__txy") - 2 * F.col("__d")
-    return sums.select(*keys, F.try_divide(good, F.sqrt((F.col("__all") - F.col("__tx")) * (F.col("__all") - F.col("__ty")))).alias("tau"))
+    for name, of in (("all", []), ("tx", ["__x"]), ("ty", ["__y"]), ("txy", ["__x", "__y"])):
+        ties = own.groupBy(*keys, *of).agg(F.count("*").alias("__c")).groupBy(*keys).agg(F.sum(pairs(F.col("__c"))).alias("__n"))
+        sums = sums.unionByName(ties.withColumn("__of", F.lit(name)))
+    n = {name: F.sum(F.when(F.col("__of") == name, F.col("__n"))) for name in ("all", "tx", "ty", "txy", "wrong")}
+    good = n["all"] - n["tx"] - n["ty"] + n["txy"] - 2 * n["wrong"]
+    return sums.groupBy(*keys).agg(F.try_divide(good, F.sqrt((n["all"] - n["tx"]) * (n["all"] - n["ty"]))).alias("tau"))

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
+from .ranges import ranged, running
+
 
 def nn_intervals(beats: DataFrame, keys: Sequence[str], beat_time: str = "beat_ms", order: str = "beat") -> DataFrame:
     """Differences of successive beat times; a series whose largest value is below 10 is in seconds and becomes whole ms."""
@@ -59,43 +62,62 @@ def summary(nn: DataFrame, keys: Sequence[str], order: str = "beat") -> DataFram
     )
 
 
+def _next_starts(beats: DataFrame, keys: Sequence[str], limit: float) -> DataFrame:
+    """keys, __i, __j: where a segment that starts at beat __i (from 0) is followed by one at beat __j.
+
+    beats: keys, __p (beats up to this one), __c (their sum), __n, __total.  The end of a segment is a search among running
+    sums: searched values and sums are sorted together, and a running count says how many sums lie below each value.
+    """
+    start = F.col("__c") + limit
+    sums = beats.select(*keys, F.col("__c").alias("__v"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__i"), F.lit(None).cast("double").alias("__from"), "__n")
+    inner = beats.where((F.col("__p") < F.col("__n")) & (start <= F.col("__total"))).select(*keys, start.alias("__v"), F.lit(0), F.col("__p"), F.col("__c"), "__n")
+    first = beats.where("__p = 1").select(*keys, F.lit(float(limit)), F.lit(0), F.lit(0).cast("long"), F.lit(0.0), "__n")
+    order, summed = ["__v", "__kind"], F.col("__kind") == 1
+    found = running(ranged(sums.union(inner).union(first), keys, order), keys, order, sums={"__below": summed.cast("long")}, following={"__at": F.when(summed, F.col("__v"))})
+    end = F.col("__below") + 1  # the first beat count whose sum reaches the limit; the beat that overshoots is left to the next segment
+    end = F.when(F.col("__at") - F.col("__from") > limit, F.greatest(end - 1, F.col("__i") + 1)).otherwise(end)
+    return found.where("__kind = 0").select(*keys, "__i", end.alias("__j"), "__n").where("__j < __n").drop("__n")
+
+
+def _followed(left: DataFrame, steps: DataFrame, keys: Sequence[str], **columns: Column) -> DataFrame:
+    """Rows (keys, __j and others) moved from __j to where steps (keys, __i, __j) lead."""
+    to = steps.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__i").alias("__from"), F.col("__j").alias("__to"))
+    on = F.col("__j") == F.col("__from")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(to, on).select(*keys, *(c.alias(n) for n, c in columns.items()), F.col("__to").alias("__j"))
+
+
 def segments(nn: DataFrame, keys: Sequence[str], duration_s: float = 300.0, full: bool = True, order: str = "beat") -> DataFrame:
     """Adds segment: beats are taken until their sum reaches the duration; the beat that overshoots opens the next one.
 
     There are ceil(total / duration) segments; beats beyond the last are lost, and with ``full=False`` the last goes too.
-    Recordings not longer than the duration give nothing.  Greedy, so a recording is one group; Arrow batches by group.
-    """
-    import numpy as np
-    import pyarrow as pa
+    Recordings not longer than the duration give nothing.  Intervals are not negative; null and NaN count as 0.
 
-    names = [*keys, order, "nn"]
-    limit = duration_s * 1000
-
-    def cut(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        x = np.nan_to_num(table.column("nn").to_numpy().astype(float))
-        total = x.sum()
-        segment, start, clock = np.full(len(x), -1, np.int32), 0, np.concatenate([[0.0], np.cumsum(x)])
-        if total > limit:
-            count = math.ceil(total / limit)
-            for k in range(count):
-                if start >= len(x):
-                    break
-                # The first beat at which the sum reaches the limit; it stays only if it does not overshoot.
-                end = int(np.searchsorted(clock, clock[start] + limit, side="left"))
-                if end > len(x):
-                    end = len(x)
-                elif clock[end] - clock[start] > limit:
-                    end = max(end - 1, start + 1)
-                if full or k < count - 1:
-                    segment[start:end] = k
-                start = end
-        out = table.append_column("segment", pa.array(segment, pa.int32()))
-        return out.filter(pa.array(segment >= 0))
-
-    kinds = dict(nn.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", segment int"
-    return nn.select(*names).groupBy(*keys).applyInArrow(cut, schema)
+    Greedy, but no recording meets in one task: where a segment from each beat would end comes from running sums over range
+    partitions.  Steps are then doubled (to the next start, the one after the next, the fourth, ...) and starts already known
+    take each step once, so the starts of all segments are found in as many joins as their number has binary digits.
+    """
+    limit, x = duration_s * 1000.0, F.coalesce(F.nanvl(F.col("nn").cast("double"), F.lit(0.0)), F.lit(0.0))
+    one = F.lit(1).cast("long")
+    beats = running(ranged(nn.select(*keys, order, "nn"), keys, [order]), keys, [order], sums={"__c": x, "__p": one}, totals={"__n": one, "__total": x})
+    beats = cut_lineage(beats.where(F.col("__total") > limit))
+    steps = cut_lineage(_next_starts(beats, keys, limit))
+    starts, length = beats.where("__p = 1").select(*keys, F.lit(0).cast("long").alias("__k"), F.lit(0).cast("long").alias("__j")), 1
+    while True:
+        more = cut_lineage(_followed(starts, steps, keys, __k=F.col("__k") + length))
+        if more.isEmpty():
+            break
+        starts, length = starts.unionByName(more), 2 * length
+        steps = cut_lineage(_followed(steps, steps, keys, __i=F.col("__i")))
+    marks = starts.select(*(F.col(k).alias(f"__k_{k}") for k in keys), "__k", F.col("__j").alias("__start"))
+    on = F.col("__p") - 1 == F.col("__start")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    marked = beats.join(marks, on, "left").select(*beats.columns, "__k")
+    out = running(marked, keys, [order], last={"__segment": F.col("__k")})
+    count = F.ceil(F.col("__total") / limit) - (0 if full else 1)
+    return out.where(F.col("__segment") < count).select(*keys, order, "nn", F.col("__segment").cast("int").alias("segment"))
 
 
 def segment_deviations(segmented: DataFrame, keys: Sequence[str]) -> DataFrame:

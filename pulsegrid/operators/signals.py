@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals as H
+from ..functions.lineage import cut_lineage
+from .ranges import filled, places
 
 
 def _kinds(df: DataFrame, names: Sequence[str]) -> str:
@@ -60,14 +62,14 @@ def sliding_median_large(df: DataFrame, keys: Sequence[str], value: str, k: int,
 def filtered(df: DataFrame, keys: Sequence[str], value: str, fs: float, kind: str = "low", cutoff: float = 1.0, filter_order: int = 6, zero_phase: bool = False, order: str = "idx", n: int = 65_536) -> DataFrame:
     """Adds <value>_filtered by recording: low, high (Butterworth), notch, or mean (moving average of cutoff seconds).
 
-    Causal filters work on chunks of n rows with carried state; a zero-phase one takes the whole recording.
+    Both causal and zero-phase filters work on chunks of n rows with carried state.
     """
     if kind == "mean":
         b, a = np.full(max(int(cutoff * fs), 1), 1 / max(int(cutoff * fs), 1)), np.array([1.0])
     else:
         b, a = H.notch(cutoff, fs) if kind == "notch" else H.butterworth(filter_order, cutoff, fs, kind)
     if zero_phase:
-        return mapped(df, keys, value, order, lambda x: H.filtfilt(b, a, x), f"{value}_filtered")
+        return _zero_phase(df, keys, value, b, a, order, n, f"{value}_filtered")
     return _causal(df, keys, value, b, a, order, n, f"{value}_filtered")
 
 
@@ -113,6 +115,91 @@ def _causal(df: DataFrame, keys: Sequence[str], value: str, b: np.ndarray, a: np
     return cut.groupBy(*by).cogroup(starts.groupBy(*by)).applyInArrow(run, f"{_kinds(df, df.columns)}, `{name}` double")
 
 
+def _by_row(names: Sequence[str], f: Callable[[dict], dict], fields: dict[str, pa.DataType]):
+    """For mapInArrow: rows with columns ``names`` kept and those of f(row) added, a few rows at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                made = [f(row) for row in part.to_pylist()]
+                own = [part.column(k) for k in names]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([m[k] for m in made], t) for k, t in fields.items())], [*names, *fields])
+
+    return run
+
+
+def _scanned(blocks: DataFrame, keys: Sequence[str], b: np.ndarray, a: np.ndarray, back: bool) -> DataFrame:
+    """blocks: keys, __chunk, __v (array).  The blocks filtered from the first to the last, or back from the last to the first.
+
+    The state in which a block is entered is an affine function of that in which its predecessor was: each block gives its
+    offset (the state it leaves behind when entered in silence), the few numbers of each block are chained along the
+    recording in sorted partitions, and every block is filtered from the state it starts with.
+    """
+    kinds, numbers = _kinds(blocks, keys), pa.list_(pa.float64())
+    way = -1 if back else 1
+    steady = H.steady_state(b, a)
+
+    def left(row):
+        x = np.array(row["__v"])[::way]
+        return {"__m": len(x), "__edge": float(x[0]), "__z": H.lfilter_blocks(b, a, x)[1].tolist()}
+
+    def chained(batches):
+        before, z = None, None
+        for batch in batches:
+            out = []
+            for *key, m, edge, alone in zip(*(batch.column(c).to_pylist() for c in (*keys, "__m", "__edge", "__z")), strict=True):
+                if key != before:
+                    before, z = key, steady * edge
+                out.append(z.tolist())
+                z = np.array(alone) + H.fading(b, a, m) @ z
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "__chunk")), pa.array(out, numbers)], [*keys, "__chunk", "__z"])
+
+    ends = blocks.mapInArrow(_by_row([*keys, "__chunk"], left, {"__m": pa.int64(), "__edge": pa.float64(), "__z": numbers}), f"{kinds}, __chunk long, __m long, __edge double, __z array<double>")
+    along = ends.repartition(*keys).sortWithinPartitions(*keys, F.col("__chunk") * way)
+    starts = along.mapInArrow(chained, f"{kinds}, __chunk long, __z array<double>").select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__chunk").alias("__of"), "__z")
+    on = F.col("__chunk") == F.col("__of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+
+    def passed(row):
+        return {"__v": H.lfilter_blocks(b, a, np.array(row["__v"])[::way], np.array(row["__z"]))[0][::way].tolist()}
+
+    entered = blocks.join(starts, on).select(*keys, "__chunk", "__v", "__z")
+    return cut_lineage(entered.mapInArrow(_by_row([*keys, "__chunk"], passed, {"__v": numbers}), f"{kinds}, __chunk long, __v array<double>"))
+
+
+def _zero_phase(df: DataFrame, keys: Sequence[str], value: str, b: np.ndarray, a: np.ndarray, order: str, n: int, name: str) -> DataFrame:
+    """Forward and back over blocks of n rows, after both ends of a recording have been reflected oddly.
+
+    Null and non-finite values are interpolated; recordings without values give nulls, those of one row stay as they are.
+    """
+    rows = cut_lineage(filled(places(df.withColumn("__x", F.col(value)), keys, [order]), keys, [order], "__x"))
+    pad = 3 * max(len(a), len(b))
+    core = rows.where("__x IS NOT NULL AND __n > 1").select(*keys, F.col("__at").alias("__place"), "__x", "__n")
+    reach = F.least(F.lit(pad).cast("long"), F.col("__n") - 1)
+    mirror = {False: F.lit(0).cast("long"), True: F.col("__n") - 1}
+    parts = [core]
+    for at_end, edge in mirror.items():
+        tip = core.where(F.col("__place") == edge).select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__x").alias("__tip"))
+        near = core.where((F.col("__place") != edge) & (F.abs(F.col("__place") - edge) <= reach))  # at most ``pad`` rows of a recording
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        parts.append(near.join(tip, on).select(*keys, (2 * edge - F.col("__place")).alias("__place"), (2 * F.col("__tip") - F.col("__x")).alias("__x"), "__n"))
+    wide = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("__chunk", F.floor((F.col("__place") + pad) / n).cast("long"))
+    samples = F.array_sort(F.collect_list(F.struct("__place", "__x")))
+    blocks = cut_lineage(wide.groupBy(*keys, "__chunk").agg(samples.alias("__s")).select(*keys, "__chunk", F.col("__s")["__x"].alias("__v"), F.col("__s")[0]["__place"].alias("__first")))
+    done = _scanned(_scanned(blocks.drop("__first"), keys, b, a, False), keys, b, a, True)
+    firsts = blocks.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__chunk").alias("__of"), "__first")
+    on, same = F.col("__chunk") == F.col("__of"), F.col("__at") == F.col("__to")
+    for k in keys:
+        on, same = on & F.col(k).eqNullSafe(F.col(f"__k_{k}")), same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    made = done.join(firsts, on).select(*(F.col(k).alias(f"__k_{k}") for k in keys), "__first", F.posexplode("__v").alias("__i", "__y"))
+    made = made.select(*(f"__k_{k}" for k in keys), (F.col("__first") + F.col("__i")).alias("__to"), "__y")
+    return rows.join(made, same, "left").select(*df.columns, F.when(F.col("__n") > 1, F.col("__y")).otherwise(F.col("__x")).alias(name))
+
+
 def tonic_phasic(df: DataFrame, keys: Sequence[str], value: str, fs: float = 8.0, cutoff: float = 0.05, order: str = "tick") -> DataFrame:
     """Adds tonic (zero-phase low-pass) and phasic (the rest)."""
     slow = filtered(df, keys, value, fs, "low", cutoff, 2, True, order).withColumnRenamed(f"{value}_filtered", "tonic")
