@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
+from decimal import Decimal, localcontext
+from functools import reduce
 
 import numpy as np
 
@@ -204,6 +207,86 @@ def daubechies(n: int) -> np.ndarray:
     return taps * math.sqrt(2) / taps.sum()
 
 
+def _solved(rows: list[list[Decimal]], right: list[Decimal]) -> list[Decimal]:
+    """Linear equations by elimination with pivots."""
+    table = [[*row, v] for row, v in zip(rows, right, strict=True)]
+    for c in range(len(table)):
+        best = max(range(c, len(table)), key=lambda r: abs(table[r][c]))
+        table[c], table[best] = table[best], table[c]
+        for r in range(len(table)):
+            if r != c:
+                part = table[r][c] / table[c][c]
+                table[r] = [u - part * v for u, v in zip(table[r], table[c], strict=True)]
+    return [row[-1] / row[i] for i, row in enumerate(table)]
+
+
+def coiflet(n: int) -> np.ndarray:
+    """Low-pass taps (6 n) of the Coiflet with 2 n vanishing moments of the wavelet and 2 n - 1 of the scaling function.
+
+    A trigonometric polynomial that has these moments whatever its 2 n free coefficients is made orthonormal by Newton's
+    method, from zero coefficients, in 60 digits (the equations are ill-conditioned).  Printed tables of the longer filters
+    agree to their own precision, about five digits for n = 5.
+    """
+
+    def times(p, q):
+        out = [Decimal(0)] * (len(p) + len(q) - 1)
+        for i, u in enumerate(p):
+            for j, v in enumerate(q):
+                out[i + j] += u * v
+        return out
+
+    with localcontext() as context:
+        context.prec = 60
+        low, high = ([Decimal(s) / 4, Decimal(1) / 2, Decimal(s) / 4] for s in (1, -1))
+        ups, downs = ([reduce(times, [part] * k, [Decimal(1)]) for k in range(n + 1)] for part in (low, high))
+        fixed = [Decimal(0)] * 6 * n  # places -2 n to 4 n - 1
+        for k in range(n):
+            for i, v in enumerate(times(ups[n], downs[k])):
+                fixed[n - k + i] += math.comb(n - 1 + k, k) * v
+        mask, free = times(ups[n], downs[n]), [Decimal(0)] * 2 * n
+        while True:
+            taps = fixed[:]
+            for i, f in enumerate(free):
+                for j, m in enumerate(mask):
+                    taps[i + j] += f * m
+            wide = [Decimal(0)] * 6 * n + taps + [Decimal(0)] * 6 * n
+            off = [sum(v * wide[6 * n + i + 2 * m] for i, v in enumerate(taps)) - (Decimal(1) / 2 if m == 0 else 0) for m in range(3 * n)]
+            slopes = [[sum(v * (wide[6 * n + i + j + 2 * m] + wide[6 * n + i + j - 2 * m]) for j, v in enumerate(mask)) for i in range(2 * n)] for m in range(3 * n)]
+            columns = list(zip(*slopes, strict=True))
+            step = _solved([[sum(map(Decimal.__mul__, p, q)) for q in columns] for p in columns], [-sum(map(Decimal.__mul__, p, off)) for p in columns])
+            free = [f + s for f, s in zip(free, step, strict=True)]
+            if max(map(abs, step)) < Decimal(10) ** -25:
+                return np.array([float(v * Decimal(2).sqrt()) for v in taps])
+
+
+def wavelet_taps(name: str) -> np.ndarray:
+    """Low-pass taps by name: haar, dbN or coifN."""
+    kind, number = re.fullmatch(r"(haar|db|coif)([1-9][0-9]*)?", name).groups()
+    return daubechies(1) if kind == "haar" else (daubechies if kind == "db" else coiflet)(int(number))
+
+
+def wavelet_part(x: np.ndarray, start: int, n: int, low: np.ndarray, level: int) -> list[tuple[int, np.ndarray]]:
+    """First place and detail coefficients of each level that samples start, start + 1, ... of n determine.
+
+    Ends of the recording are extended symmetrically; a level of m samples gives (m + L - 1) // 2 coefficients.
+    """
+    taps = len(low)
+    high = low[::-1] * (-1) ** np.arange(taps)
+    found, a, lo, size = [], x.astype(float), start, n
+    for _ in range(level):
+        hi, after = lo + len(a), (size + taps - 1) // 2
+        first = 0 if lo == 0 else -(-(lo + taps - 2) // 2)
+        last = after - 1 if hi == size else (hi - 2) // 2
+        if last < first or not len(a):
+            break
+        at = 2 * np.arange(first, last + 1)[:, None] + 2 - taps + np.arange(taps)
+        at = np.mod(at, 2 * size)
+        own = a[np.where(at < size, at, 2 * size - 1 - at) - lo]
+        found.append((first, own @ high))
+        a, lo, size = own @ low, first, after
+    return found
+
+
 def wavelet_levels(x: np.ndarray, low: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Detail coefficients of levels 1..level and the last approximation; symmetric extension, (n + L - 1) // 2 outputs."""
     L = len(low)

@@ -44,9 +44,31 @@ def v3(spark, d):
     return rounded(G.wavelet_details(recordings(spark, d), K, "value", "haar", 1).withColumn("coef", F.abs("coef")))
 
 
-@query("a14_wavelet_statistics", None)
+def wavelet_sql(taps: str, level: int) -> str:
+    """x0 the samples; x1, x2, ... approximations and details of each level: rec, k, n, a, d."""
+    low = [float(v) for v in helpers.wavelet_taps(taps)]
+    pairs = ", ".join(f"({i}, {lo!r}, {(-1) ** i * hi!r})" for i, (lo, hi) in enumerate(zip(low, low[::-1], strict=True)))
+    out = f"taps(i, lo, hi) AS (VALUES {pairs}), x0 AS (SELECT rec, idx AS k, count(*) OVER (PARTITION BY rec) AS n, value AS a FROM rec)"
+    for j in range(1, level + 1):
+        out += f""", g{j} AS (SELECT rec, n, unnest(range((n + {len(low) - 1}) // 2)) AS k FROM (SELECT DISTINCT rec, n FROM x{j - 1})),
+    s{j} AS (SELECT rec, n, k, lo, hi, ((2 * k + {2 - len(low)} + i) % (2 * n) + 2 * n) % (2 * n) AS m FROM g{j}, taps),
+    x{j} AS (SELECT s.rec, s.k, (s.n + {len(low) - 1}) // 2 AS n, sum(lo * a) AS a, sum(hi * a) AS d FROM s{j} s JOIN x{j - 1} p ON p.rec = s.rec AND p.k = CASE WHEN m < s.n THEN m ELSE 2 * s.n - 1 - m END GROUP BY ALL)"""
+    return out + ", coefs AS (" + " UNION ALL ".join(f"SELECT rec, {j} AS level, k, d AS coef FROM x{j}" for j in range(1, level + 1)) + ")"
+
+
+@query("v3_coiflet_details", f"WITH {REC}, {wavelet_sql('coif5', 3)} SELECT rec, level, k, round(coef, 4) AS coef FROM coefs")
+def v3b(spark, d):
+    return rounded(G.wavelet_details(recordings(spark, d), K, "value", "coif5", 3))
+
+
+STATISTICS = "n5 n25 n50 n75 n95 median max mean min std rms mean_abs".split()
+_per_level = ", ".join(f"l{j} AS (SELECT rec, {statistics_sql('coef')} FROM coefs WHERE level = {j} GROUP BY 1)" for j in (1, 2, 3))
+_named = ", ".join(f"l{j}.{c} AS eda_wavelet_l{j}_{c}" for j in (1, 2, 3) for c in STATISTICS)
+
+
+@query("a14_wavelet_statistics", f"WITH {REC}, {wavelet_sql('db4', 3)}, {_per_level} SELECT l1.rec, {_named} FROM l1 JOIN l2 USING (rec) JOIN l3 USING (rec)")
 def a14(spark, d):
-    return X.level_statistics(G.wavelet_details(recordings(spark, d), K, "value", "db4", 3), K, "eda", [1, 2, 3])
+    return rounded(X.level_statistics(G.wavelet_details(recordings(spark, d), K, "value", "db4", 3), K, "eda", [1, 2, 3]))
 
 
 def filter_sql(name: str, source: str, b, a, entered=None) -> str:

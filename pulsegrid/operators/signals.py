@@ -1,12 +1,13 @@
 """Signal processing of recordings with numpy helpers inside Spark groups.
 
-A group is one segment, run, or chunk with a halo, so its size is bounded by the parameters; whole recordings are taken
-only for what is recursive or global in them (zero-phase filters, wavelets, entropy).  Groups are sorted by ``order`` before a helper sees them.  Nulls
+A group is one segment, run, or chunk with a halo, so its size is bounded by the parameters; a whole trigger run is taken only
+for the repair of its defects.  Groups are sorted by ``order`` before a helper sees them.  Nulls
 in a signal are interpolated linearly for the helpers; groups without values give nulls or no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as H
 from ..functions.lineage import cut_lineage
-from .ranges import filled, places
+from .ranges import filled, places, running
 
 
 def _kinds(df: DataFrame, names: Sequence[str]) -> str:
@@ -291,26 +292,110 @@ def steps(df: DataFrame, keys: Sequence[str], value: str, order: str = "tick", f
     return _rows(spread, [*keys, "__chunk"], order, f, {"tick": pa.int64()}, "tick long").drop("__chunk")
 
 
-def wavelet_details(df: DataFrame, keys: Sequence[str], value: str, taps: Sequence[float] | str, level: int, order: str = "idx") -> DataFrame:
-    """keys, level, k, coef of a multilevel transform.  taps: low-pass taps, or ``haar``, ``db4``, ``db10``."""
-    low = np.array(taps, float) if not isinstance(taps, str) else H.daubechies(1 if taps == "haar" else int(taps[2:]))
+def wavelet_details(df: DataFrame, keys: Sequence[str], value: str, taps: Sequence[float] | str, level: int, order: str = "idx", n: int = 65_536) -> DataFrame:
+    """keys, level, k, coef of a multilevel transform.  taps: low-pass taps, or ``haar``, ``dbN``, ``coifN``.
+
+    Works on chunks of n samples (more for many levels) with a halo of all levels' taps; each coefficient comes from the chunk
+    in which its stretch of samples begins.
+    """
+    low = H.wavelet_taps(taps) if isinstance(taps, str) else np.array(taps, float)
+    halo = len(low) << level
+    size = -(-max(n, 2 * halo) >> level) << level
+    rows = filled(places(df.select(*keys, order, F.col(value).alias("__x")), keys, [order]), keys, [order], "__x")
+    spread = with_halo(rows.where("__x IS NOT NULL").select(*keys, "__at", "__x", "__n"), keys, size, halo, "__at")
 
     def f(t):
-        details, _ = H.wavelet_levels(_filled(t.column(value)), low, level)
-        return {"level": [i + 1 for i, d in enumerate(details) for _ in d], "k": [k for d in details for k in range(len(d))], "coef": np.concatenate([*details, np.zeros(0)])}
+        start, total, chunk = t.column("__at")[0].as_py(), t.column("__n")[0].as_py(), t.column("__chunk")[0].as_py()
+        out = {"level": [], "k": [], "coef": []}
+        for i, (first, coefs) in enumerate(H.wavelet_part(t.column("__x").to_numpy(), start, total, low, level), 1):
+            at = np.arange(first, first + len(coefs))
+            mine = np.minimum((at << i) // size, (total - 1) // size) == chunk
+            out["level"] += [i] * int(mine.sum())
+            out["k"] += at[mine].tolist()
+            out["coef"] += coefs[mine].tolist()
+        return out
+
+    return _rows(spread, [*keys, "__chunk"], "__at", f, {"level": pa.int32(), "k": pa.int64(), "coef": pa.float64()}, "level int, k long, coef double").drop("__chunk")
+
+
+def _key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys, nulls being equal; the right side's keys go."""
+    twin = right.select(*(F.col(k).alias(f"__k_{k}") if k in keys else F.col(k) for k in right.columns))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(twin, on, how).drop(*(f"__k_{k}" for k in keys))
 
-    return _rows(df, keys, order, f, {"level": pa.int32(), "k": pa.int64(), "coef": pa.float64()}, "level int, k long, coef double")
 
+def close_pairs(points: DataFrame, keys: Sequence[str], coords: Sequence[str], within: str, most: int = 4_096) -> DataFrame:
+    """keys, pairs: unordered pairs of points whose coordinates all differ by less than ``within`` (a column, one value per key).
 
-def nonlinear_measures(nn: DataFrame, keys: Sequence[str], order: str = "beat", dim: int = 2, tolerance: float | None = None) -> DataFrame:
-    """keys, sampen, dfa_short (4-16 beats), dfa_long (17-64 beats); null where there are too few beats."""
+    Points lie in cells a little wider than that, so close ones are in one cell or in neighbours.  Equal points count as one
+    with a weight, and the pairs of a cell whose own spread is small enough are counted without being formed.  What is left
+    meets by cell and neighbour; cells of more than ``most`` points are split by a hash, so that a task compares at most
+    ``most`` points with as many at a time.
+    """
+    m, r = len(coords), F.col(within)
+    own = points.where(r > 0).groupBy(*keys, *coords).agg(F.count("*").cast("double").alias("__w"), F.max(within).alias("__r"))
+    wide = F.col("__r") * (1 + 1e-9)
+    own = cut_lineage(own.withColumn("__cell", F.array(*(F.floor(F.col(c) / wide) for c in coords))))
+    spread = F.greatest(*(F.max(c) - F.min(c) for c in coords), F.lit(0.0))
+    cells = own.groupBy(*keys, "__cell").agg(F.sum("__w").alias("__all"), F.sum(F.col("__w") * (F.col("__w") - 1) / 2).alias("__same"), F.count("*").alias("__m"), (spread < F.max("__r")).alias("__tight"))
+    cells = cut_lineage(cells.withColumn("__parts", F.ceil(F.col("__m") / most).cast("int")))
+    counted = cells.select(*keys, F.when(F.col("__tight"), F.col("__all") * (F.col("__all") - 1) / 2).otherwise(F.col("__same")).alias("pairs"))
+    # Half of the neighbours, so that two cells meet once; a cell that is not tight meets itself.
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=m) if s >= (0,) * m]
+    offsets = F.array(*(F.array(*(F.lit(v).cast("long") for v in s)) for s in steps))
+    reach = cells.select(*keys, F.col("__cell").alias("__a"), "__tight", F.col("__parts").alias("__pa"), F.explode(offsets).alias("__step"))
+    reach = reach.where(~F.col("__tight") | F.exists("__step", lambda v: v != 0)).withColumn("__b", F.zip_with("__a", "__step", lambda u, v: u + v))
+    others = cells.select(*keys, F.col("__cell").alias("__b"), F.col("__parts").alias("__pb"))
+    meets = cut_lineage(_key_join(reach, others, [*keys, "__b"]).select(*keys, "__a", "__b", "__pa", "__pb"))
+    part = lambda n: F.pmod(F.xxhash64(*coords), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    by = [*keys, "__a", "__b", "__i", "__j"]
+    left = _key_join(own.withColumnRenamed("__cell", "__a"), meets, [*keys, "__a"]).select(*keys, "__a", "__b", part("__pa").alias("__i"), every("__pb").alias("__j"), "__w", "__r", F.struct(*coords).alias("__u"))
+    right = _key_join(own.withColumnRenamed("__cell", "__b"), meets, [*keys, "__b"]).select(*keys, "__a", "__b", every("__pa").alias("__i"), part("__pb").alias("__j"), F.col("__w").alias("__w2"), F.struct(*coords).alias("__v"))
+    both = _key_join(left, right, by).where((F.col("__a") != F.col("__b")) | (F.col("__u") < F.col("__v")))
+    for c in coords:
+        both = both.where(F.abs(F.col("__u")[c] - F.col("__v")[c]) < F.col("__r"))
+    met = both.groupBy(*keys).agg(F.sum(F.col("__w") * F.col("__w2")).alias("pairs"))
+    return counted.unionByName(met).groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
 
-    def f(t):
-        x = _filled(t.column("nn"))
-        return {"sampen": [H.sample_entropy(x, dim, tolerance)], "dfa_short": [H.dfa(x, range(4, 17))], "dfa_long": [H.dfa(x, range(17, 65)) if len(x) >= 64 else None]}
 
-    kinds = {k: pa.float64() for k in ("sampen", "dfa_short", "dfa_long")}
-    return _rows(nn, keys, order, f, kinds, "sampen double, dfa_short double, dfa_long double")
+def nonlinear_measures(nn: DataFrame, keys: Sequence[str], order: str = "beat", dim: int = 2, tolerance: float | None = None) -> DataFrame:
+    """keys, sampen, dfa_short (4-16 beats), dfa_long (17-64 beats); null where there are too few beats.
+
+    Sample entropy is -log of the share of template matches that stay matches when one beat longer (strict tolerance, a
+    fifth of the deviation unless given); matches are pairs of close points, counted on a grid.  The fluctuation exponents are
+    slopes of log fluctuation against log scale with linear detrending: sums over the windows of each scale of the running
+    sum.  No task sees a whole recording.  Null intervals are interpolated.
+    """
+    rows = filled(places(nn.select(*keys, order, F.col("nn").cast("double").alias("nn")), keys, [order]), keys, [order], "nn")
+    rows = running(rows, keys, [order], totals={"__sum": F.col("nn")})
+    rows = rows.withColumn("__d", F.col("nn") - F.col("__sum") / F.col("__n"))
+    rows = cut_lineage(running(rows, keys, [order], sums={"__y": F.col("__d")}, totals={"__ss": F.col("__d") * F.col("__d")}).select(*keys, "__at", "__n", "nn", "__y", "__ss"))
+    within = F.lit(float(tolerance)) if tolerance is not None else 0.2 * F.sqrt(F.col("__ss") / (F.col("__n") + 1))
+    parts = rows.where((F.col("__n") >= dim + 2) & F.col("nn").isNotNull()).select(*keys, "__at", "__n", "nn", within.alias("__within"), F.explode(F.array(*(F.lit(j) for j in range(dim + 1)))).alias("__j"))
+    parts = parts.withColumn("__i", F.col("__at") - F.col("__j")).where((F.col("__i") >= 0) & (F.col("__i") < F.col("__n") - dim))
+    names = [f"t{j}" for j in range(dim + 1)]
+    points = parts.groupBy(*keys, "__i").agg(*(F.max(F.when(F.col("__j") == j, F.col("nn"))).alias(c) for j, c in enumerate(names)), F.max("__within").alias("__within"))
+    points = cut_lineage(points)
+    short = close_pairs(points, keys, names[:-1], "__within").select(*keys, F.col("pairs").alias("__b"), F.lit(None).cast("double").alias("__a"))
+    long = close_pairs(points, keys, names, "__within").select(*keys, F.lit(None).cast("double").alias("__b"), F.col("pairs").alias("__a"))
+    matches = short.unionByName(long).groupBy(*keys).agg(F.max("__b").alias("__b"), F.max("__a").alias("__a"))
+    entropy = matches.select(*keys, F.when((F.col("__a") > 0) & (F.col("__b") > 0), -F.log(F.col("__a") / F.col("__b"))).alias("sampen"))
+
+    s = F.col("__s")
+    scaled = rows.select(*keys, "__at", "__n", "__y", F.explode(F.sequence(F.lit(4), F.lit(64))).alias("__s"))
+    scaled = scaled.where((F.col("__n") >= 2 * s) & (F.col("__at") < F.floor(F.col("__n") / s) * s))
+    place = F.col("__at") % s
+    windows = scaled.groupBy(*keys, "__s", F.floor(F.col("__at") / s).alias("__window")).agg(F.var_pop("__y").alias("__v"), F.covar_pop("__y", place).alias("__c"), F.max("__n").alias("__n"))
+    rest = F.greatest(F.col("__v") - F.col("__c") * F.col("__c") / ((s * s - 1) / 12), F.lit(0.0))
+    scales = windows.groupBy(*keys, "__s").agg(F.sqrt(F.avg(rest)).alias("__f"), F.max("__n").alias("__n")).where("__f > 0")
+    slope = lambda lo, hi, least: F.regr_slope(F.when(s.between(lo, hi) & (F.col("__n") >= least), F.log("__f")), F.log(s.cast("double")))
+    slopes = scales.groupBy(*keys).agg(slope(4, 16, 0).alias("dfa_short"), slope(17, 64, 64).alias("dfa_long"))
+    every = rows.select(*keys).distinct()
+    return _key_join(_key_join(every, entropy, keys, "left"), slopes, keys, "left").select(*keys, "sampen", "dfa_short", "dfa_long")
 
 
 def spliced_chunks(df: DataFrame, keys: Sequence[str], value: str, order: str = "idx") -> DataFrame:

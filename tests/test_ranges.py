@@ -160,3 +160,56 @@ def test_block_filters_are_those_by_sample(n):
     b, a = helpers.butterworth(6, 1.0, 8.0)
     for got, want in zip(helpers.lfilter_blocks(b, a, x, z), helpers.lfilter_on(b, a, x, z), strict=True):
         assert got == pytest.approx(want, abs=1e-11)
+
+
+@pytest.mark.parametrize(("taps", "level"), [("haar", 4), ("db4", 3), ("coif2", 2), ("db10", 3)])
+def test_wavelets_in_chunks(spark, taps, level):
+    rng = np.random.default_rng(4)
+    series = {1: rng.normal(size=1501), 2: rng.normal(size=30), 3: rng.normal(size=5), None: rng.normal(size=1024), 5: np.array([1.0])}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)] + [(9, 0, None)]
+    got = {(r["k_"], r["level"], r["k"]): r["coef"] for r in signals.wavelet_details(spark.createDataFrame(rows, "k_ int, idx int, v double"), ["k_"], "v", taps, level, n=64).collect()}
+    want = {(k, i + 1, j): c for k, x in series.items() for i, d in enumerate(helpers.wavelet_levels(x, helpers.wavelet_taps(taps), level)[0]) for j, c in enumerate(d)}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-10) for k, v in want.items())
+
+
+@pytest.mark.parametrize("n", range(1, 6))
+def test_coiflets_are_orthonormal_with_their_moments(n):
+    h = helpers.coiflet(n)
+    assert len(h) == 6 * n
+    for m in range(3 * n):
+        assert h[: 6 * n - 2 * m] @ h[2 * m :] == pytest.approx(float(m == 0), abs=1e-12)
+    place, sign = np.arange(6 * n) - 2 * n + 0.0, (-1.0) ** np.arange(6 * n)
+    for p in range(2 * n):
+        scale = (np.abs(h) * np.abs(place) ** p).sum()
+        assert (h * sign * place**p).sum() == pytest.approx(0, abs=1e-13 * scale)
+        if p:
+            assert (h * place**p).sum() == pytest.approx(0, abs=1e-13 * scale)
+    if n == 1:  # in closed form
+        assert h == pytest.approx((np.array([1 - math.sqrt(7), 5 + math.sqrt(7), 14 + 2 * math.sqrt(7), 14 - 2 * math.sqrt(7), 1 - math.sqrt(7), -3 + math.sqrt(7)])) / (16 * math.sqrt(2)))
+
+
+@pytest.mark.parametrize("most", [3, 4_096])
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_close_pairs_of_ties_and_hot_cells(spark, dim, most):
+    rng = random.Random(dim)
+    rows = [(k, *(rng.choice([0.1 * rng.randint(0, 30), 1.0, 1.05]) for _ in range(dim)), r) for k, n, r in ((1, 120, 0.1), (None, 60, 0.3), (3, 1, 0.2), (4, 9, 0.0)) for _ in range(n)]
+    names = [f"c{i}" for i in range(dim)]
+    found = {r["k"]: r["pairs"] for r in signals.close_pairs(spark.createDataFrame(rows, ", ".join(["k int", *(f"{c} double" for c in names), "r double"])), ["k"], names, "r", most).collect()}
+    for k in (1, None, 3):
+        own = [r[1:] for r in rows if r[0] == k]
+        assert found[k] == sum(all(abs(u - v) < a[-1] for u, v in zip(a[:-1], b[:-1], strict=True)) for i, a in enumerate(own) for b in own[:i])
+    assert 4 not in found
+
+
+@pytest.mark.parametrize("tolerance", [None, 0.2])
+def test_entropy_and_fluctuations_over_partitions(spark, tolerance):
+    rng = np.random.default_rng(8)
+    series = {1: rng.normal(size=400).cumsum() / 5, 2: rng.normal(size=70), None: np.sin(np.arange(90)), 4: np.ones(30), 5: np.array([1.0, 2.0, 3.0]), 6: np.array([1.0])}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)] + [(7, 0, None)]
+    got = {r["k"]: r for r in signals.nonlinear_measures(spark.createDataFrame(rows, "k int, beat int, nn double"), ["k"], tolerance=tolerance).collect()}
+    for k, x in series.items():
+        want = helpers.sample_entropy(x, 2, tolerance), helpers.dfa(x, range(4, 17)), helpers.dfa(x, range(17, 65)) if len(x) >= 64 else None
+        for name, value in zip(("sampen", "dfa_short", "dfa_long"), want, strict=True):
+            assert got[k][name] is None if value is None else got[k][name] == pytest.approx(value, rel=1e-9)
+    assert got[7]["sampen"] is None
