@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite, stats_of
 from ..functions.lineage import cut_lineage
 from ..operators import capacity as N
 from ..operators import epochs as E
@@ -109,43 +110,58 @@ def clean_heart_signal(samples: DataFrame, keys: Sequence[str], template: Sequen
     return kept.withColumn("score", F.when(hopeless, 0.0).otherwise(F.col("score"))).select(*keys, "idx", value, "score")
 
 
+#: Wavelets and levels of each signal, in the order eda, ecg, rsp.
+WAVELETS = ([("haar", 4), ("db4", 4), ("db10", 8)], [("coif5", 14), ("db4", 8)], [("db4", 8)])
+
+
 def feature_matrix(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], rest_phase: str, eda: str, rsp: str, ecg: str, rate: int = 8, bucket_s: float = 60.0, trigger: str = "trigger", **options) -> DataFrame:
     """All features of each slalom in long form, outliers repaired over a recording's slaloms, in ratio to the rest phase:
     keys, slalom, feature, value.
 
     Blocks: statistics of each signal; wavelet statistics of each; skin responses; breaths; heart-rate variability
-    (time domain, nonlinear, bands).  The rest phase goes through the same blocks.
+    (time domain, nonlinear, bands).  The rest phase is one more interval of its recording and goes through the blocks with the slaloms.
     """
     filled = R.fill_triggers(samples, keys, trigger)
-    inside = R.split_by_intervals(filled, intervals, keys, bucket_s=bucket_s)
-    place = Window.partitionBy(*keys, "slalom").orderBy("idx")
-    inside = cut_lineage(inside.withColumn("place", (F.row_number().over(place) - 1).cast("long")))  # read by every block
-    parts = cut_lineage(feature_blocks(inside, [*keys, "slalom"], eda, rsp, ecg, rate, **options))
+    signals = list(dict.fromkeys((eda, rsp, ecg)))
+    inside = R.split_by_intervals(filled, intervals, keys, bucket_s=bucket_s).select(*keys, F.concat(F.lit("s"), F.col("slalom").cast("string")).alias("part"), "idx", *signals)
+    calm = R.in_phases(filled, [rest_phase], trigger).select(*keys, F.lit("rest").alias("part"), "idx", *signals)
+    by = [*keys, "part"]
+    placed = inside.unionByName(calm).withColumn("place", (F.row_number().over(Window.partitionBy(*by).orderBy("idx")) - 1).cast("long"))
+    made = cut_lineage(feature_blocks(cut_lineage(placed.drop("idx")), by, eda, rsp, ecg, rate, **options))
+    slalom = F.expr(f"cast(substring(part, 2) AS {dict(intervals.dtypes)['slalom']})")
+    parts = made.where("part <> 'rest'").select(*keys, slalom.alias("slalom"), "feature", "value")
     long = S.repair_outliers(parts, [*keys, "feature"], "slalom").drop("old", "repaired")
-    calm = R.in_phases(filled, [rest_phase], trigger)
-    calm = cut_lineage(calm.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy("idx")) - 1).cast("long")))
-    rest = cut_lineage(feature_blocks(calm, list(keys), eda, rsp, ecg, rate, **options))
-    return X.normalised(long, rest, keys)
+    return X.normalised(long, made.where("part = 'rest'").drop("part"), keys)
 
 
-def feature_blocks(df: DataFrame, by: Sequence[str], eda: str, rsp: str, ecg: str, rate: int = 8, wavelet: str = "db4", levels: int = 3, offset: float = 1.0, height: float = 0.5, beat_gap: int = 150, breath_gap: int = 8) -> DataFrame:
-    """by, feature, value; df has place (from 0, without gaps) inside ``by``."""
-    out = []
-    for name in dict.fromkeys((eda, rsp, ecg)):
-        stats = X.signal_statistics(df, by, name, "place")
-        out.append(X.to_long(stats.select(*by, *(F.col(c).alias(f"{name}_{c}") for c in stats.columns if c not in by)), by))
-        waves = X.level_statistics(G.wavelet_details(df, by, name, wavelet, levels, "place"), by, name, range(1, levels + 1))
-        out.append(X.to_long(waves, by))
-    skin = X.event_statistics(G.skin_responses(df, by, eda, "place", fs=rate, offset=offset), by, ["amplitude", "rise", "decay", "width", "auc"], "apex")
+def feature_blocks(df: DataFrame, by: Sequence[str], eda: str, rsp: str, ecg: str, rate: int = 8, wavelet: str = "db4", levels: int = 3, wavelets: dict[str, list[tuple[str, int]]] | None = None, offset: float = 1.0, height: float = 0.5, beat_gap: int = 150, breath_gap: int = 8) -> DataFrame:
+    """by, feature, value; df has place (from 0, without gaps) inside ``by``.
+
+    wavelets: signal -> taps and levels (``WAVELETS`` are those of the study), whose features are named
+    <signal>_<taps>_l<level>_<statistic>; without it each signal has one wavelet, named ``wavelet``.
+    """
+    names = list(dict.fromkeys((eda, rsp, ecg)))
+    listed = {n: [(taps, taps, most) for taps, most in wavelets[n]] for n in wavelets} if wavelets else {n: [("wavelet", wavelet, levels)] for n in names}
+    events = cut_lineage(G.interval_events(df, by, eda, rsp, ecg, listed, rate, offset, height, beat_gap, breath_gap))
+    order = Window.partitionBy(*by).orderBy("place")
+    crossings = {f"__cross_{n}": F.when(finite(F.col(n)) * F.lag(finite(F.col(n))).over(order) < 0, 1) for n in names}
+    stats = df.withColumns(crossings).groupBy(*by).agg(*(c.alias(f"{n}_{s}") for n in names for s, c in stats_of(F.col(n), F.col(f"__cross_{n}")).items()))
+    out = [X.to_long(stats, by)]
+
+    waves = events.where(~F.col("kind").isin("scr", "high", "low", "beat")).groupBy(*by, "kind").agg(*(c.alias(s) for s, c in stats_of(F.col("v0")).items()))
+    out.append(X.to_long(waves, [*by, "kind"]).select(*by, F.concat_ws("_", "kind", "feature").alias("feature"), "value"))
+    measures = ["amplitude", "rise", "decay", "width", "auc"]
+    responses = events.where("kind = 'scr'").select(*by, F.col("at").alias("apex"), *(F.col(f"v{i}").alias(m) for i, m in enumerate(measures)))
+    skin = X.event_statistics(responses, by, measures, "apex")
     out.append(X.to_long(skin.select(*by, *(F.col(c).alias(f"scr_{c}") for c in skin.columns if c not in by)), by))
-    high = G.peaks(df, by, rsp, float("-inf"), breath_gap, "place")
-    low = G.peaks(df.withColumn(rsp, -F.col(rsp)), by, rsp, float("-inf"), breath_gap, "place").withColumn("amplitude", -F.col("amplitude"))
+    high, low, beats = (events.where(F.col("kind") == k).select(*by, "n", "at", F.col("v0").alias("amplitude")) for k in ("high", "low", "beat"))
     breath = X.event_statistics(X.breath_measures(high, low, by), by, ["out_breath", "in_breath"], "n")
-    breath = breath.join(high.groupBy(*by).agg(F.count("*").alias("peaks")), list(by)).join(low.groupBy(*by).agg(F.count("*").alias("troughs")), list(by))
+    counts = events.groupBy(*by).agg(F.count_if(F.col("kind") == "high").alias("peaks"), F.count_if(F.col("kind") == "low").alias("troughs"))
+    breath = breath.join(counts, list(by))
     out.append(X.to_long(breath.select(*by, *(F.col(c).alias(f"rsp_{c}") for c in breath.columns if c not in by)), by))
-    beats = G.peaks(df, by, ecg, height, beat_gap, "place").withColumn("beat_ms", F.col("at") * (1000.0 / rate))
-    nn = H.nn_intervals(beats, by, order="n").withColumnRenamed("n", "beat")
-    heart = H.summary(nn, by).join(H.poincare(nn, by), list(by), "left").join(G.nonlinear_measures(nn, by), list(by), "left").join(P.band_powers(P.power_spectra(H.beat_clock(nn, by), by), by), list(by), "left")
+    nn = H.nn_intervals(beats.withColumn("beat_ms", F.col("at") * (1000.0 / rate)), by, order="n").withColumnRenamed("n", "beat")
+    nn, tasks = cut_lineage(H.beat_clock(nn, by)), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heart = H.summary(nn, by).join(H.poincare(nn, by), list(by), "left").join(G.nonlinear_measures(nn, by), list(by), "left").join(P.band_powers(P.power_spectra(nn.repartition(tasks, *by), by), by), list(by), "left")
     out.append(X.to_long(heart.select(*by, *(F.col(c).alias(f"hrv_{c}") for c in heart.columns if c not in by)), by))
     return R.stack(*out)
 

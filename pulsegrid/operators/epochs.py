@@ -61,7 +61,8 @@ def svm_scores(rows: DataFrame, model: DataFrame, keys: Sequence[str], features:
     """RBF-SVM decision: keys, decision, label (sign, 0 if exactly 0).
 
     rows: keys and an array of features.  model: sv_id, coef, sv.  Up to ``most`` support vectors (counted) are broadcast
-    as one array; more are dealt to parts of that size, each row meets every part, and the sums of equal keys, which must be unique then, are added up.
+    as one array; more are dealt to parts of that size, each row meets every part, and a row's sums are added up.  Rows that
+    share their keys have a score each.
     """
     parts = max(1, -(-model.count() // most))
     folded = model.groupBy(F.pmod(F.xxhash64("sv_id"), F.lit(parts)).alias("__part")).agg(F.sort_array(F.collect_list(F.struct("sv_id", "coef", "sv"))).alias("__model"))
@@ -69,11 +70,11 @@ def svm_scores(rows: DataFrame, model: DataFrame, keys: Sequence[str], features:
         "__model", F.lit(0.0),
         lambda acc, m: acc + m["coef"] * F.exp(-gamma * F.aggregate(F.zip_with(m["sv"], F.col(features), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)),
     )
-    own = rows.withColumn("__part", F.lit(0).cast("long") if parts == 1 else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    own = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.lit(0).cast("long") if parts == 1 else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     if parts == 1:
         scored = own.join(F.broadcast(folded), "__part", "left").select(*keys, (F.coalesce(total, F.lit(0.0)) + intercept).alias("decision"))
     else:
-        scored = own.join(folded, "__part").select(*keys, total.alias("__s")).groupBy(*keys).agg((F.sum("__s") + intercept).alias("decision"))
+        scored = own.join(folded, "__part").select(*keys, "__row", total.alias("__s")).groupBy(*keys, "__row").agg((F.sum("__s") + intercept).alias("decision")).drop("__row")
     return scored.withColumn("label", F.signum("decision").cast("int"))
 
 

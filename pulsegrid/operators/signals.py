@@ -224,6 +224,95 @@ def _rows(df: DataFrame, keys: Sequence[str], order: str, f: Callable, fields: d
     return df.groupBy(*keys).applyInArrow(run, f"{_kinds(df, keys)}, {spark_fields}")
 
 
+def sorted_groups(df: DataFrame, keys: Sequence[str], order: str, f: Callable[[pa.Table], dict[str, list]], fields: dict[str, pa.DataType], spark_fields: str, rows: int = 20_000) -> DataFrame:
+    """keys and the rows that f(table of one group, sorted) gives, as lists by field.
+
+    Partitions are sorted by keys and order and read as a stream: a task holds one group at a time, and many small groups share
+    an Arrow batch.
+    """
+    names = df.columns
+
+    def run(batches):
+        out: list[list] = [[] for _ in (*keys, *fields)]
+        held, key, kinds = [], None, None
+
+        def batch_of():
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*kinds, *fields.values()), strict=True)], [*keys, *fields])
+            for column in out:
+                column.clear()
+            return made
+
+        def closed():
+            found = f(pa.Table.from_batches(held))
+            n = len(found[next(iter(fields))])
+            for column, values in zip(out, (*([k] * n for k in key), *(found[c] for c in fields)), strict=True):
+                column.extend(values)
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            edges = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+            for lo, hi in itertools.pairwise(edges):
+                if lo == hi:
+                    continue
+                if held and own[lo] != key:
+                    closed()
+                    held.clear()
+                    if len(out[0]) > rows:
+                        yield batch_of()
+                key = own[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            closed()
+            yield batch_of()
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small inputs stay apart: the work is in the function
+    ordered = df.repartition(tasks, *keys).sortWithinPartitions(*keys, order).select(*names)
+    return ordered.mapInArrow(run, f"{_kinds(df, keys)}, {spark_fields}")
+
+
+EVENT_FIELDS = {"kind": pa.string(), "n": pa.int64(), "at": pa.int64()} | {f"v{i}": pa.float64() for i in range(5)}
+
+
+def interval_events(df: DataFrame, keys: Sequence[str], eda: str, rsp: str, ecg: str, wavelets: dict[str, list[tuple[str, str, int]]], rate: int = 8, offset: float = 1.0, height: float = 0.5, beat_gap: int = 150, breath_gap: int = 8, order: str = "place") -> DataFrame:
+    """All that is found in the signals of an interval, in one pass: keys, kind, n, at (place), v0 to v4.
+
+    Kinds: ``scr`` (amplitude, rise, decay, width, auc), ``high`` and ``low`` (turning points of the breath), ``beat`` (peaks of
+    the heart signal), each with its value, and <signal>_<label>_l<level> for the coefficients of wavelets (signal -> label, taps,
+    levels).  An interval is one group of a sorted stream.
+    """
+    taps = {name: H.wavelet_taps(name) for listed in wavelets.values() for _, name, _ in listed}
+
+    def found(table: pa.Table) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in EVENT_FIELDS}
+
+        def add(kind, at, *values):
+            out["kind"] += [kind] * len(at)
+            out["n"] += range(len(at))
+            out["at"] += [int(a) for a in at]
+            for i in range(5):
+                out[f"v{i}"] += [float(v) for v in values[i]] if i < len(values) else [None] * len(at)
+
+        place = table.column(order).to_numpy()
+        for signal, listed in wavelets.items():
+            x = _filled(table.column(signal))
+            for label, name, levels in listed if np.isfinite(x).all() else ():
+                for i, (first, coefs) in enumerate(H.wavelet_part(x, 0, len(x), taps[name], levels), 1):
+                    add(f"{signal}_{label}_l{i}", range(first, first + len(coefs)), coefs)
+        x = _filled(table.column(eda))
+        responses = H.scr_peaks(x, offset=offset, fs=rate) if np.isfinite(x).all() else []
+        add("scr", [place[p["apex"]] for p in responses], *([p[c] for p in responses] for c in ("amplitude", "rise", "decay", "width", "auc")))
+        for kind, signal, sign, least, gap in (("high", rsp, 1, -np.inf, breath_gap), ("low", rsp, -1, -np.inf, breath_gap), ("beat", ecg, 1, height, beat_gap)):
+            x = table.column(signal).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            good = np.flatnonzero(~np.isnan(x))
+            tops = good[H.find_peaks(sign * x[good], least, gap)] if len(good) > 2 else good[:0]
+            add(kind, place[tops], x[tops])
+        return out
+
+    names = list(dict.fromkeys((*keys, order, eda, rsp, ecg, *wavelets)))
+    return sorted_groups(df.select(*names), keys, order, found, EVENT_FIELDS, "kind string, n long, at long, v0 double, v1 double, v2 double, v3 double, v4 double")
+
+
 def peaks(df: DataFrame, keys: Sequence[str], value: str, height: float, distance: int, order: str = "idx") -> DataFrame:
     """keys, n, at (position in the order column), amplitude: local maxima from the highest down, at least ``distance`` apart.
 

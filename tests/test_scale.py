@@ -64,6 +64,8 @@ def test_support_vectors_in_parts(spark):
     one = {r["k"]: (r["decision"], r["label"]) for r in epochs.svm_scores(rows, model, ["k"], "x", 0.5, 0.1).collect()}
     parts = {r["k"]: (r["decision"], r["label"]) for r in epochs.svm_scores(rows, model, ["k"], "x", 0.5, 0.1, most=4).collect()}
     assert all(parts[k][0] == pytest.approx(v[0]) and parts[k][1] == v[1] for k, v in one.items()) and len(one) == len(parts) == 40
+    twice = epochs.svm_scores(rows.where("k = 7").unionByName(rows.where("k = 7")), model, ["k"], "x", 0.5, 0.1, most=4).collect()
+    assert [r["decision"] for r in twice] == pytest.approx([one[7][0]] * 2)
 
 
 def test_triangle_by_running_sums(spark):
