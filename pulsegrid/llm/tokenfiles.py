@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -144,7 +146,7 @@ class WordEncoder(Encoder):
     ``packing.Encoder``.
     """
 
-    MOST = 300_000
+    MOST = 200_000
     #: Contractions, runs of letters, single digits, runs of anything else but white space.  Of what Python
     #: takes for white space U+001C to U+001F are none.
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
@@ -154,10 +156,13 @@ class WordEncoder(Encoder):
         super().__init__(path)
         self.pieces, self.words = _Pieces(self.tokenizer.model), _Words(self.tokenizer)
 
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.words.clear()
+
     def plain(self, text: str) -> bytes:
         if len(self.pieces) + len(self.words) > self.MOST:
-            self.pieces.clear()
-            self.words.clear()
+            self.clear()
         if self.WIDE.search(text):
             return b"".join(map(self.words.__getitem__, filter(None, self.SPACE.split(text))))
         return b"".join(map(self.pieces.__getitem__, self.PIECE.findall(text.lower())))
@@ -197,6 +202,14 @@ class _Words(dict):
         return found
 
 
+def held_by_worker(key: str, make: Callable):
+    """What a Python worker keeps between its tasks: made once, under a module name of its own."""
+    kept = sys.modules.setdefault("_pulsegrid_worker", types.ModuleType("_pulsegrid_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def largest_id(tokenizer: str) -> int:
     from tokenizers import Tokenizer
 
@@ -217,13 +230,16 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def run(batches):
         task = TaskContext.get()
-        encode, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+        encode, end = held_by_worker(f"{encoder.__name__} {tokenizer}", lambda: encoder(tokenizer)), end_id.to_bytes(4, "little")
         name = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         system, place = fs.FileSystem.from_uri(folder)
         writer = Writer(system.open_output_stream(f"{place}/{name}"), bits, block)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 writer.put(doc, np.frombuffer(encode(text.as_py() or "") + end, "<u4"))
+        if hasattr(encode, "clear"):  # the tokenizer stays, its ids by piece go
+            encode.clear()
+        pa.default_memory_pool().release_unused()
         counts = [[x] for x in (task.partitionId(), name, *writer.close())]
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(counts, kinds, strict=True)], ["part", "name", "ids", "docs", "blocks"])
