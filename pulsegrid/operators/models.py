@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
@@ -71,11 +71,13 @@ def isolation_scores(df: DataFrame, keys: Sequence[str], features: Sequence[str]
     grown = picked.groupBy("tree").applyInArrow(grow, "tree int, n long, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>").collect()  # bounded by trees * rows
     forest = [(np.array(t["feature"]), np.array([c or 0.0 for c in t["cut"]]), np.array([i or 0 for i in t["left"]]), np.array([i or 0 for i in t["right"]]), np.array([d or 0.0 for d in t["depth"]])) for t in grown]
     expected = _average_path(float(np.mean([t["n"] for t in grown]))) if grown else 1.0
+    shared = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(xs):
         import pandas as pd
 
+        forest = shared.value
         x = np.array(xs.tolist(), float).reshape(len(xs), -1)
         total = np.zeros(len(x))
         for feature, cut, left, right, depth in forest:
@@ -96,144 +98,182 @@ def quantile_loss(residual: np.ndarray, tau: float) -> float:
     return float(np.where(residual >= 0, tau * residual, (tau - 1) * residual).mean())
 
 
-def _fit_quantile(x: np.ndarray, y: np.ndarray, tau: float, lam: float, rounds: int = 2000) -> np.ndarray:
-    """Intercept and coefficients minimising mean pinball loss + lam |coef|, by the alternating direction method.
+def _soft_pinball(r: np.ndarray, middle: float, half: float, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, slope and curvature of middle r + half |r|, whose dual bounds are kept by logarithmic barriers of weight mu.
 
-    Residuals and coefficients are split off with penalties 1 and n, on a target of unit deviation.
+    That is the maximum over d of d r + mu log((half - d + middle) (half + d - middle)), less terms that depend on mu only.
     """
-    n, p = x.shape
-    unit = float(y.std()) or 1.0
-    a, y = np.column_stack([np.ones(n), x]), y / unit
-    solve = np.linalg.inv(a.T @ a + n * np.diag([1e-9] + [1.0] * p))
-    beta, r, u = np.zeros(p + 1), y.copy(), np.zeros(n)
-    z, v = np.zeros(p), np.zeros(p)
-    for step in range(rounds):
-        rhs = a.T @ (y - r - u)
-        rhs[1:] += n * (z - v)
-        beta = solve @ rhs
-        e = y - a @ beta - u
-        r = np.where(e > tau, e - tau, np.where(e < tau - 1, e - tau + 1, 0.0))
-        old = z
-        w = beta[1:] + v
-        z = np.sign(w) * np.maximum(np.abs(w) - lam, 0)
-        u += a @ beta + r - y
-        v += beta[1:] - z
-        if step > 20 and np.abs(z - old).max(initial=0) < 1e-9 and np.abs(a @ beta + r - y).max() < 1e-6 and np.abs(beta[1:] - z).max(initial=0) < 1e-8:
-            break
-    return unit * np.r_[beta[0], z]
-
-
-def quantile_regression_grid(sample: DataFrame, features: Sequence[str], target: str, taus: Sequence[float], lams: Sequence[float], most: int = 20_000) -> DataFrame:
-    """tau, lam, feature, coef for each grid cell, features standardised.  The intercept has the name ''.
-
-    A sample of at most ``most`` rows (counted) is broadcast, one task fits one cell.  A larger one stays where it is: see
-    ``_fit_in_place``.  Rows with nulls are left out.
+    s = np.sqrt(mu * mu + half * half * r * r)
+    return middle * r + s - mu * np.log(mu + s), middle + r * half * half / (mu + s), mu * half * half / ((mu + s) * s)
+
+
+#: Parts of a Newton step whose values are compared.
+SIZES = 0.5 ** np.arange(8)
+
+
+class _Cell:
+    """Newton's method for one (tau, lam), along barrier weights mu = 10^-1 .. 10^-levels.
+
+    Passes over the rows alternate: slopes and curvature at a point, then the values at parts of the step from there, of
+    which the least is taken (the full step is mostly too far, the first that descends mostly too short).
+    """
+
+    def __init__(self, lam: float, start: np.ndarray, levels: int):
+        self.lam, self.beta, self.step, self.levels, self.level = lam, start, None, levels, 1
+        self.value, self.done = np.inf, False
+
+    @property
+    def mu(self) -> float:
+        return 10.0**-self.level
+
+    def take_slopes(self, value: float, grad: np.ndarray, gram: np.ndarray) -> None:
+        p, dp, ddp = _soft_pinball(self.beta[1:], 0.0, 1.0, self.mu)
+        at = np.arange(1, len(grad))
+        self.value, grad, hess = value + self.lam * p.sum(), grad.copy(), gram.copy()
+        grad[1:] += self.lam * dp
+        hess[at, at] += self.lam * ddp
+        hess[np.diag_indices(len(grad))] += 1e-13 * np.trace(hess)
+        self.step = -np.linalg.solve(hess, grad)
+        if -grad @ self.step < (0.1 if self.level < self.levels else 1e-4) * self.mu:
+            self.beta = self.beta + self.step
+            self._next_weight()
+
+    def take_values(self, values: np.ndarray) -> None:
+        values = values + [self.lam * _soft_pinball(self.beta[1:] + z * self.step[1:], 0.0, 1.0, self.mu)[0].sum() for z in SIZES]
+        best = int(np.argmin(values))
+        if values[best] < self.value:
+            self.beta, self.step = self.beta + SIZES[best] * self.step, None
+        else:  # as near as sums of doubles tell
+            self._next_weight()
+
+    def _next_weight(self) -> None:
+        self.done, self.level, self.step = self.level == self.levels, min(self.level + 1, self.levels), None
+
+    def coefficients(self) -> np.ndarray:
+        """A coefficient below the root of the last weight is one whose dual value is inside its bounds: zero."""
+        return np.r_[self.beta[0], np.where(np.abs(self.beta[1:]) > math.sqrt(self.mu), self.beta[1:], 0.0)]
+
+
+def quantile_regression_grid(sample: DataFrame, features: Sequence[str], target: str, taus: Sequence[float], lams: Sequence[float], levels: int = 8) -> DataFrame:
+    """tau, lam, feature, coef for each grid cell: minima of mean pinball loss + lam |coef|, features standardised.
+
+    The intercept has the name ''.  Rows with nulls are left out; no rows give no coefficients.  One solver serves every
+    size: the dual of the linear program is followed along logarithmic barriers, and as the barrier's duals have a
+    closed form in the residual, rows need no state.  A pass serves all cells that are not done: tasks add up slopes and
+    weighted products of the features (p * p numbers a cell), Spark sums them, the driver solves p equations a cell.  Where
+    several coefficients are optimal, the path ends in the middle of them.
     """
     spark = sample.sparkSession
     rows = sample.select(*(F.col(c).cast("double").alias(c) for c in (*features, target))).dropna()
+    kept = cut_lineage(rows.select(F.array(*features).cast("array<double>").alias("x"), F.col(target).alias("y")))
+    means = [F.avg(F.col("x")[i]) for i in range(len(features))] + [F.stddev_pop(F.col("x")[i]) for i in range(len(features))]
+    stats = kept.agg(F.count("*"), F.avg("y"), F.stddev_pop("y"), *means).first()
+    schema, p = "tau double, lam double, feature string, coef double", len(features) + 1
+    n = stats[0]
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    unit, centre, spread = float(stats[2]) or 1.0, np.array(stats[3 : p + 2], float), np.array(stats[p + 2 :], float)
+    scale = np.where(spread > 0, spread, np.inf)
     grid = [(float(t), float(v)) for t in taus for v in lams]
-    names = ["", *features]
-    if rows.count() > most:
-        fitted = _fit_in_place(rows, features, target, grid)
-        return spark.createDataFrame([(t, v, n, float(b)) for (t, v), beta in zip(grid, fitted, strict=True) for n, b in zip(names, beta, strict=True)], "tau double, lam double, feature string, coef double")
-    rows = rows.toPandas()
-    x, y = rows[list(features)].to_numpy(float), rows[target].to_numpy(float)
-    spread = x.std(axis=0)
-    x = np.where(spread > 0, (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1), 0.0)
-    shared = spark.sparkContext.broadcast((x, y))
-
-    def fit(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for tau, lam in zip(batch.column("tau").to_pylist(), batch.column("lam").to_pylist(), strict=True):
-                beta = _fit_quantile(*shared.value, tau, lam)
-                for name, b in zip(names, beta.tolist(), strict=True):
-                    for c, v in zip(out, (tau, lam, name, b), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64())], ["tau", "lam", "feature", "coef"])
-
-    cells = spark.createDataFrame(grid, "tau double, lam double").repartition(len(grid))
-    return cells.mapInArrow(fit, "tau double, lam double, feature string, coef double")
-
-
-def _penalised(gram: np.ndarray, right: np.ndarray, lam: float, beta: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Minimum of b'Gb / 2 - r'b + lam |b| (not of the intercept), by coordinate descent."""
-    beta = beta.copy()
-    for _ in range(rounds):
-        before = beta.copy()
-        for j in range(len(beta)):
-            rest = right[j] - gram[j] @ beta + gram[j, j] * beta[j]
-            beta[j] = 0.0 if gram[j, j] <= 0 else (rest if j == 0 else np.sign(rest) * max(abs(rest) - lam, 0.0)) / gram[j, j]
-        if np.abs(beta - before).max() < 1e-10:
-            break
-    return beta
-
-
-def _fit_in_place(rows: DataFrame, features: Sequence[str], target: str, grid: list[tuple[float, float]], rounds: int = 60) -> list[np.ndarray]:
-    """The same minima over any number of rows, by majorising the pinball loss with quadratics.
-
-    A round is one pass for all grid cells: tasks add up weighted products of the features (p * p numbers a cell) for the
-    coefficients of the round before, Spark sums them up, and the driver solves p equations a cell.
-    """
-    spark = rows.sparkSession
-    stats = rows.agg(F.count("*"), *(f(c) for c in (*features, target) for f in (F.avg, F.stddev_pop))).first()
-    n, mean, spread = stats[0], np.array(stats[1::2], float), np.array(stats[2::2], float)
-    scale = np.where(spread[:-1] > 0, spread[:-1], np.inf)
-    unit, p, cells = float(spread[-1]) or 1.0, len(features) + 1, len(grid)
-    kept = cut_lineage(rows.select(F.array(*features).alias("x"), F.col(target).alias("y")))
-    betas = np.zeros((cells, p))
-    betas[:, 0] = mean[-1] / unit
-    blur = 1e-2
-    for step in range(rounds):
-        shared = spark.sparkContext.broadcast((betas, mean[:-1], scale, unit, blur, np.array([t for t, _ in grid])))
+    cells = [_Cell(lam, np.r_[stats[1] / unit, np.zeros(p - 1)], levels) for _, lam in grid]
+    while asked := [(c, grid[c][0], cell.mu, cell.beta, cell.step) for c, cell in enumerate(cells) if not cell.done]:
+        shared = spark.sparkContext.broadcast((asked, centre, scale, unit))
 
         def sums(batches, shared=shared):
-            beta, centre, scale, unit, blur, taus = shared.value
-            grams, rights = np.zeros((len(beta), len(centre) + 1, len(centre) + 1)), np.zeros((len(beta), len(centre) + 1))
+            asked, centre, scale, unit = shared.value
+            p = len(centre) + 1
+            total = [np.zeros(1 + p + p * p) if step is None else np.zeros(len(SIZES)) for *_, step in asked]
             for batch in batches:
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 a, y = np.column_stack([np.ones(len(x)), (x - centre) / scale]), batch.column("y").to_numpy() / unit
-                for c in range(len(beta)):
-                    w = 0.5 / (blur + np.abs(y - a @ beta[c]))
-                    grams[c] += (a * w[:, None]).T @ a
-                    rights[c] += a.T @ (w * y + taus[c] - 0.5)
-            flat = [np.concatenate([g.ravel(), r]).tolist() for g, r in zip(grams, rights, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(beta)), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], ["cell", "sums"])
-
-        parts = kept.mapInArrow(sums, "cell int, sums array<double>").select("cell", F.posexplode("sums").alias("at", "v")).groupBy("cell", "at").agg(F.sum("v").alias("v"))
-        table = parts.toPandas()  # cells * p * (p + 1) numbers
-        total = np.zeros((cells, p * p + p))
-        total[table["cell"].to_numpy(), table["at"].to_numpy()] = table["v"].to_numpy()
-        before = betas
-        betas = np.array([_penalised(total[c, : p * p].reshape(p, p) / n, total[c, p * p :] / n, grid[c][1], betas[c]) for c in range(cells)])
+                for out, (_, tau, mu, beta, step) in zip(total, asked, strict=True):
+                    r = y - a @ beta
+                    if step is None:
+                        value, d, dd = _soft_pinball(r, tau - 0.5, 0.5, mu)
+                        out += np.r_[value.sum(), -(a.T @ d), ((a * dd[:, None]).T @ a).ravel()]
+                    else:
+                        move = a @ step
+                        out += [_soft_pinball(r - z * move, tau - 0.5, 0.5, mu)[0].sum() for z in SIZES]
+            yield pa.RecordBatch.from_arrays([pa.array([a[0] for a in asked], pa.int32()), pa.array([t.tolist() for t in total], pa.list_(pa.float64()))], ["cell", "sums"])
+
+        parts = kept.mapInArrow(sums, "cell int, sums array<double>").select("cell", F.posexplode("sums").alias("at", "v"))
+        table = parts.groupBy("cell", "at").agg(F.sum("v").alias("v")).toPandas()  # cells * (1 + p + p * p) numbers
+        total = np.zeros((len(grid), 1 + p + p * p))
+        total[table["cell"].to_numpy(), table["at"].to_numpy()] = table["v"].to_numpy() / n
+        for c, *_, step in asked:
+            if step is None:
+                cells[c].take_slopes(total[c, 0], total[c, 1 : p + 1], total[c, p + 1 :].reshape(p, p))
+            else:
+                cells[c].take_values(total[c, : len(SIZES)])
         shared.unpersist()
-        blur = max(blur / 1.5, 1e-6)
-        if step > 30 and np.abs(betas - before).max() < 1e-7:
-            break
-    return list(unit * betas)
+    found = [(t, v, name, float(b)) for (t, v), cell in zip(grid, cells, strict=True) for name, b in zip(["", *features], unit * cell.coefficients(), strict=True)]
+    return spark.createDataFrame(found, schema)
 
 
 # ------------------------------------------------------------------------------------------------ quantile forest
 
 
-def quantile_forest(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str, percents: Sequence[float], trees: int = 100, min_leaf: int = 5, max_depth: int = 10, seed: int = 0) -> DataFrame:
+#: P(count <= k) of a Poisson variable of mean 1, up to where it is 1 in double precision.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]).tolist()
+
+
+def bootstrap_count(tree: Column, seed: int, row: str) -> Column:
+    """How often the tree's bootstrap sample holds the row: a Poisson draw of mean 1, hashed from seed, tree and row.
+
+    That is how often a row comes up in n draws from n rows, for many rows.  Counts depend on the row alone, not on its
+    place or partition; equal rows have equal counts.
+    """
+    draw = F.pmod(F.xxhash64(F.lit(seed), tree, row), F.lit(1 << 53)) / float(1 << 53)
+    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda c: draw >= c))
+
+
+def leaf_weights(bag: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """key, __y, __weight: a row's count over the counts of its leaf, added up over the trees in whose leaf it meets the key.
+
+    bag: __tree, __leaf, __y, __count; asked: key, __tree, __leaf.  Counts are added up by (tree, leaf, target) before the
+    join, which bounds what a key meets to the different targets of its leaves.
+    """
+    leaves = bag.where("__count > 0").groupBy("__tree", "__leaf", "__y").agg(F.sum("__count").alias("__w"))
+    total = leaves.groupBy("__tree", "__leaf").agg(F.sum("__w").alias("__all"))
+    shares = cut_lineage(leaves.join(total, ["__tree", "__leaf"]).select("__tree", "__leaf", "__y", (F.col("__w") / F.col("__all")).alias("__share")))
+    return asked.join(shares, ["__tree", "__leaf"]).groupBy(key, "__y").agg(F.sum("__share").alias("__weight"))
+
+
+def quantile_forest(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str, percents: Sequence[float], trees: int = 100, min_leaf: int = 5, max_depth: int = 10, seed: int = 0, at_once: int = 8) -> DataFrame:
     """key, percent, value for each test row: weighted percentiles of the training targets that share its leaves.
 
-    Spark's forest grows all trees together, on its own bootstrap samples.  A training row's weight is the mean over the
-    trees of 1[same leaf] / rows of the leaf, all training rows counted.  Targets are added up by (tree, leaf, target)
-    before the join, which bounds what a test row meets to the different targets of its leaves.
+    Each tree is grown by Spark's learner on its own bootstrap sample, the counts of ``bootstrap_count`` being the rows'
+    weights; the same counts weigh the rows of a leaf (see ``leaf_weights``).  ``at_once`` trees are grown at a time.  Rows
+    with a null feature, or a null target in train, are left out.  Training rows that agree in key, features and target
+    have equal counts.
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.regression import DecisionTreeRegressor
 
     assemble = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip")
-    known = cut_lineage(assemble.transform(train.where(F.col(target).isNotNull())).select(F.col(target).cast("double").alias("__y"), "__features"))
-    asked = assemble.transform(test).select(key, "__features")
-    forest = RandomForestRegressor(featuresCol="__features", labelCol="__y", numTrees=trees, maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all", leafCol="__leaf", seed=seed).fit(known)
-    places = F.posexplode(vector_to_array("__leaf")).alias("__tree", "__leaf")
-    leaves = forest.transform(known).select("__y", places).groupBy("__tree", "__leaf", "__y").agg(F.count("*").alias("__w"))
-    total = leaves.groupBy("__tree", "__leaf").agg(F.sum("__w").alias("__all"))
-    shares = cut_lineage(leaves.join(total, ["__tree", "__leaf"]).select("__tree", "__leaf", "__y", (F.col("__w") / F.col("__all")).alias("__share")))
-    weights = forest.transform(asked).select(key, places).join(shares, ["__tree", "__leaf"]).groupBy(key, "__y").agg(F.sum("__share").alias("__weight"))
+    whole = assemble.transform(train.where(F.col(target).isNotNull())).select(key, F.col(target).cast("double").alias("__y"), "__features")
+    known = cut_lineage(whole.withColumn("__row", F.xxhash64(key, "__y", vector_to_array("__features"))))
+    held = known.agg(*(F.max(bootstrap_count(F.lit(t), seed, "__row")) for t in range(trees))).first()
+    grown = [t for t in range(trees) if held[t]]  # of few rows, a sample may hold none
+
+    def grow(t: int):
+        learner = DecisionTreeRegressor(featuresCol="__features", labelCol="__y", weightCol="__n", predictionCol=f"__at{t}", leafCol=f"__leaf{t}", maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed + t)
+        return learner.fit(known.select("__y", "__features", bootstrap_count(F.lit(t), seed, "__row").cast("double").alias("__n")).where("__n > 0"))
+
+    with ThreadPool(at_once) as pool:
+        forest = pool.map(inheritable_thread_target(train.sparkSession)(grow), grown)
+
+    def leaves(df: DataFrame, *cols: str) -> DataFrame:
+        """cols, __tree, __leaf, from one pass over df."""
+        for tree in forest:
+            df = tree.transform(df)
+        own = F.array(*(F.struct(F.lit(t).alias("__tree"), F.col(f"__leaf{t}").cast("int").alias("__leaf")) for t in grown))
+        return df.select(*cols, F.inline(own.cast("array<struct<__tree:int,__leaf:int>>")))
+
+    bag = leaves(known, "__y", "__row").withColumn("__count", bootstrap_count(F.col("__tree"), seed, "__row"))
+    weights = leaf_weights(bag, leaves(assemble.transform(test).select(key, "__features"), key), key)
     return weighted_percentiles(weights, [key], "__y", "__weight", percents)

@@ -78,17 +78,6 @@ def test_triangle_by_running_sums(spark):
     assert (got["tinn_n"], got["tinn_m"], got["tinn"]) == (2.0 * left, 2.0 * right, 2.0 * (right - left))
 
 
-def test_quantile_fits_in_place_are_near_those_of_a_broadcast_sample(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(500, 3))
-    y = 2 * x[:, 0] - x[:, 1] + rng.standard_t(4, 500)
-    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, y double")
-    near, far = ({(r["tau"], r["lam"], r["feature"]): r["coef"] for r in models.quantile_regression_grid(df, list("abc"), "y", [0.25, 0.5], [0.002, 0.05], most).collect()} for most in (20_000, 10))
-    assert near.keys() == far.keys()
-    assert all(abs(near[k] - far[k]) < 0.03 for k in near)
-    assert all((abs(near[k]) < 1e-9) == (abs(far[k]) < 1e-9) for k in near if k[1] == 0.05 and k[2])
-
-
 def plain_peaks(x, height, distance):
     """Candidates by height; each takes its place unless a taken one is nearer than ``distance``."""
     tops = [i for i in range(1, len(x) - 1) if x[i] > x[i - 1] and x[i] >= x[i + 1] and x[i] >= height]
