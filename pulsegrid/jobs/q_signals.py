@@ -308,14 +308,41 @@ def c4(spark, d):
     return W.hrv_report(nn, K, duration_s=60.0, binsize=100.0)
 
 
-@query("j10_hrv_rest_ratio", f"""WITH {REC}, {NN}, r AS (SELECT rec, us / 1000.0 - lag(us / 1000.0) OVER (PARTITION BY rec ORDER BY idx) AS nn FROM rec WHERE phase = 'view' QUALIFY nn IS NOT NULL),
-a AS (SELECT rec, avg(nn) AS m, stddev_samp(nn) AS s FROM nn GROUP BY 1), b AS (SELECT rec, avg(nn) AS m, stddev_samp(nn) AS s FROM r GROUP BY 1)
-SELECT rec, 'nn_mean' AS feature, round(a.m / nullif(b.m, 0), 4) AS value FROM a LEFT JOIN b USING (rec) UNION ALL SELECT rec, 'sdnn', round(a.s / nullif(b.s, 0), 4) FROM a LEFT JOIN b USING (rec)""")
+def ratio_sql(measures) -> str:
+    """Ratios of all columns but rec of measures(FROM clause of the samples), of whole recordings to their phase 'view'."""
+    whole, rest = (f"(FROM (SELECT rec, COLUMNS(* EXCLUDE (rec))::DOUBLE FROM ({measures(where)})) UNPIVOT INCLUDE NULLS (v FOR feature IN (COLUMNS(* EXCLUDE (rec)))))" for where in ("true", "phase = 'view'"))
+    return f"SELECT w.rec, w.feature, round(CASE WHEN r.v <> 0 THEN w.v / r.v END, 4) AS value FROM {whole} w LEFT JOIN {rest} r ON w.rec = r.rec AND w.feature = r.feature"
+
+
+def heart_sql(where: str) -> str:
+    points = ", ".join(f"quantile_cont(hr, {q / 100}) AS hr_p{q}" for q in (5, 25, 50, 75, 95))
+    return f"""WITH {REC}, {NN.replace("FROM rec", f"FROM rec WHERE {where}")}, {hrv.DIFF}, {SAMPEN}, {DFA},
+s AS (SELECT rec, count(nn) AS nn_count, avg(nn) AS nn_mean, min(nn) AS nn_min, max(nn) AS nn_max, avg(diff) AS diff_mean, trunc(min(diff))::INTEGER AS diff_min, trunc(max(diff))::INTEGER AS diff_max, avg(hr) AS hr_mean, min(hr) AS hr_min, max(hr) AS hr_max, stddev_samp(hr) AS hr_std, {points},
+  stddev_samp(nn) AS sdnn, stddev_samp(diff) AS sdsd, sqrt(avg(diff * diff)) AS rmssd, count(*) FILTER (diff > 50) AS nn50, count(*) FILTER (diff > 50) * 100.0 / nullif(count(diff), 0) AS pnn50, count(*) FILTER (diff > 20) AS nn20, count(*) FILTER (diff > 20) * 100.0 / nullif(count(diff), 0) AS pnn20 FROM d GROUP BY 1),
+q AS (SELECT rec, stddev_pop((x - y) / sqrt(2)) AS sd1, stddev_pop((x + y) / sqrt(2)) AS sd2 FROM (SELECT rec, nn AS x, lead(nn) OVER (PARTITION BY rec ORDER BY beat) AS y FROM nn) WHERE y IS NOT NULL GROUP BY 1)
+SELECT s.*, sd1, sd2, sd2 / nullif(sd1, 0) AS sd_ratio, pi() * sd1 * sd2 AS ellipse_area, CASE WHEN two > 0 AND three > 0 THEN -ln(three / two) END AS sampen, dfa_short, dfa_long FROM s LEFT JOIN q USING (rec) LEFT JOIN m USING (rec) LEFT JOIN v USING (rec)"""
+
+
+@query("j10_hrv_rest_ratio", ratio_sql(heart_sql))
 def j10(spark, d):
     r = recordings(spark, d)
-    whole = X.to_long(H.summary(H.nn_intervals(beats(r), K), K).select("rec", "nn_mean", "sdnn"), K)
-    rest = X.to_long(H.summary(H.nn_intervals(beats(R.in_phases(r, ["view"], "phase")), K), K).select("rec", "nn_mean", "sdnn"), K)
-    return rounded(X.normalised(whole, rest, K))
+    nn, rest = (H.nn_intervals(beats(x), K) for x in (r, R.in_phases(r, ["view"], "phase")))
+    return rounded(W.heart_rest_ratios(nn, rest, K))
+
+
+def breath_sql(where: str) -> str:
+    stats = ", ".join(statistics_sql(c).replace("round(", "(").replace(", 4) AS ", f") AS {c}_") for c in ("out_breath", "in_breath"))
+    placed = f"rec AS (SELECT rec, value, row_number() OVER (PARTITION BY rec ORDER BY idx) - 1 AS idx FROM r0 WHERE {where})"
+    return f"""WITH {REC.replace("rec AS (", "r0 AS (", 1)}, {placed}, {peaks_sql('hi', 'value', 0, 3)}, {peaks_sql('lo', '-value', -1000, 3)},
+b AS (SELECT h.rec, trunc(h.amplitude + lo.amplitude)::INTEGER AS out_breath, trunc(h.next + lo.amplitude)::INTEGER AS in_breath FROM (SELECT *, lead(amplitude) OVER (PARTITION BY rec ORDER BY n) AS next FROM hi) h JOIN lo ON lo.rec = h.rec AND lo.n = h.n)
+SELECT rec, count(*) AS n_events, {stats} FROM b GROUP BY 1"""
+
+
+@query("j10_breath_rest_ratio", ratio_sql(breath_sql))
+def j10b(spark, d):
+    r = recordings(spark, d).select("rec", "idx", "value", "phase")
+    rest = R.in_phases(r, ["view"], "phase").withColumn("idx", (F.row_number().over(Window.partitionBy("rec").orderBy("idx")) - 1).cast("long"))
+    return rounded(W.breath_rest_ratios(r, rest, K, "value", 0.0, 1000.0, 3))
 
 
 def _matrix(spark, d):

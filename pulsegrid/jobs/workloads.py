@@ -175,6 +175,38 @@ def interval_features(samples: DataFrame, intervals: DataFrame, keys: Sequence[s
     return X.normalised(long, rest, keys)
 
 
+def _with_rest(whole: DataFrame, rest: DataFrame) -> DataFrame:
+    return R.stack(whole.withColumn("__rest", F.lit(False)), rest.withColumn("__rest", F.lit(True)))
+
+
+def _in_ratio(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    long = cut_lineage(X.to_long(wide, [*keys, "__rest"]))
+    return X.normalised(long.where("NOT __rest").drop("__rest"), long.where("__rest").drop("__rest"), keys)
+
+
+def heart_rest_ratios(nn: DataFrame, rest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every time-domain and nonlinear measure of a series in ratio to that of its rest phase: keys, feature, value.
+
+    nn, rest: keys, beat, nn.  Both go through one pass, told apart by a mark among the keys.  Without a rest phase, or with
+    a measure of 0 there, the ratio is null.
+    """
+    by = [*keys, "__rest"]
+    both = cut_lineage(_with_rest(nn, rest))
+    return _in_ratio(H.summary(both, by).join(H.poincare(both, by), by, "left").join(G.nonlinear_measures(both, by), by, "left"), keys)
+
+
+def breath_rest_ratios(samples: DataFrame, rest: DataFrame, keys: Sequence[str], value: str, height: float, depth: float, distance: int, order: str = "idx") -> DataFrame:
+    """Statistics and number of a recording's breaths in ratio to those of its rest phase: keys, feature, value.
+
+    samples, rest: keys, order (consecutive in each), value.  Peaks are at least ``height``, troughs at most ``depth``.
+    """
+    by = [*keys, "__rest"]
+    both = cut_lineage(_with_rest(samples.select(*keys, order, value), rest.select(*keys, order, value)))
+    low = G.peaks(both.withColumn(value, -F.col(value)), by, value, -depth, distance, order).withColumn("amplitude", -F.col("amplitude"))
+    breaths = X.breath_measures(G.peaks(both, by, value, height, distance, order), low, by)
+    return _in_ratio(X.event_statistics(breaths, by, ["out_breath", "in_breath"], "n"), keys)
+
+
 def time_domain(nn: DataFrame, keys: Sequence[str], binsize: float = 7.8125, duration_s: float = 300.0) -> DataFrame:
     """Summary, triangular index, TINN and Poincare plot of each series, and its segments' deviations, side by side.
 
