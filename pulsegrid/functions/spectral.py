@@ -9,8 +9,12 @@ import numpy as np
 
 def cubic_resample(t: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
     """Not-a-knot cubic spline through (t, y), sampled at ``rate`` from the first to the last time."""
+    return cubic_spline(t, y, np.arange(t[0], t[-1] + 1e-12, 1 / rate))
+
+
+def cubic_spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Not-a-knot cubic spline through (t, y); through less than four points, the polynomial."""
     n = len(t)
-    at = np.arange(t[0], t[-1] + 1e-12, 1 / rate)
     if n < 4:
         return np.polyval(np.polyfit(t - t[0], y, n - 1), at - t[0])
     h, slope = np.diff(t), np.diff(y) / np.diff(t)
