@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hrv as H
+from ..operators import rolling as L
 from .tables import NN, REC, beats, recordings, registrar, rounded
 
 K = ["rec"]
@@ -80,6 +81,21 @@ def rolling_seconds(spark, d):
     return out.select("rec", "beat", F.round("nn_max", 2).alias("nn_max"))
 
 
+@query("w13_rolling_measures", f"""WITH {REC}, {NN}, c AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY beat) - 1 AS p, count(*) OVER (PARTITION BY rec) AS n FROM nn),
+l AS (SELECT rec, beat, p, CASE WHEN p + 10 >= n THEN list(nn) OVER (PARTITION BY rec ORDER BY beat ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) ELSE list(nn) OVER (PARTITION BY rec ORDER BY beat ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) END AS l FROM c),
+d AS (SELECT rec, beat, list_transform(range(2, len(l) + 1), lambda i: l[i] - l[i - 1]) AS d FROM l WHERE p > 0)
+SELECT rec, beat, round(sqrt(list_avg(list_transform(d, lambda x: x * x))), 2) AS rmssd, round(100 * list_avg(list_transform(d, lambda x: CASE WHEN abs(x) > 50 THEN 1.0 ELSE 0.0 END)), 2) AS pnn50 FROM d""")
+def rolling_measures(spark, d):
+    out = L.rolling_measures(nn(spark, d), K, "nn", {m: L.MEASURES[m] for m in ("rmssd", "pnn50")}, n=10)
+    return out.select("rec", "beat", F.round("rmssd", 2).alias("rmssd"), F.round("pnn50", 2).alias("pnn50"))
+
+
+@query("w13_resampled_entropy", None)
+def resampled_entropy(spark, d):
+    series = H.beat_clock(nn(spark, d).withColumn("nn", F.col("nn") / 1e4), K)
+    return L.resampled(L.rolling_measures(series, K, "nn", {"sampen": L.MEASURES["sampen"]}, n=10), K, "sampen", 1 / 60)
+
+
 @query("p10_heart_rate_classes", f"""WITH {REC}, b AS (SELECT rec, CAST(trunc(value) AS INTEGER) AS hr, CASE WHEN rec % 2 = 0 THEN 'F' ELSE 'M' END AS gender, 20 + rec % 40 AS age FROM rec),
 c AS (SELECT * FROM (VALUES ('F', 18, 35, 'low', 0, 20), ('F', 18, 35, 'high', 21, 500), ('F', 36, 70, 'low', 0, 30), ('F', 36, 70, 'high', 31, 500), ('M', 18, 35, 'low', 0, 25), ('M', 18, 35, 'high', 26, 500), ('M', 36, 70, 'low', 0, 35), ('M', 36, 70, 'high', 36, 500)) t(gender, age_lo, age_hi, class, lo, hi)),
 n AS (SELECT rec, count(*) AS n FROM b GROUP BY 1) SELECT b.rec, class, round(count(*) * 100.0 / max(n), 4) AS percent FROM b JOIN c ON b.gender = c.gender AND age > age_lo - 1 AND age < age_hi + 1 AND hr BETWEEN lo AND hi JOIN n ON b.rec = n.rec GROUP BY 1, 2""")
