@@ -93,18 +93,26 @@ def week_period(day: Column) -> Column:
     return (F.year(day) * 100 + week).cast("int")
 
 
-def stats_of(c: Column, zero_crossings: Column | None = None) -> dict[str, Column]:
+#: The percentiles of descriptive statistics, as shares.
+PERCENTS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def at_percents(points: Column) -> dict[str, Column]:
+    """Names of the entries of an array of the PERCENTS."""
+    return {f"n{round(100 * p)}": points[i] for i, p in enumerate(PERCENTS)} | {"median": points[2]}
+
+
+def stats_of(c: Column, zero_crossings: Column | None = None, percentiles: bool = True) -> dict[str, Column]:
     """Descriptive statistics of a signal inside a group, as named aggregates.
 
-    zero_crossings: a column that is 1 where the signal changes sign against the sample before.
+    zero_crossings: a column that is 1 where the signal changes sign against the sample before.  percentiles: whether to
+    give those, which hold the distinct values of a group.
     """
     x = finite(c)
-    points = F.percentile(x, F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = {f"n{name}": points[i] for i, name in enumerate(("5", "25", "50", "75", "95"))}
-    out |= {
-        "max": F.max(x), "mean": F.avg(x), "min": F.min(x), "median": points[2], "std": F.stddev_pop(x),
-        "rms": F.sqrt(F.avg(x * x)), "mean_abs": F.avg(F.abs(x)),
-    }
+    points = at_percents(F.percentile(x, F.array(*(F.lit(p) for p in PERCENTS)))) if percentiles else {}
+    out = {n: p for n, p in points.items() if n != "median"} | {"max": F.max(x), "mean": F.avg(x), "min": F.min(x)}
+    out |= {n: p for n, p in points.items() if n == "median"}
+    out |= {"std": F.stddev_pop(x), "rms": F.sqrt(F.avg(x * x)), "mean_abs": F.avg(F.abs(x))}
     if zero_crossings is not None:
         out["zero_crossings"] = F.coalesce(F.sum(zero_crossings), F.lit(0)).cast("long")
     return out

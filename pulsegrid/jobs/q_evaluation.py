@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as V
+from ..operators.selection import percentiles
 from .tables import REC, recordings, registrar, rounded, table
 
 Q: dict = {}
@@ -84,3 +85,11 @@ SELECT rec, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 4) AS tau FROM p G
 def v19(spark, d):
     r = recordings(spark, d).withColumn("t", F.col("time") % 100)
     return rounded(V.kendall_tau(r, ["rec"], "value", "t"))
+
+
+@query("a5_percentiles_of_large_groups", """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice::DOUBLE, 0.05), 4) AS p5, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice::DOUBLE, 0.95), 4) AS p95
+FROM lineitem GROUP BY 1, 2""")
+def percentiles_of_large_groups(spark, d):
+    keys = ["l_returnflag", "l_linestatus"]
+    out = percentiles(table(spark, d, "lineitem"), keys, F.col("l_extendedprice"), (0.05, 0.5, 0.95), large=10_000)
+    return rounded(out.select(*keys, *(F.col("points")[i].alias(n) for i, n in enumerate(("p5", "p50", "p95")))))

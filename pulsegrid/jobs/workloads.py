@@ -130,7 +130,7 @@ def feature_matrix(samples: DataFrame, intervals: DataFrame, keys: Sequence[str]
     made = cut_lineage(feature_blocks(cut_lineage(placed.drop("idx")), by, eda, rsp, ecg, rate, **options))
     slalom = F.expr(f"cast(substring(part, 2) AS {dict(intervals.dtypes)['slalom']})")
     parts = made.where("part <> 'rest'").select(*keys, slalom.alias("slalom"), "feature", "value")
-    long = S.repair_outliers(parts, [*keys, "feature"], "slalom").drop("old", "repaired")
+    long = S.repair_outliers(parts, [*keys, "feature"], "slalom", large=None).drop("old", "repaired")
     return X.normalised(long, made.where("part = 'rest'").drop("part"), keys)
 
 
@@ -170,7 +170,7 @@ def interval_features(samples: DataFrame, intervals: DataFrame, keys: Sequence[s
     """Statistics per slalom, outliers repaired over a recording's slaloms, in ratio to the rest phase: keys, slalom, feature, value."""
     filled = R.fill_triggers(samples, keys, trigger)
     per = X.signal_statistics(R.split_by_intervals(filled, intervals, keys, bucket_s=bucket_s), [*keys, "slalom"], value)
-    long = S.repair_outliers(X.to_long(per, [*keys, "slalom"]), [*keys, "feature"], "slalom").drop("old", "repaired")
+    long = S.repair_outliers(X.to_long(per, [*keys, "slalom"]), [*keys, "feature"], "slalom", large=None).drop("old", "repaired")
     rest = X.to_long(X.signal_statistics(R.in_phases(filled, [rest_phase], trigger), list(keys), value), list(keys))
     return X.normalised(long, rest, keys)
 

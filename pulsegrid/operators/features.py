@@ -7,14 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, ratio, stats_of
+from ..functions.columns import PERCENTS, at_percents, finite, ratio, stats_of
+from .ranges import _same, ranged, running
+from .selection import LARGE, percentiles, split_by_size
 
 
-def signal_statistics(df: DataFrame, keys: Sequence[str], value: str, order: str = "idx") -> DataFrame:
-    """Percentiles, extremes, mean, population deviation, zero crossings, rms and mean absolute value by group."""
-    before = F.lag(finite(F.col(value))).over(Window.partitionBy(*keys).orderBy(order))
-    crossing = F.when(finite(F.col(value)) * before < 0, 1)
-    return df.withColumn("__cross", crossing).groupBy(*keys).agg(*(c.alias(n) for n, c in stats_of(F.col(value), F.col("__cross")).items()))
+def signal_statistics(df: DataFrame, keys: Sequence[str], value: str, order: str = "idx", large: int | None = LARGE) -> DataFrame:
+    """Percentiles, extremes, mean, population deviation, zero crossings, rms and mean absolute value by group.
+
+    Groups of more than ``large`` rows are neither sorted in one task nor are their values held in one executor; None takes all
+    as small and saves the count of the groups.
+    """
+    x, cross = finite(F.col(value)), F.col("__cross")
+    few, many = split_by_size(df, keys, large)
+    before = F.lag(x).over(Window.partitionBy(*keys).orderBy(order))
+    out = few.withColumn("__cross", F.when(x * before < 0, 1)).groupBy(*keys).agg(*(c.alias(n) for n, c in stats_of(F.col(value), cross).items()))
+    if many is None:
+        return out
+    chained = running(ranged(many, keys, [order]), keys, [order], before={"__before": x}).withColumn("__cross", F.when(x * F.col("__before") < 0, 1))
+    held = percentiles(many, keys, F.col(value), PERCENTS, large).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    rest = chained.groupBy(*keys).agg(*(c.alias(n) for n, c in stats_of(F.col(value), cross, percentiles=False).items()))
+    both = rest.join(held, _same(keys, "__k_"), "left").withColumns(at_percents(F.col("points")))
+    return out.unionByName(both.select(*out.columns))
 
 
 def to_long(wide: DataFrame, keys: Sequence[str], features: Sequence[str] | None = None) -> DataFrame:

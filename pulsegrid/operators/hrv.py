@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import PERCENTS
 from ..functions.lineage import cut_lineage
-from .ranges import ranged, running
+from .ranges import _same, ranged, running
+from .selection import LARGE, percentiles, split_by_size
 
 
 def nn_intervals(beats: DataFrame, keys: Sequence[str], beat_time: str = "beat_ms", order: str = "beat") -> DataFrame:
@@ -46,20 +48,36 @@ def exceeding(threshold: float) -> tuple[Column, Column]:
     return n, F.try_divide(n * 100.0, F.count("diff"))
 
 
-def summary(nn: DataFrame, keys: Sequence[str], order: str = "beat") -> DataFrame:
-    """Counts, means and extremes of intervals, differences and heart rates; sdnn, sdsd, rmssd; nn50, nn20."""
+def _rates(points: Column) -> list[Column]:
+    return [points[i].alias(n) for i, n in enumerate(("hr_p5", "hr_p25", "hr_p50", "hr_p75", "hr_p95"))]
+
+
+def summary(nn: DataFrame, keys: Sequence[str], order: str = "beat", large: int | None = LARGE) -> DataFrame:
+    """Counts, means and extremes of intervals, differences and heart rates; sdnn, sdsd, rmssd; nn50, nn20.
+
+    Groups of more than ``large`` beats are neither sorted in one task nor are their values held in one executor; None takes
+    all as small and saves the count of the groups.
+    """
     hr = 60000 / F.col("nn")
-    p = F.percentile(hr, F.array(*(F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95))))
     n50, p50 = exceeding(50)
     n20, p20 = exceeding(20)
-    return with_differences(nn, keys, order).groupBy(*keys).agg(
+    head = [
         F.count("nn").alias("nn_count"), F.avg("nn").alias("nn_mean"), F.min("nn").alias("nn_min"), F.max("nn").alias("nn_max"),
         F.avg("diff").alias("diff_mean"), F.min("diff").cast("int").alias("diff_min"), F.max("diff").cast("int").alias("diff_max"),
         F.avg(hr).alias("hr_mean"), F.min(hr).alias("hr_min"), F.max(hr).alias("hr_max"), F.stddev_samp(hr).alias("hr_std"),
-        p[0].alias("hr_p5"), p[1].alias("hr_p25"), p[2].alias("hr_p50"), p[3].alias("hr_p75"), p[4].alias("hr_p95"),
+    ]
+    tail = [
         F.stddev_samp("nn").alias("sdnn"), F.stddev_samp("diff").alias("sdsd"), F.sqrt(F.avg(F.col("diff") * F.col("diff"))).alias("rmssd"),
         n50.alias("nn50"), p50.alias("pnn50"), n20.alias("nn20"), p20.alias("pnn20"),
-    )
+    ]
+    few, many = split_by_size(nn, keys, large)
+    out = with_differences(few, keys, order).groupBy(*keys).agg(*head, *_rates(F.percentile(hr, F.array(*(F.lit(p) for p in PERCENTS)))), *tail)
+    if many is None:
+        return out
+    chained = running(ranged(many, keys, [order]), keys, [order], before={"__before": F.col("nn")}).withColumn("diff", F.abs(F.col("nn") - F.col("__before")))
+    held = percentiles(many, keys, hr, PERCENTS, large).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    both = chained.groupBy(*keys).agg(*head, *tail).join(held, _same(keys, "__k_"), "left").select("*", *_rates(F.col("points")))
+    return out.unionByName(both.select(*out.columns))
 
 
 def _next_starts(beats: DataFrame, keys: Sequence[str], limit: float) -> DataFrame:

@@ -6,11 +6,14 @@ Keys partition every window; ``order`` gives the position.  Nulls are gaps.  Emp
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, nearest_multiple
+from .ranges import attached, filled, places
+from .selection import LARGE, percentiles, split_by_size
 
 
 def _interpolated(good: Column, position: Column, w) -> tuple[Column, Column, Column, Column]:
@@ -30,23 +33,33 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], value: str, order: str = "idx"
     return df.withColumn(value, F.when(a.isNull(), F.lit(None)).when(b.isNull(), a).otherwise(_line(a, pa, b, pb, F.col(order))))
 
 
-def repair_outliers(long: DataFrame, keys: Sequence[str], order: str, value: str = "value", method: str = "median", alpha: float = 1.0, beta: float = 3.0) -> DataFrame:
+def repair_outliers(long: DataFrame, keys: Sequence[str], order: str, value: str = "value", method: str = "median", alpha: float = 1.0, beta: float = 3.0, large: int | None = LARGE) -> DataFrame:
     """Values outside alpha m +- beta s of their group are interpolated over the position in the group, clamped at its ends.
 
     m: median or mean, s: sample deviation.  long: one row per (keys, order); put the feature's name among the keys to
     repair all features at once.  A group without deviation (one row) keeps its values.  Adds old (the value before) and
-    repaired (whether it changed).
+    repaired (whether it changed).  Groups of more than ``large`` rows are ranked over range partitions and their median is found
+    without holding their values; None takes all as small and saves the count of the groups.
     """
     x = finite(F.col(value))
-    stats = long.groupBy(*keys).agg((F.percentile(x, F.lit(0.5)) if method == "median" else F.avg(x)).alias("__m"), F.stddev_samp(x).alias("__s"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    own = long.join(stats, list(keys)).withColumn("__at", F.row_number().over(w))
+    few, many = split_by_size(long, keys, large)
     keep = F.col("__s").isNull() | F.isnan("__s") | x.between(alpha * F.col("__m") - beta * F.col("__s"), alpha * F.col("__m") + beta * F.col("__s"))
-    own = own.withColumn("__good", F.when(keep, x))
+    stats = few.groupBy(*keys).agg((F.percentile(x, F.lit(0.5)) if method == "median" else F.avg(x)).alias("__m"), F.stddev_samp(x).alias("__s"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    own = few.join(stats, list(keys)).withColumn("__at", F.row_number().over(w)).withColumn("__good", F.when(keep, x))
     a, pa, b, pb = _interpolated(F.col("__good"), F.col("__at"), w)
     new = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(_line(a, pa, b, pb, F.col("__at")))
-    own = own.withColumn("old", F.col(value)).withColumn(value, new)
-    return own.withColumn("repaired", ~F.col("old").eqNullSafe(F.col(value))).drop("__m", "__s", "__at", "__good")
+    own = own.withColumn("__new", new)
+    if many is not None:
+        rows = places(many, keys, [order])
+        told = many.groupBy(*keys).agg(F.avg(x).alias("__m"), F.stddev_samp(x).alias("__s"))
+        if method == "median":
+            held = percentiles(many, keys, F.col(value), (0.5,), large).select(*keys, F.col("points")[0].alias("__m"))
+            told = told.drop("__m").join(held, list(keys), "left")
+        judged = attached(rows, keys, told).withColumn("__new", F.when(keep, x)).where(reduce(lambda p, q: p & q, (F.col(k).isNotNull() for k in keys), F.lit(True)))
+        own = own.select(*long.columns, "__new").unionByName(filled(judged, keys, [order], "__new").select(*long.columns, "__new"))
+    own = own.select(*long.columns, "__new").withColumn("old", F.col(value)).withColumn(value, F.col("__new"))
+    return own.withColumn("repaired", ~F.col("old").eqNullSafe(F.col(value))).drop("__new")
 
 
 def pooled_max(df: DataFrame, keys: Sequence[str], value: str, size: float, time: str = "time", right_closed: bool = False) -> DataFrame:
