@@ -5,7 +5,8 @@ a shard are split by a hash.  Each shard's ball tree is built once and kept in t
 
 For a query the root balls give an upper bound q.c + |q| r (c: centre, r: radius) on what a shard may hold.  A first wave
 sends each query to its most promising shard; the kth scores found there are shared: the following waves, each of four
-times as many shards, send a query only to the shards whose bound reaches its current kth score.  In a shard a query visits
+times as many shards, send a query only to the shards whose bound reaches its current kth score.  A tree is shuffled once per
+block of the queries that it gets in a wave, and not at all if it gets none.  In a shard a query visits
 the nodes in the order of their bounds until none reaches the kth score.  Ties at the kth score are never pruned; they go
 to the smaller id.  Beyond ``ROOTS`` shards the root balls are taken in groups of so many, one after the other.
 
@@ -196,16 +197,23 @@ def shard_trees(points: DataFrame, shard: int = SHARD, pivots: int = PIVOTS) ->
     return dealt.groupBy("dim", "shard").applyInArrow(_built, "dim int, shard long, tree binary, centre array<double>, radius double")
 
 
+def dealt(trees: DataFrame, sent: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Trees and the queries sent to them, both with a block: a tree is there once per ``block`` queries that it gets, or not at all.
+
+    sent: row, dim, shard and more, written before (it is read twice).  What is broadcast has a row per shard of a group of roots.
+    """
+    blocks = F.broadcast(sent.groupBy("dim", "shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    held = trees.join(blocks, ["dim", "shard"]).select("dim", "shard", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    asks = sent.join(blocks, ["dim", "shard"]).withColumn("block", F.pmod(F.xxhash64(F.lit(1), F.col("row")), F.col("blocks")).cast("int")).drop("blocks")
+    return held, asks
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD, block: int = BLOCK, roots: int = ROOTS) -> DataFrame:
     """vectors: id, vec (array<long>).  is_query: which rows are queries.  Returns query_id, rank (int, from 1), id, score."""
     usable = vectors.where("id IS NOT NULL AND vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL)")
     points = cut_lineage(usable.select(F.monotonically_increasing_id().alias("row"), "id", "vec", F.size("vec").alias("dim"), is_query.alias("asked")))
     asked = points.where("asked").select("row", F.col("id").alias("query_id"), F.col("vec").alias("q"), "dim")
     trees = cut_lineage(shard_trees(points, shard))
-    n_blocks = max(1, -(-asked.count() // block))
-    in_block = F.pmod(F.xxhash64(F.lit(1), F.col("row")), F.lit(n_blocks)).cast("int")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    held = trees.select("dim", "shard", "tree", blocks.alias("block")).groupBy("dim", "shard", "block")
     best = None
     groups = -(-trees.count() // roots)
     balls = trees.select("dim", "shard", "centre", "radius").withColumn("group", F.pmod(F.xxhash64("dim", "shard"), F.lit(max(groups, 1))))
@@ -221,7 +229,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD,
                 reached = best.where(F.col("rank") == k).select(F.col("row").alias("of"), F.col("score").cast("double").alias("floor"))
                 floors = asked.join(reached, F.col("row") == F.col("of"), "left")
             sent = floors.select("row", "dim", "q", "floor").mapInArrow(_sent(balls_of, first, first + size), "row long, dim int, q array<long>, floor double, shard long")
-            found = held.cogroup(sent.withColumn("block", in_block).groupBy("dim", "shard", "block")).applyInArrow(_searched(k), "row long, found long, id long, score long")
+            held, blocks = (x.groupBy("dim", "shard", "block") for x in dealt(trees, cut_lineage(sent), block))
+            found = held.cogroup(blocks).applyInArrow(_searched(k), "row long, found long, id long, score long")
             best = cut_lineage(_best(found if best is None else found.unionByName(best.drop("rank")), k))
             first, size = first + size, size * 4
     if best is None:
