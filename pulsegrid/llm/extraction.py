@@ -1,7 +1,7 @@
 """Main-text extraction from HTML by a tree-structured graphical model.
 
 Every page is parsed into its tree of block elements.  A node is content or not: it has a potential from its own
-features (tag, words of class, id and role, share of link text, amount of text), and each parent-child edge has a
+features (tag, words of class, id and role, share of link text, amount of text, punctuation of prose), and each parent-child edge has a
 potential for every pair of states.  Sum-product messages, first upward, then downward, give the exact content marginal
 of every node.  Weights are the maximum-likelihood ones for labelled pages, whose gradient comes from the same marginals.
 Blocks of text whose node is content with a probability of at least one half are the main text.
@@ -49,6 +49,7 @@ TAG = re.compile(
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+MARKS = ".,;!?"
 LABEL = re.compile(r"\bdata-content\s*=\s*[\"']?([01])")
 
 
@@ -57,7 +58,7 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.attrs = [-1], ["#page"], [""]
-        self.chars, self.link_chars = [0], [0]
+        self.chars, self.link_chars, self.marks = [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack, parts, linked, in_link, at = [0], [], 0, False, 0
         open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
@@ -78,6 +79,7 @@ class Page:
                     self.blocks.append((node, text))
                     self.chars[node] += len(text)
                     self.link_chars[node] += min(linked, len(text))
+                    self.marks[node] += sum(map(text.count, MARKS))
                 parts, linked = [], 0
 
         while at < size:
@@ -129,17 +131,23 @@ class Page:
                 self.attrs.append(attrs)
                 self.chars.append(0)
                 self.link_chars.append(0)
+                self.marks.append(0)
                 open_at[name].append(len(stack))
                 stack.append(len(self.tag) - 1)
         flush()
-        self.total, self.total_link = self.chars[:], self.link_chars[:]
+        self.total, self.total_link, self.total_marks = self.chars[:], self.link_chars[:], self.marks[:]
         for i in range(len(self.tag) - 1, 0, -1):
             self.total[self.parent[i]] += self.total[i]
             self.total_link[self.parent[i]] += self.total_link[i]
+            self.total_marks[self.parent[i]] += self.total_marks[i]
 
-    def traits(self) -> list[tuple[str, str, int, int]]:
-        """Tag, attributes, grade of the amount of text and of its links: all that a node's features depend on."""
-        return [(t, a, _grade(n), _link_grade(k, n)) for t, a, n, k in zip(self.tag, self.attrs, self.total, self.total_link, strict=True)]
+    def edge_kinds(self) -> list[int]:
+        return [edge_kind(t, self.tag[p] if p >= 0 else "") for t, p in zip(self.tag, self.parent, strict=True)]
+
+    def traits(self) -> list[tuple[str, str, int, int, int]]:
+        """Tag, attributes, grades of the amount of text, its links and its prose: all that a node's features depend on."""
+        counts = zip(self.tag, self.attrs, self.total, self.total_link, self.total_marks, strict=True)
+        return [(t, a, _grade(n), _link_grade(k, n), _prose_grade(m, n)) for t, a, n, k, m in counts]
 
 
 def _grade(chars: int) -> int:
@@ -150,8 +158,13 @@ def _link_grade(linked: int, chars: int) -> int:
     return 0 if not linked else 1 + (linked > 0.3 * chars) + (linked > 0.7 * chars)
 
 
-def features(tag: str, attrs: str, grade: int, link_grade: int) -> tuple[str, ...]:
-    out = ["bias", f"tag {tag}", f"chars {grade}", f"links {link_grade}"]
+def _prose_grade(marks: int, chars: int) -> int:
+    """None, few, or the punctuation of sentences: at least one mark in a hundred letters, and several of them."""
+    return (marks > 0) + (marks > 3 and 100 * marks > chars)
+
+
+def features(tag: str, attrs: str, grade: int, link_grade: int, prose_grade: int) -> tuple[str, ...]:
+    out = ["bias", f"tag {tag}", f"chars {grade}", f"links {link_grade}", f"prose {prose_grade}"]
     for groups in NAMES.findall(attrs):
         for token in " ".join(groups).split():
             words = [w.lower() for w in WORDS.findall(token) if len(w) > 1]
@@ -159,9 +172,9 @@ def features(tag: str, attrs: str, grade: int, link_grade: int) -> tuple[str, ..
     return tuple(dict.fromkeys(out))
 
 
-def edge_kind(tag: str) -> int:
-    """Edges to elements that hold text and edges to containers have potentials of their own."""
-    return 0 if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "figcaption", "caption") else 1
+def edge_kind(tag: str, above: str) -> int:
+    """Edges to elements that hold text, edges to containers, and those from the body to its text have potentials of their own."""
+    return (2 if above in ("body", "#page") else 0) if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "figcaption", "caption") else 1
 
 
 def _soft(x: float) -> float:
@@ -192,7 +205,7 @@ class Model:
     def __init__(self, weights: dict[str, float], edges: list[tuple[float, float, float, float]]):
         self.weights, self.edges, self.known = weights, edges, {}
 
-    def own(self, traits: tuple[str, str, int, int]) -> float:
+    def own(self, traits: tuple[str, str, int, int, int]) -> float:
         """Log-odds of a node by itself, remembered by its traits."""
         got = self.known.get(traits)
         if got is None:
@@ -202,7 +215,7 @@ class Model:
         return got
 
     def marginals(self, page: Page) -> list[float]:
-        full, _ = beliefs(page.parent, [self.own(t) for t in page.traits()], [self.edges[edge_kind(t)] for t in page.tag])
+        full, _ = beliefs(page.parent, [self.own(t) for t in page.traits()], [self.edges[k] for k in page.edge_kinds()])
         return [1 / (1 + exp(-max(min(b, 30), -30))) for b in full]
 
     def extract(self, source: str) -> str:
@@ -249,7 +262,7 @@ def train(pages: list[str], rounds: int = 100, ridge: float = 0.02, rate: float
             labels.append(int(m[1]) if m else labels[page.parent[i]] if i else 0)
         rows += [[index.setdefault(f, len(index)) for f in features(*t)] for t in page.traits()]
         parents.append(page.parent)
-        kinds.append([edge_kind(t) for t in page.tag])
+        kinds.append(page.edge_kinds())
         truth += labels
     forest, y = Forest(parents, kinds), np.array(truth)
     flat, of_node = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -257,8 +270,8 @@ def train(pages: list[str], rounds: int = 100, ridge: float = 0.02, rate: float
     above, kind = forest.parent[child], forest.kinds[child]
     seen = np.zeros((len(child), 4))
     seen[np.arange(len(child)), 2 * y[above] + y[child]] = 1
-    w, e = np.zeros(len(index)), np.zeros((2, 4))
-    all_w, all_e = np.full(len(w), 1e-8), np.full((2, 4), 1e-8)
+    w, e = np.zeros(len(index)), np.zeros((3, 4))
+    all_w, all_e = np.full(len(w), 1e-8), np.full((3, 4), 1e-8)
     for _ in range(rounds):
         full, up, sent = forest.beliefs(np.bincount(of_node, w[flat], len(rows)), e)
         gw = np.bincount(flat, (y - 1 / (1 + np.exp(-np.clip(full, -30, 30))))[of_node], len(w)) - ridge * w
@@ -280,16 +293,19 @@ OUTSIDE = [
     '<div class="breadcrumb breadcrumbs" data-content="0">{links}</div>', '<aside data-content="0"><h3>{short}</h3><p>{long}</p>{links}</aside>', '<div class="sidebar widget" data-content="0"><h4>{short}</h4><p>{long}</p></div>',
     '<div id="side" class="sidebar-right" role="complementary" data-content="0">{links}</div>', '<div class="ad" data-content="0">{long}</div>', '<div class="ads advert advertisement" data-content="0"><p>{long}</p></div>',
     '<div class="sponsored sponsor promo promotion" data-content="0"><p>{long}</p></div>', '<section class="ad ad-slot" data-content="0"><h2>{short}</h2><p>{long}</p></section>',
-    '<div class="notice alert" data-content="0">{long}</div>', '<div class="cookie cookie-notice consent gdpr" data-content="0"><p>{long}</p></div>', '<div id="banner" class="popup modal overlay" role="dialog" data-content="0"><p>{long}</p></div>',
+    '<div class="notice alert" data-content="0">{long}</div>', '<div class="cookie cookie-notice cookie-bar consent-banner consent gdpr" data-content="0"><p>{long}</p></div>', '<div id="banner" class="popup modal overlay" role="dialog" data-content="0"><p>{long}</p></div>',
     '<form class="search" data-content="0"><label>{short}</label><p>{short}</p></form>', '<form data-content="0"><p>{long}</p></form>', '<div class="newsletter subscribe signup" data-content="0"><p>{long}</p></div>', '<div class="login" data-content="0"><p>{short}</p></div>',
     '<div class="social share sharing" data-content="0">{links}</div>', '<div class="related recommended more" data-content="0"><h3>{short}</h3>{links}</div>', '<div class="tags pagination pager" data-content="0">{links}</div>',
     '<section class="comments" id="comments" data-content="0"><h3>{short}</h3><div class="comment"><p>{long}</p></div><div class="comment reply"><p>{long}</p></div></section>',
     '<div class="comments comment-list" data-content="0"><ul><li class="comment"><p>{long}</p></li><li class="comment"><p>{long}</p></li></ul></div>', '<div class="discussion responses disqus" data-content="0"><p>{long}</p></div>',
     '<footer data-content="0"><p>{long}</p>{links}</footer>', '<footer data-content="0">{long}</footer>', '<div class="footer copyright legal disclaimer" role="contentinfo" data-content="0">{long}</div>', '<div id="bottom" class="footer-links" data-content="0">{links}</div>',
+    '<div data-content="0">{links}</div>', '<div data-content="0"><p>{short}</p><p><a href="/b">{short}</a></p></div>',
 ]
 HOLDING = [
     "<article data-content=\"1\">{body}</article>", '<main><article data-content="1">{body}</article></main>', '<div class="wrapper page"><article class="post" data-content="1">{body}</article></div>', '<main data-content="1">{body}</main>',
     '<div id="main" class="container"><div class="content article-body" data-content="1">{body}</div></div>', '<div class="post entry-content story" data-content="1">{body}</div>', '<section class="article text" data-content="1">{body}</section>', '<div role="main" class="post-content" data-content="1">{body}</div>',
+    '<div data-content="1">{body}</div>', '<div data-content="1">{head}</div><div data-content="1">{rest}</div>', '<div><section data-content="1">{head}</section><div data-content="1">{rest}</div></div>',
+    '<div data-content="1">{head}<p>{long}</p></div><div data-content="1"><p>{long}</p>{rest}</div>', '<h1 data-content="1">{short}</h1><p data-content="1">{long}</p><p data-content="1">{long}</p>',
 ]
 BODIES = [
     "<h1>{short}</h1><p>{long}</p><p>{long}</p>", "<h1>{short}</h1><p><b>{long}<br><p>{long}</p>", "<h1>{short}</h1><p>{short}</p>", "<h1>{short}</h1><div><p>{long}</p></div><h2>{short}</h2><ul><li>{long}</li><li>{short}</li></ul>",
@@ -317,7 +333,8 @@ def labelled_pages(n: int = 180) -> list[str]:
         body = BODIES[k % len(BODIES)]
         at = body.index("</h1>") + 5 if "</h1>" in body and k % 2 else len(body)
         body = body[:at] + part(5 * k + 9) + part(7 * k + 4) + body[at:]
-        holding = HOLDING[k % len(HOLDING)].replace("{body}", body)
+        end = body.index(">", body.rindex("</h1>") if "</h1>" in body else body.index("</")) + 1
+        holding = HOLDING[k % len(HOLDING)].replace("{body}", body).replace("{head}", body[:end]).replace("{rest}", body[end:])
         outside = [part(7 * k + 11 * j) for j in range(5)]
         page = f'<html><head></head><body data-content="0">{outside[0]}{outside[1]}{outside[2]}{holding}{outside[3]}{outside[4]}</body></html>'
         pages.append(page.replace("{links}", links).replace("{short}", short).replace("{long}", long if k % 4 else long[:70]))

@@ -101,3 +101,39 @@ def test_formulas_and_fallback_texts_are_read(model):
     long = "This is a sentence of the article, with commas, and it goes on for some time so that it counts. " * 2
     page = f'<article><h1>Title</h1><p>{long}The value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>See <object data="a.pdf">the report</object> and <video src="v">its film</video>. <svg><text>axis</text></svg></p></article>'
     assert model.extract(page) == f"Title\n{long}The value x=2 holds.\nSee the report and its film."
+
+
+P = "This is a plain sentence of the article, which goes on for a while. " * 5
+Q = P.strip()
+LINKS = "<ul>" + '<li><a href="/a">Some page</a></li>' * 6 + "</ul>"
+BAR = " | ".join(f'<a href="/{i}">Page {i}</a>' for i in range(7))
+
+
+#: Their names are in no list of the training pages, or they have none.
+LAYOUTS = [
+    (f'<body><div class="x1"><h1>T</h1></div><div class="x2"><p>{P}</p><p>{P}</p></div></body>', ["T", Q, Q]),
+    (f"<body><div><h1>Title</h1><p>{P}</p></div><div><p>{P}</p></div></body>", ["Title", Q, Q]),
+    (f'<body><nav>{LINKS}</nav><div class="zq7"><h1>Title</h1></div><div class="wv"><p>{P}</p><p>{P}</p></div><footer><p>Imprint</p></footer></body>', ["Title", Q, Q]),
+    (f'<body><div class="kx">{LINKS}</div><div class="qq"><div class="q1"><p>{P}</p></div><div class="q2"><p>{P}</p></div></div><div class="kz">{BAR}</div></body>', [Q, Q]),
+    (f"<body><table><tr><td>{LINKS}</td><td><h1>Title</h1><p>{P}</p><p>{P}</p></td></tr></table></body>", ["Title", Q, Q]),
+    (f'<body><div id="u1">{BAR}</div><section><h2>Title</h2><p>{P}</p><ul><li>One thing, and more.</li></ul></section><form><p>Search here</p></form></body>', ["Title", Q, "One thing, and more."]),
+    (f"<body><div><div><div><h1>Title</h1><p>{P}</p></div></div></div><aside><p>{P}</p></aside></body>", ["Title", Q]),
+    (f"<body><p>{P}</p><p>{P}</p></body>", [Q, Q]),
+]
+#: Written after the training pages were settled, and seen once: four of six came out whole.
+LATER = [
+    (f'<body><div id="cuerpo"><h2>Titulo</h2><p>{P}</p><div class="zz"><p>{P}</p></div></div><div id="pie"><a href="/">Inicio</a></div></body>', ["Titulo", Q, Q]),
+    (f"<body><div><h1>Title</h1><dl><dt>Term</dt><dd>{P}</dd></dl><p>{P}</p></div></body>", ["Title", "Term", Q, Q]),
+    (f"<body><nav>{LINKS}</nav><section><h1>Title</h1><p>{P}</p><blockquote><p>{P}</p></blockquote></section><footer><p>{P}</p></footer></body>", ["Title", Q, Q]),
+    (f'<body><div class="v1"><h3>Pages</h3>{LINKS}</div><div class="v2"><h1>Title</h1><div><p>{P}</p></div><div><p>{P}</p></div></div></body>', ["Title", Q, Q]),
+]
+#: Those that did not: text between line breaks in an unnamed div, and a page of tables only.
+OPEN = [
+    (f"<body><div>{BAR}</div><div>{P}<br><br>{P}</div></body>", [Q, Q]),
+    (f"<body><center><table><tr><td>{BAR}</td></tr></table></center><table><tr><td><p>{P}</p><p>{P}</p></td></tr></table></body>", [Q, Q]),
+]
+
+
+@pytest.mark.parametrize("source,want", LAYOUTS + LATER + [pytest.param(*x, marks=pytest.mark.xfail(strict=True)) for x in OPEN])
+def test_layouts_of_other_names(model, source, want):
+    assert model.extract(source).split("\n") == want
