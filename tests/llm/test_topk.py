@@ -46,12 +46,3 @@ def test_search_prunes_but_stays_exact():
         want = sorted(((int(s), -j, -j) for j, s in enumerate(scores) if j != i), reverse=True)[:5]
         assert sorted(tree.search(points[i], i, 5, -np.inf), reverse=True) == want
         assert sorted(tree.search(points[i], i, 5, want[4][0]), reverse=True) == want
-
-
-def test_only_trees_that_queries_ask_for_are_sent(spark):
-    trees = spark.createDataFrame([(2, s, b"t") for s in range(50)], "dim int, shard long, tree binary")
-    sent = spark.createDataFrame([(i, 2, 7) for i in range(95)] + [(i, 2, 9) for i in range(3)], "row long, dim int, shard long")
-    held, asks = topk.dealt(trees, sent, 10)
-    assert sorted((r["shard"], r["block"]) for r in held.collect()) == [(7, b) for b in range(10)] + [(9, 0)]
-    assert sorted((r["shard"], r["row"]) for r in asks.collect()) == [(7, i) for i in range(95)] + [(9, i) for i in range(3)]
-    assert all(r["block"] < (10 if r["shard"] == 7 else 1) for r in asks.collect())
