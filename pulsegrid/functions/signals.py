@@ -118,9 +118,11 @@ def repair_defects(x: np.ndarray, n_max: int = 700, edge: int = 200, reach: int
 
     A defect starts where |second difference| exceeds ``floor`` times its 0.8-quantile and reaches as far as such points
     follow within n_max samples; without any, the first difference is tried, against 5 times its 0.9-quantile.
-    A defect too near the end is left; positions before the start are clamped.
+    A defect too near the end is left, so a run shorter than ``reach`` stays; positions before the start are clamped.
     """
     out = x.astype(float).copy()
+    if len(x) < reach:
+        return out
     d2, d1 = np.abs(np.diff(x, 2)), np.abs(np.diff(x))
     at = np.flatnonzero(d2 > floor * np.quantile(d2, 0.8)) if len(d2) else np.array([], int)
     if not len(at) and len(d1):
@@ -313,6 +315,15 @@ def sample_entropy(x: np.ndarray, dim: int = 2, tolerance: float | None = None)
         return None
     r = 0.2 * math.sqrt(((x - x.mean()) ** 2).sum() / (n + 1)) if tolerance is None else tolerance
 
+    if n <= 256:  # the closeness of all pairs of beats at once
+        close = np.abs(x[:, None] - x) < r
+        k, same = n - dim, close[: n - dim, : n - dim]
+        for j in range(1, dim):
+            same = same & close[j : j + k, j : j + k]
+        own = k if r > 0 else 0  # a beat is close to itself
+        b, a = (int(np.count_nonzero(m)) - own for m in (same, same & close[dim:, dim:]))
+        return -math.log(a / b) if a and b else None
+
     def matches(m: int) -> int:
         t = np.lib.stride_tricks.sliding_window_view(x, m)[: n - dim]
         return sum(int((np.abs(t[i + 1 :] - t[i]).max(axis=1) < r).sum()) for i in range(len(t) - 1))

@@ -174,7 +174,7 @@ def v11(spark, d):
 
 @query("v12_welch_bands", None)
 def v12(spark, d):
-    return P.band_powers(P.power_spectra(nn_seconds(spark, d), K, nfft=256), K)
+    return P.segment_bands(nn_seconds(spark, d), K, nfft=256)
 
 
 @query("v12_lomb_bands", f"""WITH {REC}, {NN}, s AS (SELECT rec, (row_number() OVER (PARTITION BY rec ORDER BY beat) - 1) * 0.25 AS t, nn / 1e4 - avg(nn / 1e4) OVER (PARTITION BY rec) AS x, count(*) OVER (PARTITION BY rec) AS n FROM nn),
@@ -183,7 +183,7 @@ p AS (SELECT s.rec, freq, 0.5 * (pow(sum(x * cos(w * t - tau)), 2) / sum(pow(cos
 b AS (SELECT rec, coalesce(sum(power) FILTER (freq <= 0.04), 0) AS vlf, coalesce(sum(power) FILTER (freq BETWEEN 0.04 AND 0.15), 0) AS lf, coalesce(sum(power) FILTER (freq BETWEEN 0.15 AND 0.4), 0) AS hf FROM p GROUP BY 1)
 SELECT rec, round(100 * vlf / (vlf + lf + hf), 4) AS vlf_percent, round(100 * lf / (vlf + lf + hf), 4) AS lf_percent, round(100 * hf / (vlf + lf + hf), 4) AS hf_percent, round(lf / hf, 4) AS lf_hf, round(ln(vlf * 0.41 / 255), 4) AS vlf_log, round(ln(lf * 0.41 / 255), 4) AS lf_log, round(ln(hf * 0.41 / 255), 4) AS hf_log FROM b""")
 def v12b(spark, d):
-    bands = P.band_powers(P.power_spectra(nn_seconds(spark, d), K, method="lomb"), K)
+    bands = P.segment_bands(nn_seconds(spark, d), K, method="lomb")
     return rounded(bands.select("rec", "vlf_percent", "lf_percent", "hf_percent", "lf_hf", "vlf_log", "lf_log", "hf_log"))
 
 

@@ -160,8 +160,8 @@ def feature_blocks(df: DataFrame, by: Sequence[str], eda: str, rsp: str, ecg: st
     breath = breath.join(counts, list(by))
     out.append(X.to_long(breath.select(*by, *(F.col(c).alias(f"rsp_{c}") for c in breath.columns if c not in by)), by))
     nn = H.nn_intervals(beats.withColumn("beat_ms", F.col("at") * (1000.0 / rate)), by, order="n").withColumnRenamed("n", "beat")
-    nn, tasks = cut_lineage(H.beat_clock(nn, by)), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heart = H.summary(nn, by).join(H.poincare(nn, by), list(by), "left").join(G.nonlinear_measures(nn, by), list(by), "left").join(P.band_powers(P.power_spectra(nn.repartition(tasks, *by), by), by), list(by), "left")
+    nn = cut_lineage(H.beat_clock(nn, by))
+    heart = H.summary(nn, by).join(H.poincare(nn, by), list(by), "left").join(G.nonlinear_measures(nn, by), list(by), "left").join(P.segment_bands(nn, by), list(by), "left")
     out.append(X.to_long(heart.select(*by, *(F.col(c).alias(f"hrv_{c}") for c in heart.columns if c not in by)), by))
     return R.stack(*out)
 
@@ -219,7 +219,7 @@ def time_domain(nn: DataFrame, keys: Sequence[str], binsize: float = 7.8125, dur
 
 def frequency_domain(nn: DataFrame, keys: Sequence[str], methods: Sequence[str] = ("welch", "lomb", "yule-walker"), **options) -> DataFrame:
     """Band tables of each series by method; nn has time in seconds."""
-    parts = [P.band_powers(P.power_spectra(nn, keys, method=m, **options), keys).withColumn("method", F.lit(m)) for m in methods]
+    parts = [P.segment_bands(nn, keys, method=m, **options).withColumn("method", F.lit(m)) for m in methods]
     return R.stack(*parts)
 
 
@@ -239,7 +239,7 @@ def hrv_report(nn: DataFrame, keys: Sequence[str], duration_s: float = 300.0, bi
     out = X.wide_concat([H.summary(parts, by), H.triangular_index(hist, by), H.tinn(hist, by, binsize), H.poincare(parts, by)], by)
     out = out.join(G.nonlinear_measures(parts, by), by, "left")
     for method, options in (("welch", {"nfft": nfft}), ("lomb", {}), ("yule-walker", {"order": order, "nfft": nfft})):
-        bands = P.band_powers(P.power_spectra(timed, by, method=method, **options), by)
+        bands = P.segment_bands(timed, by, method=method, **options)
         out = out.join(bands.select(*by, *(F.col(c).alias(f"{method.replace('-', '_')}_{c}") for c in bands.columns if c not in by)), by, "left")
     return out.join(H.segment_deviations(parts, keys), list(keys), "left")
 

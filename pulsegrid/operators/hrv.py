@@ -172,6 +172,8 @@ def tinn(hist: DataFrame, keys: Sequence[str], binsize: float = 7.8125) -> DataF
     import numpy as np
     import pyarrow as pa
 
+    from .signals import sorted_groups
+
     def side(d: np.ndarray, top: float) -> tuple[int, float]:
         """Where a line to ``top``, one bin behind the last, has to start at 0, and its squared error, by running sums."""
         m = len(d)
@@ -184,7 +186,7 @@ def tinn(hist: DataFrame, keys: Sequence[str], binsize: float = 7.8125) -> DataF
         best = int(error.round(6).argmin())  # ties to the widest
         return best, float(error[best])
 
-    def fit(key: tuple, table: pa.Table) -> pa.Table:
+    def fit(table: pa.Table) -> dict[str, list]:
         bins, n = table.column("bin").to_numpy(), table.column("n").to_numpy()
         d = np.zeros(int(bins.max()) + 2)
         d[bins] = n
@@ -197,11 +199,9 @@ def tinn(hist: DataFrame, keys: Sequence[str], binsize: float = 7.8125) -> DataF
             j, er = side(d[:top:-1], d[top])  # the two sides are independent
             if el + er < best[0]:
                 best = (el + er, edges[i], edges[len(d) - 1 - j])
-        out = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)}
-        return pa.table(out | {"tinn_n": pa.array([float(best[1])]), "tinn_m": pa.array([float(best[2])]), "tinn": pa.array([float(best[2] - best[1])])})
+        return {"tinn_n": [float(best[1])], "tinn_m": [float(best[2])], "tinn": [float(best[2] - best[1])]}
 
-    kinds = dict(hist.dtypes)
-    return hist.groupBy(*keys).applyInArrow(fit, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", tinn_n double, tinn_m double, tinn double")
+    return sorted_groups(hist, keys, "bin", fit, {c: pa.float64() for c in ("tinn_n", "tinn_m", "tinn")}, "tinn_n double, tinn_m double, tinn double")
 
 
 def heart_rate_classes(nn: DataFrame, people: DataFrame, classes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.signals import sample_entropy
 from ..functions.spectral import cubic_spline, lomb
 from .ranges import attached, places
-from .signals import with_halo
+from .signals import by_group, sorted_groups, with_halo
 
 #: Knots beside a chunk: what a spline takes from a knot fades by more than 3.7 with each knot between.
 FADING = 64
@@ -59,28 +59,30 @@ def rolling_measures(df: DataFrame, keys: Sequence[str], value: str, measures: M
     rows = rows.drop("__pid").withColumn("__place", place).where("__place IS NOT NULL")
     spread = rows.withColumn("__chunk", F.explode(F.sequence(F.floor((F.col("__place") - reach) / width), F.floor((F.col("__place") + reach) / width)))).withColumn("__own", F.col("__chunk") == own)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__place", "ascending"), ("__at", "ascending")])
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
         at, total, place = (table.column(c).to_numpy() for c in ("__at", "__n", "__place"))
         x = table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
-        mine = np.flatnonzero(table.column("__own").to_numpy(zero_copy_only=False).astype(bool) & (at > 0))
+        wanted = table.column("__own").to_numpy(zero_copy_only=False).astype(bool) & (at > 0)
         ends = np.where(at + n >= total, at - 1, at + n) if seconds is None else place + reach
-        first, last = np.searchsorted(place, place - reach), np.searchsorted(place, ends, side="right")
         found: dict[str, list] = {m: [] for m in measures}
-        for i in mine:
-            window = x[first[i] : last[i]]
-            window = window[np.isfinite(window)]
-            for m, f in measures.items():
-                v = f(window) if len(window) else None
-                found[m].append(None if v is None or not np.isfinite(v) else float(v))
-        out = table.take(pa.array(mine)).select(columns)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+            mine = lo + np.flatnonzero(wanted[lo:hi])
+            firsts = lo + np.searchsorted(place[lo:hi], place[mine] - reach)
+            lasts = lo + np.searchsorted(place[lo:hi], ends[mine], side="right")
+            for first, last in zip(firsts.tolist(), lasts.tolist(), strict=True):
+                window = x[first:last]
+                window = window[np.isfinite(window)]
+                for m, f in measures.items():
+                    v = f(window) if len(window) else None
+                    found[m].append(None if v is None or not np.isfinite(v) else float(v))
+        out = table.filter(pa.array(wanted)).select(columns)
         for m, values in found.items():
             out = out.append_column(m, pa.array(values, pa.float64()))
         return out
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{m}` double" for m in measures])
-    return spread.groupBy(*keys, "__chunk").applyInArrow(run, schema)
+    return by_group(spread, [*keys, "__chunk"], ["__place", "__at"], run, schema)
 
 
 def resampled(df: DataFrame, keys: Sequence[str], value: str, rate: float, time: str = "time", chunk: int = 4096) -> DataFrame:
@@ -93,8 +95,7 @@ def resampled(df: DataFrame, keys: Sequence[str], value: str, rate: float, time:
     rows = places(good.groupBy(*keys, "__t").agg(F.min("__x").alias("__x")), keys, ["__t"])
     rows = attached(rows, keys, good.groupBy(*keys).agg(F.min("__t").alias("__zero"))).drop("__pid")
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("__t")
+    def run(table: pa.Table) -> dict[str, list]:
         t, x, at, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("__t", "__x", "__at", "__own"))
         mine, zero = np.flatnonzero(own.astype(bool)), table.column("__zero")[0].as_py()
         whole = at[mine[-1]] + 1 == table.column("__n")[0].as_py()
@@ -103,10 +104,9 @@ def resampled(df: DataFrame, keys: Sequence[str], value: str, rate: float, time:
         grid = zero + k / rate
         grid = grid[(grid >= t[mine[0]]) & ((grid <= end) if whole else (grid < end))]
         y = cubic_spline(t, x, grid)
-        return pa.table({name: pa.array([v.as_py()] * len(grid), v.type) for name, v in zip(keys, key, strict=False)} | {"time": pa.array(grid, pa.float64()), "value": pa.array(y, pa.float64())})
+        return {"time": grid.tolist(), "value": y.tolist()}
 
-    kinds = dict(df.dtypes)
     spread = with_halo(rows, keys, chunk, min(FADING, chunk - 1), "__at")
     # A chunk behind the last row gets that row's halo only.
     spread = spread.where(F.col("__chunk") <= F.floor((F.col("__n") - 1) / chunk))
-    return spread.groupBy(*keys, "__chunk").applyInArrow(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "time double, value double")
+    return sorted_groups(spread, [*keys, "__chunk"], "__t", run, {"time": pa.float64(), "value": pa.float64()}, "time double, value double").drop("__chunk")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,25 +26,84 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def _filled(column: pa.ChunkedArray) -> np.ndarray:
-    x = column.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+def _interpolated(x: np.ndarray) -> np.ndarray:
     bad = ~np.isfinite(x)
     if bad.any() and not bad.all():
         x[bad] = np.interp(np.flatnonzero(bad), np.flatnonzero(~bad), x[~bad])
     return x
 
 
+def _filled(column: pa.ChunkedArray) -> np.ndarray:
+    return _interpolated(column.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float))
+
+
+def _changes(keys: pa.Table) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before, from the second row on; nulls are equal."""
+    out = np.zeros(max(keys.num_rows - 1, 0), bool)
+    for column in keys.combine_chunks().columns:
+        codes = pc.dictionary_encode(column, null_encoding="encode").combine_chunks().indices.to_numpy(zero_copy_only=False)
+        out |= codes[1:] != codes[:-1]
+    return out
+
+
+def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a group in one partition and in order.
+
+    The hash of the keys is an expression of its own: Spark leaves out a repartitioning by keys above a union of tables that are
+    partitioned by them, and may then coalesce their partitions apart.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small inputs stay apart: the work is in the function
+    return df.repartition(tasks, F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
+def by_group(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], f: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """f(table, starts) of whole groups: table holds many small groups (or one that is larger than an Arrow batch), sorted by
+    keys and order, and starts the place of each group's first row.
+
+    Partitions are read as a stream, so a task holds a batch or a group, and a group costs no batch of its own.
+    """
+    names = df.columns
+
+    def run(batches):
+        held, before = [], None
+
+        def closed():
+            table = pa.Table.from_batches(held)
+            return f(table, np.r_[0, np.flatnonzero(_changes(table.select(keys))) + 1]).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.select(keys)
+            starts = np.flatnonzero(_changes(pa.Table.from_batches([own] if before is None else [before, own]))) + (before is None)
+            before = own.slice(batch.num_rows - 1, 1)
+            if len(starts):
+                held.append(batch.slice(0, starts[-1]))
+                if any(part.num_rows for part in held):
+                    yield from closed()
+                held.clear()
+                batch = batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield from closed()
+
+    return dealt(df, keys, [order] if isinstance(order, str) else order).select(*names).mapInArrow(run, schema)
+
+
 def mapped(df: DataFrame, keys: Sequence[str], value: str, order: str, f: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
     """Adds column ``name`` = f(values of the group in order), one value per row; other columns are kept."""
-    columns = df.columns
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        x = _filled(table.column(value))
-        y = f(x) if np.isfinite(x).all() and len(x) else np.full(len(x), np.nan)
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+        y, sound = np.full(len(x), np.nan), np.isfinite(x)
+        whole = np.logical_and.reduceat(sound, starts)
+        for lo, hi, good in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], whole.tolist(), strict=True):
+            part = x[lo:hi] if good else _interpolated(x[lo:hi])
+            if good or np.isfinite(part).all():
+                y[lo:hi] = f(part)
         return table.append_column(name, pa.array(y, pa.float64(), mask=~np.isfinite(y)))
 
-    return df.groupBy(*keys).applyInArrow(run, f"{_kinds(df, columns)}, `{name}` double")
+    return by_group(df, keys, order, run, f"{_kinds(df, df.columns)}, `{name}` double")
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], n: int, halo: int, order: str = "idx") -> DataFrame:
@@ -80,40 +140,41 @@ def _causal(df: DataFrame, keys: Sequence[str], value: str, b: np.ndarray, a: np
     So chunks that have a successor are filtered from silence for their end state, the few numbers of each chunk are chained
     along the recording, and every chunk is filtered from the state it starts with.
     """
-    by = [*keys, "__chunk"]
-    kinds = _kinds(df, keys)
+    by, columns, states = [*keys, "__chunk"], df.columns, {"__z": pa.list_(pa.float64())}
     cut = df.withColumn("__chunk", F.floor(F.col(order) / n).cast("long"))
     last = F.max("__chunk").over(Window.partitionBy(*keys))
     followed = cut.select(*by, order, value).withColumn("__last", last).where(F.col("__chunk") < F.col("__last")).drop("__last")
 
-    def own_keys(key, names, times=1):
-        return {k: pa.array([v.as_py()] * times, v.type) for k, v in zip(names, key, strict=True)}
-
-    def ended(key: tuple, table: pa.Table) -> pa.Table:
-        x = _filled(table.sort_by(order).column(value))
-        _, z = H.lfilter_on(b, a, np.nan_to_num(x))
-        return pa.table(own_keys(key, by) | {"__m": pa.array([len(x)]), "__z": pa.array([z.tolist()], pa.list_(pa.float64()))})
+    def ended(table: pa.Table) -> dict[str, list]:
+        x = _filled(table.column(value))
+        return {"__m": [len(x)], "__z": [H.lfilter_on(b, a, np.nan_to_num(x))[1].tolist()]}
 
-    def chained(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("__chunk")
+    def chained(table: pa.Table) -> dict[str, list]:
         z, out = None, []
         for m, alone in zip(table.column("__m").to_pylist(), table.column("__z").to_pylist(), strict=True):
             z = np.array(alone) + (0.0 if z is None else H.fading(b, a, m) @ z)
             out.append(z.tolist())
-        numbers = pa.array([c + 1 for c in table.column("__chunk").to_pylist()], pa.int64())  # the state the next chunk starts with
-        return pa.table(own_keys(key, keys, len(out)) | {"__chunk": numbers, "__z": pa.array(out, pa.list_(pa.float64()))})
+        return {"__next": [c + 1 for c in table.column("__chunk").to_pylist()], "__z": out}  # the state the next chunk starts with
 
-    ends = followed.groupBy(*by).applyInArrow(ended, f"{kinds}, __chunk long, __m long, __z array<double>")
-    starts = ends.groupBy(*keys).applyInArrow(chained, f"{kinds}, __chunk long, __z array<double>")
+    ends = sorted_groups(followed, by, order, ended, {"__m": pa.int64()} | states, "__m long, __z array<double>")
+    starts = sorted_groups(ends, keys, "__chunk", chained, {"__next": pa.int64()} | states, "__next long, __z array<double>").withColumnRenamed("__next", "__chunk")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = left.sort_by(order)
-        x = _filled(table.column(value))
-        z = np.array(right.column("__z")[0].as_py()) if right.num_rows else None
-        y = H.lfilter(b, a, x, z) if np.isfinite(x).all() and len(x) else np.full(len(x), np.nan)
-        return table.drop_columns(["__chunk"]).append_column(name, pa.array(y, pa.float64(), mask=~np.isfinite(y)))
+    def run(table: pa.Table, firsts: np.ndarray) -> pa.Table:
+        given = table.column("__z").is_valid().to_numpy().astype(bool)
+        x = table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+        y = np.full(len(x), np.nan)
+        for lo, hi in zip(firsts.tolist(), [*firsts[1:].tolist(), len(x)], strict=True):
+            z = None
+            if given[lo]:  # the row of the state, which has no place and so comes first
+                z, lo = np.array(table.column("__z")[lo].as_py()), lo + 1
+            part = _interpolated(x[lo:hi])
+            if len(part) and np.isfinite(part).all():
+                y[lo:hi] = H.lfilter(b, a, part, z)
+        kept = table.append_column(name, pa.array(y, pa.float64(), mask=~np.isfinite(y))).filter(pa.array(~given))
+        return kept.select([*columns, name])
 
-    return cut.groupBy(*by).cogroup(starts.groupBy(*by)).applyInArrow(run, f"{_kinds(df, df.columns)}, `{name}` double")
+    entered = cut.withColumn("__z", F.lit(None).cast("array<double>")).unionByName(starts, allowMissingColumns=True)
+    return by_group(entered, by, order, run, f"{_kinds(df, columns)}, `{name}` double")
 
 
 def _by_row(names: Sequence[str], f: Callable[[dict], dict], fields: dict[str, pa.DataType]):
@@ -212,18 +273,6 @@ def repaired_runs(df: DataFrame, keys: Sequence[str], value: str, n_max: int = 7
     return mapped(df, keys, value, order, lambda x: H.repair_defects(x, n_max, **options), f"{value}_repaired")
 
 
-def _rows(df: DataFrame, keys: Sequence[str], order: str, f: Callable, fields: dict[str, pa.DataType], spark_fields: str) -> DataFrame:
-    """Groups to any number of rows: f(sorted table) -> dict of lists."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        out = f(table.sort_by(order))
-        n = len(next(iter(out.values())))
-        own = {k: pa.array([v.as_py()] * n, v.type) for k, v in zip(keys, key, strict=True)}
-        return pa.table(own | {name: pa.array(out[name], kind) for name, kind in fields.items()})
-
-    return df.groupBy(*keys).applyInArrow(run, f"{_kinds(df, keys)}, {spark_fields}")
-
-
 def sorted_groups(df: DataFrame, keys: Sequence[str], order: str, f: Callable[[pa.Table], dict[str, list]], fields: dict[str, pa.DataType], spark_fields: str, rows: int = 20_000) -> DataFrame:
     """keys and the rows that f(table of one group, sorted) gives, as lists by field.
 
@@ -266,9 +315,7 @@ def sorted_groups(df: DataFrame, keys: Sequence[str], order: str, f: Callable[[p
             closed()
             yield batch_of()
 
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small inputs stay apart: the work is in the function
-    ordered = df.repartition(tasks, *keys).sortWithinPartitions(*keys, order).select(*names)
-    return ordered.mapInArrow(run, f"{_kinds(df, keys)}, {spark_fields}")
+    return dealt(df, keys, [order]).select(*names).mapInArrow(run, f"{_kinds(df, keys)}, {spark_fields}")
 
 
 EVENT_FIELDS = {"kind": pa.string(), "n": pa.int64(), "at": pa.int64()} | {f"v{i}": pa.float64() for i in range(5)}
@@ -328,18 +375,24 @@ def peaks(df: DataFrame, keys: Sequence[str], value: str, height: float, distanc
     run = F.sum(F.when(far, 1).otherwise(0)).over(w)
     runs = top.withColumn("__run", run).select(*keys, "at", "amplitude", "__place", "__run")
 
-    def taken(table: pa.Table) -> pa.Table:
-        table = table.sort_by("__place")
+    def taken(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        keep = np.ones(table.num_rows, bool)  # what is alone in its run stays
+        ends = np.r_[starts[1:], len(keep)]
+        several = ends - starts > 1
         place, x = table.column("__place").to_numpy(), table.column("amplitude").to_numpy()
-        keep = np.zeros(len(x), bool)
-        blocked = np.zeros(len(x), bool)
-        for i in np.argsort(-x, kind="stable"):
-            if not blocked[i]:
-                keep[i] = True
-                blocked[np.searchsorted(place, place[i] - distance + 1) : np.searchsorted(place, place[i] + distance)] = True
+        for lo, hi in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+            at, blocked, m = place[lo:hi].tolist(), bytearray(hi - lo), hi - lo
+            for i in np.argsort(-x[lo:hi], kind="stable").tolist():
+                if blocked[i]:
+                    continue
+                for way in (-1, 1):
+                    j = i + way
+                    while 0 <= j < m and abs(at[j] - at[i]) < distance:
+                        blocked[j], j = 1, j + way
+            keep[lo:hi] = np.frombuffer(blocked, np.uint8) == 0
         return table.filter(pa.array(keep))
 
-    kept = runs.groupBy(*keys, "__run").applyInArrow(taken, runs.schema)
+    kept = by_group(runs, [*keys, "__run"], "__place", taken, _kinds(runs, runs.columns))
     return kept.select(*keys, (F.row_number().over(w) - 1).cast("int").alias("n"), "at", "amplitude")
 
 
@@ -359,7 +412,7 @@ def skin_responses(df: DataFrame, keys: Sequence[str], value: str, order: str =
 
     fields = {k: pa.int64() for k in ("apex", "start", "end")} | {k: pa.float64() for k in names}
     spread = with_halo(df, keys, max(n, halo + 1), halo, order)
-    return _rows(spread, [*keys, "__chunk"], order, f, fields, "apex long, start long, end long, " + ", ".join(f"{n} double" for n in names)).drop("__chunk")
+    return sorted_groups(spread, [*keys, "__chunk"], order, f, fields, "apex long, start long, end long, " + ", ".join(f"{n} double" for n in names)).drop("__chunk")
 
 
 def steps(df: DataFrame, keys: Sequence[str], value: str, order: str = "tick", fs: float = 8.0, cutoff: float = 2.0, taps: int = 256, rise: float = 0.3, n: int = 65_536) -> DataFrame:
@@ -378,7 +431,7 @@ def steps(df: DataFrame, keys: Sequence[str], value: str, order: str = "tick", f
         return {"tick": at[keep]}
 
     spread = with_halo(df, keys, max(n, 2 * taps), taps, order)
-    return _rows(spread, [*keys, "__chunk"], order, f, {"tick": pa.int64()}, "tick long").drop("__chunk")
+    return sorted_groups(spread, [*keys, "__chunk"], order, f, {"tick": pa.int64()}, "tick long").drop("__chunk")
 
 
 def wavelet_details(df: DataFrame, keys: Sequence[str], value: str, taps: Sequence[float] | str, level: int, order: str = "idx", n: int = 65_536) -> DataFrame:
@@ -404,7 +457,7 @@ def wavelet_details(df: DataFrame, keys: Sequence[str], value: str, taps: Sequen
             out["coef"] += coefs[mine].tolist()
         return out
 
-    return _rows(spread, [*keys, "__chunk"], "__at", f, {"level": pa.int32(), "k": pa.int64(), "coef": pa.float64()}, "level int, k long, coef double").drop("__chunk")
+    return sorted_groups(spread, [*keys, "__chunk"], "__at", f, {"level": pa.int32(), "k": pa.int64(), "coef": pa.float64()}, "level int, k long, coef double").drop("__chunk")
 
 
 def _key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

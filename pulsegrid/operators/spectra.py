@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spectral as P
-from .signals import _filled, _rows
+from .signals import _filled, sorted_groups
 
 #: Hz.  Both ends belong to a band.
 BANDS = (("vlf", 0.0, 0.04), ("lf", 0.04, 0.15), ("hf", 0.15, 0.4))
@@ -51,7 +51,7 @@ def power_spectra(df: DataFrame, keys: Sequence[str], value: str = "nn", time: s
         freq, power = _estimate(method, t.column(time).to_numpy().astype(float), _filled(t.column(value)), options)
         return {"freq": freq, "power": power}
 
-    return _rows(df, keys, time, f, {"freq": pa.float64(), "power": pa.float64()}, "freq double, power double")
+    return sorted_groups(df, keys, time, f, {"freq": pa.float64(), "power": pa.float64()}, "freq double, power double")
 
 
 def ar_order_table(df: DataFrame, keys: Sequence[str], value: str, order: str = "idx", most: int = 20) -> DataFrame:
@@ -65,7 +65,7 @@ def ar_order_table(df: DataFrame, keys: Sequence[str], value: str, order: str =
         return {"ar_order": [k for k, _, _ in table], "rho": [r for _, r, _ in table]} | {c: [d[c] for _, _, d in table] for c in ("AIC", "AICc", "KIC", "AKICc", "FPE", "MDL")}
 
     kinds = {"ar_order": pa.int32(), "rho": pa.float64()} | {c: pa.float64() for c in ("AIC", "AICc", "KIC", "AKICc", "FPE", "MDL")}
-    return _rows(df, keys, order, f, kinds, "ar_order int, rho double, " + ", ".join(f"{c} double" for c in ("AIC", "AICc", "KIC", "AKICc", "FPE", "MDL")))
+    return sorted_groups(df, keys, order, f, kinds, "ar_order int, rho double, " + ", ".join(f"{c} double" for c in ("AIC", "AICc", "KIC", "AKICc", "FPE", "MDL")))
 
 
 def best_order(table: DataFrame, keys: Sequence[str], criterion: str = "AIC") -> DataFrame:
@@ -84,7 +84,29 @@ def band_powers(spectrum: DataFrame, keys: Sequence[str], bands: Sequence[tuple[
     for name, lo, hi in bands:
         inside = F.col("freq").between(lo, hi)
         aggs += [F.sum(F.when(inside, F.col("power"))).alias(name), F.max_by(F.when(inside, F.col("freq")), F.when(inside, F.struct("power", -F.col("freq")))).alias(f"{name}_peak")]
-    out = own.groupBy(*keys).agg(*aggs)
+    return _told(own.groupBy(*keys).agg(*aggs), bands)
+
+
+def segment_bands(df: DataFrame, keys: Sequence[str], value: str = "nn", time: str = "time", method: str = "welch", bands: Sequence[tuple[str, float, float]] = BANDS, **options) -> DataFrame:
+    """``band_powers`` of ``power_spectra``, each segment's spectrum being summed where it is made: one row per segment leaves a task."""
+    fields = {"__df": pa.float64()} | {f"{n}{end}": pa.float64() for n, _, _ in bands for end in ("", "_peak")}
+
+    def f(t):
+        freq, power = _estimate(method, t.column(time).to_numpy().astype(float), _filled(t.column(value)), options)
+        if not len(freq):
+            return {c: [] for c in fields}
+        out = {"__df": [float(np.diff(freq).max()) if len(freq) > 1 else None]}
+        for name, lo, hi in bands:
+            inside = np.flatnonzero((freq >= lo) & (freq <= hi))
+            out[name] = [float(power[inside].sum()) if len(inside) else None]
+            out[f"{name}_peak"] = [float(freq[inside[power[inside].argmax()]]) if len(inside) else None]
+        return out
+
+    return _told(sorted_groups(df, keys, time, f, fields, ", ".join(f"`{c}` double" for c in fields)), bands)
+
+
+def _told(out: DataFrame, bands: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """Band table from the sums and peaks of the bands and the frequency step."""
     names = [b[0] for b in bands]
     out = out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) * F.col("__df") for n in names})
     total = sum((F.col(n) for n in names), F.lit(0.0))
