@@ -59,14 +59,24 @@ def select_files(spark: SparkSession, path: str, starts: str = "", ends: str = "
     return files.withColumn("name", name).where(F.col("name").startswith(starts) & F.col("name").endswith(ends) & F.col("name").contains(contains))
 
 
-def write_store(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Parquet by condition and subject, so that reading one recording prunes to its folder."""
-    df.repartition("condition", "subject").sortWithinPartitions("condition", "subject", "idx").write.mode(mode).partitionBy("condition", "subject").parquet(path)
+def write_store(df: DataFrame, path: str, mode: str = "errorifexists", folders: bool = True) -> None:
+    """Parquet by condition and subject, so that reading one recording prunes to its folder.
+
+    ``folders=False`` keeps many recordings in a file, sorted by subject: their number costs no files, and reading one prunes to
+    the row groups whose subjects enclose it.
+    """
+    if folders:
+        df.repartition("condition", "subject").sortWithinPartitions("condition", "subject", "idx").write.mode(mode).partitionBy("condition", "subject").parquet(path)
+    else:
+        df.repartitionByRange("condition", "subject").sortWithinPartitions("condition", "subject", "idx").write.mode(mode).partitionBy("condition").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str, subject: str, condition: str, slalom: int | None = None) -> DataFrame:
-    """One recording (or slalom) of the store; a missing key is an error."""
-    rows = spark.read.parquet(path).where((F.col("subject").cast("string") == subject) & (F.col("condition").cast("string") == condition))
+    """One recording (or slalom) of a store of either form; a missing key is an error."""
+    own, columns = F.lit(True), spark.read.parquet(path)
+    for name, wanted in (("subject", subject), ("condition", condition)):
+        own = own & ((F.col(name) if dict(columns.dtypes)[name] == "string" else F.col(name).cast("string")) == wanted)
+    rows = columns.where(own)
     if slalom is not None:
         rows = rows.where(F.col("slalom") == slalom)
     if rows.isEmpty():

@@ -77,3 +77,13 @@ def test_files_of_recordings_stay_whole_when_partitions_are_coalesced(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_store_without_folders_takes_no_file_a_recording(spark, tmp_path):
+    rows = spark.range(600).selectExpr("cast(id div 3 as string) AS subject", "concat('C', (id div 3) % 2) AS condition", "id % 3 AS idx", "id AS v").repartition(3)
+    path = str(tmp_path / "store")
+    readers.write_store(rows, path, folders=False)
+    assert readers.select_files(spark, path, "part-", ".parquet").count() <= 16
+    assert [r["v"] for r in readers.read_store(spark, path, "7", "C1").orderBy("idx").collect()] == [21, 22, 23]
+    with pytest.raises(KeyError):
+        readers.read_store(spark, path, "7", "C0")
