@@ -19,6 +19,8 @@ from .ranges import _same
 
 #: Rows from which a group counts as large; values left in a bracket that are sorted; rows of a table that is broadcast.
 LARGE, SENT = 1_000_000, 100_000
+#: Rows up to which a group of a sorted partition is small enough for work that takes the square of its rows.
+SHORT = 2_048
 GRID, ACCURACY = 256, 10_000
 
 

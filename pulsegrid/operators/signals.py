@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import signals as H
 from ..functions.lineage import cut_lineage
 from .ranges import filled, places, running
+from .selection import SHORT, split_by_size
 
 
 def _kinds(df: DataFrame, names: Sequence[str]) -> str:
@@ -504,9 +505,28 @@ def close_pairs(points: DataFrame, keys: Sequence[str], coords: Sequence[str], w
     return counted.unionByName(met).groupBy(*keys).agg(F.sum("pairs").alias("pairs"))
 
 
-def nonlinear_measures(nn: DataFrame, keys: Sequence[str], order: str = "beat", dim: int = 2, tolerance: float | None = None) -> DataFrame:
+def nonlinear_measures(nn: DataFrame, keys: Sequence[str], order: str = "beat", dim: int = 2, tolerance: float | None = None, short: int = SHORT) -> DataFrame:
     """keys, sampen, dfa_short (4-16 beats), dfa_long (17-64 beats); null where there are too few beats.
 
+    Groups of up to ``short`` beats are taken one after the other from sorted partitions, in one shuffle; longer ones go by
+    ``_nonlinear_over_partitions``.
+    """
+
+    def measured(t: pa.Table) -> dict[str, list]:
+        x = _filled(t.column("nn"))
+        if not np.isfinite(x).all():
+            return {"sampen": [None], "dfa_short": [None], "dfa_long": [None]}
+        return {"sampen": [H.sample_entropy(x, dim, tolerance)], "dfa_short": [H.dfa(x, range(4, 17))], "dfa_long": [H.dfa(x, range(17, 65)) if len(x) >= 64 else None]}
+
+    names = ("sampen", "dfa_short", "dfa_long")
+    few, many = split_by_size(nn.select(*keys, order, F.col("nn").cast("double").alias("nn")), keys, short)
+    out = sorted_groups(few, keys, order, measured, {c: pa.float64() for c in names}, ", ".join(f"{c} double" for c in names))
+    return out if many is None else out.unionByName(_nonlinear_over_partitions(many, keys, order, dim, tolerance))
+
+
+def _nonlinear_over_partitions(nn: DataFrame, keys: Sequence[str], order: str, dim: int, tolerance: float | None) -> DataFrame:
+    """``nonlinear_measures`` of groups of any size.
+
     Sample entropy is -log of the share of template matches that stay matches when one beat longer (strict tolerance, a
     fifth of the deviation unless given); matches are pairs of close points, counted on a grid.  The fluctuation exponents are
     slopes of log fluctuation against log scale with linear detrending: sums over the windows of each scale of the running

@@ -93,3 +93,19 @@ def test_rolling_entropy_of_many_recordings(spark):
             w = x[max(i - 10, 0) : i if i + 10 >= len(x) else i + 11]
             want = H.sample_entropy(w) if len(w) else None
             assert got[r, i] == (pytest.approx(want) if want is not None else None)
+
+
+@pytest.mark.parametrize("short", [0, 100, 2_048])
+def test_short_series_need_no_ranges(spark, monkeypatch, short):
+    """Measures of many short series come from sorted partitions; only longer ones are dealt to range partitions."""
+    rng = np.random.default_rng(2)
+    series = {1: rng.normal(size=150).cumsum(), 2: rng.normal(size=70), None: rng.integers(0, 3, 40).astype(float), 4: np.ones(30), 5: np.array([1.0])}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)] + [(7, 0, None)]
+    if short == 2_048:
+        monkeypatch.setattr(G, "places", None)
+    got = {r["k"]: r for r in G.nonlinear_measures(spark.createDataFrame(rows, "k int, beat int, nn double"), ["k"], short=short).collect()}
+    assert got.keys() == {*series, 7}
+    for k, x in series.items():
+        want = H.sample_entropy(x), H.dfa(x, range(4, 17)), H.dfa(x, range(17, 65)) if len(x) >= 64 else None
+        for name, value in zip(("sampen", "dfa_short", "dfa_long"), want, strict=True):
+            assert got[k][name] is None if value is None else got[k][name] == pytest.approx(value, rel=1e-9)
