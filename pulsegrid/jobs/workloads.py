@@ -232,9 +232,9 @@ def hrv_report(nn: DataFrame, keys: Sequence[str], duration_s: float = 300.0, bi
 
     The deviations of segments are those of the whole series, the same in all its rows.
     """
-    parts = H.segments(nn, keys, duration_s)
     by = [*keys, "segment"]
-    timed = H.beat_clock(parts, by)
+    timed = cut_lineage(H.beat_clock(H.segments(nn, keys, duration_s), by))  # read by every measure
+    parts = timed.drop("time")
     hist = H.histogram(parts, by, binsize)
     out = X.wide_concat([H.summary(parts, by), H.triangular_index(hist, by), H.tinn(hist, by, binsize), H.poincare(parts, by)], by)
     out = out.join(G.nonlinear_measures(parts, by), by, "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import PERCENTS
 from ..functions.lineage import cut_lineage
 from .ranges import _same, ranged, running
-from .selection import LARGE, percentiles, split_by_size
+from .selection import LARGE, SHORT, percentiles, split_by_size
 
 
 def nn_intervals(beats: DataFrame, keys: Sequence[str], beat_time: str = "beat_ms", order: str = "beat") -> DataFrame:
@@ -106,12 +106,50 @@ def _followed(left: DataFrame, steps: DataFrame, keys: Sequence[str], **columns:
     return left.join(to, on).select(*keys, *(c.alias(n) for n, c in columns.items()), F.col("__to").alias("__j"))
 
 
-def segments(nn: DataFrame, keys: Sequence[str], duration_s: float = 300.0, full: bool = True, order: str = "beat") -> DataFrame:
+def _segments_in_order(nn: DataFrame, keys: Sequence[str], limit: float, full: bool, order: str) -> DataFrame:
+    """``segments`` of recordings that a task holds: from start to start along the running sums."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .signals import _kinds, by_group
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = np.nan_to_num(table.column("nn").cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float), posinf=np.inf, neginf=-np.inf)
+        segment = np.full(len(x), -1, np.int32)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(x)], strict=True):
+            clock, m = np.cumsum(x[lo:hi]), hi - lo
+            total, at, since, k = clock[-1], 0, 0.0, 0
+            count = np.ceil(total / limit) - (not full) if total > limit else 0
+            while at < m and k < count:
+                end = m
+                if since + limit <= total:
+                    end = int(clock.searchsorted(since + limit)) + 1  # the first beat count whose sum reaches the limit
+                    end = max(end - 1 if clock[end - 1] - since > limit else end, at + 1)
+                segment[lo + at : lo + end] = k
+                at, since, k = end, clock[end - 1], k + 1
+        return table.append_column("segment", pa.array(segment)).filter(pa.array(segment >= 0))
+
+    own = nn.select(*keys, order, "nn")
+    return by_group(own, keys, order, run, f"{_kinds(own, own.columns)}, segment int")
+
+
+def segments(nn: DataFrame, keys: Sequence[str], duration_s: float = 300.0, full: bool = True, order: str = "beat", short: int = SHORT) -> DataFrame:
     """Adds segment: beats are taken until their sum reaches the duration; the beat that overshoots opens the next one.
 
     There are ceil(total / duration) segments; beats beyond the last are lost, and with ``full=False`` the last goes too.
     Recordings not longer than the duration give nothing.  Intervals are not negative; null and NaN count as 0.
 
+    Recordings of up to ``short`` beats are cut one after the other in sorted partitions; longer ones go by
+    ``_segments_over_partitions``.
+    """
+    few, many = split_by_size(nn.select(*keys, order, "nn"), keys, short)
+    out = _segments_in_order(few, keys, duration_s * 1000.0, full, order)
+    return out if many is None else out.unionByName(_segments_over_partitions(many, keys, duration_s, full, order))
+
+
+def _segments_over_partitions(nn: DataFrame, keys: Sequence[str], duration_s: float, full: bool, order: str) -> DataFrame:
+    """``segments`` of recordings of any length.
+
     Greedy, but no recording meets in one task: where a segment from each beat would end comes from running sums over range
     partitions.  Steps are then doubled (to the next start, the one after the next, the fourth, ...) and starts already known
     take each step once, so the starts of all segments are found in as many joins as their number has binary digits.

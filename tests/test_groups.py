@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pulsegrid.functions import signals as H
+from pulsegrid.operators import hrv as V
 from pulsegrid.operators import rolling as L
 from pulsegrid.operators import signals as G
 from pulsegrid.operators import spectra as P
@@ -109,3 +110,15 @@ def test_short_series_need_no_ranges(spark, monkeypatch, short):
         want = H.sample_entropy(x), H.dfa(x, range(4, 17)), H.dfa(x, range(17, 65)) if len(x) >= 64 else None
         for name, value in zip(("sampen", "dfa_short", "dfa_long"), want, strict=True):
             assert got[k][name] is None if value is None else got[k][name] == pytest.approx(value, rel=1e-9)
+
+
+@pytest.mark.parametrize("full", [True, False])
+def test_segments_of_short_and_long_series_are_the_same(spark, monkeypatch, full):
+    rng = np.random.default_rng(4)
+    series = {1: rng.choice([0.0, 250.0, 500.0, 1000.0, 7000.0], 300), 2: np.full(41, 1000.0), None: rng.integers(300, 1200, 120).astype(float), 4: np.array([500.0]), 5: np.full(3, 9000.0)}
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)] + [(1, 300, None), (1, 301, float("nan"))]
+    df = spark.createDataFrame(rows, "k int, beat int, nn double").select("k", "beat", "nn")
+    told = [{(r["k"], r["beat"]): r["segment"] for r in V.segments(df, ["k"], 5.5, full, short=short).collect()} for short in (0, 100, 2_048)]
+    assert told[0] == told[1] == told[2] and told[0]
+    monkeypatch.setattr(V, "ranged", None)  # no range partitions for short series
+    V.segments(df, ["k"], 5.5, full)
