@@ -11,12 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import write_parquet_files
+
 # Columns of the two campaigns, in file order.
 CAMPAIGNS = {
     1: ["time", "x1", "y1", "z1", "x2", "y2", "z2", "ecg", "ppg", "rsp", "eda", "skt1", "egg1", "score", "trigger"],
     2: ["time", "x1", "y1", "z1", "x2", "y2", "z2", "x3", "y3", "z3", "rsp", "ppg", "ecg", "skt1_b", "skt2_b", "eda", "score", "trigger"],
 }
-PATH = r"([^/\\]+)[/\\]([^/\\]+)[/\\][^/\\]+$"
+#: Anchored at both ends: tried from every character of a long path, it took most of the time of reading small files.
+PATH = r"^(?:.*[/\\])?([^/\\]+)[/\\]([^/\\]+)[/\\][^/\\]+$"
 
 
 def _keys(path: Column, pattern: str = PATH) -> dict[str, Column]:
@@ -66,7 +69,7 @@ def write_store(df: DataFrame, path: str, mode: str = "errorifexists", folders:
     the row groups whose subjects enclose it.
     """
     if folders:
-        df.repartition("condition", "subject").sortWithinPartitions("condition", "subject", "idx").write.mode(mode).partitionBy("condition", "subject").parquet(path)
+        write_parquet_files(df, path, ["condition", "subject"], ["idx"], mode)
     else:
         df.repartitionByRange("condition", "subject").sortWithinPartitions("condition", "subject", "idx").write.mode(mode).partitionBy("condition").parquet(path)
 
@@ -97,7 +100,7 @@ def read_wearable(spark: SparkSession, paths: dict[str, str], rates: dict[str, i
     """
     streams, last = None, None
     for kind, path in paths.items():
-        lines = spark.read.text(path, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("rec"), _place().alias("__at"), F.split("value", ",").alias("__v"))
+        lines = spark.read.text(path, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", r"^(?:.*/)?([^/]+)/[^/]+$", 1).alias("rec"), _place().alias("__at"), F.split("value", ",").alias("__v"))
         at = F.row_number().over(Window.partitionBy("rec").orderBy("__at")) - 1
         numbered = lines.withColumn("__n", at)
         head = numbered.where("__n < 2").groupBy("rec").agg(F.max(F.when(F.col("__n") == 0, F.col("__v")[0].try_cast("double"))).alias("__start"), F.max(F.when(F.col("__n") == 1, F.col("__v")[0].try_cast("double"))).alias("__rate"))
@@ -138,7 +141,7 @@ def read_mapped(spark: SparkSession, path: str, columns: dict[str, str], sep: st
         value = F.when(place > 0, F.try_element_at("__v", F.when(place > 0, place).otherwise(1).cast("int")).try_cast("double"))
         picked[name] = F.when(place == 0, 0.0).otherwise(value) if name == "temp" else value
     tick = F.row_number().over(Window.partitionBy("__file").orderBy("__n")) - 1
-    return body.withColumns({"tick": tick.cast("long"), "rec": F.regexp_extract("__file", r"([^/]+)$", 1)}).select("rec", "tick", *(c.alias(n) for n, c in picked.items()))
+    return body.withColumns({"tick": tick.cast("long"), "rec": F.regexp_extract("__file", r"^(?:.*/)?([^/]+)$", 1)}).select("rec", "tick", *(c.alias(n) for n, c in picked.items()))
 
 
 def read_kpi(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:

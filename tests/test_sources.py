@@ -1,5 +1,7 @@
+import re
+
 import pytest
-from pulsegrid.sources import readers
+from pulsegrid.sources import files, readers
 from pulsegrid.streaming import windows
 from pyspark.sql import functions as F
 
@@ -87,3 +89,38 @@ def test_store_without_folders_takes_no_file_a_recording(spark, tmp_path):
     assert [r["v"] for r in readers.read_store(spark, path, "7", "C1").orderBy("idx").collect()] == [21, 22, 23]
     with pytest.raises(KeyError):
         readers.read_store(spark, path, "7", "C0")
+
+
+def test_a_file_for_each_group_comes_from_its_task(spark, tmp_path):
+    """Written whole under its name by the task, without the checksum file and the commit that Hadoop adds to each."""
+    path = str(tmp_path / "files")
+    sizes = {"a": 3, "b/c=%": 25_000, None: 2}
+    rows = [(k, i, None if i == 1 else f"{k} {i}") for k, n in sizes.items() for i in range(n)]
+    files.write_lines(spark.createDataFrame(rows, "k string, i int, value string").repartition(3), path, ["k"], ["i"], "top\n")
+    found = [p for p in (tmp_path / "files").rglob("*") if p.is_file() and p.name != "_SUCCESS"]
+    assert {p.parent.name for p in found} == {"k=a", "k=b%2Fc%3D%25", "k=__HIVE_DEFAULT_PARTITION__"} and len(found) == 3
+    for p in found:
+        k = {"k=a": "a", "k=b%2Fc%3D%25": "b/c=%"}.get(p.parent.name)
+        assert p.read_text().split("\n") == ["top", *("" if i == 1 else f"{k} {i}" for i in range(sizes[k])), ""]
+    assert {r["k"]: r["count"] for r in spark.read.text(path).where("value <> 'top'").groupBy("k").count().collect()} == sizes
+    with pytest.raises(FileExistsError):
+        files.write_lines(spark.createDataFrame(rows, "k string, i int, value string"), path, ["k"], ["i"])
+
+
+def test_store_and_csv_files_read_back(spark, tmp_path):
+    rows = spark.range(300).selectExpr("cast(id % 7 as string) AS subject", "'C' AS condition", "id AS idx", "id / 3 AS x", "timestamp_seconds(id) AS t", "if(id % 5 = 0, null, 'a b') AS z")
+    for mode in ("errorifexists", "overwrite", "ignore"):
+        readers.write_store(rows, str(tmp_path / "store"), mode)
+        assert len([p for p in (tmp_path / "store").rglob("part-*.snappy.parquet")]) == 7
+        back = spark.read.schema(rows.schema).parquet(str(tmp_path / "store")).select(*rows.columns)
+        assert back.exceptAll(rows).isEmpty() and back.count() == 300
+    files.write_csv_files(rows, str(tmp_path / "csv"), ["subject", "condition"], ["idx"], ["idx", "x", "z"], " ")
+    back = spark.read.csv(str(tmp_path / "csv"), sep=" ", header=True, schema="idx long, x double, z string")
+    assert back.select("idx", "x", "z").exceptAll(rows.select("idx", "x", "z")).isEmpty() and back.count() == 300
+
+
+def test_path_pattern_is_linear(spark):
+    paths = ["s/c/f.csv", "file:/x/y/s=1/c=2/f", r"C:\a\b\c.txt", "c/f", "a//c/f", "/s/c/f", "n" * 200_000]
+    df = spark.createDataFrame([(p,) for p in paths], "p string").select("p", *(c.alias(n) for n, c in readers._keys(F.col("p")).items()))
+    want = [re.search(r"([^/\\]+)[/\\]([^/\\]+)[/\\][^/\\]+$", p) for p in paths[:-1]] + [None]  # tried from everywhere, the last takes minutes
+    assert [(r["subject"], r["condition"]) for r in df.collect()] == [(m[1], m[2]) if m else ("", "") for m in want]
