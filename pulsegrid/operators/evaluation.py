@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..functions.lineage import cut_lineage
-from .ranges import places, ranged, running
+from .ranges import PART, places, ranged, running
 
 
 def binarise(score: Column, threshold: float = 2.6) -> Column:
@@ -85,22 +85,27 @@ def evaluation_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
 def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, percents: Sequence[float]) -> DataFrame:
     """keys, percent, value: points at p = 100 / W (cumulated w - w / 2), linear between, clamped; zero weights ignored.
 
-    Cumulated weights and each point's successor come from range partitions, so a group may be as large as the table.
+    Cumulated weights come from range partitions, so a group may be as large as the table.  Of a group only the points on both
+    sides of each percent are kept, first by partition, then by group.
     """
     own = df.where(F.col(weight) > 0).select(*keys, F.col(value).alias("__x"), F.col(weight).cast("double").alias("__w"))
     rows = ranged(own.groupBy(*keys, "__x", "__w").agg(F.count("*").alias("__times")), keys, ["__x", "__w"])
     rows = running(rows, keys, ["__x", "__w"], sums={"__sum": F.col("__w") * F.col("__times")}, totals={"__all": F.col("__w") * F.col("__times")})
     # Equal rows lie side by side: the first and the last of them bound a level stretch.
     first, end = F.col("__sum") - F.col("__w") * (F.col("__times") - 0.5), F.col("__sum") - F.col("__w") / 2
-    rows = rows.withColumns({"__p": 100 / F.col("__all") * first, "__end": 100 / F.col("__all") * end})
-    rows = running(rows, keys, ["__x", "__w"], before={"__p0": F.col("__p")}, after={"__x2": F.col("__x"), "__p2": F.col("__p")})
-    asked = rows.withColumn("percent", F.explode(F.array(*(F.lit(float(q)) for q in percents))))
-    q = F.col("percent")
-    below = F.col("__p0").isNull() & (q < F.col("__p"))
-    inside = (q >= F.col("__p")) & ((q < F.col("__p2")) | F.col("__p2").isNull())
-    line = F.col("__x") + (F.col("__x2") - F.col("__x")) * (q - F.col("__end")) / (F.col("__p2") - F.col("__end"))
-    level = below | F.col("__p2").isNull() | (q <= F.col("__end"))
-    return asked.where(inside | below).select(*keys, "percent", F.when(level, F.col("__x")).otherwise(line).alias("value"))
+    point = F.struct(F.col("__x").alias("x"), F.col("__w").alias("w"), (100 / F.col("__all") * first).alias("p"), (100 / F.col("__all") * end).alias("end"))
+    rows = rows.select(PART, *keys, point.alias("__point"))
+    sides = {}
+    for i, q in enumerate(percents):
+        sides |= {f"__lo{i}": (F.max, F.col("__point.p") <= float(q)), f"__hi{i}": (F.min, F.col("__point.p") > float(q))}
+    near = rows.groupBy(PART, *keys).agg(*(best(F.when(on, F.col("__point"))).alias(n) for n, (best, on) in sides.items()))  # as the rows are sorted
+    near = near.groupBy(*keys).agg(*(best(n).alias(n) for n, (best, _) in sides.items()))
+    told = []
+    for i, q in enumerate(percents):
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        line = lo["x"] + (hi["x"] - lo["x"]) * (float(q) - lo["end"]) / (hi["p"] - lo["end"])
+        told.append(F.struct(F.lit(float(q)).alias("percent"), F.when(lo.isNull(), hi["x"]).when(hi.isNull() | (lo["end"] >= float(q)), lo["x"]).otherwise(line).alias("value")))
+    return near.select(*keys, F.explode(F.array(*told)).alias("__at")).select(*keys, "__at.percent", "__at.value")
 
 
 def feature_votes(steps: DataFrame, top: int = 30) -> DataFrame:

@@ -213,3 +213,18 @@ def test_entropy_and_fluctuations_over_partitions(spark, tolerance):
         for name, value in zip(("sampen", "dfa_short", "dfa_long"), want, strict=True):
             assert got[k][name] is None if value is None else got[k][name] == pytest.approx(value, rel=1e-9)
     assert got[7]["sampen"] is None
+
+
+def test_weighted_percentiles_sort_their_rows_once(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, None, 3]), float(rng.randint(0, 20)), float(rng.randint(0, 3))) for _ in range(400)] + [(4, 2.5, 1.0)]
+    got = evaluation.weighted_percentiles(spark.createDataFrame(rows, "k int, x double, w double"), ["k"], "x", "w", [0, 5, 50, 99.99])
+    found = {(r["k"], r["percent"]): r["value"] for r in got.collect()}
+    for k in (1, None, 3, 4):
+        own = sorted((x, w) for g, x, w in rows if g == k and w > 0)
+        total, clock = sum(w for _, w in own), np.cumsum([w for _, w in own])
+        p = [100 / total * (c - w / 2) for c, (_, w) in zip(clock, own, strict=True)]
+        for q in (0, 5, 50, 99.99):
+            assert found[k, q] == pytest.approx(float(np.interp(q, p, [x for x, _ in own])))
+    assert len(found) == 16
+    assert got._jdf.queryExecution().executedPlan().toString().count("Window [") <= 10  # five, in the first and the final plan: one pass of running values, not two
