@@ -46,11 +46,10 @@ def predicted_upgrades(history: DataFrame, predicted: DataFrame, catalogue: Data
     congested week before ``before`` counts, if that week is later than all observed ones.
     """
     newest = F.struct("week_period", "site", "tech")
-    last = history.groupBy("cell").agg(F.max_by("traffic", newest).alias("__traffic"), F.max_by("busy_hour", newest).alias("__busy"))
-    slopes = [N.slope_through_origin(history, ["cell"], "busy_hour", v).withColumnRenamed("slope", f"__{v}") for v in ("code", "power", "prb")]
-    ahead = predicted.join(last, "cell")
-    for slope in slopes:
-        ahead = ahead.join(slope, "cell")
+    slopes = {v: N.slope_of("busy_hour", v) for v in ("code", "power", "prb")}
+    told = history.groupBy("cell").agg(F.max_by(F.struct("traffic", "busy_hour"), newest).alias("__last"), *(s.alias(f"__{v}") for v, (s, _) in slopes.items()), F.least(*(n for _, n in slopes.values())).alias("__n"))
+    told = told.where("__n > 0").select("cell", F.col("__last.traffic").alias("__traffic"), F.col("__last.busy_hour").alias("__busy"), *(f"__{v}" for v in slopes))
+    ahead = predicted.join(told, "cell")
     busy = F.try_divide("traffic", "__traffic") * F.col("__busy")
     ahead = ahead.withColumns({v: busy * F.col(f"__{v}") for v in ("code", "power", "prb")}).select("cell", "site", "sector", "tech", "week_period", "code", "power", "prb")
     seen = catalogue.dropna(subset=["band"]).join(predicted, "cell", "left_semi")
@@ -60,11 +59,9 @@ def predicted_upgrades(history: DataFrame, predicted: DataFrame, catalogue: Data
     weeks = N.top_sector(demand).where(F.col("week_period") < before)
     first = weeks.groupBy("site", "tech").agg(F.min_by(F.struct("week_period", "sector", "demand"), "week_period").alias("w")).select("site", "tech", "w.*")
     cells = ahead.select("cell", "site").distinct().join(seen, "cell")
-    lists = [N.bands_per_site(cells.withColumn("both", F.concat("band", "band_width")), band=b, name=n) for b, n in (("band", "bands"), ("band_width", "bw_bands"), ("both", "band_bw"))]
+    lists = cells.groupBy("site").agg(*(N.band_list(b).alias(n) for b, n in ((F.col("band"), "bands"), (F.col("band_width"), "bw_bands"), (F.concat("band", "band_width"), "band_bw"))))
     flags = N.refarming_flags(N.site_features(ahead.withColumnRenamed("prb", "load")))
-    rows = first.join(flags, ["site", "week_period"])
-    for part in lists:
-        rows = rows.join(part, "site")
+    rows = first.join(flags, ["site", "week_period"]).join(lists, "site")
     return N.weeks_after(rows.select("site", "sector", "week_period", "tech", "demand", N.choose_band().alias("choice")), history)
 
 

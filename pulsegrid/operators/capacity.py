@@ -53,7 +53,11 @@ def site_features(df: DataFrame, keys: Sequence[str] = ("week_period", "site", "
 
 def bands_per_site(df: DataFrame, site: str = "site", band: str = "band", name: str = "bands") -> DataFrame:
     """Distinct bands of a site, upper-case, sorted, joined by underscores."""
-    return df.groupBy(site).agg(F.upper(F.array_join(F.array_sort(F.collect_set(band)), "_")).alias(name))
+    return df.groupBy(site).agg(band_list(F.col(band)).alias(name))
+
+
+def band_list(band: Column) -> Column:
+    return F.upper(F.array_join(F.array_sort(F.collect_set(band)), "_"))
 
 
 def refarming_flags(weekly_site: DataFrame) -> DataFrame:
@@ -65,8 +69,14 @@ def refarming_flags(weekly_site: DataFrame) -> DataFrame:
 
 
 def slope_through_origin(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    slope, n = slope_of(x, y)
+    return df.groupBy(*keys).agg(slope.alias("slope"), n.alias("__n")).where("__n > 0").drop("__n")
+
+
+def slope_of(x: str, y: str) -> tuple[Column, Column]:
+    """Aggregates: the slope, and the number of rows that have both values."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return df.where(both).groupBy(*keys).agg(F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias("slope"))
+    return F.try_divide(F.sum(F.when(both, F.col(x) * F.col(y))), F.sum(F.when(both, F.col(x) * F.col(x)))), F.count_if(both)
 
 
 def sector_demand(df: DataFrame, keys: Sequence[str] = ("site", "sector", "week_period")) -> DataFrame:

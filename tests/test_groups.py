@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pulsegrid.functions import signals as H
+from pulsegrid.operators import capacity as N
 from pulsegrid.operators import hrv as V
 from pulsegrid.operators import rolling as L
 from pulsegrid.operators import signals as G
@@ -122,3 +123,12 @@ def test_segments_of_short_and_long_series_are_the_same(spark, monkeypatch, full
     assert told[0] == told[1] == told[2] and told[0]
     monkeypatch.setattr(V, "ranged", None)  # no range partitions for short series
     V.segments(df, ["k"], 5.5, full)
+
+
+def test_slopes_side_by_side(spark):
+    """Several slopes in one aggregate, each of the rows that have both of its values."""
+    rows = [(1, 1.0, 2.0, None), (1, 2.0, 4.0, 1.0), (1, None, 9.0, 9.0), (2, 1.0, None, 3.0), (3, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, x double, y double, z double")
+    (y, n), (z, m) = N.slope_of("x", "y"), N.slope_of("x", "z")
+    assert {r[0]: tuple(r[1:]) for r in df.groupBy("k").agg(y, n, z, m).collect()} == {1: (2.0, 2, 0.5, 1), 2: (None, 0, 3.0, 1), 3: (None, 1, None, 1)}
+    assert {r["k"]: r["slope"] for r in N.slope_through_origin(df, ["k"], "x", "y").collect()} == {1: 2.0, 3: None}
