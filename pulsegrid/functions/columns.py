@@ -102,6 +102,29 @@ def at_percents(points: Column) -> dict[str, Column]:
     return {f"n{round(100 * p)}": points[i] for i, p in enumerate(PERCENTS)} | {"median": points[2]}
 
 
+def interpolated(low: Column, high: Column, share: Column) -> Column:
+    """low (1 - share) + high share, the first product not rounded before the sum, as SQL engines with fused multiply-add do.
+
+    Between values of opposite signs the sum may be zero but for rounding; as the base of a ratio, what is left then counts.
+    """
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        top = x * 134217729.0 - (x * 134217729.0 - x)
+        return top, x - top
+
+    rest = 1 - share
+    (a, b), (c, d), product = halves(low), halves(rest), low * rest
+    lost = F.nanvl(((a * c - product) + a * d + b * c) + b * d, F.lit(0.0))  # what the product's rounding took
+    return (product + high * share) + lost
+
+
+def percents_of(values: Column) -> Column:
+    """The PERCENTS of a sorted array, null of an empty one."""
+    at = lambda p: (F.size(values) - 1) * p
+    ends = lambda p: F.struct(F.get(values, F.floor(at(p)).cast("int")).alias("low"), F.get(values, F.ceil(at(p)).cast("int")).alias("high"), (at(p) - F.floor(at(p))).alias("share"))
+    return F.transform(F.transform(F.array(*(F.lit(p) for p in PERCENTS)), ends), lambda e: interpolated(e["low"], e["high"], e["share"]))
+
+
 def stats_of(c: Column, zero_crossings: Column | None = None, percentiles: bool = True) -> dict[str, Column]:
     """Descriptive statistics of a signal inside a group, as named aggregates.
 

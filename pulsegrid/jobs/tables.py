@@ -59,7 +59,12 @@ NUDGE = "1.23e-8"
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    return df.select(*(F.round(F.col(c) + float(NUDGE), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+    def cut(c):
+        # Above 2 ** 53 units SQL's multiplication and division by the power of ten may still move the last bit.
+        x, unit = F.col(c) + float(NUDGE), 10.0**digits
+        return F.when((F.abs(x) >= 2.0**53 / unit) & (F.abs(x) < 1e300), x * unit / unit).otherwise(F.round(x, digits))
+
+    return df.select(*(cut(c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
 def registrar(into: dict):

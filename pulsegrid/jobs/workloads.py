@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, stats_of
+from ..functions.columns import finite
 from ..functions.lineage import cut_lineage
 from ..operators import capacity as N
 from ..operators import epochs as E
@@ -142,10 +142,10 @@ def feature_blocks(df: DataFrame, by: Sequence[str], eda: str, rsp: str, ecg: st
     events = cut_lineage(G.interval_events(df, by, eda, rsp, ecg, listed, rate, offset, height, beat_gap, breath_gap))
     order = Window.partitionBy(*by).orderBy("place")
     crossings = {f"__cross_{n}": F.when(finite(F.col(n)) * F.lag(finite(F.col(n))).over(order) < 0, 1) for n in names}
-    stats = df.withColumns(crossings).groupBy(*by).agg(*(c.alias(f"{n}_{s}") for n in names for s, c in stats_of(F.col(n), F.col(f"__cross_{n}")).items()))
+    stats = X.described(df.withColumns(crossings), by, {f"{n}_": (F.col(n), F.col(f"__cross_{n}")) for n in names})
     out = [X.to_long(stats, by)]
 
-    waves = events.where(~F.col("kind").isin("scr", "high", "low", "beat")).groupBy(*by, "kind").agg(*(c.alias(s) for s, c in stats_of(F.col("v0")).items()))
+    waves = X.described(events.where(~F.col("kind").isin("scr", "high", "low", "beat")), [*by, "kind"], {"": (F.col("v0"), None)})
     out.append(X.to_long(waves, [*by, "kind"]).select(*by, F.concat_ws("_", "kind", "feature").alias("feature"), "value"))
     measures = ["amplitude", "rise", "decay", "width", "auc"]
     responses = events.where("kind = 'scr'").select(*by, F.col("at").alias("apex"), *(F.col(f"v{i}").alias(m) for i, m in enumerate(measures)))

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import PERCENTS, at_percents, finite, ratio, stats_of
+from ..functions.columns import PERCENTS, at_percents, finite, percents_of, ratio, stats_of
 from .ranges import _same, ranged, running
 from .selection import LARGE, percentiles, split_by_size
 
 
+def described(df: DataFrame, keys: Sequence[str], measures: Mapping[str, tuple[Column, Column | None]], others: Mapping[str, Column] = {}) -> DataFrame:
+    """keys, others (aggregates) and the statistics of each measure, named by its prefix: prefix -> column and its crossings.
+
+    Percentiles come from the sorted values of a group and are rounded as in SQL, see ``interpolated``.
+    """
+    aggs, out = [c.alias(n) for n, c in others.items()], [F.col(n) for n in others]
+    for i, (prefix, (c, cross)) in enumerate(measures.items()):
+        plain = stats_of(c, cross, percentiles=False)
+        aggs += [*(a.alias(f"{prefix}{n}") for n, a in plain.items()), F.sort_array(F.collect_list(finite(c))).alias(f"__all{i}")]
+        points = {n: p.alias(f"{prefix}{n}") for n, p in at_percents(F.col(f"__points{i}")).items()}
+        out += [points[n] if n in points else F.col(f"{prefix}{n}") for n in stats_of(c, cross)]
+    made = df.groupBy(*keys).agg(*aggs).withColumns({f"__points{i}": percents_of(F.col(f"__all{i}")) for i in range(len(measures))})
+    return made.select(*keys, *out)
+
+
 def signal_statistics(df: DataFrame, keys: Sequence[str], value: str, order: str = "idx", large: int | None = LARGE) -> DataFrame:
     """Percentiles, extremes, mean, population deviation, zero crossings, rms and mean absolute value by group.
 
@@ -21,7 +36,7 @@ def signal_statistics(df: DataFrame, keys: Sequence[str], value: str, order: str
     x, cross = finite(F.col(value)), F.col("__cross")
     few, many = split_by_size(df, keys, large)
     before = F.lag(x).over(Window.partitionBy(*keys).orderBy(order))
-    out = few.withColumn("__cross", F.when(x * before < 0, 1)).groupBy(*keys).agg(*(c.alias(n) for n, c in stats_of(F.col(value), cross).items()))
+    out = few.withColumn("__cross", F.when(x * before < 0, 1)).transform(described, keys, {"": (F.col(value), cross)})
     if many is None:
         return out
     chained = running(ranged(many, keys, [order]), keys, [order], before={"__before": x}).withColumn("__cross", F.when(x * F.col("__before") < 0, 1))
@@ -67,10 +82,7 @@ def wide_concat(blocks: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 def event_statistics(events: DataFrame, keys: Sequence[str], measures: Sequence[str], order: str) -> DataFrame:
     """Statistics of each measure of detected events (skin responses, breaths), and their number, one row per key."""
-    aggs = [F.count("*").alias("n_events")]
-    for m in measures:
-        aggs += [c.alias(f"{m}_{n}") for n, c in stats_of(F.col(m)).items()]
-    return events.groupBy(*keys).agg(*aggs)
+    return described(events, keys, {f"{m}_": (F.col(m), None) for m in measures}, {"n_events": F.count("*")})
 
 
 def breath_measures(peaks: DataFrame, troughs: DataFrame, keys: Sequence[str]) -> DataFrame:

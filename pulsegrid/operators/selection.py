@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite
+from ..functions.columns import finite, interpolated
 from ..functions.lineage import cut_lineage
 from .ranges import _same
 
@@ -101,7 +101,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: Column, points: Seque
     both = got.unionByName(wants.where("found IS NOT NULL").select(*twins, "i", "place", "upper", "found"))
     low, high = F.max(F.when(F.col("upper") == 0, F.col("found"))), F.max(F.when(F.col("upper") == 1, F.col("found")))
     spot = F.first("place")
-    mixed = F.when(F.ceil(spot) == F.floor(spot), low).otherwise((F.ceil(spot) - spot) * low + (spot - F.floor(spot)) * high)
-    per = both.groupBy(*twins, "i").agg(mixed.alias("v"))
+    per = both.groupBy(*twins, "i").agg(low.alias("low"), high.alias("high"), (spot - F.floor(spot)).alias("share"))
+    mixed = F.when(F.col("share") == 0, F.col("low")).otherwise(interpolated(F.col("low"), F.col("high"), F.col("share")))
+    per = per.select(*twins, "i", mixed.alias("v"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
     return per.groupBy(*twins).agg(listed.alias("points")).withColumnsRenamed(dict(zip(twins, keys, strict=True)))
