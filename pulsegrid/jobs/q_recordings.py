@@ -135,6 +135,7 @@ SELECT rec, idx, round(coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY r
 )
 def j6(spark, d):
     r = recordings(spark, d).withColumn("time", F.floor(F.col("us") / 1000000) % 100000 / 4.0)
+    r = r.select("rec", "idx", "time", "value", "trigger")
     return rounded(S.replace_artefacts(r, K, "value", F.col("idx") % 7 == 3, F.col("trigger").isin("view", "click"), half_s=600.0).select("rec", "idx", "value_clean"))
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, nearest_multiple
+from ..functions.columns import finite
 from .ranges import attached, filled, places
 from .selection import LARGE, percentiles, split_by_size
 
@@ -125,35 +125,39 @@ def range_baseline(df: DataFrame, keys: Sequence[str], rests: dict[str, Column],
 def replace_artefacts(df: DataFrame, keys: Sequence[str], value: str, artefact: Column, phases: Column, half_s: float = 60.0, grid_s: float = 5.0, time: str = "time", order: str = "idx") -> DataFrame:
     """Artefact samples take the mean of clean samples of the driving phases with |time - their grid point| < half_s.
 
-    Grid points are the times rounded to ``grid_s`` (ties to even).  Clean samples are added up by grid cell first, and a
-    cell edge that lies exactly on an open end is left out, so a point costs as many rows as there are cells, not
-    samples.  Points without clean samples take the next, then the last earlier value.  Adds <value>_clean.
+    Grid points are the times rounded to ``grid_s`` (ties to even).  Samples are grouped and clean ones added up by grid cell first,
+    and a cell edge that lies exactly on an open end is left out, so a point costs as many rows as there are cells, not
+    samples.  Cells and windows stay in the partitions of their recording: rows that are partitioned by ``keys`` are not shuffled.
+    Points without clean samples take the next, then the last earlier value.  Adds <value>_clean.
     """
     cells = int(round(half_s / grid_s))
     t = F.col(time)
-    clean = df.where(~artefact & phases & F.col(value).isNotNull())
-    cell = F.floor(t / grid_s)
-    # Cell j holds j g <= t < (j + 1) g.  Open interval around point p: cells p - n .. p + n - 1 without t = (p - n) g.
-    sums = clean.groupBy(*keys, cell.alias("__cell")).agg(
-        F.sum(value).alias("__sum"), F.count(value).alias("__n"),
-        F.coalesce(F.sum(F.when(t == cell * grid_s, F.col(value))), F.lit(0.0)).alias("__edge_sum"), F.count_if(t == cell * grid_s).alias("__edge_n"),
+    cell, point = F.floor(t / grid_s), F.bround(t / grid_s).cast("long")
+    clean = ~artefact & phases & F.col(value).isNotNull()
+    edge = clean & (t == cell * grid_s)
+    rows = F.struct(*(c for c in df.columns if c not in keys), F.coalesce(artefact, F.lit(False)).alias("__art"), (point - cell).alias("__up"))
+    held = df.groupBy(*keys, cell.alias("__cell")).agg(
+        F.sum(F.when(clean, F.col(value))).alias("__sum"), F.count_if(clean).alias("__n"),
+        F.coalesce(F.sum(F.when(edge, F.col(value))), F.lit(0.0)).alias("__edge_sum"), F.count_if(edge).alias("__edge_n"), F.collect_list(rows).alias("__rows"),
     )
-    point = (nearest_multiple(t, grid_s) / grid_s).cast("long")
-    wanted = df.where(artefact).select(*keys, point.alias("__point")).distinct()
-    reach = wanted.withColumn("__cell", F.explode(F.sequence(F.col("__point") - cells, F.col("__point") + cells - 1)))
-    first = F.col("__cell") == F.col("__point") - cells
-    means = (
-        reach.join(sums, [*keys, "__cell"])
-        .groupBy(*keys, "__point")
-        .agg(F.sum(F.col("__sum") - F.when(first, F.col("__edge_sum")).otherwise(0)).alias("__s"), F.sum(F.col("__n") - F.when(first, F.col("__edge_n")).otherwise(0)).alias("__k"))
-        .select(*keys, "__point", F.try_divide("__s", "__k").alias("__mean"))
-    )
-    own = df.withColumn("__point", F.when(artefact, point)).join(means, [*keys, "__point"], "left")
-    own = own.withColumn("__new", F.when(artefact, F.col("__mean")).otherwise(F.col(value)))
+    # Cell j holds j g <= t < (j + 1) g.  Open interval around point p: cells p - n .. p + n - 1 without t = (p - n) g.  A sample's
+    # point is the lower or the upper end of its own cell.
+    along = Window.partitionBy(*keys).orderBy("__cell")
+
+    def mean(up: int) -> Column:
+        inner, first = along.rangeBetween(up - cells + 1, up + cells - 1), along.rangeBetween(up - cells, up - cells)
+        zero = F.lit(0)
+        total = F.coalesce(F.sum("__sum").over(inner), zero) + F.coalesce(F.sum(F.col("__sum") - F.col("__edge_sum")).over(first), zero)
+        return F.try_divide(total, F.coalesce(F.sum("__n").over(inner), zero) + F.coalesce(F.sum(F.col("__n") - F.col("__edge_n")).over(first), zero))
+
+    placed = reduce(lambda p, q: p & q, (F.col(k).isNotNull() for k in (*keys, "__cell")))
+    means = held.withColumns({f"__mean{up}": mean(up) for up in (0, 1)}).select(*keys, placed.alias("__placed"), "__mean0", "__mean1", F.inline("__rows"))
+    around = F.when(F.col("__placed"), F.when(F.col("__up") == 0, F.col("__mean0")).otherwise(F.col("__mean1")))
+    own = means.withColumn("__new", F.when(F.col("__art"), around).otherwise(F.col(value)))
     w = Window.partitionBy(*keys).orderBy(order)
     following = F.first("__new", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     earlier = F.last("__new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn(f"{value}_clean", F.coalesce(following, earlier)).drop("__point", "__mean", "__new")
+    return own.select(*df.columns, F.coalesce(following, earlier).alias(f"{value}_clean"))
 
 
 def motion(df: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> Column:
