@@ -85,3 +85,18 @@ def test_percentiles_that_cancel_are_those_of_sql(spark):
             else:
                 assert math.isclose(a, b, rel_tol=1e-14), (groups[g], a, b)
     assert tiny > 0
+
+
+def test_outliers_are_judged_and_repaired_in_one_shuffle(spark):
+    rng = random.Random(11)
+    rows = [(g, f, i, 100.0 if i == 4 else rng.random()) for g in ("a", "b", None) for f in ("x", "y") for i in range(20)]
+    out = series.repair_outliers(spark.createDataFrame(rows, "rec string, feature string, slalom int, value double"), ["rec", "feature"], "slalom", large=None)
+    got = {(r["rec"], r["feature"], r["slalom"]): r["value"] for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1, plan
+    value = {r[:3]: r[3] for r in rows}
+    for g in ("a", "b"):  # rows without a key have no group
+        for f in ("x", "y"):
+            assert got[g, f, 4] == pytest.approx((value[g, f, 3] + value[g, f, 5]) / 2)
+            assert all(got[g, f, i] == value[g, f, i] for i in range(20) if i != 4)
+    assert len(got) == 80
