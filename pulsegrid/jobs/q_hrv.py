@@ -18,6 +18,11 @@ def nn(spark, d):
     return H.nn_intervals(beats(recordings(spark, d)), K)
 
 
+def whole_differences(summary):
+    """diff_min and diff_max in the type of SQL."""
+    return summary.withColumns({c: F.col(c).cast("int") for c in ("diff_min", "diff_max")})
+
+
 @query("w4_nn_intervals", f"WITH {REC}, {NN} SELECT rec, beat, round(nn, 4) AS nn, round(sum(nn) OVER (PARTITION BY rec ORDER BY beat) / 1000, 3) AS time FROM nn")
 def w4(spark, d):
     out = H.beat_clock(nn(spark, d), K)
@@ -37,7 +42,7 @@ _p = ", ".join(f"round(quantile_cont(hr, {q}), 4) AS hr_{n}" for q, n in ((0.05,
     round(stddev_samp(nn), 4) AS sdnn, round(stddev_samp(diff), 4) AS sdsd, round(sqrt(avg(diff * diff)), 4) AS rmssd, count(*) FILTER (diff > 50) AS nn50, round(count(*) FILTER (diff > 50) * 100.0 / nullif(count(diff), 0), 4) AS pnn50,
     count(*) FILTER (diff > 20) AS nn20, round(count(*) FILTER (diff > 20) * 100.0 / nullif(count(diff), 0), 4) AS pnn20 FROM d GROUP BY 1""")
 def summary(spark, d):
-    return rounded(H.summary(nn(spark, d), K))
+    return whole_differences(rounded(H.summary(nn(spark, d), K)))
 
 
 HIST = """t AS (SELECT *, max(nn) OVER (PARTITION BY rec) AS top FROM nn), h AS (SELECT rec, CAST(least(floor(nn / 1000000.0), greatest(ceil((top + 1000000.0) / 1000000.0) - 2, 0)) AS INTEGER) AS bin, count(*) AS n FROM t GROUP BY 1, 2)"""

@@ -281,7 +281,7 @@ def c1(spark, d):
     out = W.time_domain(H.nn_intervals(beats(recordings(spark, d)), K), K, 1e8, 300_000.0)
     two = ["sd1", "sd2", "sdnn_index", "sdann"]
     large = out.withColumns({c: F.round(c, 2).cast("decimal(38,2)") for c in two} | {"ellipse_area": F.round(F.col("ellipse_area") / 1e9, 2).cast("decimal(38,2)")})
-    return rounded(large).withColumns({c: F.col(c).cast("double") for c in (*two, "ellipse_area")})
+    return hrv.whole_differences(rounded(large)).withColumns({c: F.col(c).cast("double") for c in (*two, "ellipse_area")})
 
 
 # The parts are queries of their own, with SQL; the triangular index has bins as wide as those of the triangle.

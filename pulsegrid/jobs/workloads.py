@@ -177,15 +177,15 @@ def _with_rest(whole: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 def _in_ratio(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
-    long = cut_lineage(X.to_long(wide, [*keys, "__rest"]))
-    return X.normalised(long.where("NOT __rest").drop("__rest"), long.where("__rest").drop("__rest"), keys)
+    long = cut_lineage(X.to_long(wide, [*keys, "__rest"], infinite=True))
+    return X.normalised(long.where("NOT __rest").drop("__rest"), long.where("__rest").drop("__rest"), keys, infinite=True)
 
 
 def heart_rest_ratios(nn: DataFrame, rest: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every time-domain and nonlinear measure of a series in ratio to that of its rest phase: keys, feature, value.
 
     nn, rest: keys, beat, nn.  Both go through one pass, told apart by a mark among the keys.  Without a rest phase, or with
-    a measure of 0 there, the ratio is null.
+    a measure of 0 there, the ratio is null; infinite rates (of beats at the same time) give what doubles give.
     """
     by = [*keys, "__rest"]
     both = cut_lineage(_with_rest(nn, rest))

@@ -46,10 +46,10 @@ def signal_statistics(df: DataFrame, keys: Sequence[str], value: str, order: str
     return out.unionByName(both.select(*out.columns))
 
 
-def to_long(wide: DataFrame, keys: Sequence[str], features: Sequence[str] | None = None) -> DataFrame:
-    """keys, feature, value; the form for work on single features."""
+def to_long(wide: DataFrame, keys: Sequence[str], features: Sequence[str] | None = None, infinite: bool = False) -> DataFrame:
+    """keys, feature, value; the form for work on single features.  infinite: NaN and infinities stay instead of becoming null."""
     names = [c for c in wide.columns if c not in keys] if features is None else list(features)
-    typed = wide.select(*keys, *(finite(F.col(c)).alias(c) for c in names))
+    typed = wide.select(*keys, *((F.col(c).cast("double") if infinite else finite(F.col(c))).alias(c) for c in names))
     return typed.unpivot(list(keys), names, "feature", "value")
 
 
@@ -58,13 +58,14 @@ def to_wide(long: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Da
     return long.groupBy(*keys).pivot("feature", list(features)).agg(F.first("value"))
 
 
-def normalised(long: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:
+def normalised(long: DataFrame, baseline: DataFrame, keys: Sequence[str], infinite: bool = False) -> DataFrame:
     """Values (…keys…, feature, value) divided by the baseline's (keys, feature, value); smallest baseline if repeated.
 
-    A missing baseline, and a result that is not finite, give null.
+    A missing baseline or one of 0, and a result that is not finite, give null; with ``infinite`` the latter stays.
     """
     base = baseline.groupBy(*keys, "feature").agg(F.min("value").alias("__base"))
-    return long.join(base, [*keys, "feature"], "left").withColumn("value", ratio(F.col("value"), F.col("__base"))).drop("__base")
+    share = (F.try_divide if infinite else ratio)(F.col("value"), F.col("__base"))
+    return long.join(base, [*keys, "feature"], "left").withColumn("value", share).drop("__base")
 
 
 def without_baseline(long: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -55,15 +55,17 @@ def _rates(points: Column) -> list[Column]:
 def summary(nn: DataFrame, keys: Sequence[str], order: str = "beat", large: int | None = LARGE) -> DataFrame:
     """Counts, means and extremes of intervals, differences and heart rates; sdnn, sdsd, rmssd; nn50, nn20.
 
+    Beats at the same time have an infinite rate, which counts in all statistics of the rate; differences may be of any length.
+
     Groups of more than ``large`` beats are neither sorted in one task nor are their values held in one executor; None takes
     all as small and saves the count of the groups.
     """
-    hr = 60000 / F.col("nn")
+    hr = F.when(F.col("nn") == 0, float("inf")).otherwise(60000 / F.col("nn"))
     n50, p50 = exceeding(50)
     n20, p20 = exceeding(20)
     head = [
         F.count("nn").alias("nn_count"), F.avg("nn").alias("nn_mean"), F.min("nn").alias("nn_min"), F.max("nn").alias("nn_max"),
-        F.avg("diff").alias("diff_mean"), F.min("diff").cast("int").alias("diff_min"), F.max("diff").cast("int").alias("diff_max"),
+        F.avg("diff").alias("diff_mean"), F.min("diff").cast("long").alias("diff_min"), F.max("diff").cast("long").alias("diff_max"),
         F.avg(hr).alias("hr_mean"), F.min(hr).alias("hr_min"), F.max(hr).alias("hr_max"), F.stddev_samp(hr).alias("hr_std"),
     ]
     tail = [
@@ -75,7 +77,7 @@ def summary(nn: DataFrame, keys: Sequence[str], order: str = "beat", large: int
     if many is None:
         return out
     chained = running(ranged(many, keys, [order]), keys, [order], before={"__before": F.col("nn")}).withColumn("diff", F.abs(F.col("nn") - F.col("__before")))
-    held = percentiles(many, keys, hr, PERCENTS, large).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    held = percentiles(many, keys, hr, PERCENTS, large, infinite=True).withColumnsRenamed({k: f"__k_{k}" for k in keys})
     both = chained.groupBy(*keys).agg(*head, *tail).join(held, _same(keys, "__k_"), "left").select("*", *_rates(F.col("points")))
     return out.unionByName(both.select(*out.columns))
 

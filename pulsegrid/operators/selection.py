@@ -46,12 +46,13 @@ def _inside(x: Column, lo: str, hi: str) -> Column:
     return (F.col(lo).isNull() | (x > F.col(lo))) & (F.col(hi).isNull() | (x < F.col(hi)))
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: Column, points: Sequence[float], large: int = LARGE) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: Column, points: Sequence[float], large: int = LARGE, infinite: bool = False) -> DataFrame:
     """keys and points, an array of the linearly interpolated percentiles, as ``F.percentile`` gives them; one row per group.
 
-    Null and non-finite values don't count; a group without values has no row.  Keys may be null.
+    Null and non-finite values don't count, with ``infinite`` infinities do; a group without values has no row.  Keys may be null.
     """
-    rows = cut_lineage(df.select(*keys, finite(value.cast("double")).alias("__x")).where("__x IS NOT NULL"))
+    number = F.nanvl(value.cast("double"), F.lit(None)) if infinite else finite(value.cast("double"))
+    rows = cut_lineage(df.select(*keys, number.alias("__x")).where("__x IS NOT NULL"))
     x, twins = F.col("__x"), [f"__k_{k}" for k in keys]
     steps = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
 

@@ -100,3 +100,21 @@ def test_outliers_are_judged_and_repaired_in_one_shuffle(spark):
             assert got[g, f, 4] == pytest.approx((value[g, f, 3] + value[g, f, 5]) / 2)
             assert all(got[g, f, i] == value[g, f, i] for i in range(20) if i != 4)
     assert len(got) == 80
+
+
+def test_heart_rates_of_simultaneous_beats_and_wide_gaps_at_any_size(spark):
+    rng = random.Random(7)
+    rows = [(g, i, 0.0 if i % every == every - 1 else 3e9 if i == 50 else float(rng.randint(600, 900))) for g, every in (("a", 5), ("b", 60), ("c", 100_000)) for i in range(120)]
+    nn = spark.createDataFrame(rows, "rec string, beat long, nn double").repartition(5)
+    few, many = hrv.summary(nn, ["rec"]), hrv.summary(nn, ["rec"], large=10)
+    _same_rows(few.drop("hr_std"), many.drop("hr_std"), ["rec"])
+    for out in (few, many):
+        got = {r["rec"]: r for r in out.collect()}
+        for g in "abc":
+            x = np.array([v for k, _, v in rows if k == g])
+            with np.errstate(all="ignore"):
+                rate = 60000 / x
+            assert got[g]["diff_max"] == int(np.abs(np.diff(x)).max()) > 2**31
+            assert got[g]["hr_max"] == rate.max() and got[g]["hr_mean"] == pytest.approx(rate.mean()) and got[g]["hr_p50"] == pytest.approx(np.median(rate))
+            assert math.isnan(got[g]["hr_std"]) if g != "c" else got[g]["hr_std"] == pytest.approx(rate.std(ddof=1))
+        assert got["a"]["hr_p95"] == math.inf and got["b"]["hr_p95"] < math.inf
