@@ -326,7 +326,7 @@ SELECT s.*, sd1, sd2, sd2 / nullif(sd1, 0) AS sd_ratio, pi() * sd1 * sd2 AS elli
 @query("j10_hrv_rest_ratio", ratio_sql(heart_sql))
 def j10(spark, d):
     r = recordings(spark, d)
-    nn, rest = (H.nn_intervals(beats(x), K) for x in (r, R.in_phases(r, ["view"], "phase")))
+    nn, rest = (H.nn_intervals(beats(x), K, scaled=False) for x in (r, R.in_phases(r, ["view"], "phase")))  # ms, however near the beats
     return rounded(W.heart_rest_ratios(nn, rest, K))
 
 

@@ -17,11 +17,11 @@ from .ranges import _same, ranged, running
 from .selection import LARGE, SHORT, percentiles, split_by_size
 
 
-def nn_intervals(beats: DataFrame, keys: Sequence[str], beat_time: str = "beat_ms", order: str = "beat") -> DataFrame:
-    """Differences of successive beat times; a series whose largest value is below 10 is in seconds and becomes whole ms."""
+def nn_intervals(beats: DataFrame, keys: Sequence[str], beat_time: str = "beat_ms", order: str = "beat", scaled: bool = True) -> DataFrame:
+    """Differences of successive beat times; with ``scaled`` a series whose largest value is below 10 is in seconds and becomes whole ms."""
     w = Window.partitionBy(*keys).orderBy(order)
     out = beats.withColumn("nn", F.col(beat_time) - F.lag(beat_time).over(w)).where("nn IS NOT NULL")
-    return scaled_nn(out, keys).select(*keys, order, "nn")
+    return (scaled_nn(out, keys) if scaled else out.withColumn("nn", F.col("nn").cast("double"))).select(*keys, order, "nn")
 
 
 def scaled_nn(nn: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -59,6 +59,8 @@ def test_runs(spark, name):
 ODD = {
     # Three rest beats of which two are close: a difference above 2**31 ms.
     "gap": "VALUES (900000, TIMESTAMP '2024-01-01 00:00:00', 99, 'view'), (900001, '2024-01-01 00:00:01', 99, 'view'), (900002, '2024-01-30 23:59:00', 99, 'view'), (900003, '2024-01-09 00:00:00', 99, 'click')",
+    # A rest phase whose intervals are all below 10 ms: milliseconds nevertheless.
+    "near": "VALUES (900000, TIMESTAMP '2024-01-05 00:00:00', 99, 'view'), (900001, '2024-01-05 00:00:00.0053', 99, 'view'), (900002, '2024-01-05 00:00:00.0091', 99, 'view'), (900003, '2024-01-05 00:01:30', 99, 'click')",
     # Beats at the same time, of some recordings in the rest phase too: infinite rates.
     "tie": "SELECT event_id + 100000, ts, user_id, event_type FROM old WHERE user_id % 3 = 0 AND (user_id % 2 = 0 OR event_type <> 'view')",
 }
